@@ -46,15 +46,15 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POSITIONS_SQL = """positions_v AS (
- SELECT frame, label, k AS entity, CASE WHEN k = 22 THEN NULL WHEN k < 11 THEN 0 ELSE 1 END AS team,
+ SELECT frame, label, CAST(k AS INTEGER) AS entity, CASE WHEN k = 22 THEN NULL WHEN k < 11 THEN 0 ELSE 1 END AS team,
         k % 11 = 0 AND k < 22 AS is_gk, label % 2 AS poss_team,
         greatest(-52.5e0, least(52.5e0, vx * 175)) AS x, greatest(-34e0, least(34e0, vy * 113)) AS y
  FROM (SELECT vec_id AS frame, label, k, CAST(embedding[2*k+1] AS DOUBLE) AS vx, CAST(embedding[2*k+2] AS DOUBLE) AS vy
        FROM embeddings, range(0,23) t(k)) z),
-ball_v AS (SELECT frame, label, poss_team, x AS bx, y AS by FROM positions_v WHERE entity = 22),
-def_v AS (SELECT p.frame, p.label, p.entity, p.team, p.x, p.y, bx, by FROM positions_v p JOIN ball_v b ON p.frame = b.frame
+ball_v AS (SELECT frame, label, poss_team, x AS qx, y AS qy FROM positions_v WHERE entity = 22),
+def_v AS (SELECT p.frame, p.label, p.entity, p.team, p.x, p.y, qx, qy FROM positions_v p JOIN ball_v b ON p.frame = b.frame
           WHERE p.team = 1 - p.poss_team AND NOT is_gk),
-att_v AS (SELECT p.frame, p.label, p.entity, p.team, p.x, p.y, bx, by FROM positions_v p JOIN ball_v b ON p.frame = b.frame
+att_v AS (SELECT p.frame, p.label, p.entity, p.team, p.x, p.y, qx, qy FROM positions_v p JOIN ball_v b ON p.frame = b.frame
           WHERE p.team = p.poss_team AND NOT is_gk)"""
 
 
