@@ -341,3 +341,48 @@ def lerp_fill(df: DataFrame, tl: Timeline, value: str, max_gap: int, out: str, s
     keep = known & (~(span > max_gap) | span.isNull()) if strict else known
     filled = F.when(keep, F.col(value)).when(~known, mid)
     return d.withColumn(out, filled).drop("__a", "__b")
+
+
+def spell_before(rs: DataFrame, tl: Timeline, state: str, length: Column, minimum: int, *first: str) -> DataFrame:
+    """For each run, the spell that was current just before it: struct ``before`` of (state, start, *first*)."""
+    axis = tl.on("start")
+    d = scan(rs, axis, __b=prev(F.col("start")))
+    d = d.withColumn("__anchor", (length >= minimum) | F.col("__b").isNull())
+    d = scan(d, axis, __held=prev(F.col(state), when=F.col("__anchor")))
+    fresh = F.col("__anchor") & (F.col("__b").isNull() | (F.col(state) != F.col("__held")))
+    head = F.struct(F.col(state), F.col("start"), *[F.col(c) for c in first])
+    return scan(d, axis, before=prev(head, when=fresh)).drop("__b", "__anchor", "__held")
+
+
+def grouped_percentile(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bounded: bool = False) -> DataFrame:
+    """Exact, linearly interpolated percentiles per key.
+
+    Equal values are counted first, so a hot key costs one row per distinct value.
+    Where even that is too much for a task (and ``bounded`` does not vouch for a fixed
+    measuring resolution), ranks come from a segmented scan along the value axis.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    tl = Timeline(tuple(keys), value) if bounded else fit_timeline(counts, keys, value)
+    if not tl.cuts:
+        return counts.groupBy(*keys).agg(*[F.percentile(value, p, F.col("__n")).alias(a) for a, p in probs.items()])
+    return ranked_percentile(counts, tl, value, probs)
+
+
+def ranked_percentile(counts: DataFrame, tl: Timeline, value: str, probs: dict[str, float]) -> DataFrame:
+    keys = list(tl.keys)
+    ranked = scan(counts, tl, __cum=total(F.col("__n")))
+    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    d = ranked.join(sizes, keys)
+    picks = []
+    for name, p in probs.items():
+        pos = F.lit(p) * (F.col("__all") - 1)
+        for end, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            here = (F.col("__cum") > at) & (F.col("__cum") - F.col("__n") <= at)
+            picks.append(F.max(F.when(here, F.col(value))).alias(f"__{name}_{end}"))
+    got = d.groupBy(*keys).agg(F.first("__all").alias("__all"), *picks)
+    out = []
+    for name, p in probs.items():
+        pos = F.lit(p) * (F.col("__all") - 1)
+        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return got.select(*keys, *out)

@@ -24,12 +24,15 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
         if sql is not None:
             ctes = ",\n".join(VIEWS[v] for v in views.split())
             body = sql.strip()
+            head = "WITH"
+            if body.startswith("RECURSIVE_"):
+                head, body = "WITH RECURSIVE", body[len("RECURSIVE_"):]
             if not ctes:
                 ORACLES[name] = body
             elif body.upper().startswith("SELECT"):
-                ORACLES[name] = f"WITH {ctes}\n{body}"
+                ORACLES[name] = f"{head} {ctes}\n{body}"
             else:
-                ORACLES[name] = f"WITH {ctes},\n{body}"
+                ORACLES[name] = f"{head} {ctes},\n{body}"
         return fn
 
     return add
