@@ -1,4 +1,4 @@
 """Runnable queries, grouped by what they read; importing this package registers them all."""
 
-from touchline.plans import events, frames, timeseries  # noqa: F401
+from touchline.plans import events, frames, statistics, timeseries  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES  # noqa: F401

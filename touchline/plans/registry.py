@@ -28,7 +28,8 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
             if body.startswith("RECURSIVE_"):
                 head, body = "WITH RECURSIVE", body[len("RECURSIVE_"):]
             if not ctes:
-                ORACLES[name] = body
+                plain = body.upper().startswith(("SELECT", "WITH"))
+                ORACLES[name] = body if plain else f"{head} {body}"
             elif body.upper().startswith("SELECT"):
                 ORACLES[name] = f"{head} {ctes}\n{body}"
             else:
