@@ -51,3 +51,32 @@ def matched_distances(batches: Iterator[pd.DataFrame], gate: float) -> Iterator[
             d = np.hypot(np.subtract.outer(ax, bx), np.subtract.outer(ay, by))
             out += [(f, a, b, float(d[a, b])) for a, b in assign(d) if d[a, b] <= gate]
         yield pd.DataFrame(out, columns=["frame", "a", "b", "err"])
+
+
+class TrackSet:
+    """Gated nearest assignment of detections to predicted track positions, one group at a time."""
+
+    def __init__(self, gate: float = 2.5, patience: int = 10):
+        self.gate, self.patience, self.tracks, self.next_id = gate, patience, [], 0
+
+    def step(self, t: float, points: np.ndarray) -> np.ndarray:
+        """Track id for every point at time ``t``."""
+        ids = np.full(len(points), -1)
+        live = self.tracks
+        if live and len(points):
+            guess = np.array([k["p"] + k["v"] * min(t - k["t"], 0.5) for k in live])
+            cost = np.hypot(*(guess[:, None] - points[None]).transpose(2, 0, 1))
+            for a, b in assign(cost):
+                k = live[a]
+                if cost[a, b] <= self.gate + k["miss"]:
+                    v = (points[b] - k["p"]) / max(t - k["t"], 1e-3)
+                    k.update(v=0.6 * k["v"] + 0.4 * np.clip(v, -10, 10), p=points[b], t=t, miss=-1)
+                    ids[b] = k["id"]
+        for k in live:
+            k["miss"] += 1
+        self.tracks = [k for k in live if k["miss"] <= self.patience]
+        for b in np.flatnonzero(ids < 0):
+            self.tracks.append(dict(id=self.next_id, p=points[b], v=np.zeros(2), t=t, miss=0))
+            ids[b] = self.next_id
+            self.next_id += 1
+        return ids

@@ -75,3 +75,114 @@ def rate_limit(df: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame
     state = steps.groupBy(*keys).applyInPandas(walk, f"{key_ddl}, slot bigint, allowed bigint")
     kept = d.join(state, [*keys, "slot"]).groupBy(*keys, "slot").applyInPandas(pick, f"{key_ddl}, t bigint")
     return kept.withColumnRenamed("t", time)
+
+
+# ------------------------------------------------------------------ trajectories
+
+# Frames per second and noise settings of the position smoother.
+FPS = 29.97
+PLAYER_NOISE, BALL_NOISE = (4.0, 0.3), (12.0, 1.0)
+GATE_SIGMA = 4.5
+
+
+def drop_spikes(t: np.ndarray, xy: np.ndarray, vmax: float, passes: int = 5) -> np.ndarray:
+    """Indices kept after repeatedly removing single samples that only impossible speeds can reach."""
+    keep = np.arange(len(t))
+    for _ in range(passes):
+        if len(keep) < 3:
+            break
+        tt, p = t[keep], xy[keep]
+        step = np.diff(tt)
+        jump = np.hypot(*np.diff(p, axis=0).T)
+        around_t, around = tt[2:] - tt[:-2], np.hypot(*(p[2:] - p[:-2]).T)
+        ok = (step[:-1] > 0) & (step[1:] > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bad = ok & (jump[:-1] / step[:-1] > vmax) & (jump[1:] / step[1:] > vmax) & (around / around_t <= vmax)
+        if not bad.any():
+            break
+        keep = np.delete(keep, np.flatnonzero(bad) + 1)
+    return keep
+
+
+def smooth_positions(t: np.ndarray, xy: np.ndarray, process: float, measure: float, gate: float = GATE_SIGMA) -> np.ndarray:
+    """Constant-velocity Kalman filter with a Mahalanobis gate, then the Rauch-Tung-Striebel pass.
+
+    x and y share one 2x2 covariance because the model treats both axes alike, so the whole
+    4-state filter reduces to position/velocity pairs with scalar innovations.
+    """
+    n = len(t)
+    if n < 2:
+        return xy.copy()
+    q, r = process**2, measure**2
+    dt = np.maximum(np.diff(t), 1e-3)
+    state = np.zeros((n, 2, 2))  # [position, velocity] x [x, y]
+    ahead = np.zeros((n, 2, 2))
+    cov = np.zeros((n, 2, 2))
+    cov_ahead = np.zeros((n, 2, 2))
+    state[0, 0] = xy[0]
+    cov[0] = np.diag([r, 25.0])
+    for k in range(1, n):
+        h = dt[k - 1]
+        move = np.array([[1.0, h], [0.0, 1.0]])
+        ahead[k] = move @ state[k - 1]
+        cov_ahead[k] = move @ cov[k - 1] @ move.T + q * np.array([[h**4 / 4, h**3 / 2], [h**3 / 2, h**2]])
+        miss = xy[k] - ahead[k, 0]
+        s = cov_ahead[k, 0, 0] + r
+        if miss @ miss / s > gate**2:
+            state[k], cov[k] = ahead[k], cov_ahead[k]
+            continue
+        gain = cov_ahead[k][:, 0] / s
+        state[k] = ahead[k] + np.outer(gain, miss)
+        cov[k] = cov_ahead[k] - np.outer(gain, cov_ahead[k][0])
+    out = state.copy()
+    for k in range(n - 2, -1, -1):
+        move = np.array([[1.0, dt[k]], [0.0, 1.0]])
+        back = cov[k] @ move.T @ np.linalg.inv(cov_ahead[k + 1])
+        out[k] = state[k] + back @ (out[k + 1] - ahead[k + 1])
+    return out[:, 0]
+
+
+def savgol7(v: np.ndarray) -> np.ndarray:
+    """Quadratic fit over seven samples; the first and last three come from the end windows' fits."""
+    if len(v) < 7:
+        return v.astype(float)
+    u = np.arange(-3, 4)
+    fit = np.linalg.pinv(np.vander(u, 3))  # window -> quadratic coefficients
+    out = np.convolve(v, fit[2][::-1], mode="same").astype(float)
+    ends = np.vander(u, 3) @ fit
+    out[:3], out[-3:] = (ends @ v[:7])[:3], (ends @ v[-7:])[-3:]
+    return out
+
+
+def per_trajectory(df: DataFrame, keys: list[str], body, out_schema: str, prefix: list[str] | None = None) -> DataFrame:
+    """Run ``body(pdf sorted by t)`` for each trajectory.
+
+    A trajectory is one entity in one period: its length is set by the frame rate and the
+    period, not by the number of matches, which is what makes a grouped map safe here.
+    """
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+    def run(key, pdf):
+        res = body(pdf.sort_values("t"))
+        for name, value in zip(keys, key):
+            res[name] = value
+        return res
+
+    return df.groupBy(*keys).applyInPandas(run, f"{ddl}, {out_schema}")
+
+
+def debounce(labels: np.ndarray, need: int = 3) -> np.ndarray:
+    """Held label, changed only after ``need`` consecutive readings of one challenger."""
+    held, rival, streak = None, None, 0
+    out = np.empty(len(labels), dtype=object)
+    for i, lab in enumerate(labels):
+        if lab is not None:
+            if held is None or lab == held:
+                held, rival, streak = held if held is not None else lab, None, 0
+            else:
+                streak = streak + 1 if lab == rival else 1
+                rival = lab
+                if streak >= need:
+                    held, rival, streak = lab, None, 0
+        out[i] = held
+    return out
