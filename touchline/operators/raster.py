@@ -58,4 +58,4 @@ def encode(df: DataFrame, keys: list[str], cols: int = COLS, rows: int = ROWS) -
     cells = F.map_from_entries(F.collect_list(F.struct((F.col("ix") * rows + F.col("iy")).alias("i"), F.col("q"))))
     grid = F.transform(F.sequence(F.lit(0), F.lit(cols * rows - 1)), lambda i: F.coalesce(F.col("cells")[i], F.lit(0)))
     hexed = F.array_join(F.transform(grid, lambda q: F.lpad(F.hex(q), 2, "0")), "")
-    return df.groupBy(*keys).agg(cells.alias("cells")).select(*keys, F.base64(F.unhex(hexed)).alias("grid"))
+    return df.groupBy(*keys).agg(cells.alias("cells")).select(*keys, F.translate(F.base64(F.unhex(hexed)), "\r\n", "").alias("grid"))
