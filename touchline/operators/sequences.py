@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.timeline import Timeline, row_index
+
 
 def greedy_picks(t: np.ndarray, allowed: float, gap: int) -> np.ndarray:
     """Indices accepted when each accepted time blocks the next ``gap``."""
@@ -108,38 +110,44 @@ def smooth_positions(t: np.ndarray, xy: np.ndarray, process: float, measure: flo
     """Constant-velocity Kalman filter with a Mahalanobis gate, then the Rauch-Tung-Striebel pass.
 
     x and y share one 2x2 covariance because the model treats both axes alike, so the whole
-    4-state filter reduces to position/velocity pairs with scalar innovations.
+    4-state filter reduces to position/velocity pairs and needs no matrix library.
     """
     n = len(t)
     if n < 2:
         return xy.copy()
-    q, r = process**2, measure**2
-    dt = np.maximum(np.diff(t), 1e-3)
-    state = np.zeros((n, 2, 2))  # [position, velocity] x [x, y]
-    ahead = np.zeros((n, 2, 2))
-    cov = np.zeros((n, 2, 2))
-    cov_ahead = np.zeros((n, 2, 2))
-    state[0, 0] = xy[0]
-    cov[0] = np.diag([r, 25.0])
-    for k in range(1, n):
-        h = dt[k - 1]
-        move = np.array([[1.0, h], [0.0, 1.0]])
-        ahead[k] = move @ state[k - 1]
-        cov_ahead[k] = move @ cov[k - 1] @ move.T + q * np.array([[h**4 / 4, h**3 / 2], [h**3 / 2, h**2]])
-        miss = xy[k] - ahead[k, 0]
-        s = cov_ahead[k, 0, 0] + r
-        if miss @ miss / s > gate**2:
-            state[k], cov[k] = ahead[k], cov_ahead[k]
-            continue
-        gain = cov_ahead[k][:, 0] / s
-        state[k] = ahead[k] + np.outer(gain, miss)
-        cov[k] = cov_ahead[k] - np.outer(gain, cov_ahead[k][0])
-    out = state.copy()
-    for k in range(n - 2, -1, -1):
-        move = np.array([[1.0, dt[k]], [0.0, 1.0]])
-        back = cov[k] @ move.T @ np.linalg.inv(cov_ahead[k + 1])
-        out[k] = state[k] + back @ (out[k + 1] - ahead[k + 1])
-    return out[:, 0]
+    q, r, limit = process**2, measure**2, gate**2
+    steps = np.maximum(np.diff(t), 1e-3).tolist()
+    obs = xy.tolist()
+    (px, py), vx, vy = obs[0], 0.0, 0.0
+    a, b, c = r, 0.0, 25.0  # covariance of position, position-velocity, velocity
+    seen = [(px, py, vx, vy, a, b, c)]
+    guess = []
+    for (zx, zy), h in zip(obs[1:], steps):
+        px, py = px + h * vx, py + h * vy
+        a, b, c = a + 2 * h * b + h * h * c + q * h**4 / 4, b + h * c + q * h**3 / 2, c + q * h * h
+        guess.append((px, py, vx, vy, a, b, c))
+        dx, dy, s = zx - px, zy - py, a + r
+        if (dx * dx + dy * dy) / s <= limit:
+            g, k = a / s, b / s
+            px, py, vx, vy = px + g * dx, py + g * dy, vx + k * dx, vy + k * dy
+            a, b, c = a - g * a, b - g * b, c - k * b
+        seen.append((px, py, vx, vy, a, b, c))
+    out = np.empty((n, 2))
+    sx, sy, ux, uy = seen[-1][:4]
+    out[-1] = sx, sy
+    for i in range(n - 2, -1, -1):
+        px, py, vx, vy, a, b, c = seen[i]
+        gx, gy, wx, wy, pa, pb, pc = guess[i]
+        h, det = steps[i], pa * pc - pb * pb
+        # smoother gain: covariance x transition' x inverse of the predicted covariance
+        m1, m2 = a + h * b, b + h * c
+        k11, k12 = (m1 * pc - b * pb) / det, (b * pa - m1 * pb) / det
+        k21, k22 = (m2 * pc - c * pb) / det, (c * pa - m2 * pb) / det
+        ex, ey, fx, fy = sx - gx, sy - gy, ux - wx, uy - wy
+        sx, sy = px + k11 * ex + k12 * fx, py + k11 * ey + k12 * fy
+        ux, uy = vx + k21 * ex + k22 * fx, vy + k21 * ey + k22 * fy
+        out[i] = sx, sy
+    return out
 
 
 def savgol7(v: np.ndarray) -> np.ndarray:
@@ -154,35 +162,37 @@ def savgol7(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def per_trajectory(df: DataFrame, keys: list[str], body, out_schema: str, prefix: list[str] | None = None) -> DataFrame:
-    """Run ``body(pdf sorted by t)`` for each trajectory.
+def per_trajectory(
+    df: DataFrame, keys: list[str], body, out_schema: str, tl: Timeline | None = None, halo: int = 0, piece: int = 200_000
+) -> DataFrame:
+    """Run ``body(pdf sorted by t)`` for each trajectory; its result carries ``event_id``.
 
-    A trajectory is one entity in one period: its length is set by the frame rate and the
-    period, not by the number of matches, which is what makes a grouped map safe here.
+    A trajectory is one entity in one period, so its length is normally set by the frame rate.
+    Where the measured timeline says a key is too big for a task (``tl`` has cuts), it is
+    processed in pieces that each see ``halo`` rows of both neighbours and keep only their own
+    rows; the halo is the reach of the operator (exact for finite filters, far beyond rounding
+    for the position smoother, whose memory fades geometrically).
     """
+    spark = df.sparkSession
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    groups, cut = list(keys), tl is not None and bool(tl.cuts) and halo > 0
+    if cut:
+        at = F.col("__i") - 1
+        mine = F.floor(at / piece)
+        spans = F.sequence(F.greatest(F.floor((at - halo) / piece), F.lit(0).cast("bigint")), F.floor((at + halo) / piece))
+        df = row_index(df, tl.by(*keys), "__i").withColumn("__home", mine).withColumn("__piece", F.explode(spans))
+        groups.append("__piece")
 
     def run(key, pdf):
-        res = body(pdf.sort_values("t"))
+        pdf = pdf.sort_values("t")
+        res = body(pdf)
+        if cut:
+            own = pdf.loc[pdf["__home"] == key[-1], "event_id"]
+            res = res[res["event_id"].isin(own)]
         for name, value in zip(keys, key):
             res[name] = value
         return res
 
-    return df.groupBy(*keys).applyInPandas(run, f"{ddl}, {out_schema}")
-
-
-def debounce(labels: np.ndarray, need: int = 3) -> np.ndarray:
-    """Held label, changed only after ``need`` consecutive readings of one challenger."""
-    held, rival, streak = None, None, 0
-    out = np.empty(len(labels), dtype=object)
-    for i, lab in enumerate(labels):
-        if lab is not None:
-            if held is None or lab == held:
-                held, rival, streak = held if held is not None else lab, None, 0
-            else:
-                streak = streak + 1 if lab == rival else 1
-                rival = lab
-                if streak >= need:
-                    held, rival, streak = lab, None, 0
-        out[i] = held
-    return out
+    # a fixed partition count: grouped Python work is heavy for its bytes and must not be coalesced
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *groups).groupBy(*groups).applyInPandas(run, f"{ddl}, {out_schema}")

@@ -114,6 +114,16 @@ def highest(value: Column) -> Spec:
     return Spec("max", value)
 
 
+def lowest(value: Column) -> Spec:
+    """Running minimum up to and including this row."""
+    return Spec("min", value)
+
+
+def lowest_ahead(value: Column) -> Spec:
+    """Minimum from this row on."""
+    return Spec("minahead", value)
+
+
 def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
     """Add one column per spec; the frame is shuffled once by (keys, segment)."""
     seg = [SEG] if tl.cuts else []
@@ -138,6 +148,10 @@ def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
         elif s.kind == "max":
             local[name] = F.max(s.value).over(up.rowsBetween(Window.unboundedPreceding, 0))
             carried[name] = F.max(s.value)
+        elif s.kind in ("min", "minahead"):
+            win = up if s.kind == "min" else down
+            local[name] = F.min(s.value).over(win.rowsBetween(Window.unboundedPreceding, 0))
+            carried[name] = F.min(s.value)
         else:
             win = up.rowsBetween(Window.unboundedPreceding, 0)
             if s.kind == "peersum":
@@ -146,8 +160,7 @@ def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
             carried[name] = F.sum(s.value)
 
     if not seg:
-        out = out.withColumns(local)
-        return out.withColumns({n: out[n]["v"] for n, s in specs.items() if s.kind in ("prev", "next")})
+        return out.withColumns({n: c["v"] if specs[n].kind in ("prev", "next") else c for n, c in local.items()})
 
     past = Window.partitionBy(*tl.keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     future = Window.partitionBy(*tl.keys).orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -158,7 +171,8 @@ def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
         if s.kind in ("prev", "next"):
             over = F.last(c, ignorenulls=True).over(past if s.kind == "prev" else future)
         else:
-            over = (F.max(c) if s.kind == "max" else F.sum(c)).over(past)
+            fold = {"max": F.max, "min": F.min, "minahead": F.min}.get(s.kind, F.sum)
+            over = fold(c).over(future if s.kind == "minahead" else past)
         carry_cols.append(over.alias(f"__k_{name}"))
     carry = summary.select(*part, *carry_cols)
 
@@ -170,6 +184,8 @@ def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
             final[name] = F.coalesce(mine, before)["v"]
         elif s.kind == "max":
             final[name] = F.greatest(mine, before)
+        elif s.kind in ("min", "minahead"):
+            final[name] = F.array_min(F.array(mine, before))
         else:
             final[name] = F.when(mine.isNull() & before.isNull(), None).otherwise(
                 F.coalesce(mine, F.lit(0)) + F.coalesce(before, F.lit(0))
@@ -199,30 +215,23 @@ def asof_join(
     is ever enumerated.  ``<name>_t`` is the matched right time.
     """
     lcols = left.columns
-    box = F.struct(F.col(tl.time).alias("t"), value.alias("v"))
-    mark = [*tl.keys, tl.time]
-    # rank 0/1/2 puts a right row before an equal-time left row when looking back and after it when looking ahead
-    rights = right.select(*mark, box.alias("__r"))
-    probes = left.select(*mark, F.struct(*lcols).alias("__l"))
-    stacked = None
     want_back = direction in ("backward", "nearest")
     want_fwd = direction in ("forward", "nearest")
-    if want_back:
-        stacked = rights.withColumn("__rank", F.lit(0)).withColumn("__l", F.lit(None).cast(probes.schema["__l"].dataType))
-    if want_fwd:
-        ahead = rights.withColumn("__rank", F.lit(2)).withColumn("__l", F.lit(None).cast(probes.schema["__l"].dataType))
-        stacked = ahead if stacked is None else stacked.unionByName(ahead)
-    stacked = stacked.unionByName(
-        probes.withColumn("__rank", F.lit(1)).withColumn("__r", F.lit(None).cast(rights.schema["__r"].dataType))
-    )
+    # rank puts a right row before a left row of equal time when looking back, after it when looking ahead
+    ranks = ([0] if want_back else []) + ([2] if want_fwd else [])
+    rank = F.explode(F.array(*map(F.lit, ranks))) if len(ranks) > 1 else F.lit(ranks[0])
+    none = F.lit(None)
+    box = F.struct(F.col(tl.time).alias("t"), value.alias("v"))
+    rights = right.select(*tl.keys, tl.time, rank.alias("__rank"), box.alias("__r"), none.alias("__l"))
+    probes = left.select(*tl.keys, tl.time, F.lit(1).alias("__rank"), none.alias("__r"), F.struct(*lcols).alias("__l"))
     axis = tl.on(tl.time, "__rank")
     r = F.col("__r")
     specs = {}
     if want_back:
-        specs["__b"] = prev(r, when=r.isNotNull() & (F.col("__rank") == 0))
+        specs["__b"] = prev(r, when=F.col("__rank") == 0)
     if want_fwd:
-        specs["__f"] = nxt(r, when=r.isNotNull() & (F.col("__rank") == 2))
-    got = scan(stacked, axis, **specs).where(F.col("__rank") == 1)
+        specs["__f"] = nxt(r, when=F.col("__rank") == 2)
+    got = scan(rights.union(probes), axis, **specs).where(F.col("__rank") == 1)
     t = F.col(f"__l.{tl.time}")
     back_gap = (t - F.col("__b.t")) if want_back else None
     fwd_gap = (F.col("__f.t") - t) if want_fwd else None
@@ -248,19 +257,13 @@ def trailing(df: DataFrame, tl: Timeline, width: int, value: Column, prefix: str
     a dense stream costs two rows per row instead of re-reading every window.
     """
     cols = df.columns
-    base = df.withColumn("__v", value.cast("double"))
-    row = F.struct(*cols)
-    enter = base.select(*tl.keys, F.col(tl.time), F.col("__v"), F.lit(1).cast("bigint").alias("__s"), row.alias("__row"))
-    leave = base.select(
-        *tl.keys,
-        (F.col(tl.time) + F.lit(width)).alias(tl.time),
-        F.col("__v"),
-        F.lit(-1).cast("bigint").alias("__s"),
-        F.lit(None).cast(enter.schema["__row"].dataType).alias("__row"),
-    )
+    v, t = value.cast("double"), F.col(tl.time)
+    one = F.lit(1).cast("bigint")
+    enter = df.select(*tl.keys, t, v.alias("__v"), one.alias("__s"), F.struct(*cols).alias("__row"))
+    leave = df.select(*tl.keys, (t + F.lit(width)).alias(tl.time), v.alias("__v"), (-one).alias("__s"), F.lit(None).alias("__row"))
     known = F.when(F.col("__v").isNotNull(), F.col("__s")).otherwise(F.lit(0).cast("bigint"))
     out = scan(
-        enter.unionByName(leave),
+        enter.union(leave),
         tl.on(tl.time),
         **{
             f"{prefix}_sum": total_at(F.coalesce(F.col("__v"), F.lit(0.0)) * F.col("__s")),
@@ -272,6 +275,25 @@ def trailing(df: DataFrame, tl: Timeline, width: int, value: Column, prefix: str
     )
 
 
+def window_lowest(probes: DataFrame, points: DataFrame, tl: Timeline, half: int, value: Column, name: str) -> DataFrame:
+    """Smallest ``value`` among the points within ``half`` of each probe, both ends included.
+
+    Time is cut into blocks as long as the window, so every window is the end of one block
+    plus the start of the next: two lookups of running minima instead of all pairs.
+    """
+    width, t = 2 * half, F.col(tl.time)
+    block = lambda c: F.floor(c / width)
+    p = points.select(*tl.keys, tl.time, value.alias("v")).withColumn("__blk", block(t))
+    p = scan(p, tl.by(*tl.keys, "__blk").on(tl.time), head=lowest(F.col("v")), tail=lowest_ahead(F.col("v")))
+    back = probes.columns
+    for shift, side, way in ((-half, "tail", "forward"), (half, "head", "backward")):
+        moved = probes.withColumn("__at", t).withColumn(tl.time, t + shift)
+        got = asof_join(moved, p, tl, F.struct("__blk", F.col(side).alias("v")), f"__{side}", way)
+        found = F.when(F.col(f"__{side}.__blk") == block(t), F.col(f"__{side}.v"))
+        probes = got.withColumn(f"__{side}", found).withColumn(tl.time, F.col("__at")).drop("__at", f"__{side}_t")
+    return probes.select(*back, F.array_min(F.array("__tail", "__head")).alias(name))
+
+
 def runs(df: DataFrame, tl: Timeline, state: Column, *aggs: Column, name: str = "state") -> DataFrame:
     """Maximal stretches of equal state: one row per run with start, end, n and extra aggregates."""
     d = df.withColumn(name, state)
@@ -357,15 +379,21 @@ def spell_before(rs: DataFrame, tl: Timeline, state: str, length: Column, minimu
 def grouped_percentile(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bounded: bool = False) -> DataFrame:
     """Exact, linearly interpolated percentiles per key.
 
-    Equal values are counted first, so a hot key costs one row per distinct value.
-    Where even that is too much for a task (and ``bounded`` does not vouch for a fixed
-    measuring resolution), ranks come from a segmented scan along the value axis.
+    With ``bounded`` the values have a fixed measuring resolution, so they are counted first
+    and a hot key costs one row per distinct value.  Otherwise the busiest key is measured:
+    if it fits a task it is aggregated there, if not its ranks come from a segmented scan
+    along the value axis.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    tl = Timeline(tuple(keys), value) if bounded else fit_timeline(counts, keys, value)
-    if not tl.cuts:
-        return counts.groupBy(*keys).agg(*[F.percentile(value, p, F.col("__n")).alias(a) for a, p in probs.items()])
-    return ranked_percentile(counts, tl, value, probs)
+    known = df.where(F.col(value).isNotNull())
+    names, ps = list(probs), list(probs.values())
+    if bounded or not fit_timeline(known, keys, value).cuts:
+        src, freq = known, ()
+        if bounded:
+            src, freq = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), (F.col("__n"),)
+        got = src.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, ps)), *freq).alias("__p"))
+        return got.select(*keys, *[F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    return ranked_percentile(counts, fit_timeline(counts, keys, value), value, probs)
 
 
 def ranked_percentile(counts: DataFrame, tl: Timeline, value: str, probs: dict[str, float]) -> DataFrame:

@@ -15,7 +15,7 @@ from touchline.plans.frames import gap_summary
 from touchline.plans.registry import QUERIES, big, query, r6
 from touchline.plans.timeseries import LIVE_SQL, live_stream
 from touchline.session import cut_lineage
-from touchline.sources.driver_tables import stream, table
+from touchline.sources.driver_tables import per_session, stream, table
 
 # ------------------------------------------------------------------ board
 
@@ -28,6 +28,7 @@ board AS (SELECT s.match_id, s.team, 1 - s.team AS opp, round(CASE WHEN s.team=0
  FROM sh s JOIN sh o ON s.match_id=o.match_id AND o.team = 1 - s.team JOIN lp ON lp.match_id = s.match_id LEFT JOIN tw ON tw.match_id=s.match_id AND tw.team=s.team LEFT JOIN pw ON pw.match_id=s.match_id AND pw.team=s.team)"""
 
 
+@per_session
 def make_board(spark: SparkSession, sf: str):
     """One row per team and match, joined from the view summaries on (match, team)."""
     k = ["match_id", "team"]

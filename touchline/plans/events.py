@@ -14,7 +14,7 @@ from touchline.operators.timeline import (
 )
 from touchline.plans.registry import big, query, r6
 from touchline.plans.timeseries import LIVE_SQL, RUN_SQL, live_stream, losses
-from touchline.sources.driver_tables import moments, stream, stream_axis
+from touchline.sources.driver_tables import moments, per_session, stream, stream_axis
 
 S = play.SECOND
 ZONE = "abs(CASE WHEN dteam = 0 THEN -52.5e0 ELSE 52.5e0 END - x) >= 35"
@@ -48,6 +48,7 @@ LABEL_SQL = """lb AS (SELECT *, 1 - team AS dteam, CASE WHEN dep >= 40 THEN 'Hig
  FROM (SELECT *, abs(CASE WHEN team = 1 THEN -52.5e0 ELSE 52.5e0 END - x) * 0.6e0 AS dep FROM stream_v) q)"""
 
 
+@per_session
 def labelled(spark, sf):
     """Each event as a reading of the defending side's block height."""
     s = stream(spark, sf).withColumn("dteam", 1 - F.col("team"))
@@ -60,6 +61,7 @@ si AS (SELECT *, sum(c) OVER (PARTITION BY match_id, dteam ORDER BY clock_us, ev
 seg AS (SELECT match_id, dteam, structure AS state, min(clock_us) AS s, max(clock_us) AS e FROM si GROUP BY match_id, dteam, structure, rid HAVING max(clock_us) - min(clock_us) >= 5000000)"""
 
 
+@per_session
 def segments(spark, sf):
     """Sustained block phases: runs of one label lasting at least 5 s."""
     r = runs(labelled(spark, sf), stream_axis(spark, sf, "match_id", "dteam"), F.col("structure"))
@@ -100,6 +102,7 @@ sg AS (SELECT seg.*, coalesce(n_resolved, 0) AS n_resolved, frac, CASE WHEN coal
  FROM seg LEFT JOIN sl ON seg.match_id = sl.match_id AND seg.dteam = sl.dteam AND seg.s = sl.s)"""
 
 
+@per_session
 def labelled_segments(spark, sf):
     tl = stream_axis(spark, sf, "match_id", "dteam")
     segs = segments(spark, sf)
@@ -132,6 +135,7 @@ DOM_SQL = f"""{LABEL_SQL}, bc AS (SELECT match_id, dteam, CAST(floor(clock_us/30
 dom AS (SELECT match_id, dteam, bucket, structure AS state, n FROM (SELECT *, row_number() OVER (PARTITION BY match_id, dteam, bucket ORDER BY n DESC, structure) AS r FROM bc) q WHERE r = 1)"""
 
 
+@per_session
 def dominant(spark, sf):
     d = labelled(spark, sf).where((F.col("structure") != "Low Block") | (F.abs("y") < 15))
     c = d.groupBy("match_id", "dteam", F.floor(F.col("clock_us") / 300000000.0).alias("bucket"), "structure").count()
@@ -208,6 +212,7 @@ st AS (SELECT match_id, loss_id, any_value(n) AS n, min(rel) FILTER (fd >= 0.85
 dur AS (SELECT ls.match_id, ls.loss_id, ls.t0, ls.dteam, CASE WHEN coalesce(n,0) < 2 THEN 0 WHEN sat IS NOT NULL THEN sat ELSE mx END AS dur_us, coalesce(n,0) >= 2 AND sat IS NOT NULL AS settled FROM ls LEFT JOIN st ON ls.match_id = st.match_id AND ls.loss_id = st.loss_id)"""
 
 
+@per_session
 def settle(spark: SparkSession, sf: str):
     """Time after each loss until the shape stays near where it ends up.
 
@@ -287,6 +292,7 @@ tn AS (SELECT match_id, team, s AS start, fp AS period, CASE WHEN team = 0 THEN
  EXISTS (SELECT 1 FROM stream_v h WHERE h.match_id = tv.match_id AND h.kind = 'SH' AND h.team = tv.team AND h.clock_us BETWEEN tv.s AND tv.s + 45000000) AS shot FROM tv)"""
 
 
+@per_session
 def open_stream(spark, sf):
     """Live flag plus ``open``: the ball live on the rows just before, known, and not over a goal line."""
     tl = stream_axis(spark, sf)
@@ -301,6 +307,7 @@ def match_runs(d, tl):
     return runs(d, tl, F.col("team"), first.alias("first"), name="team")
 
 
+@per_session
 def find_turnovers(spark, sf):
     tl = stream_axis(spark, sf)
     d = open_stream(spark, sf)
@@ -378,6 +385,7 @@ pf AS (SELECT ps.match_id, ps.pteam AS team, ps.s AS start, ps.e AS "end", a.use
  FROM ps JOIN (SELECT *, CASE WHEN team=0 THEN q0 ELSE q1 END AS q FROM lk) a ON a.match_id = ps.match_id AND a.clock_us = ps.s)"""
 
 
+@per_session
 def find_presses(spark, sf):
     """Presses with what set them off and whether they won the ball.
 
@@ -469,6 +477,7 @@ ct AS (SELECT match_id, event_id, team, period, t, st AS start, CASE WHEN rst =
  (SELECT count(*) FROM stream_v v WHERE v.match_id = q.match_id AND v.team = q.team AND v.kind = 'PA' AND v.clock_us >= q.st AND v.clock_us < q.t) AS passes FROM q)"""
 
 
+@per_session
 def trace_chances(spark, sf):
     """Every shot traced back to where its attack began, with the passes in between.
 
@@ -523,6 +532,7 @@ def chances_summary(spark, sf):
 GOAL_SQL = "gl AS (SELECT match_id, team, CAST(floor(clock_us/60000000e0) AS BIGINT) + 1 AS minute, event_id AS goal_id FROM stream_v WHERE kind = 'SH' AND value > 150)"
 
 
+@per_session
 def goals(spark, sf):
     s = stream(spark, sf).where((F.col("kind") == "SH") & (F.col("value") > 150))
     return s.select("match_id", "team", (F.floor(F.col("clock_us") / 60000000.0) + 1).alias("minute"), F.col("event_id").alias("goal_id"), "clock_us")
@@ -570,6 +580,7 @@ bt AS (SELECT event_id, count(*) FILTER (r <= 7 AND dx < x0 AND dx > x1) AS beat
 lbk AS (SELECT d.match_id, d.event_id, 1 - d.team AS dteam, beaten, behind, x0, x1, y1, CASE WHEN y1 <= -20.16e0 THEN 'right wing' WHEN y1 <= -9.16e0 THEN 'right half-space' WHEN y1 <= 9.16e0 THEN 'centre' WHEN y1 <= 20.16e0 THEN 'left half-space' ELSE 'left wing' END AS lane FROM d JOIN bt ON d.event_id = bt.event_id WHERE beaten >= 3)"""
 
 
+@per_session
 def find_line_breaks(spark, sf):
     """Completed passes that gain ground and bypass at least three of the deepest seven defenders."""
     tl = stream_axis(spark, sf)
@@ -614,6 +625,7 @@ FWD_SQL = """fw AS (SELECT *, CASE WHEN team=0 THEN x ELSE -x END AS ox, CASE WH
 ln AS (SELECT *, CASE WHEN oy > 68e0/6 THEN 'left' WHEN oy < -68e0/6 THEN 'right' ELSE 'middle' END AS lane FROM fw)"""
 
 
+@per_session
 def forward_steps(spark, sf):
     d = scan(stream(spark, sf), stream_axis(spark, sf), was=prev(F.struct("team", "period", "x")))
     f = P.flip(F.col("team"))

@@ -12,7 +12,7 @@ from touchline.operators import geometry as G
 from touchline.operators import raster as R
 from touchline.operators.assignment import matched_distances
 from touchline.plans.registry import big, query, r6
-from touchline.sources.driver_tables import moments
+from touchline.sources.driver_tables import moments, per_session
 
 PRESSURE_SQL = """pr AS (SELECT frame, label, entity, team, qx, qy, x, y,
  1.0e0/(1.0e0+exp(((0.7e0 + sqrt((x-qx)*(x-qx)+(y-qy)*(y-qy))/8.0e0) - 1.5e0)/0.5e0)) AS c FROM def_v),
@@ -20,6 +20,7 @@ score AS (SELECT frame, label, any_value(team) AS team, any_value(qy) AS qy, 1 -
  arg_max(entity, c) AS presser, max(c) AS top FROM pr GROUP BY frame, label)"""
 
 
+@per_session
 def pressured(spark: SparkSession, sf: str) -> DataFrame:
     """Score, strongest presser (lowest number on a tie) and defender count per frame."""
     m = moments(spark, sf).withColumn("team", F.lit(1) - F.col("poss"))
@@ -63,6 +64,7 @@ def wide_pressure(spark, sf):
     return pressured(spark, sf).select("frame", F.when(F.abs("ball_y") > P.WIDE_Y, r6("score")).alias("wide_pressure"))
 
 
+@per_session
 def shapes(spark: SparkSession, sf: str) -> DataFrame:
     """One row per frame and side: depth of the back four, length, widest gap, centre, width."""
     m = moments(spark, sf)
@@ -120,11 +122,13 @@ def structure_label(spark, sf):
     return s.select("frame", "team", "structure")
 
 
+@per_session
 def labelled(spark, sf):
     phase = F.when(F.col("team") == F.col("poss"), "In Possession").otherwise("Organized Defense")
     return shapes(spark, sf).withColumn("structure", P.structure_label(phase, F.col("depth"), F.col("length")))
 
 
+@per_session
 def defending_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Defending side per frame with its structure, pressure and five-nearest span, all from one row."""
     m = moments(spark, sf).withColumn("team", F.lit(1) - F.col("poss"))
@@ -172,6 +176,7 @@ def ball_proximal_compactness(spark, sf):
     return defending_measures(spark, sf).select("frame", r6("span").alias("bpc"))
 
 
+@per_session
 def players_long(spark: SparkSession, sf: str) -> DataFrame:
     return moments(spark, sf).select("frame", "label", "poss", "ball_x", "ball_y", F.inline("players"))
 
@@ -180,6 +185,7 @@ OWN_SQL = """own AS (SELECT frame, entity, team, CASE WHEN team = 0 THEN x ELSE
  FROM positions_v WHERE entity < 22 AND NOT is_gk)"""
 
 
+@per_session
 def own_positions(spark, sf):
     p = players_long(spark, sf).where(~F.col("gk"))
     f = P.flip(F.col("team"))
@@ -226,6 +232,7 @@ FREE_SQL = """oin AS (SELECT o.frame, o.label, o.team, o.entity, o.x, o.y FROM o
 free AS (SELECT f.frame, f.label, f.team, f.entity, f.x, f.y FROM oin f JOIN d ON f.frame = d.frame GROUP BY ALL HAVING min((d.x-f.x)*(d.x-f.x)+(d.y-f.y)*(d.y-f.y)) > 25)"""
 
 
+@per_session
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     return G.block_moments(G.spread_out(moments(spark, sf)))
 
@@ -292,6 +299,7 @@ blur AS (SELECT label, ix, p.at - k AS iy, sum(v*w) AS v FROM bx1 h, kn, (SELECT
  WHERE p.at - k BETWEEN 0 AND 33 GROUP BY ALL)"""
 
 
+@per_session
 def label_histogram(spark, sf):
     p = players_long(spark, sf).where(~F.col("gk"))
     return R.histogram(p, ["label"], F.col("x"), F.col("y"))
@@ -316,6 +324,7 @@ def heat_ceiling(spark, sf):
     return ceiling(logged(spark, sf)).select(r6("c").alias("vmax_log"))
 
 
+@per_session
 def logged(spark, sf):
     b = R.blur(label_histogram(spark, sf), ["label"], 1.2).where(F.col("v") > 1e-9)
     return b.select("label", "ix", "iy", R.log_scale(F.col("v") * 0.001).alias("lv"))

@@ -14,11 +14,12 @@ from touchline.plans.frames import SHAPE_SQL, shapes
 from touchline.plans.registry import big, query, r6
 from touchline.plans.timeseries import LIVE_SQL, live_stream
 from touchline.session import cut_lineage
-from touchline.sources.driver_tables import stream, stream_axis, table
+from touchline.sources.driver_tables import per_session, stream, stream_axis, table
 
 TAG_SQL = "tg AS (SELECT d.source, l.quality = 1 AS pos, d.n_chars / 20000e0 AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
 
+@per_session
 def tagged(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", (F.col("n_chars") / 20000.0).alias("score"))
     return table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("pos")).join(d, "doc_id")
@@ -163,6 +164,7 @@ sd AS (SELECT gd.*, k AS side, CASE WHEN k = 0 THEN gdh ELSE -gdh END AS gdiff,
 sm AS (SELECT *, CASE WHEN gdiff > 0 THEN 'leading' WHEN gdiff < 0 THEN 'trailing' ELSE 'level' END AS state, CAST(floor(clock_us/300000000e0) AS BIGINT) AS bin FROM sd)"""
 
 
+@per_session
 def samples(spark, sf):
     """One row per event and side: score state, defending or on the ball, line height in the side's own frame."""
     goal = (F.col("kind") == "SH") & (F.col("value") > 150)
@@ -186,6 +188,7 @@ bins AS (SELECT bb.*, coalesce(presses,0) AS presses FROM bb LEFT JOIN pp ON bb.
 BIN_KEYS = ["match_id", "side", "period", "bin", "state"]
 
 
+@per_session
 def state_bins(spark, sf):
     """Team-match x period x five minutes x state: medians, shares and presses, joined from three grouped tables."""
     s = samples(spark, sf)

@@ -11,7 +11,7 @@ from touchline.operators.timeline import (
     absorb_short_runs, asof_join, lerp_fill, merge_gaps, nxt, prev, row_index, runs, scan, trailing,
 )
 from touchline.plans.registry import big, query, r6
-from touchline.sources.driver_tables import stream, stream_axis, stream_frames
+from touchline.sources.driver_tables import per_session, stream, stream_axis, stream_frames
 
 S = play.SECOND
 
@@ -130,6 +130,7 @@ def ball_losses(spark, sf):
     return losses(spark, sf).select("match_id", "event_id", "clock_us", "loser", "winner")
 
 
+@per_session
 def losses(spark, sf):
     o = scan(stream(spark, sf).where(F.col("kind") == "OTB"), stream_axis(spark, sf), was=prev(F.col("team")))
     return o.where(F.col("was") != F.col("team")).withColumn("loser", F.col("was")).withColumn("winner", F.col("team"))
@@ -152,6 +153,7 @@ def densify_second_grid(spark, sf):
     return g.join(b, ["match_id", "period", "sec"], "left").select("match_id", "period", "sec", r6("x").alias("x"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
+@per_session
 def per_second(spark, sf):
     sec = F.floor(F.col("clock_us") / 1000000.0)
     return stream(spark, sf).groupBy("match_id", "period", sec.alias("sec")).agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
@@ -199,6 +201,7 @@ STEP_SQL = """st AS (SELECT event_id, clock_us AS t, x, y, lag(clock_us) OVER w
  lead(clock_us) OVER w AS nt, lead(x) OVER w AS nx, lead(y) OVER w AS ny, match_id, period, team FROM stream_v WINDOW w AS (PARTITION BY match_id, period, team ORDER BY clock_us, event_id))"""
 
 
+@per_session
 def steps(spark, sf):
     here = F.struct(F.col("clock_us").alias("t"), "x", "y")
     return scan(stream(spark, sf), stream_axis(spark, sf, "match_id", "period", "team"), p=prev(here), q=nxt(here))
@@ -263,6 +266,7 @@ iv AS (SELECT match_id, event_id, s, CASE WHEN ns IS NOT NULL AND ns - e <= 3000
 lv AS (SELECT s.*, iv.live_to, coalesce(max(iv.live_to) OVER (PARTITION BY s.match_id ORDER BY s.clock_us, s.event_id) > s.clock_us, false) AS live FROM stream_v s LEFT JOIN iv ON s.event_id = iv.event_id)"""
 
 
+@per_session
 def live_stream(spark: SparkSession, sf: str) -> DataFrame:
     s = stream(spark, sf)
     end = F.col("clock_us") + F.floor(F.col("value") * 10000)

@@ -13,16 +13,17 @@ from touchline.operators import geometry as G
 from touchline.operators import play
 from touchline.operators import sequences as Q
 from touchline.operators.assignment import TrackSet
-from touchline.operators.timeline import Timeline, asof_join, grouped_percentile, merge_gaps, nxt, prev, runs, scan, total
+from touchline.operators.timeline import asof_join, grouped_percentile, prev, scan, total, window_lowest
 from touchline.plans.registry import big, query, r6
-from touchline.sources.driver_tables import moments, stream, stream_axis, stream_frames, table
+from touchline.sources.driver_tables import moments, per_session, stream, stream_axis, stream_frames, table
 
 S = play.SECOND
 PATH = ["match_id", "period", "user_id"]
 
 
+@per_session
 def trajectories(spark, sf):
-    return stream(spark, sf).select(*PATH, "event_id", (F.col("clock_us") / 1e6).alias("t"), "x", "y", "team")
+    return stream(spark, sf).select(*PATH, "event_id", "clock_us", (F.col("clock_us") / 1e6).alias("t"), "x", "y", "team")
 
 
 # ------------------------------------------------------------------ smoothing
@@ -35,7 +36,7 @@ def kalman_rts(spark, sf):
         xy = Q.smooth_positions(p["t"].to_numpy(), p[["x", "y"]].to_numpy(), *Q.BALL_NOISE)
         return pd.DataFrame({"event_id": p["event_id"].to_numpy(), "sx": xy[:, 0], "sy": xy[:, 1]})
 
-    d = Q.per_trajectory(trajectories(spark, sf), PATH, body, "event_id bigint, sx double, sy double")
+    d = Q.per_trajectory(trajectories(spark, sf), PATH, body, "event_id bigint, sx double, sy double", stream_axis(spark, sf), 2000)
     return d.select("event_id", r6("sx").alias("sx"), r6("sy").alias("sy"))
 
 
@@ -47,7 +48,7 @@ def spike_iterative(spark, sf):
         k = Q.drop_spikes(p["t"].to_numpy(), p[["x", "y"]].to_numpy(), 0.5)
         return pd.DataFrame({"event_id": p["event_id"].to_numpy()[k]})
 
-    return Q.per_trajectory(trajectories(spark, sf), PATH, body, "event_id bigint").select("event_id")
+    return Q.per_trajectory(trajectories(spark, sf), PATH, body, "event_id bigint", stream_axis(spark, sf), 32).select("event_id")
 
 
 @query("savgol_tracks")
@@ -58,10 +59,10 @@ def savgol_tracks(spark, sf):
         t, x, y = (p[c].to_numpy() for c in ("t", "x", "y"))
         xs, ys = Q.savgol7(x), Q.savgol7(y)
         grad = lambda v: np.clip(np.gradient(v, t), -10, 10) if len(v) >= 3 else np.zeros(len(v))
-        return pd.DataFrame({"event_id": p["event_id"].to_numpy(), "sx": xs, "sy": ys, "vx": grad(xs), "vy": grad(ys), "n_obs": len(t)})
+        return pd.DataFrame({"event_id": p["event_id"].to_numpy(), "sx": xs, "sy": ys, "vx": grad(xs), "vy": grad(ys)})
 
-    d = Q.per_trajectory(trajectories(spark, sf), PATH, body, "event_id bigint, sx double, sy double, vx double, vy double, n_obs bigint")
-    return d.select("event_id", *[r6(c).alias(c) for c in ("sx", "sy", "vx", "vy")], "n_obs")
+    d = Q.per_trajectory(trajectories(spark, sf), PATH, body, "event_id bigint, sx double, sy double, vx double, vy double", stream_axis(spark, sf), 8)
+    return d.select("event_id", *[r6(c).alias(c) for c in ("sx", "sy", "vx", "vy")])
 
 
 SAVGOL_W = (-2, 3, 6, 7, 6, 3, -2)
@@ -104,31 +105,24 @@ def track_team_vote(spark, sf):
     return b.select("match_id", "user_id", (-F.col("b.t")).alias("team"), "b.n")
 
 
-@query("debounced_possession")
+DEBOUNCE_SQL = """t AS (SELECT match_id, period, event_id, clock_us, team, lag(team) OVER w AS a, lag(team, 2) OVER w AS b FROM stream_v WHERE value <= 40 WINDOW w AS (PARTITION BY match_id, period ORDER BY clock_us, event_id)),
+k AS (SELECT *, a IS NULL OR (team = a AND team = b) AS settles FROM t)
+SELECT s.event_id, last_value(CASE WHEN settles THEN k.team END IGNORE NULLS) OVER (PARTITION BY s.match_id, s.period ORDER BY s.clock_us, s.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS holder FROM stream_v s LEFT JOIN k ON s.event_id = k.event_id"""
+
+
+@query("debounced_possession", DEBOUNCE_SQL, "stream")
 def debounced_possession(spark, sf):
     """Possession that changes only after three touches in a row by the other team.
 
-    A run of three equal touches settles the holder whatever came before, so each period is cut
-    just after such runs and the pieces are independent.
+    The first touch, and every touch that is at least the third in a row, settles the holder
+    whatever came before; the holder at a row is the last one settled.
     """
     tl = stream_axis(spark, sf, "match_id", "period")
-    touch = F.when(F.col("value") <= 40, F.col("team"))
-    d = scan(stream(spark, sf).withColumn("touch", touch), tl, a=prev(F.struct(F.col("touch").alias("v"), F.col("clock_us").alias("c")), when=F.col("touch").isNotNull()))
-    d = scan(d, tl, b=prev(F.col("a.v"), when=F.col("touch").isNotNull()))
-    three = F.col("touch").isNotNull() & (F.col("touch") == F.col("a.v")) & (F.col("touch") == F.col("b"))
-    d = scan(d, tl, cut=prev(F.struct("clock_us", F.col("touch").alias("v")), when=three))
-
-    def body(p):
-        seed = p["seed"].iloc[0]
-        lab = [None if pd.isna(v) else int(v) for v in p["touch"]]
-        start = [] if pd.isna(seed) else [int(seed)]
-        held = Q.debounce(np.array(start + lab, dtype=object))[len(start):]
-        return pd.DataFrame({"event_id": p["event_id"].to_numpy(), "holder": pd.array(held, dtype="Int32")})
-
-    pieces = d.select(
-        "match_id", "period", F.coalesce("cut.clock_us", big(F.lit(-1))).alias("piece"), "event_id", F.col("cut.v").alias("seed"), "touch", (F.col("clock_us") / 1e6).alias("t")
-    )
-    return Q.per_trajectory(pieces, ["match_id", "period", "piece"], body, "event_id bigint, holder int").select("event_id", "holder")
+    touch = F.col("value") <= 40
+    d = scan(stream(spark, sf), tl, a=prev(F.col("team"), when=touch))
+    d = scan(d, tl, b=prev(F.col("a"), when=touch))
+    settles = touch & (F.col("a").isNull() | ((F.col("team") == F.col("a")) & (F.col("team") == F.col("b"))))
+    return scan(d, tl, holder=prev(F.col("team"), when=settles, inclusive=True)).select("event_id", "holder")
 
 
 # ------------------------------------------------------------------ detections
@@ -192,21 +186,12 @@ def sparse_transition(spark, sf):
 c AS (SELECT t.event_id, pid, sqrt(x*x + y*y) AS dist FROM t JOIN p ON t.match_id=p.match_id AND pc BETWEEN clock_us - 6000000 AND clock_us + 6000000)
 SELECT t.event_id, CASE WHEN min(dist) < 30 THEN arg_min(pid, dist) END AS snapped_to, round(min(dist),6) AS dist FROM t LEFT JOIN c ON t.event_id=c.event_id GROUP BY t.event_id""", "stream")
 def event_snap(spark, sf):
-    """Candidate nearest to the ball within a short time of each event.
-
-    Both sides are bucketed by the half-width, each event visits the three buckets it can reach
-    and the per-event minimum combines before the shuffle.
-    """
-    half = 6 * S
+    """Candidate nearest to the ball within a short time of each event, from running minima."""
     s = stream(spark, sf)
-    t = s.where(F.col("kind") == "CH").select("match_id", "event_id", F.col("clock_us").alias("c"))
-    p = s.where(F.col("kind") != "CH").select(
-        "match_id", F.col("event_id").alias("pid"), F.col("clock_us").alias("pc"), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("dist"), F.floor(F.col("clock_us") / half).alias("slot")
-    )
-    b = F.floor(F.col("c") / half)
-    c = t.withColumn("slot", F.explode(F.array(b - 1, b, b + 1))).join(p, ["match_id", "slot"]).where(F.abs(F.col("pc") - F.col("c")) <= half)
-    best = c.groupBy("event_id").agg(F.min(F.struct("dist", "pid")).alias("b"))
-    return t.join(best, "event_id", "left").select("event_id", F.when(F.col("b.dist") < 30, F.col("b.pid")).alias("snapped_to"), r6("b.dist").alias("dist"))
+    t = s.where(F.col("kind") == "CH").select("match_id", "event_id", "clock_us")
+    p = s.where(F.col("kind") != "CH").withColumn("dist", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    best = window_lowest(t, p, stream_axis(spark, sf), 6 * S, F.struct("dist", F.col("event_id").alias("pid")), "b")
+    return best.select("event_id", F.when(F.col("b.dist") < 30, F.col("b.pid")).alias("snapped_to"), r6("b.dist").alias("dist"))
 
 
 @query("clock_offset", """w AS (SELECT match_id, period, clock_us - first_value(clock_us) OVER (PARTITION BY match_id, period ORDER BY clock_us, event_id) - (row_number() OVER (PARTITION BY match_id, period ORDER BY clock_us, event_id) - 1) * 1000 AS d FROM stream_v)
@@ -297,6 +282,7 @@ def direction_inference(spark, sf):
     return directions(spark, sf)
 
 
+@per_session
 def directions(spark, sf):
     """Defended end per period: where the shots went, else the start sides, else where the keeper stands."""
     shot = F.col("kind") == "SH"
@@ -344,6 +330,7 @@ def quality_rules(spark, sf):
     return f.select("match_id", "period", F.inline(F.filter(rules, lambda r: r.isNotNull())))
 
 
+@per_session
 def profile(spark, sf):
     shot = F.col("kind") == "SH"
     return stream(spark, sf).groupBy("match_id", "period").agg(
@@ -365,6 +352,7 @@ sn AS (SELECT tg.match_id, tg.period, tg.k, s.clock_us AS cut FROM tg ASOF JOIN
 cc AS (SELECT s.*, coalesce(c.k, 0) AS chapter FROM stream_v s ASOF LEFT JOIN sn c ON s.match_id=c.match_id AND s.period=c.period AND s.clock_us > c.cut)"""
 
 
+@per_session
 def chaptered(spark, sf):
     """Every row with its chapter: equal slices of about five minutes whose cuts snap to real rows."""
     tl = stream_axis(spark, sf, "match_id", "period")

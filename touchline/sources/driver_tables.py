@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.timeline import Timeline, fit_timeline, row_index
 
-_fitted: dict[tuple, Timeline] = {}
+_plans: dict[tuple, object] = {}
+
+
+def per_session(build: Callable) -> Callable:
+    """Keep the (lazy) result of ``build(spark, sf_dir, ...)`` for the life of the application.
+
+    Only plans are kept, never rows: file listing, schema reading and analysis happen once.
+    """
 
+    @wraps(build)
+    def get(spark, *args):
+        key = (spark.sparkContext.applicationId, build.__module__, build.__name__, *args)
+        if key not in _plans:
+            _plans[key] = build(spark, *args)
+        return _plans[key]
 
+    return get
+
+
+@per_session
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@per_session
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per frame: ``players`` (22 structs, two keepers), ball, team in possession.
 
@@ -58,6 +79,7 @@ att_v AS (SELECT p.frame, p.label, p.entity, p.team, p.x, p.y, qx, qy FROM posit
           WHERE p.team = p.poss_team AND NOT is_gk)"""
 
 
+@per_session
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve matches of 90 minutes; one row per event with team, kind, period, clock, x, y, value."""
     e = table(spark, sf_dir, "events").select(
@@ -91,14 +113,17 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
+def fitted_axis(spark: SparkSession, sf_dir: str) -> Timeline:
+    return fit_timeline(stream(spark, sf_dir), ["match_id"], "clock_us", ["event_id"])
+
+
 def stream_axis(spark: SparkSession, sf_dir: str, *keys: str) -> Timeline:
-    """Timeline over the event stream, measured once per session and folder."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _fitted:
-        _fitted[at] = fit_timeline(stream(spark, sf_dir), ["match_id"], "clock_us", ["event_id"])
-    return _fitted[at].by(*(keys or ("match_id",)))
+    """Timeline over the event stream, measured once per application and folder."""
+    return fitted_axis(spark, sf_dir).by(*(keys or ("match_id",)))
 
 
+@per_session
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream with a per-match running frame number."""
     return row_index(stream(spark, sf_dir), stream_axis(spark, sf_dir), "frame")
