@@ -212,7 +212,8 @@ def asof_join(
     Both sides share ``tl.keys`` and ``tl.time``.  backward: right time <= left time,
     forward: right time >= left time, nearest: the closer one, the earlier on a tie.
     The two sides are stacked and scanned, so the cost is linear and no pair of rows
-    is ever enumerated.  ``<name>_t`` is the matched right time.
+    is ever enumerated.  ``<name>_t`` is the matched right time.  Right times should be
+    unique per key; among equal ones any may be taken.
     """
     lcols = left.columns
     want_back = direction in ("backward", "nearest")

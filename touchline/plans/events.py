@@ -131,6 +131,33 @@ def engaged_share(spark, sf):
     )
 
 
+@query("ppda_by_label", f"""{PPDA_SQL}, {SEGLAB_SQL} SELECT sg.dteam, sg.state, sg.label, {PPDA_COLS} FROM pc JOIN sg ON pc.match_id = sg.match_id AND pc.dteam = sg.dteam AND pc.clock_us >= sg.s AND pc.clock_us < sg.e GROUP BY sg.dteam, sg.state, sg.label""", "stream")
+def ppda_by_label(spark, sf):
+    """Passes per defensive action pooled by phase and engagement of the segment."""
+    tl = stream_axis(spark, sf, "match_id", "dteam")
+    pts = play.press_counts(stream(spark, sf), zone=False).select("match_id", "dteam", "clock_us", "is_pass", "is_action")
+    segs = labelled_segments(spark, sf).withColumn("clock_us", F.col("start"))
+    hit = asof_join(pts, segs, tl, F.struct("state", "label", "end"), "seg").where(F.col("clock_us") < F.col("seg.end"))
+    return rounded_ppda(play.ppda(hit, "dteam", F.col("seg.state").alias("state"), F.col("seg.label").alias("label")))
+
+
+@query("regain_within", """o AS (SELECT match_id, period, clock_us, team, lag(team) OVER (PARTITION BY match_id, period ORDER BY clock_us, event_id) AS was FROM stream_v WHERE kind = 'OTB'),
+rg AS (SELECT match_id, period, team, clock_us FROM o WHERE was <> team), g AS (SELECT DISTINCT match_id, period, 1 - team AS team, CAST(floor(clock_us/1000000e0) AS BIGINT) AS sec FROM stream_v),
+n AS (SELECT g.*, rg.clock_us AS nx FROM g ASOF LEFT JOIN rg ON g.match_id=rg.match_id AND g.period=rg.period AND g.team=rg.team AND g.sec*1000000 < rg.clock_us)
+SELECT match_id, period, team, count(*) AS seconds, round(avg((coalesce(nx - sec*1000000 <= 5000000, false))::INT),6) AS within_5s, round(avg((coalesce(nx - sec*1000000 <= 8000000, false))::INT),6) AS within_8s, round(avg((coalesce(nx - sec*1000000 <= 10000000, false))::INT),6) AS within_10s FROM n GROUP BY 1, 2, 3""", "stream")
+def regain_within(spark, sf):
+    """Share of a team's defending seconds followed by a regain within 5, 8 and 10 s: one forward lookup, then comparisons."""
+    k = ["match_id", "period", "team"]
+    o = scan(stream(spark, sf).where(F.col("kind") == "OTB"), stream_axis(spark, sf, "match_id", "period"), was=prev(F.col("team")))
+    rg = o.where(F.col("was") != F.col("team")).select(*k, "clock_us")
+    sec = F.floor(F.col("clock_us") / 1000000.0)
+    g = stream(spark, sf).select("match_id", "period", (1 - F.col("team")).alias("team"), sec.alias("sec")).distinct()
+    g = g.withColumn("clock_us", F.col("sec") * S + 1)  # strictly after the second
+    d = asof_join(g, rg, stream_axis(spark, sf, *k), F.lit(1), "hit", "forward")
+    hit = lambda n: r6(F.avg(F.coalesce(F.col("hit_t") - F.col("sec") * S <= n * S, F.lit(False)).cast("int")))
+    return d.groupBy(*k).agg(F.count(F.lit(1)).alias("seconds"), hit(5).alias("within_5s"), hit(8).alias("within_8s"), hit(10).alias("within_10s"))
+
+
 DOM_SQL = f"""{LABEL_SQL}, bc AS (SELECT match_id, dteam, CAST(floor(clock_us/300000000e0) AS BIGINT) AS bucket, structure, count(*) AS n FROM lb WHERE structure <> 'Low Block' OR abs(y) < 15 GROUP BY ALL),
 dom AS (SELECT match_id, dteam, bucket, structure AS state, n FROM (SELECT *, row_number() OVER (PARTITION BY match_id, dteam, bucket ORDER BY n DESC, structure) AS r FROM bc) q WHERE r = 1)"""
 

@@ -10,6 +10,7 @@ from touchline.operators import play
 from touchline.operators import stats as ST
 from touchline.operators.timeline import Timeline, grouped_percentile, scan, total
 from touchline.plans.events import PRESS_SQL, find_presses
+from touchline.plans.events import labelled as labelled_stream
 from touchline.plans.frames import SHAPE_SQL, shapes
 from touchline.plans.registry import big, query, r6
 from touchline.plans.timeseries import LIVE_SQL, live_stream
@@ -272,6 +273,28 @@ def leave_one_out(spark, sf):
     return m.join(F.broadcast(t)).select("match_id", r6((F.col("txy") - F.col("ys__xs")) / (F.col("txx") - F.col("xs__xs"))).alias("estimate"))
 
 
+@query("subset_effects", f"{WLS_SQL} SELECT CASE WHEN match_id < 6 THEN 'first' ELSE 'second' END AS subset, round(sum(n_def*xd*yd)/sum(n_def*xd*xd),6) AS estimate, count(DISTINCT tm) AS n_teams FROM d1 GROUP BY 1 UNION ALL SELECT 'all', round(sum(n_def*xd*yd)/sum(n_def*xd*xd),6), count(DISTINCT tm) FROM d1", "stream")
+def subset_effects(spark, sf):
+    """The effect for all matches and per provider: each match's sums count for both of its subsets."""
+    d, cols = study_rows(spark, sf, False)
+    m = ST.within_moments(d, ["match_id", "side"], ["match_id", "side"], cols, "n_def")
+    mine = F.when(F.col("match_id") < 6, "first").otherwise("second")
+    m = m.withColumn("subset", F.explode(F.array(F.lit("all"), mine)))
+    return m.groupBy("subset").agg(r6(F.sum("ys__xs") / F.sum("xs__xs")).alias("estimate"), F.count(F.lit(1)).alias("n_teams"))
+
+
+@query("lead_lag_organised", """lb AS (SELECT *, abs(CASE WHEN team = 1 THEN -52.5e0 ELSE 52.5e0 END - x) * 0.6e0 AS dep FROM stream_v),
+sc AS (SELECT match_id, period, CAST(floor(clock_us/1000000e0) AS BIGINT) AS sec, avg(CASE WHEN abs(y) > 20.4e0 THEN value END) AS wp, avg(x) AS dd FROM lb WHERE dep >= 32 OR abs(y) <= 20 GROUP BY ALL)
+SELECT CAST(lag AS INTEGER) AS lag, round(corr(a.wp, b.dd),6) AS r, count(*) AS n FROM sc a, range(-20,21) g(lag), sc b WHERE a.match_id=b.match_id AND a.period=b.period AND b.sec = a.sec + lag AND a.wp IS NOT NULL GROUP BY lag HAVING count(*) >= 20""", "stream")
+def lead_lag_organised(spark, sf):
+    """Lead-lag over organised defence only."""
+    d = labelled_stream(spark, sf).where((F.col("depth") >= 32) | (F.abs("y") <= 20))
+    sec = F.floor(F.col("clock_us") / 1000000.0).alias("sec")
+    s = d.groupBy("match_id", "period", sec).agg(F.avg(F.when(F.abs("y") > P.WIDE_Y, F.col("value"))).alias("wp"), F.avg("x").alias("dd"))
+    d = lagged(s, ["match_id", "period"])
+    return d.groupBy("lag").agg(r6(F.corr("wp", "dd")).alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 20)
+
+
 @query("team_effects", f"""{WLS_SQL}, pt AS (SELECT tm, sum(line*n_def) FILTER (xs=1)/sum(n_def) FILTER (xs=1) - sum(line*n_def) FILTER (xs=0)/sum(n_def) FILTER (xs=0) AS diff FROM d1 GROUP BY tm), e AS (SELECT sum(n_def*xd*yd)/sum(n_def*xd*xd) AS est FROM d1)
 SELECT tm // 2 AS match_id, CAST(tm % 2 AS INTEGER) AS side, round(diff,6)+0e0 AS diff, sign(diff) = sign(est) AS same_direction FROM pt, e""", "stream")
 def team_effects(spark, sf):

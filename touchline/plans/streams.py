@@ -14,22 +14,23 @@ from touchline.streaming import live
 S = 1_000_000
 
 
-def source(spark, sf, files_per_trigger: int = 4):
-    """Event topic: the halves arrive one after the other, four files each, read as a bounded file stream."""
+def source(spark, sf):
+    """Event topic: the halves arrive one after the other, one micro-batch each, read as a bounded file stream."""
+    n = spark.sparkContext.defaultParallelism
 
     def write(p):
         s = stream(spark, sf).withColumn("ts", F.timestamp_micros(F.col("clock_us")))
         for half in (1, 2):
-            s.where(F.col("period") == half).repartition(4, "user_id").write.mode("append").parquet(p)
+            s.where(F.col("period") == half).repartition(n).write.mode("append").parquet(p)
 
     path = once(spark, sf, "topic", write)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 @query("stream_ppda", """pc AS (SELECT *, CASE WHEN kind = 'CH' THEN team ELSE 1 - team END AS dteam FROM stream_v WHERE kind IN ('PA','CH'))
 SELECT match_id, dteam, CAST(floor(clock_us/300000000e0) AS BIGINT) AS bucket, count(*) FILTER (kind='PA') AS passes, count(*) FILTER (kind='CH') AS actions FROM pc WHERE abs(CASE WHEN dteam = 0 THEN -52.5e0 ELSE 52.5e0 END - x) >= 35 GROUP BY 1, 2, 3""", "stream")
 def stream_ppda(spark, sf):
-    w = live.ppda_windows(source(spark, sf, 8))
+    w = live.ppda_windows(source(spark, sf))
     w = w.select("match_id", "dteam", F.floor(F.unix_micros(F.col("w.start")) / 300000000.0).alias("bucket"), "passes", "actions")
     return live.latest(live.drain(spark, w, "update"), "match_id", "dteam", "bucket")
 
@@ -37,7 +38,7 @@ def stream_ppda(spark, sf):
 @query("stream_dedup", "SELECT DISTINCT match_id, CAST(floor(clock_us/1000000e0) AS BIGINT) AS sec FROM stream_v", "stream")
 def stream_dedup(spark, sf):
     """One row per match and second."""
-    s = source(spark, sf, 8).withColumn("sec", F.floor(F.col("clock_us") / 1000000.0))
+    s = source(spark, sf).withColumn("sec", F.floor(F.col("clock_us") / 1000000.0))
     d = live.unique_rows(s, ["match_id", "sec"]).select("match_id", "sec")
     return live.drain(spark, d, "append").select("match_id", "sec")
 
@@ -51,7 +52,7 @@ SELECT match_id, team, min(clock_us) AS start_us, max(clock_us) + 10000000 AS en
 @query("stream_sessions", SESSION_SQL, "stream")
 def stream_sessions(spark, sf):
     """Presses as session windows; sessions still open at the end of the input are not written."""
-    s = source(spark, sf, 8).where(F.col("value") > 10)
+    s = source(spark, sf).where(F.col("value") > 10)
     d = live.drain(spark, live.sessions(s, ["match_id", "team"], "10 seconds"), "append")
     return d.select("match_id", "team", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
@@ -82,7 +83,7 @@ def stream_pressure(spark, sf):
 @query("stream_static_join", "SELECT s.event_id, n_name AS team_name, CASE WHEN value >= 5 + n_regionkey THEN 'Engaged' ELSE 'Passive' END AS engaged FROM stream_v s JOIN nation ON n_nationkey = match_id", "stream")
 def stream_static_join(spark, sf):
     dims = table(spark, sf, "nation").select(big("n_nationkey").alias("match_id"), F.col("n_name").alias("team_name"), (F.lit(5) + F.col("n_regionkey")).alias("thr"))
-    d = source(spark, sf, 8).join(dims, "match_id")
+    d = source(spark, sf).join(dims, "match_id")
     d = d.select("event_id", "team_name", F.when(F.col("value") >= F.col("thr"), "Engaged").otherwise("Passive").alias("engaged"))
     return live.drain(spark, d, "append").select("event_id", "team_name", "engaged")
 
@@ -91,18 +92,19 @@ def stream_static_join(spark, sf):
 def stream_late(spark, sf):
     """The second half arrives first, so the whole first half is later than the watermark and is dropped.
 
-    Lateness is judged by the watermark one batch back, hence the second half comes in two files.
+    Lateness is judged by the watermark one batch back, hence the second half comes in two batches.
     """
+    files = spark.sparkContext.defaultParallelism
 
     def write(p):
         s = stream(spark, sf).withColumn("ts", F.timestamp_micros(F.col("clock_us")))
         early = F.col("clock_us") < 4050 * S
         for n, part in enumerate(((F.col("period") == 2) & early, (F.col("period") == 2) & ~early, F.col("period") == 1)):
-            s.where(part).coalesce(1).write.parquet(f"{p}/{n}")
+            s.where(part).repartition(files).write.parquet(f"{p}/{n}")
 
     path = once(spark, sf, "latetopic", write)
     schema = spark.read.parquet(f"{path}/0").schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
     w = s.withWatermark("ts", "10 seconds").groupBy("match_id", F.window("ts", "300 seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     w = w.select("match_id", F.floor(F.unix_micros(F.col("w.start")) / 300000000.0).alias("bucket"), "n")
     return live.latest(live.drain(spark, w, "update"), "match_id", "bucket")

@@ -14,6 +14,7 @@ from touchline.plans.registry import big, query, r6
 from touchline.sources.driver_tables import per_session, stream, stream_axis, stream_frames
 
 S = play.SECOND
+SLIM = ("event_id", "match_id", "period", "team", "kind", "clock_us", "value")  # all a stacked scan needs to carry
 
 
 @query("stream_frame_index", "SELECT event_id, match_id, frame FROM stream_v", "stream")
@@ -58,7 +59,7 @@ def asof_forward(spark, sf):
 
 @query("trailing_mean", """SELECT event_id, round(avg(value) OVER (PARTITION BY match_id, period, team ORDER BY clock_us RANGE BETWEEN 2999999 PRECEDING AND CURRENT ROW),6) AS mean_3s FROM stream_v""", "stream")
 def trailing_mean(spark, sf):
-    d = trailing(stream(spark, sf), stream_axis(spark, sf, "match_id", "period", "team"), 3 * S, F.col("value"), "w")
+    d = trailing(stream(spark, sf).select(*SLIM), stream_axis(spark, sf, "match_id", "period", "team"), 3 * S, F.col("value"), "w")
     return d.select("event_id", r6(F.col("w_sum") / F.col("w_n")).alias("mean_3s"))
 
 
@@ -66,7 +67,7 @@ def trailing_mean(spark, sf):
 SELECT s.event_id, round(m,6) AS smooth FROM stream_v s LEFT JOIN p ON s.event_id = p.event_id""", "stream")
 def trailing_mean_pressing(spark, sf):
     """Smoothed over a team's own pressing rows only, empty on every other row; teams never mix."""
-    s = stream(spark, sf)
+    s = stream(spark, sf).select(*SLIM)
     on = F.col("kind").isin("CH", "PA")
     v = F.when(on, F.col("value"))
     d = trailing(s, stream_axis(spark, sf, "match_id", "period", "team"), 30 * S, v, "w")

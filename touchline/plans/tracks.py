@@ -194,6 +194,27 @@ def event_snap(spark, sf):
     return best.select("event_id", F.when(F.col("b.dist") < 30, F.col("b.pid")).alias("snapped_to"), r6("b.dist").alias("dist"))
 
 
+@query("event_lag", """t AS (SELECT match_id, period, event_id, clock_us FROM stream_v WHERE kind = 'CH'), p AS (SELECT match_id, clock_us AS pc, sqrt(x*x + y*y) AS dist FROM stream_v WHERE kind <> 'CH'),
+c AS (SELECT t.match_id, t.period, t.event_id, arg_min(pc - clock_us, dist) AS lag, min(dist) AS dist FROM t JOIN p ON t.match_id=p.match_id AND pc BETWEEN clock_us - 15000000 AND clock_us + 15000000 GROUP BY 1, 2, 3)
+SELECT period, count(*) AS matched, round(median(lag)/1e6,6) AS offset_s FROM c WHERE dist < 20 GROUP BY period""", "stream")
+def event_lag(spark, sf):
+    """Feed-to-tracking offset: median lag of each event's closest candidate, over well-matched events."""
+    s = stream(spark, sf)
+    t = s.where(F.col("kind") == "CH").select("match_id", "period", "event_id", "clock_us")
+    p = s.where(F.col("kind") != "CH").withColumn("dist", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    best = window_lowest(t, p, stream_axis(spark, sf), 15 * S, F.struct("dist", F.col("clock_us").alias("c")), "b").where(F.col("b.dist") < 20)
+    lag = best.select("period", (F.col("b.c") - F.col("clock_us")).alias("lag"))
+    n = lag.groupBy("period").agg(F.count(F.lit(1)).alias("matched"))
+    m = grouped_percentile(lag, ["period"], "lag", {"m": 0.5})
+    return n.join(m, "period").select("period", "matched", r6(F.col("m") / 1e6).alias("offset_s"))
+
+
+@query("period_bounds", "SELECT match_id, period, min(clock_us) AS first_us, max(clock_us) AS last_us, round((max(clock_us)-min(clock_us))/1e6,6) AS seconds FROM stream_v GROUP BY 1, 2", "stream")
+def period_bounds(spark, sf):
+    a, z = F.min("clock_us"), F.max("clock_us")
+    return stream(spark, sf).groupBy("match_id", "period").agg(a.alias("first_us"), z.alias("last_us"), r6((z - a) / 1e6).alias("seconds"))
+
+
 @query("clock_offset", """w AS (SELECT match_id, period, clock_us - first_value(clock_us) OVER (PARTITION BY match_id, period ORDER BY clock_us, event_id) - (row_number() OVER (PARTITION BY match_id, period ORDER BY clock_us, event_id) - 1) * 1000 AS d FROM stream_v)
 SELECT match_id, period, round(avg(d)/1e6,6) AS offset_s, round((max(d)-min(d))/1e6,6) AS spread_s, max(d) - min(d) < 50000 AS constant, round(median(d)/1e6,6) AS median_s FROM w GROUP BY match_id, period""", "stream")
 def clock_offset(spark, sf):
@@ -348,7 +369,7 @@ def validation_profile(spark, sf):
 
 CHAP_SQL = """b AS (SELECT match_id, period, min(clock_us) AS lo, max(clock_us) AS hi, greatest(1, CAST(round_even((max(clock_us)-min(clock_us))/300000000e0,0) AS BIGINT)) AS n FROM stream_v GROUP BY 1, 2),
 tg AS (SELECT match_id, period, n, k, lo + CAST(floor((hi-lo)*k/n) AS BIGINT) AS clock_us FROM b, range(1,19) g(k) WHERE k < n),
-sn AS (SELECT tg.match_id, tg.period, tg.k, s.clock_us AS cut FROM tg ASOF JOIN stream_v s ON tg.match_id=s.match_id AND tg.period=s.period AND tg.clock_us <= s.clock_us),
+sn AS (SELECT tg.match_id, tg.period, max(tg.k) AS k, s.clock_us AS cut FROM tg ASOF JOIN stream_v s ON tg.match_id=s.match_id AND tg.period=s.period AND tg.clock_us <= s.clock_us GROUP BY 1, 2, 4),
 cc AS (SELECT s.*, coalesce(c.k, 0) AS chapter FROM stream_v s ASOF LEFT JOIN sn c ON s.match_id=c.match_id AND s.period=c.period AND s.clock_us > c.cut)"""
 
 
@@ -363,8 +384,9 @@ def chaptered(spark, sf):
     tg = b.where(F.col("n") > 1).withColumn("k", F.explode(F.sequence(big(F.lit(1)), F.col("n") - 1)))
     tg = tg.select("match_id", "period", "k", (F.col("lo") + F.floor(span * F.col("k") / F.col("n"))).alias("clock_us"))
     cut = asof_join(tg, s.select("match_id", "period", "clock_us"), tl, F.lit(1), "hit", "forward")
-    cut = cut.select("match_id", "period", "k", F.col("hit_t").alias("clock_us"))
-    rows = s.withColumn("at", F.col("clock_us")).withColumn("clock_us", F.col("clock_us") - 1)
+    # two cuts can snap to one row; the slice between them is empty
+    cut = cut.groupBy("match_id", "period", F.col("hit_t").alias("clock_us")).agg(F.max("k").alias("k"))
+    rows = s.select("match_id", "period", "kind", F.col("clock_us").alias("at"), (F.col("clock_us") - 1).alias("clock_us"))
     return asof_join(rows, cut, tl, F.col("k"), "chapter").withColumn("clock_us", F.col("at")).withColumn("chapter", F.coalesce("chapter", big(F.lit(0))))
 
 
