@@ -130,8 +130,12 @@ def labelled(spark, sf):
 
 @per_session
 def defending_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return measure_defence(moments(spark, sf))
+
+
+def measure_defence(m: DataFrame) -> DataFrame:
     """Defending side per frame with its structure, pressure and five-nearest span, all from one row."""
-    m = moments(spark, sf).withColumn("team", F.lit(1) - F.col("poss"))
+    m = m.withColumn("team", F.lit(1) - F.col("poss"))
     p = G.outfield(F.col("players"), F.col("team"))
     m = m.withColumn("def", p).withColumn("s", G.sorted_by_depth(F.col("def"), P.own_goal_x(F.col("team"))))
     depth, length = G.mean(G.field(F.slice("s", 1, 4), "d")), G.spread(G.field(F.col("s"), "d"))
