@@ -137,7 +137,10 @@ def measure_defence(m: DataFrame) -> DataFrame:
     """Defending side per frame with its structure, pressure and five-nearest span, all from one row."""
     m = m.withColumn("team", F.lit(1) - F.col("poss"))
     p = G.outfield(F.col("players"), F.col("team"))
-    m = m.withColumn("def", p).withColumn("s", G.sorted_by_depth(F.col("def"), P.own_goal_x(F.col("team"))))
+    m = m.withColumn("def", p)
+    # columns, not nested calls: an array used inside a lambda would be rebuilt for every element
+    m = m.withColumn("s", G.sorted_by_depth(F.col("def"), P.own_goal_x(F.col("team"))))
+    m = m.withColumn("near", G.nearest_k(F.col("def"), F.col("ball_x"), F.col("ball_y"), 5))
     depth, length = G.mean(G.field(F.slice("s", 1, 4), "d")), G.spread(G.field(F.col("s"), "d"))
     return m.select(
         "frame",
@@ -148,7 +151,7 @@ def measure_defence(m: DataFrame) -> DataFrame:
         depth.alias("depth"),
         length.alias("length"),
         G.any_of(G.pressure(F.col("def"), F.col("ball_x"), F.col("ball_y"))).alias("score"),
-        G.diameter(G.nearest_k(F.col("def"), F.col("ball_x"), F.col("ball_y"), 5)).alias("span"),
+        G.diameter(F.col("near")).alias("span"),
     ).withColumn("structure", P.block_label(F.col("depth"), F.col("length")))
 
 
