@@ -17,10 +17,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.session import cut_lineage
+
 SEG = "__seg"
 MAX_ROWS_PER_TASK = 2_000_000
 MAX_SEGMENTS = 4096
 INLINE_CUTS = 32
+MAX_PLAN_NODES = 150
 
 
 @dataclass(frozen=True)
@@ -124,9 +127,19 @@ def lowest_ahead(value: Column) -> Spec:
     return Spec("minahead", value)
 
 
+def plan_nodes(df: DataFrame) -> int:
+    return df._jdf.queryExecution().analyzed().treeString().count("\n")
+
+
 def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
-    """Add one column per spec; the frame is shuffled once by (keys, segment)."""
+    """Add one column per spec; the frame is shuffled once by (keys, segment).
+
+    A segmented scan reads its input twice (rows and summaries), so a chain of them would
+    double the plan at every step; a plan that has grown long is checkpointed first.
+    """
     seg = [SEG] if tl.cuts else []
+    if seg and plan_nodes(df) > MAX_PLAN_NODES:
+        df = cut_lineage(df)
     part = [*tl.keys, *seg]
     out = tl.with_segment(df)
     up = Window.partitionBy(*part).orderBy(*tl.order)

@@ -556,7 +556,7 @@ def chances_summary(spark, sf):
     )
 
 
-GOAL_SQL = "gl AS (SELECT match_id, team, CAST(floor(clock_us/60000000e0) AS BIGINT) + 1 AS minute, event_id AS goal_id FROM stream_v WHERE kind = 'SH' AND value > 150)"
+GOAL_SQL = "gl AS (SELECT match_id, team, CAST(floor(clock_us/60000000e0) AS BIGINT) + 1 AS minute, event_id AS goal_id, clock_us FROM stream_v WHERE kind = 'SH' AND value > 150)"
 
 
 @per_session
@@ -582,14 +582,14 @@ def final_score(spark, sf):
     return s.groupBy("match_id", "team").agg(F.count_if((F.col("kind") == "SH") & (F.col("value") > 150)).alias("goals"))
 
 
-@query("goal_groups", f"""{GOAL_SQL}, g AS (SELECT *, CASE WHEN team IS DISTINCT FROM lag(team) OVER w OR minute - lag(minute) OVER w > 3 THEN 1 ELSE 0 END AS nw FROM gl WINDOW w AS (PARTITION BY match_id ORDER BY minute, goal_id)),
-k AS (SELECT *, sum(nw) OVER (PARTITION BY match_id ORDER BY minute, goal_id) AS g FROM g) SELECT match_id, team, min(minute) AS first_minute, max(minute) AS last_minute, count(*) AS goals FROM k GROUP BY match_id, team, g""", "stream")
+@query("goal_groups", f"""{GOAL_SQL}, g AS (SELECT *, CASE WHEN team IS DISTINCT FROM lag(team) OVER w OR minute - lag(minute) OVER w > 3 THEN 1 ELSE 0 END AS nw FROM gl WINDOW w AS (PARTITION BY match_id ORDER BY clock_us, goal_id)),
+k AS (SELECT *, sum(nw) OVER (PARTITION BY match_id ORDER BY clock_us, goal_id) AS g FROM g) SELECT match_id, team, min(minute) AS first_minute, max(minute) AS last_minute, count(*) AS goals FROM k GROUP BY match_id, team, g""", "stream")
 def goal_groups(spark, sf):
     """Goals of one team within three minutes of each other share a label."""
-    tl = stream_axis(spark, sf).on("minute", "goal_id")
+    tl = stream_axis(spark, sf).on("clock_us", "goal_id")
     d = scan(goals(spark, sf), tl, was=prev(F.struct("team", "minute")))
     fresh = F.col("was").isNull() | (F.col("was.team") != F.col("team")) | (F.col("minute") - F.col("was.minute") > 3)
-    d = scan(d, tl, head=prev(F.struct("minute", "goal_id"), when=fresh, inclusive=True))
+    d = scan(d, tl, head=prev(F.struct("clock_us", "goal_id"), when=fresh, inclusive=True))
     return d.groupBy("match_id", "team", "head").agg(
         F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"), F.count(F.lit(1)).alias("goals")
     ).drop("head")
