@@ -54,7 +54,7 @@ def matrix_smoother(t, z, q, r, gate):
 def test_smoother_equals_matrix_form_and_gates_a_spike():
     rng = np.random.default_rng(1)
     t = np.cumsum(rng.choice([1, 1, 1, 4], 300)) / Q.FPS
-    true = np.c_[20 * np.sin(t), 15 * np.cos(0.7 * t)]
+    true = np.c_[20 * np.sin(0.3 * t), 15 * np.cos(0.2 * t)]  # accelerations a player can reach
     z = true + rng.normal(0, 0.3, true.shape)
     z[150] += 30
     got = Q.smooth_positions(t, z, *Q.PLAYER_NOISE)

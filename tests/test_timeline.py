@@ -58,8 +58,6 @@ def test_asof_segments_agree_with_brute_force(noisy, direction):
     left, right = noisy.where("s = 0").select("k", "t", "id"), noisy.where("s = 1").select("k", "t", "v")
     got = both(lambda tl: TL.asof_join(left, right, tl, F.col("v"), "v", direction, 6).select("id", "v", "v_t"))
     rp = right.toPandas()
-    for lid, v, vt in got:
-        r = left.where(F.col("id") == lid).first() if False else None
     lp = left.toPandas().set_index("id")
     for lid, _, vt in got:
         c = rp[rp.k == lp.loc[lid, "k"]]

@@ -20,9 +20,9 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str, on_progress: Callable | None = None) -> DataFrame:
-    """Run to the end of the available input; every micro-batch is appended with its number as ``batch``."""
+    """Run to the end of the available input; micro-batch n is the folder ``batch=n``, replaced whole if it is retried."""
     out = scratch(spark, "stream")
-    conf, was = "spark.sql.streaming.stateStore.providerClass", None
+    conf = "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(conf, None)
     spark.conf.set(conf, STATE_STORE)
     try:
@@ -30,7 +30,7 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str, on_progress: Callab
             stream.writeStream.outputMode(mode)
             .option("checkpointLocation", scratch(spark, "offsets"))
             .trigger(availableNow=True)
-            .foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out))
+            .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
             .start()
         )
         q.awaitTermination()
