@@ -1,4 +1,4 @@
-"""Session defaults and lineage cuts."""
+"""Session defaults, the shared folder for intermediate tables, and lineage cuts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_roots: dict[str, str] = {}
+
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "touchline") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -25,15 +27,24 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "touc
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    The folder is read from ``spark.checkpoint.dir``; only where nothing is set
-    (tests on one machine) a temporary one is used.
+    Where it is unset, a temporary folder serves in local mode only: on a cluster each machine would write to a disk
+    that the others do not see, so that is an error.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
     sc = spark.sparkContext
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_roots.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from touchline.session import checkpoint_root
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """New folder under the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp") + f"/{name}"
-    return f"{base.rstrip('/')}/touchline-{uuid.uuid4().hex}/{name}"
+    """New folder under the folder that driver and executors share."""
+    return f"{checkpoint_root(spark)}/touchline-{uuid.uuid4().hex}/{name}"
