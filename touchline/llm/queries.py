@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, token_files
-from touchline.llm.tables import fresh_folder, table
+from touchline.llm import bpe, quality_rules, token_files
+from touchline.llm.tables import fresh_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     rows = token_files.with_starts(token_files.checksums(token_files.read(spark, folder)))
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written(quality_rules.with_stats(docs).drop("text"), "quality-stats")  # the text is read once
+    rows = written(quality_rules.training_rows(stats, table(spark, sf_dir, "labels")), "quality-rows")
+    rules = quality_rules.learn(rows)
+    failed = quality_rules.base_failed()
+    return stats.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & quality_rules.verdict(rules)).alias("kept"), quality_rules.fired(rules).alias("rule"),
+    )
