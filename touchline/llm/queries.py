@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, minhash, quality_rules, repeats, token_files
+from touchline.llm import bpe, minhash, neighbours, quality_rules, repeats, token_files, warc
 from touchline.llm.tables import fresh_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op2_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, d.payload_digest,
+  CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 100
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    whole = F.col("record_type") == "response"
+    return warc.read(spark, folder).select(
+        "page_id", F.when(whole, F.octet_length("payload").cast("bigint")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
+@query("op4_nearest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
