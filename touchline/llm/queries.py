@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, minhash, neighbours, quality_crf, quality_rules, repeats, token_files, warc
+from touchline.llm import bpe, minhash, mixing, neighbours, quality_crf, quality_rules, repeats, token_files, warc
 from touchline.llm.tables import fresh_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,60 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = quality_crf.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = quality_crf.score(docs, field)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: Weights of the mix: domains are families of sources.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
+MIX_EPOCHS, MIX_SEED = 3, 20240229
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """``domain``: the source's number modulo four; sources without a number are of domain dx."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    return docs.withColumn("domain", F.when(number == "", F.lit("dx")).otherwise(F.concat(F.lit("d"), (number.cast("bigint") % 4).cast("string"))))
+
+
+def mix_sql(docs: str, percent: int, epochs: int) -> str:
+    """The draws as SQL over ``docs (doc_id, domain, lang, source, n_tokens)``, as common table expressions ending in ``drawn``."""
+    levels = ["domain", "lang", "source"]
+    ctes = [
+        f"leaf AS (SELECT coalesce(domain, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM {docs} GROUP BY 1, 2, 3)",
+        f"b0 AS (SELECT CAST(coalesce(sum(tokens), 0) * {percent} // 100 AS BIGINT) AS budget FROM leaf)",
+    ]
+    for k, name in enumerate(levels):
+        path, up = ", ".join(levels[: k + 1]), ", ".join(levels[:k])
+        weight = "".join(f" WHEN '{n}' THEN {w}" for n, w in sorted(MIX_WEIGHTS.get(name, {}).items()))
+        weight = f"CASE {name}{weight} ELSE 1 END" if weight else "1"
+        over = f"PARTITION BY {up} " if up else ""
+        join = f"JOIN b{k} USING ({up})" if up else "CROSS JOIN b0"
+        ctes += [
+            f"g{k} AS (SELECT {path}, CAST(sum(tokens) * {epochs} AS HUGEINT) AS cap, CAST({weight} AS HUGEINT) AS weight FROM leaf GROUP BY {path})",
+            f"""s{k} AS (SELECT {path}, cap, weight, CAST(budget AS HUGEINT) AS given,
+  coalesce(sum(cap) OVER ({over}ORDER BY CAST(cap AS DOUBLE) / CAST(weight AS DOUBLE), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps_before,
+  sum(weight) OVER ({over}ORDER BY CAST(cap AS DOUBLE) / CAST(weight AS DOUBLE), {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights_left
+  FROM g{k} {join})""",
+            f"f{k} AS (SELECT *, caps_before * weight + cap * weights_left <= given * weight AS full_ FROM s{k})",
+            f"t{k} AS (SELECT *, sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER ({over}) AS taken, sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER ({over}) AS open_ FROM f{k})",
+            f"b{k + 1} AS (SELECT {path}, CAST(CASE WHEN full_ THEN cap ELSE least(cap, ((given - taken) * weight) // open_) END AS BIGINT) AS budget FROM t{k})",
+        ]
+    ctes += [
+        "plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM leaf JOIN b3 USING (domain, lang, source))",
+        f"""placed AS (SELECT d.*, whole, rest, sum(d.n_tokens) OVER (PARTITION BY p.domain, p.lang, p.source
+  ORDER BY md5('{MIX_SEED}:' || CAST(whole + 1 AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), d.n_tokens) AS upto
+  FROM {docs} d JOIN plan p ON coalesce(d.domain, '') = p.domain AND coalesce(d.lang, '') = p.lang AND coalesce(d.source, '') = p.source)""",
+        "drawn AS (SELECT *, CAST(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM placed WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0)",
+    ]
+    return ",\n".join(ctes)
+
+
+#: Words and domain of every document, as SQL.
+WORDS_SQL = """words AS (SELECT doc_id, lang, source, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) = '' THEN 'dx'
+    ELSE 'd' || CAST(CAST(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS BIGINT) % 4 AS VARCHAR) END AS domain,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents)"""
+
+
+@query("op5_mixing", f"WITH {WORDS_SQL},\n{mix_sql('words', 60, MIX_EPOCHS)}\nSELECT doc_id, domain, lang, source, n_tokens, copies FROM drawn")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    sized = written(docs.select("doc_id", "domain", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens")), "words")
+    return mixing.draws(sized, ["domain", "lang", "source"], MIX_WEIGHTS, F.expr("all_tokens * 60 DIV 100"), MIX_EPOCHS, MIX_SEED)
