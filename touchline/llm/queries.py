@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, minhash, mixing, neighbours, quality_crf, quality_rules, repeats, token_files, warc
+from touchline.llm import bpe, minhash, mixing, neighbours, quality_crf, quality_rules, repeats, token_files, warc, wrappers
 from touchline.llm.tables import fresh_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_domain(table(spark, sf_dir, "documents"))
     sized = written(docs.select("doc_id", "domain", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens")), "words")
     return mixing.draws(sized, ["domain", "lang", "source"], MIX_WEIGHTS, F.expr("all_tokens * 60 DIV 100"), MIX_EPOCHS, MIX_SEED)
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
