@@ -10,7 +10,7 @@ interval the occurrences are told apart by what stands left of the anchor; those
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,11 @@ assert BANDS * BAND == SPAN
 _DOC = "key bigint, dig int"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, key, dig, text)``: a row is known by id and text, so null and repeated ids do no harm."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    """``(id, carried, key, dig, text)``: a row is known by id and text, so null and repeated ids do no harm."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("key"), F.hash(F.col(id_col).isNull(), text).alias("dig"), text.alias("text"))
+    carried = F.struct(F.lit(0).alias("_"), *carry).alias("carried")
+    return docs.select(F.col(id_col).alias("id"), carried, F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("key"), F.hash(F.col(id_col).isNull(), text).alias("dig"), text.alias("text"))
 
 
 def contexts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -241,15 +242,15 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text, spans)`` per row: the ranges ``(start, end)`` of UTF-8 bytes that strings of ``LENGTH`` bytes cover
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``(id, carried, text, spans)`` per row: the ranges ``(start, end)`` of UTF-8 bytes that strings of ``LENGTH`` bytes cover
     which also start anywhere else in ``docs``, the same text included; sorted, merged, never touching.
 
     Overlaps count. A null or empty text has no spans and comes back empty. Null and repeated ids are allowed: rows are
     told apart by id and text, and equal rows repeat each other. Equality is that of 128-bit hashes where contexts are
-    counted, and of bytes in the shards.
+    counted, and of bytes in the shards. ``carried`` is a struct of the columns named in ``carry``.
     """
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, carry)
     seen = _occurrences(keyed)
     anchors = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
     shared = written(seen.join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("varied")), "anchor"), "anchors")
@@ -279,13 +280,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     banded = written(banded.select("shard", "key", "dig", "at", "many", "band", "bytes", "size"), "crowded")
     found = _sorted_shards(plain.union(banded.where(F.col("size") <= SHARD).drop("size"))).union(_single_windows(banded.where(F.col("size") > SHARD)))
     more = found.groupBy("key", "dig").agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    settled = texts.where(F.coalesce(F.size("wanted"), F.lit(0)) <= 0).select("id", "text", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
-    rest = asked.join(more, ["key", "dig"], "left").select("id", "text", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"))
+    settled = texts.where(F.coalesce(F.size("wanted"), F.lit(0)) <= 0).select("id", "carried", "text", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
+    rest = asked.join(more, ["key", "dig"], "left").select("id", "carried", "text", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"))
     return settled.union(rest)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_bytes, n_removed, n_spans, kept)`` per row: ``kept`` is what is left of the text, as bytes.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``(id_col, carry..., n_bytes, n_removed, n_spans, kept)`` per row: ``kept`` is what is left of the text, as bytes.
 
     A cut may fall inside a character; ``kept`` need not be valid UTF-8. See ``repeated_spans`` for nulls and ties.
     """
@@ -305,8 +306,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 removed.append(sum(b - a for a, b in spans))
                 counts.append(len(spans))
                 kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("carried"), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(kept, pa.binary())], names=["id", "carried", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = repeated_spans(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    rows = repeated_spans(docs, id_col, text_col, carry)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "carried")}
+    cut = rows.mapInArrow(run, f"id {kinds['id']}, carried {kinds['carried']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return cut.select(F.col("id").alias(id_col), *(F.col("carried")[c].alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "kept")
