@@ -3,7 +3,7 @@
 A document's shingles are dealt to bins by their hash and each bin keeps its least one; an empty bin copies a full one in
 an order of its own. Bands of bins are bucket keys. Documents with equal sets count once. In a bucket only links to its
 hub are tried, so candidates grow with the bucket; the hub is the member that meets most others. What a star cannot
-settle, members of a bucket that are still in different components, is tried afterwards, so that no link is lost.
+settle, members of a bucket that are still in different components, is tried afterwards where the sets allow a link.
 Every candidate is confirmed on the full sets.
 """
 
@@ -31,8 +31,6 @@ BANDS = BINS // BAND
 #: Sets of up to SMALL shingles are looked up by prefixes instead, which is exact; sets from SMALL * 0.75 on by bands too.
 SMALL = 64
 PER_CENT = 75
-#: Rounds of hubs before the rest of an unsettled bucket is tried pair by pair.
-ROUNDS = 2
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -68,7 +66,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             own = np.sort(shingles[a : b - WORDS + 1])
             yield own[np.append(True, own[1:] != own[:-1])]
         elif b > a:
-            yield mixed((words[a:b] * _PLACE[: b - a]).sum(keepdims=True) + _PLACE[WORDS] * np.uint64(b - a))
+            yield mixed((words[a:b] * _PLACE[: b - a]).sum(keepdims=True) + _PLACE[WORDS : WORDS + 1] * np.array([b - a], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
 
@@ -146,6 +144,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
+def _unsettled(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of members ``(key, rep, n, c)`` of a bucket, in different components ``c``, that may be linked.
+
+    Shingles that no other member of any such bucket holds can be in no intersection. With x others of n in each set, a
+    link needs min(x, x') >= 3/7 (n + n'), so one of the two has x >= 6/7 n, and the other looks for it among the sizes
+    that its own x allows. Edited copies of one text, which miss the similarity by their edits, so meet nobody.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("shingles")), np.int64)
+            counts = np.array([len(x.as_buffer()) // 8 for x in batch.column("shingles")])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("id")), counts)), pa.array(flat)], names=["id", "shingle"])
+
+    asked = rest.select(F.col("rep").alias("id")).distinct()
+    held = sets.join(asked, "id", "left_semi").select("id", "shingles").mapInArrow(run, "id bigint, shingle bigint")
+    alone = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("id").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    rows = rest.join(alone, "rep", "left").withColumn("x", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("x") * 100 >= F.col("n") * PER_CENT).drop("alone")
+    size_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / float(np.log(1.05)))
+    rows = written(rows, "buckets")
+    firm = rows.where(F.col("x") * 7 >= F.col("n") * 6)
+    kinds = firm.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    most = F.least(F.floor(F.col("n") * 4 / 3), F.floor(F.col("x") * 7 / 3) - F.col("n"))
+    least = F.ceil(F.col("n") * 3 / 4)
+    looking = rows.join(kinds, "key").where("(lo <> c OR hi <> c)").withColumn("most", most).where(F.col("most") >= least)
+    looking = looking.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"), F.col("c").alias("ca"), F.explode(F.sequence(size_class(least) - 1, size_class(F.col("most")) + 1)).alias("size"))
+    firm = firm.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"), F.col("c").alias("cb"), size_class(F.col("n")).alias("size"))
+    enough = F.least("xa", "xb") * 7 >= (F.col("na") + F.col("nb")) * 3
+    met = looking.alias("l").join(firm.alias("f"), (F.col("l.key") == F.col("f.key")) & (F.col("l.size") == F.col("f.size")) & (F.col("ca") != F.col("cb")) & enough)
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def _near_in_size(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PER_CENT) & (F.col(b) * 100 >= F.col(a) * PER_CENT)
 
@@ -171,35 +201,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_full_sets(texts.join(wanted, "id", "left_semi")).dropDuplicates(["id"]), "full-sets")
 
-    links, tried, label = None, None, None
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            hub = members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"), "rep", "n")).alias("hub"))
-            star = members.join(hub.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key")
-            pairs = star.where((F.col("rep") != F.col("hub")) & _near_in_size("n", "hub_n"))
-            if label is not None:
-                pairs = pairs.join(label.select(F.col("node").alias("hub"), F.col("component").alias("hub_c")), "hub", "left").where(F.coalesce("c", "rep") != F.coalesce("hub_c", "hub"))
-            pairs = pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
-        else:
-            a = members.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.coalesce("c", "rep").alias("cu"))
-            b = members.select("key", F.col("rep").alias("v"), F.col("n").alias("nv"), F.coalesce("c", "rep").alias("cv"))
-            pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _near_in_size("nu", "nv")).select("u", "v")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = written(pairs, "candidates")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = written(_confirmed(pairs, sets), "links")
-        links = found if links is None else links.union(found)
-        label = written(components(links), "labels")
-        if turn == ROUNDS:
-            break
-        # a hub has met its whole bucket and leaves it; buckets whose rest is one component are settled
-        rest = star.where("rep <> hub").select("key", "rep", "n", "meets").join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
-        open_ = rest.groupBy("key").agg(F.min(F.coalesce("c", "rep")).alias("lo"), F.max(F.coalesce("c", "rep")).alias("hi")).where("lo <> hi").select("key")
-        members = written(rest.join(open_, "key"), "buckets")
-        if members.isEmpty():
-            break
+    hubs = members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"), "rep", "n")).alias("hub"))
+    star = members.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key").where("rep <> hub")
+    pairs = star.where(_near_in_size("n", "hub_n")).select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
+    tried = written(pairs.distinct(), "candidates")
+    links = written(_confirmed(tried, sets), "links")
+    label = written(components(links), "labels")
+    # a hub has met its whole bucket; what is left is settled if it is one component
+    rest = star.select("key", "rep", "n").join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    open_ = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    rest = written(rest.join(open_, "key"), "buckets")
+    pairs = written(_unsettled(rest, sets).join(tried, ["u", "v"], "left_anti"), "candidates")
+    label = written(components(links.union(written(_confirmed(pairs, sets), "links"))), "labels")
 
     named = classes.select("hi", "lo", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, ["hi", "lo"], "left")

@@ -76,7 +76,7 @@ def draw_key(epoch: Column, id_: Column, seed: int) -> Column:
 
 
 def draws(docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], given: Column, epochs: int = 1, seed: int = 0, id_col: str = "doc_id", tokens_col: str = "n_tokens") -> DataFrame:
-    """``docs`` with ``copies`` (bigint), how often each row is drawn; rows that are not drawn are left out.
+    """``docs`` with ``copies`` (bigint, in place of a column of that name), how often each row is drawn; rows that are not drawn are left out.
 
     Rows of null levels form groups of their own under the empty name; null tokens count as 0. Rows of equal ids in a leaf
     stand side by side in its order, smaller ones first; equal in size too, they are drawn together or not at all. Pass a
@@ -96,4 +96,4 @@ def draws(docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[
     running = F.sum("__t").over(Window.partitionBy(*names, "__bucket").orderBy("__key", "__t"))
     out = placed.join(ahead, [*names, "__bucket"]).withColumn("__upto", F.col("__ahead") + running)
     out = out.withColumn("copies", F.col("__whole") + F.when(F.col("__upto") <= F.col("__rest"), F.lit(1)).otherwise(F.lit(0)))
-    return out.where("copies > 0").select(*docs.columns, "copies")
+    return out.where("copies > 0").select(*(c for c in docs.columns if c != "copies"), "copies")
