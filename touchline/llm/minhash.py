@@ -125,31 +125,39 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)`` whose sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(u, v, linked, only_u, only_v)`` of the pairs ``(u, v)``, by their full sets; the last two are what one has alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, alone, sizes = [], ([], []), ([], [])
             for a, b in zip(batch.column("a"), batch.column("b")):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * common >= PER_CENT * (len(x) + len(y) - common))
-            out = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([out.column("u"), out.column("v")], names=["u", "v"])
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = x[at] == y
+                mine = np.ones(len(x), bool)
+                mine[at[both]] = False
+                common = int(both.sum())
+                linked.append(100 * common >= PER_CENT * (len(x) + len(y) - common))
+                for k, part in enumerate((x[mine], y[~both])):
+                    alone[k].append(part)
+                    sizes[k].append(len(part))
+            lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes[k])).astype(np.int32), pa.array(np.concatenate([*alone[k], np.zeros(0, np.uint64)]).view(np.int64))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), *lists], names=["u", "v", "linked", "only_u", "only_v"])
 
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint, linked boolean, only_u array<bigint>, only_v array<bigint>")
 
 
-def _unsettled(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of members ``(key, rep, n, c)`` of a bucket, in different components ``c``, that may be linked.
+def _unsettled(rest: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame:
+    """``(u, v, linked)`` for members ``(key, rep, n, c, hub, hub_n)`` of a bucket in different components ``c``; pairs that
+    are not linked are left out, ``linked`` is null where the full sets must tell.
 
     Shingles that no other member of any such bucket holds can be in no intersection. With x others of n in each set, a
-    link needs min(x, x') >= 3/7 (n + n'), so one of the two has x >= 6/7 n, and the other looks for it among the sizes
-    that its own x allows. Edited copies of one text, which miss the similarity by their edits, so meet nobody.
+    link needs min(x, x') >= 3/7 (n + n'), so one of the two has x >= 6/7 n; edited copies that miss the similarity by
+    their edits so meet nobody. Where both were compared with the hub, their intersection follows from what sets them
+    apart from it, within the join: no pair is made that is no link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,18 +170,20 @@ def _unsettled(rest: DataFrame, sets: DataFrame) -> DataFrame:
     held = sets.join(asked, "id", "left_semi").select("id", "shingles").mapInArrow(run, "id bigint, shingle bigint")
     alone = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("id").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     rows = rest.join(alone, "rep", "left").withColumn("x", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("x") * 100 >= F.col("n") * PER_CENT).drop("alone")
-    size_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / float(np.log(1.05)))
     rows = written(rows, "buckets")
-    firm = rows.where(F.col("x") * 7 >= F.col("n") * 6)
-    kinds = firm.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    most = F.least(F.floor(F.col("n") * 4 / 3), F.floor(F.col("x") * 7 / 3) - F.col("n"))
-    least = F.ceil(F.col("n") * 3 / 4)
-    looking = rows.join(kinds, "key").where("(lo <> c OR hi <> c)").withColumn("most", most).where(F.col("most") >= least)
-    looking = looking.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"), F.col("c").alias("ca"), F.explode(F.sequence(size_class(least) - 1, size_class(F.col("most")) + 1)).alias("size"))
-    firm = firm.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"), F.col("c").alias("cb"), size_class(F.col("n")).alias("size"))
-    enough = F.least("xa", "xb") * 7 >= (F.col("na") + F.col("nb")) * 3
-    met = looking.alias("l").join(firm.alias("f"), (F.col("l.key") == F.col("f.key")) & (F.col("l.size") == F.col("f.size")) & (F.col("ca") != F.col("cb")) & enough)
-    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    strong = F.col("x") * 7 >= F.col("n") * 6
+    kinds = written(rows.where(strong).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "buckets")
+    apart = tried.select(F.col("u").alias("hub"), F.col("v").alias("rep"), F.col("only_u").alias("lacks"), F.col("only_v").alias("more"))
+    apart = apart.union(tried.select("v", "u", "only_v", "only_u"))
+    rows = rows.join(kinds, "key").where(strong | (F.col("lo") != F.col("c")) | (F.col("hi") != F.col("c"))).join(apart, ["hub", "rep"], "left")
+    looking = rows.where("lo <> c OR hi <> c").alias("l")
+    firm = rows.where(strong).alias("f")
+    sizes = F.col("l.n") + F.col("f.n")
+    common = F.col("l.hub_n") - F.size(F.array_union("l.lacks", "f.lacks")) + F.size(F.array_intersect("l.more", "f.more"))
+    linked = F.when(F.col("l.lacks").isNotNull() & F.col("f.lacks").isNotNull(), common * 7 >= sizes * 3)
+    possible = (F.least("l.x", "f.x") * 7 >= sizes * 3) & (F.greatest("l.n", "f.n") * PER_CENT <= F.least("l.n", "f.n") * 100)
+    met = looking.join(firm, (F.col("l.key") == F.col("f.key")) & (F.col("l.c") != F.col("f.c")) & possible & F.coalesce(linked, F.lit(True)))
+    return met.select(F.least("l.rep", "f.rep").alias("u"), F.greatest("l.rep", "f.rep").alias("v"), linked.alias("linked")).groupBy("u", "v").agg(F.max("linked").alias("linked"))
 
 
 def _near_in_size(a: str, b: str):
@@ -194,25 +204,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select("rep", "n", F.explode("keys").alias("key"))
     # buckets with company, each member with the number of others it meets over all its buckets
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(members.join(shared, "key"), "buckets")
+    members = written(members.join(written(shared, "buckets"), "key"), "buckets")
     meets = members.groupBy("rep").agg(F.sum("size").alias("meets"))
     members = written(members.join(meets, "rep").select("key", "rep", "n", "meets"), "buckets")
     wanted = members.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_full_sets(texts.join(wanted, "id", "left_semi")).dropDuplicates(["id"]), "full-sets")
 
-    hubs = members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"), "rep", "n")).alias("hub"))
-    star = members.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "key").where("rep <> hub")
+    hubs = written(members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"), "rep", "n")).alias("hub")).select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    star = members.join(hubs, "key").where("rep <> hub")
     pairs = star.where(_near_in_size("n", "hub_n")).select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
-    tried = written(pairs.distinct(), "candidates")
-    links = written(_confirmed(tried, sets), "links")
+    tried = written(_compared(pairs.distinct(), sets), "compared")
+    links = tried.where("linked").select("u", "v")
     label = written(components(links), "labels")
     # a hub has met its whole bucket; what is left is settled if it is one component
-    rest = star.select("key", "rep", "n").join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    open_ = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    rest = star.select("key", "rep", "n", "hub", "hub_n").join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    open_ = written(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "buckets")
     rest = written(rest.join(open_, "key"), "buckets")
-    pairs = written(_unsettled(rest, sets).join(tried, ["u", "v"], "left_anti"), "candidates")
-    label = written(components(links.union(written(_confirmed(pairs, sets), "links"))), "labels")
+    more = written(_unsettled(rest, sets, tried), "candidates")
+    asked = _compared(more.where("linked IS NULL").select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti"), sets)
+    links = links.union(more.where("linked").select("u", "v")).union(asked.where("linked").select("u", "v"))
+    label = written(components(links), "labels")
 
     named = classes.select("hi", "lo", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, ["hi", "lo"], "left")
