@@ -253,7 +253,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, id_col, text_col, carry)
     seen = _occurrences(keyed)
     anchors = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
-    shared = written(seen.join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("varied")), "anchor"), "anchors")
+    anchors = written(anchors.select("anchor", (F.col("a") != F.col("b")).alias("varied")), "anchors")
+    shared = written(seen.join(anchors, "anchor"), "anchors")  # both sides come from shuffles, so Spark can split a hot anchor
     kinds = shared.where("varied").groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "dig", "at")).alias("one"))
     kinds = written(kinds, "contexts")
     crowd = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD).select("anchor", F.lit(True).alias("crowded"))
