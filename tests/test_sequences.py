@@ -63,12 +63,18 @@ def test_smoother_equals_matrix_form_and_gates_a_spike():
     assert np.abs(np.diff(got, 2, axis=0)).mean() < np.abs(np.diff(z, 2, axis=0)).mean() / 3
 
 
-def test_spikes_are_removed_singly_and_in_rounds():
-    t = np.arange(12) / 10.0
-    xy = np.c_[t * 2, t * 0]
-    xy[5] += 40
-    assert Q.drop_spikes(t, xy, 10.5).tolist() == [i for i in range(12) if i != 5]
-    assert Q.drop_spikes(t, np.c_[t * 100, t * 0], 10.5).tolist() == list(range(12))  # steady fast motion stays
+@pytest.mark.parametrize("cuts", [(), (3.0, 6.0, 9.0)])
+def test_spikes_are_removed_singly_and_in_rounds(spark, cuts):
+    tl = Timeline(("k",), "i", (), cuts)
+
+    def kept(xs):
+        rows = spark.createDataFrame([(1, i, i / 10.0, float(x), 0.0) for i, x in enumerate(xs)], "k int, i long, t double, x double, y double")
+        return sorted(r.i for r in Q.without_spikes(rows, tl, 10.5).collect())
+
+    xs = [i * 0.2 for i in range(12)]
+    xs[5] += 40
+    assert kept(xs) == [i for i in range(12) if i != 5]
+    assert kept([i * 10 for i in range(12)]) == list(range(12))  # steady fast motion stays
 
 
 def test_savgol_matches_polynomial_fits():

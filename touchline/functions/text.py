@@ -113,48 +113,29 @@ def credit(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def turnover_sentence(name, won, half, fast, shot) -> Column:
-    return F.format_string(
-        "%s won it %d times, %d in the opponents' half; %d were in or into the final third inside 10 s and %d led to a shot", name, won, half, fast, shot
-    )
+    return F.format_string("%s: %d regains, %d past halfway, %d near goal within 10 s, %d ending in a shot", name, won, half, fast, shot)
 
 
 def press_sentence(name, presses, win_rate, half) -> Column:
-    return F.concat(name, F.lit(": "), presses.cast("string"), F.lit(" presses, "), whole(win_rate), F.lit("% won the ball within 5 s, "), half.cast("string"), F.lit(" in the opponents' half"))
+    return F.format_string("%s: %d presses, %d past halfway, %d%% successful within 5 s", name, presses, half, F.bround(win_rate).cast("bigint"))
 
 
 def chance_sentence(name, faced, turn, restart, long) -> Column:
-    return F.format_string("%s faced %d shots: %d after losing the ball, %d after restarts, %d from sustained possession", name, faced, turn, restart, long)
+    return F.format_string("%s: shots against %d = turnover %d + restart %d + long possession %d", name, faced, turn, restart, long)
 
 
 def attack_sentence(name, left, middle, right, entries) -> Column:
-    return F.concat(
-        name, F.lit(": left "), whole(left), F.lit("%, middle "), whole(middle), F.lit("%, right "), whole(right), F.lit("%, "), entries.cast("string"), F.lit(" final-third entries")
-    )
+    share = lambda c: F.bround(c).cast("bigint")
+    return F.format_string("%s: entries %d; play by lane %d/%d/%d %% (left/middle/right)", name, entries, share(left), share(middle), share(right))
 
 
 def gap_sentence(name, holes, free, pocket) -> Column:
-    return F.concat(
-        name, F.lit(" defending: "), whole(holes), F.lit(" square metres of holes on average, "), number(free), F.lit(" opponents free inside the block, most frequent hole "), pocket
-    )
+    return F.concat(name, F.lit(": mean hole area "), whole(holes), F.lit(" m2, mean free opponents "), number(free), F.lit(", usual hole "), pocket)
 
 
 def time_sentence(name, first, last) -> Column:
-    return F.concat(
-        name, F.lit(": back line "), whole(first), F.lit(" m in the first 15 minutes, "), whole(last), F.lit(" m in the last 15 of normal time")
-    )
-
-
-def shape_line(name, sentence) -> Column:
-    return F.concat(name, F.lit(": "), sentence, F.lit("."))
-
-
-def line_break_sentence(name, conceded, behind, top: Column) -> Column:
-    return F.concat(
-        F.lit("Against "), name, F.lit(": "), conceded.cast("string"), F.lit(", "), behind.cast("string"), F.lit(" received behind the back line; most by "), F.array_join(F.slice(top, 1, 3), ", ")
-    )
+    return F.concat(name, F.lit(": line height "), whole(first), F.lit(" m early, "), whole(last), F.lit(" m late"))
 
 
-def heat_sentence(title: Column, players: bool) -> Column:
-    if players:
-        return F.concat(F.lit("Player heatmaps, "), title, F.lit(": one small pitch per player showing where he spent the match, with his median position."))
-    return F.concat(F.lit("Team heatmaps, "), title, F.lit(": where each team's outfield players spent the match, with every starter's average position."))
+def line_break_sentence(name, conceded, behind, lane) -> Column:
+    return F.concat(name, F.lit(": lines broken "), conceded.cast("string"), F.lit(" times, "), behind.cast("string"), F.lit(" of them behind the last line, mostly by the "), lane)

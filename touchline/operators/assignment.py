@@ -54,29 +54,42 @@ def matched_distances(batches: Iterator[pd.DataFrame], gate: float) -> Iterator[
 
 
 class TrackSet:
-    """Gated nearest assignment of detections to predicted track positions, one group at a time."""
+    """Tracks of one group as arrays, a row each: number, place, velocity, time and steps since the last sighting.
+
+    A sighting is taken for a track if it is assigned to it and lies within ``gate``, widened by one for every step the
+    track went unseen. Tracks unseen for more than ``patience`` steps end.
+    """
+
+    # Share of a new velocity, its limit per axis, and how far ahead a place is predicted, in seconds.
+    BLEND, LIMIT, AHEAD = 0.4, 10.0, 0.5
 
     def __init__(self, gate: float = 2.5, patience: int = 10):
-        self.gate, self.patience, self.tracks, self.next_id = gate, patience, [], 0
+        self.gate, self.patience, self.opened = gate, patience, 0
+        self.number, self.unseen = np.zeros(0, int), np.zeros(0, int)
+        self.place, self.velocity, self.time = np.zeros((0, 2)), np.zeros((0, 2)), np.zeros(0)
 
     def step(self, t: float, points: np.ndarray) -> np.ndarray:
-        """Track id for every point at time ``t``."""
-        ids = np.full(len(points), -1)
-        live = self.tracks
-        if live and len(points):
-            guess = np.array([k["p"] + k["v"] * min(t - k["t"], 0.5) for k in live])
-            cost = np.hypot(*(guess[:, None] - points[None]).transpose(2, 0, 1))
-            for a, b in assign(cost):
-                k = live[a]
-                if cost[a, b] <= self.gate + k["miss"]:
-                    v = (points[b] - k["p"]) / max(t - k["t"], 1e-3)
-                    k.update(v=0.6 * k["v"] + 0.4 * np.clip(v, -10, 10), p=points[b], t=t, miss=-1)
-                    ids[b] = k["id"]
-        for k in live:
-            k["miss"] += 1
-        self.tracks = [k for k in live if k["miss"] <= self.patience]
-        for b in np.flatnonzero(ids < 0):
-            self.tracks.append(dict(id=self.next_id, p=points[b], v=np.zeros(2), t=t, miss=0))
-            ids[b] = self.next_id
-            self.next_id += 1
-        return ids
+        """Track number for every point at time ``t``."""
+        since = t - self.time
+        expected = self.place + self.velocity * np.minimum(since, self.AHEAD)[:, None]
+        apart = np.linalg.norm(expected[:, None, :] - points[None, :, :], axis=2)
+        who, what = np.array(assign(apart) if apart.size else [], int).reshape(-1, 2).T
+        near = apart[who, what] <= self.gate + self.unseen[who]
+        who, what = who[near], what[near]
+        moved = np.clip((points[what] - self.place[who]) / np.maximum(since[who], 1e-3)[:, None], -self.LIMIT, self.LIMIT)
+        self.velocity[who] += self.BLEND * (moved - self.velocity[who])
+        self.place[who], self.time[who] = points[what], t
+        self.unseen += 1
+        self.unseen[who] = 0
+        label = np.full(len(points), -1)
+        label[what] = self.number[who]
+        new = np.flatnonzero(label < 0)
+        label[new] = self.opened + np.arange(len(new))
+        self.opened += len(new)
+        stay, nothing = self.unseen <= self.patience, np.zeros(len(new))
+        self.number = np.append(self.number[stay], label[new])
+        self.unseen = np.append(self.unseen[stay], nothing.astype(int))
+        self.time = np.append(self.time[stay], nothing + t)
+        self.place = np.concatenate([self.place[stay], points[new]])
+        self.velocity = np.concatenate([self.velocity[stay], np.zeros((len(new), 2))])
+        return label

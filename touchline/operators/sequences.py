@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.timeline import Timeline, row_index
+from touchline.operators.timeline import Timeline, nxt, prev, row_index, scan
 
 
 def greedy_picks(t: np.ndarray, allowed: float, gap: int) -> np.ndarray:
@@ -87,23 +87,21 @@ PLAYER_NOISE, BALL_NOISE = (4.0, 0.3), (12.0, 1.0)
 GATE_SIGMA = 4.5
 
 
-def drop_spikes(t: np.ndarray, xy: np.ndarray, vmax: float, passes: int = 5) -> np.ndarray:
-    """Indices kept after repeatedly removing single samples that only impossible speeds can reach."""
-    keep = np.arange(len(t))
-    for _ in range(passes):
-        if len(keep) < 3:
-            break
-        tt, p = t[keep], xy[keep]
-        step = np.diff(tt)
-        jump = np.hypot(*np.diff(p, axis=0).T)
-        around_t, around = tt[2:] - tt[:-2], np.hypot(*(p[2:] - p[:-2]).T)
-        ok = (step[:-1] > 0) & (step[1:] > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            bad = ok & (jump[:-1] / step[:-1] > vmax) & (jump[1:] / step[1:] > vmax) & (around / around_t <= vmax)
-        if not bad.any():
-            break
-        keep = np.delete(keep, np.flatnonzero(bad) + 1)
-    return keep
+def without_spikes(df: DataFrame, tl: Timeline, vmax: float, rounds: int = 5) -> DataFrame:
+    """Rows ``(t, x, y)`` without those that only speeds above ``vmax`` can reach, both ways, though their neighbours can meet.
+
+    A round judges all rows by the neighbours that the round before kept. Ends of a trajectory stay.
+    """
+    row, before, after = F.struct("t", "x", "y"), F.col("__before"), F.col("__after")
+
+    def speed(a, b):
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        return F.try_divide(F.sqrt(dx * dx + dy * dy), b["t"] - a["t"])
+
+    spike = (F.col("t") > before["t"]) & (after["t"] > F.col("t")) & (speed(before, row) > vmax) & (speed(row, after) > vmax) & (speed(before, after) <= vmax)
+    for _ in range(rounds):
+        df = scan(df, tl, __before=prev(row), __after=nxt(row)).where(~F.coalesce(spike, F.lit(False))).drop("__before", "__after")
+    return df
 
 
 def smooth_positions(t: np.ndarray, xy: np.ndarray, process: float, measure: float, gate: float = GATE_SIGMA) -> np.ndarray:
@@ -167,15 +165,14 @@ def per_trajectory(
 ) -> DataFrame:
     """Run ``body(pdf sorted by t)`` for each trajectory; its result carries ``event_id``.
 
-    A trajectory is one entity in one period, so its length is normally set by the frame rate.
-    Where the measured timeline says a key is too big for a task (``tl`` has cuts), it is
-    processed in pieces that each see ``halo`` rows of both neighbours and keep only their own
-    rows; the halo is the reach of the operator (exact for finite filters, far beyond rounding
-    for the position smoother, whose memory fades geometrically).
+    A trajectory is one entity in one period. With a timeline and a ``halo`` it is always taken in
+    pieces of ``piece`` rows that each see ``halo`` rows of both neighbours and keep only their own
+    rows, at every size alike; the halo is the reach of the operator (exact for finite filters, far
+    beyond rounding for the position smoother, whose memory fades geometrically).
     """
     spark = df.sparkSession
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    groups, cut = list(keys), tl is not None and bool(tl.cuts) and halo > 0
+    groups, cut = list(keys), tl is not None and halo > 0
     if cut:
         at = F.col("__i") - 1
         mine = F.floor(at / piece)

@@ -225,8 +225,8 @@ def asof_join(
     Both sides share ``tl.keys`` and ``tl.time``.  backward: right time <= left time,
     forward: right time >= left time, nearest: the closer one, the earlier on a tie.
     The two sides are stacked and scanned, so the cost is linear and no pair of rows
-    is ever enumerated.  ``<name>_t`` is the matched right time.  Right times should be
-    unique per key; among equal ones any may be taken.
+    is ever enumerated.  ``<name>_t`` is the matched right time.  Among equal right
+    times the greatest value is taken looking back, the least looking ahead.
     """
     lcols = left.columns
     want_back = direction in ("backward", "nearest")
@@ -238,7 +238,7 @@ def asof_join(
     box = F.struct(F.col(tl.time).alias("t"), value.alias("v"))
     rights = right.select(*tl.keys, tl.time, rank.alias("__rank"), box.alias("__r"), none.alias("__l"))
     probes = left.select(*tl.keys, tl.time, F.lit(1).alias("__rank"), none.alias("__r"), F.struct(*lcols).alias("__l"))
-    axis = tl.on(tl.time, "__rank")
+    axis = tl.on(tl.time, "__rank", "__r")
     r = F.col("__r")
     specs = {}
     if want_back:

@@ -254,8 +254,8 @@ def text_zones(spark, sf):
 @query("view_sentences", f"""{TURN_SQL}, {PRESS_SQL.replace(LIVE_SQL + ",", "")}, m AS (SELECT DISTINCT match_id, team FROM stream_v),
 t AS (SELECT match_id, team, count(*) AS won, count(*) FILTER (x >= 0) AS half, count(*) FILTER (fast) AS fast, count(*) FILTER (shot) AS shot FROM tn GROUP BY 1, 2),
 p AS (SELECT match_id, team, count(*) AS n, 100e0*count(*) FILTER (won)/count(*) AS rate, count(*) FILTER (x > 0) AS half FROM pf GROUP BY 1, 2)
-SELECT m.match_id, m.team, printf('Team %d won it %d times, %d in the opponents'' half; %d were in or into the final third inside 10 s and %d led to a shot', m.team, coalesce(won,0), coalesce(t.half,0), coalesce(fast,0), coalesce(shot,0)) AS turnovers,
- printf('Team %d: %d presses, %d%% won the ball within 5 s, %d in the opponents'' half', m.team, coalesce(n,0), CAST(round_even(coalesce(rate,0),0) AS BIGINT), coalesce(p.half,0)) AS pressing FROM m LEFT JOIN t ON m.match_id=t.match_id AND m.team=t.team LEFT JOIN p ON m.match_id=p.match_id AND m.team=p.team""", "stream")
+SELECT m.match_id, m.team, printf('Team %d: %d regains, %d past halfway, %d near goal within 10 s, %d ending in a shot', m.team, coalesce(won,0), coalesce(t.half,0), coalesce(fast,0), coalesce(shot,0)) AS turnovers,
+ printf('Team %d: %d presses, %d past halfway, %d%% successful within 5 s', m.team, coalesce(n,0), coalesce(p.half,0), CAST(round_even(coalesce(rate,0),0) AS BIGINT)) AS pressing FROM m LEFT JOIN t ON m.match_id=t.match_id AND m.team=t.team LEFT JOIN p ON m.match_id=p.match_id AND m.team=p.team""", "stream")
 def view_sentences(spark, sf):
     """Accessible one-line summary of the turnover and pressing views of each team."""
     t = turnover_summary(spark, sf)
@@ -293,7 +293,9 @@ def summary_sentences(spark, sf):
         F.lit("chances").alias("view"), F.col("match_id").alias("key"),
         T.chance_sentence(name("team"), F.col("shots_faced"), F.col("after_turnover"), F.col("after_restart"), F.col("long_possession")).alias("sentence"),
     )
+    lanes = ("right_wing", "right_half", "centre", "left_half", "left_wing")
+    most = F.array_max(F.array(*(F.struct(F.col(c).alias("n"), F.lit(-k).alias("k"), F.lit(c.replace("_", " ")).alias("lane")) for k, c in enumerate(lanes))))
     lb = QUERIES["line_break_summary"](spark, sf).select(
-        F.lit("lb").alias("view"), big(F.lit(0)).alias("key"), T.line_break_sentence(name("dteam"), F.col("conceded"), F.col("behind"), F.array(F.lit("all"))).alias("sentence")
+        F.lit("lb").alias("view"), big(F.lit(0)).alias("key"), T.line_break_sentence(name("dteam"), F.col("conceded"), F.col("behind"), most["lane"]).alias("sentence")
     )
     return attack.unionByName(time).unionByName(gaps).unionByName(ch).unionByName(lb)

@@ -686,18 +686,19 @@ def zone_entries(spark, sf):
 
 # ------------------------------------------------------------------ series and medians
 
-@query("rolling_median_grid", """g AS (SELECT match_id, team, k FROM (SELECT DISTINCT match_id, team FROM stream_v) m, range(0,181) t(k))
+@query("rolling_median_grid", """g AS (SELECT match_id, team, k FROM (SELECT DISTINCT match_id, team FROM stream_v) m, range(0, (SELECT CAST(max(clock_us)//30000000 + 11 AS BIGINT) FROM stream_v)) t(k))
 SELECT g.match_id, g.team, g.k AS half_minute, count(*) AS n, round(median(x),6) AS x FROM g JOIN stream_v s ON s.match_id = g.match_id AND s.team = g.team AND s.clock_us BETWEEN g.k*30000000 - 300000000 AND g.k*30000000 + 300000000 GROUP BY ALL HAVING count(*) >= 20""", "stream")
 def rolling_median_grid(spark, sf):
     """Median within five minutes of every half-minute mark.
 
-    Samples are counted per half-minute slot and value first; only those counts are copied to the marks they reach.
+    The marks end where the samples do. Samples are counted per half-minute slot and value first; only those counts are
+    copied to the marks they reach.
     """
     w = 30 * S
     slot = F.floor(F.col("clock_us") / w)
     c = stream(spark, sf).groupBy("match_id", "team", slot.alias("slot"), (F.col("clock_us") % w == 0).alias("on"), "x").agg(F.count(F.lit(1)).alias("n"))
     first = F.greatest(F.col("slot") - F.when(F.col("on"), 10).otherwise(9), big(F.lit(0)))
-    last = F.least(F.col("slot") + 10, big(F.lit(180)))
+    last = F.col("slot") + 10
     c = c.withColumn("half_minute", F.explode(F.sequence(first, last)))
     k = ["match_id", "team", "half_minute"]
     c = c.groupBy(*k, "x").agg(F.sum("n").alias("n"))

@@ -212,10 +212,10 @@ def game_state_bins(spark, sf):
     return b.select(*BIN_KEYS, "n_def", r6("line").alias("line"), "n_live", r6("possession").alias("possession"), "presses", r6(F.try_divide(F.col("presses").cast("double"), F.col("n_def") * 0.2 / 60)).alias("press_rate"))
 
 
-@query("game_state_timing", f"""{LIVE_SQL}, {STATE_SQL}, d AS (SELECT *, CAST(least(floor(clock_us/900000000e0), 5) AS BIGINT) AS band FROM sm WHERE defending)
+@query("game_state_timing", f"""{LIVE_SQL}, {STATE_SQL}, d AS (SELECT *, CAST(floor(clock_us/900000000e0) AS BIGINT) AS band FROM sm WHERE defending)
 SELECT band, round(count(*) FILTER (state='leading')*0.2e0/60,6) AS leading, round(count(*) FILTER (state='level')*0.2e0/60,6) AS level, round(count(*) FILTER (state='trailing')*0.2e0/60,6) AS trailing, round(median(line),6)+0e0 AS line FROM d GROUP BY band""", "stream")
 def game_state_timing(spark, sf):
-    d = samples(spark, sf).where("defending").withColumn("band", F.least(F.floor(F.col("clock_us") / 900000000.0), big(F.lit(5))))
+    d = samples(spark, sf).where("defending").withColumn("band", F.floor(F.col("clock_us") / 900000000.0))
     c = d.groupBy("band", "state", "line").agg(F.count(F.lit(1)).alias("n"))
     mins = lambda v: r6(F.sum(F.when(F.col("state") == v, F.col("n")).otherwise(0)) * 0.2 / 60)
     return c.groupBy("band").agg(mins("leading").alias("leading"), mins("level").alias("level"), mins("trailing").alias("trailing"), r6(F.percentile("line", 0.5, F.col("n"))).alias("lineh")).withColumnRenamed("lineh", "line")

@@ -40,15 +40,26 @@ def kalman_rts(spark, sf):
     return d.select("event_id", r6("sx").alias("sx"), r6("sy").alias("sy"))
 
 
-@query("spike_iterative")
-def spike_iterative(spark, sf):
-    """Samples left after up to five rounds of spike removal."""
+SPIKE_ROUNDS, SPIKE_SPEED = 5, 0.5
 
-    def body(p):
-        k = Q.drop_spikes(p["t"].to_numpy(), p[["x", "y"]].to_numpy(), 0.5)
-        return pd.DataFrame({"event_id": p["event_id"].to_numpy()[k]})
 
-    return Q.per_trajectory(trajectories(spark, sf), PATH, body, "event_id bigint", stream_axis(spark, sf), 32).select("event_id")
+def spike_sql() -> str:
+    """Each round a table of its own: what the round before kept, less the samples only impossible speeds can reach."""
+    speed = lambda dt, dx, dy: f"sqrt(({dx})*({dx}) + ({dy})*({dy}))/({dt})"
+    at = lambda f, c: f"{f}({c}) OVER w"
+    out = ["k0 AS (SELECT match_id, period, user_id, event_id, clock_us, clock_us/1e6 AS t, x, y FROM stream_v)"]
+    for k in range(SPIKE_ROUNDS):
+        near = ", ".join(f"{at(f, c)} AS {p}{c}" for f, p in (("lag", "p"), ("lead", "n")) for c in ("t", "x", "y"))
+        bad = f"t > pt AND nt > t AND {speed('t-pt', 'x-px', 'y-py')} > {SPIKE_SPEED} AND {speed('nt-t', 'nx-x', 'ny-y')} > {SPIKE_SPEED} AND {speed('nt-pt', 'nx-px', 'ny-py')} <= {SPIKE_SPEED}"
+        out.append(f"a{k} AS (SELECT *, {near} FROM k{k} WINDOW w AS (PARTITION BY match_id, period, user_id ORDER BY clock_us, event_id))")
+        out.append(f"k{k + 1} AS (SELECT match_id, period, user_id, event_id, clock_us, t, x, y FROM a{k} WHERE NOT coalesce({bad}, false))")
+    return ",\n".join(out) + f"\nSELECT event_id FROM k{SPIKE_ROUNDS}"
+
+
+@query("spike_iterative", spike_sql(), "stream")
+def spike_iterative(spark, sf):
+    """Samples left after up to five rounds of spike removal; a round looks at the neighbours that the last one kept."""
+    return Q.without_spikes(trajectories(spark, sf), stream_axis(spark, sf, *PATH), SPIKE_SPEED, SPIKE_ROUNDS).select("event_id")
 
 
 @query("savgol_tracks")
@@ -78,24 +89,6 @@ def savgol_interior(spark, sf):
     return d.where(F.col("s").isNotNull()).select("event_id", r6(F.col("s") / 21).alias("sx"))
 
 
-@query("tracker")
-def tracker(spark, sf):
-    """Track ids by gated assignment inside short clips of each match; ids restart with every clip."""
-
-    def body(p):
-        ts, out = TrackSet(gate=25.0), []
-        for t, g in p.groupby("slot", sort=True):
-            out.append(pd.DataFrame({"event_id": g["event_id"].to_numpy(), "track": ts.step(float(t), g[["x", "y"]].to_numpy())}))
-        return pd.concat(out)
-
-    s = stream(spark, sf).select(
-        "match_id", "team", F.floor(F.col("clock_us") / (60 * S)).alias("clip"), F.floor(F.col("clock_us") / (10 * S)).alias("slot"),
-        "event_id", (F.col("clock_us") / 1e6).alias("t"), "x", "y",
-    )
-    d = Q.per_trajectory(s, ["match_id", "team", "clip"], body, "event_id bigint, track bigint")
-    return d.select("event_id", "match_id", "team", "clip", "track")
-
-
 @query("track_team_vote", """v AS (SELECT match_id, user_id, team, count(*) AS n FROM stream_v GROUP BY 1, 2, 3)
 SELECT match_id, user_id, team, n FROM (SELECT *, row_number() OVER (PARTITION BY match_id, user_id ORDER BY n DESC, team) AS r FROM v) q WHERE r = 1""", "stream")
 def track_team_vote(spark, sf):
@@ -137,33 +130,55 @@ def detections_bounds(spark, sf):
     return stream(spark, sf).where((F.abs("x") <= 40) & (F.abs("y") <= 30)).select("event_id")
 
 
-@query("camera_runs", """c AS (SELECT *, value > 2 AS valid FROM stream_v), v AS (SELECT *, lag(frame) OVER w AS pf FROM c WHERE valid WINDOW w AS (PARTITION BY match_id ORDER BY frame)),
+CAMERA_SQL = """c AS (SELECT *, value > 2 AS valid FROM stream_v), v AS (SELECT *, lag(frame) OVER w AS pf FROM c WHERE valid WINDOW w AS (PARTITION BY match_id ORDER BY frame)),
 ct AS (SELECT match_id, frame FROM stream_v WHERE kind = 'SH' AND value > 100),
 b AS (SELECT v.*, CASE WHEN pf IS NULL OR frame - pf > 4 OR EXISTS (SELECT 1 FROM ct WHERE ct.match_id = v.match_id AND ct.frame > v.pf AND ct.frame <= v.frame) THEN 1 ELSE 0 END AS nw FROM v),
 k AS (SELECT *, sum(nw) OVER (PARTITION BY match_id ORDER BY frame) AS rid FROM b)
-SELECT match_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n FROM k GROUP BY match_id, rid HAVING count(*) >= 5""", "stream")
-def camera_runs(spark, sf):
-    """Runs of usable frames: split at cuts and at more than three missing frames, at least five long."""
+SELECT match_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n FROM k GROUP BY match_id, rid HAVING count(*) >= 5"""
+
+
+def usable_runs(spark, sf):
+    """Usable frames with the first frame of their run as ``head``."""
     tl = stream_axis(spark, sf)
     cut = (F.col("kind") == "SH") & (F.col("value") > 100)
     d = scan(stream_frames(spark, sf), tl, cut=prev(F.col("frame"), when=cut, inclusive=True))
     d = scan(d.where(F.col("value") > 2), tl, pf=prev(F.col("frame")))
     fresh = F.col("pf").isNull() | (F.col("frame") - F.col("pf") > 4) | F.coalesce(F.col("cut") > F.col("pf"), F.lit(False))
-    d = scan(d, tl, head=prev(F.col("frame"), when=fresh, inclusive=True))
-    return d.groupBy("match_id", "head").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 5).drop("head")
+    return scan(d, tl, head=prev(F.col("frame"), when=fresh, inclusive=True))
+
+
+@query("camera_runs", CAMERA_SQL, "stream")
+def camera_runs(spark, sf):
+    """Runs of usable frames: split at cuts and at more than three missing frames, at least five long."""
+    return usable_runs(spark, sf).groupBy("match_id", "head").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 5).drop("head")
+
+
+@query("tracker")
+def tracker(spark, sf):
+    """Track numbers by gated assignment inside camera runs; numbers restart with every run."""
+
+    def body(p):
+        ts, out = TrackSet(gate=25.0), []
+        for t, g in p.sort_values(["slot", "event_id"]).groupby("slot", sort=True):
+            out.append(pd.DataFrame({"event_id": g["event_id"].to_numpy(), "track": ts.step(float(t), g[["x", "y"]].to_numpy())}))
+        return pd.concat(out)
+
+    s = usable_runs(spark, sf).select("match_id", "team", F.col("head").alias("run"), F.floor(F.col("clock_us") / (10 * S)).alias("slot"), "event_id", (F.col("clock_us") / 1e6).alias("t"), "x", "y")
+    d = Q.per_trajectory(s, ["match_id", "team", "run"], body, "event_id bigint, track bigint")
+    return d.select("event_id", "match_id", "team", "run", "track")
 
 
 @query("sparse_transition", """o AS (SELECT match_id, clock_us AS c0, lead(clock_us) OVER (PARTITION BY match_id ORDER BY clock_us) AS c1, team FROM (SELECT *, lag(team) OVER (PARTITION BY match_id ORDER BY clock_us, event_id) AS was FROM stream_v WHERE kind='OTB') q WHERE was IS NULL OR was <> team),
-s AS (SELECT o.match_id, o.c0, v.clock_us, v.x AS d, v.value <= 40 AS ok FROM o JOIN stream_v v ON v.match_id=o.match_id AND v.clock_us >= o.c0 AND v.clock_us < coalesce(o.c1, 9000000000) AND v.clock_us - o.c0 < 20000000*4),
+s AS (SELECT o.match_id, o.c0, v.clock_us, v.x AS d, v.value <= 40 AS ok FROM o JOIN stream_v v ON v.match_id=o.match_id AND v.clock_us >= o.c0 AND v.clock_us < coalesce(o.c1, 9000000000)),
 r AS (SELECT * FROM s WHERE ok),
 w AS (SELECT a.match_id, a.c0, a.clock_us, count(*) AS n, max(abs(b.d - m.m)) AS dev FROM r a JOIN r b ON a.match_id=b.match_id AND a.c0=b.c0 AND b.clock_us BETWEEN a.clock_us AND a.clock_us + 30000000
  JOIN (SELECT a.match_id, a.c0, a.clock_us, avg(b.d) AS m FROM r a JOIN r b ON a.match_id=b.match_id AND a.c0=b.c0 AND b.clock_us BETWEEN a.clock_us AND a.clock_us + 30000000 GROUP BY 1, 2, 3) m ON m.match_id=a.match_id AND m.c0=a.c0 AND m.clock_us=a.clock_us GROUP BY 1, 2, 3)
-SELECT o.match_id, o.c0 AS changed_at, coalesce(min(w.clock_us) FILTER (n >= 3 AND dev <= 30 AND w.clock_us - o.c0 >= 1000000), o.c0 + 6000000) AS settled_at FROM o LEFT JOIN w ON o.match_id=w.match_id AND o.c0=w.c0 GROUP BY 1, 2""", "stream")
+SELECT o.match_id, o.c0 AS changed_at, coalesce(min(w.clock_us) FILTER ((n >= 3 AND dev <= 30 AND w.clock_us - o.c0 >= 1000000) OR w.clock_us - o.c0 >= 80000000), o.c0 + 6000000) AS settled_at FROM o LEFT JOIN w ON o.match_id=w.match_id AND o.c0=w.c0 GROUP BY 1, 2""", "stream")
 def sparse_transition(spark, sf):
-    """End of the transition on sparse reads: the first read whose next reads stay near their mean, else a default.
+    """End of the transition on sparse reads: the first read whose next reads stay near their mean or that comes after the
+    longest transition, else a default.
 
-    Reads are tied to their possession change by one scan and limited to a fixed span after it;
-    the forward window is a range frame over that span.
+    Reads are tied to their possession change by one scan; the forward window is a range frame within it.
     """
     tl = stream_axis(spark, sf)
     otb = F.col("kind") == "OTB"
@@ -171,11 +186,12 @@ def sparse_transition(spark, sf):
     turn = otb & (F.col("was").isNull() | (F.col("was") != F.col("team")))
     d = scan(d, tl, c0=prev(F.col("clock_us"), when=turn, inclusive=True)).where(F.col("c0").isNotNull())
     changes = d.where(F.col("c0") == F.col("clock_us")).select("match_id", "c0").distinct()
-    r = d.where((F.col("value") <= 40) & (F.col("clock_us") - F.col("c0") < 80 * S))
+    r = d.where(F.col("value") <= 40)
     w = Window.partitionBy("match_id", "c0").orderBy("clock_us").rangeBetween(0, 30 * S)
     r = r.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("m", F.avg("x").over(w))
     r = r.withColumn("dev", F.greatest(F.max("x").over(w) - F.col("m"), F.col("m") - F.min("x").over(w)))
-    good = (F.col("n") >= 3) & (F.col("dev") <= 30) & (F.col("clock_us") - F.col("c0") >= S)
+    since = F.col("clock_us") - F.col("c0")
+    good = ((F.col("n") >= 3) & (F.col("dev") <= 30) & (since >= S)) | (since >= 80 * S)
     st = r.where(good).groupBy("match_id", "c0").agg(F.min("clock_us").alias("at"))
     return changes.join(st, ["match_id", "c0"], "left").select("match_id", F.col("c0").alias("changed_at"), F.coalesce("at", F.col("c0") + 6 * S).alias("settled_at"))
 
