@@ -2,3 +2,5 @@
 
 from touchline.plans import boards, events, files, frames, statistics, streams, timeseries, tracks  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES  # noqa: F401
+
+ORACLES["summary_sentences"] = boards.summary_sql(ORACLES)

@@ -299,3 +299,24 @@ def summary_sentences(spark, sf):
         F.lit("lb").alias("view"), big(F.lit(0)).alias("key"), T.line_break_sentence(name("dteam"), F.col("conceded"), F.col("behind"), most["lane"]).alias("sentence")
     )
     return attack.unionByName(time).unionByName(gaps).unionByName(ch).unionByName(lb)
+
+
+def summary_sql(sql: dict[str, str]) -> str:
+    """The sentences from the SQL of the summaries they tell."""
+    near = lambda c: f"CAST(round_even({c}, 0) AS BIGINT)"
+    parts = ("lane_shares", "zone_entries", "first_last_medians", "busiest_zone", "gap_summary", "chances_summary", "line_break_summary")
+    ctes = ",\n".join(f"q_{p} AS ({sql[p]})" for p in parts)
+    lane_words = "['" + "', '".join(T.GAP_LANES) + "']"
+    share = lambda v: f"coalesce(max(share) FILTER (lane = '{v}'), 0)"
+    places = ("right_wing", "right_half", "centre", "left_half", "left_wing")
+    most = f"greatest({', '.join(places)})"
+    mostly = " ".join(f"WHEN {c} = {most} THEN '{c.replace('_', ' ')}'" for c in places)
+    return f"""WITH {ctes},
+ls AS (SELECT match_id, team, {share('left')} AS l, {share('middle')} AS m, {share('right')} AS r FROM q_lane_shares WHERE period = 0 GROUP BY 1, 2),
+en AS (SELECT match_id, team, sum(entries) AS n FROM q_zone_entries GROUP BY 1, 2),
+pk AS (SELECT team, {lane_words}[lane + 1] || ', ' || CASE WHEN band * 8 >= 0 THEN printf('%d-%d m ahead of', CAST(band * 8 AS BIGINT), CAST(band * 8 + 8 AS BIGINT)) ELSE printf('%d-%d m behind', CAST(-(band * 8 + 8) AS BIGINT), CAST(-band * 8 AS BIGINT)) END || ' the back line' AS pocket FROM q_busiest_zone)
+SELECT 'attack' AS view, match_id AS key, printf('Team %d: entries %d; play by lane %d/%d/%d %% (left/middle/right)', team, CAST(coalesce(n, 0) AS BIGINT), {near('l')}, {near('m')}, {near('r')}) AS sentence FROM ls LEFT JOIN en USING (match_id, team)
+UNION ALL SELECT 'time', match_id, printf('Team %d: line height %d m early, %d m late', dteam, {near('first15')}, {near('last15')}) FROM q_first_last_medians
+UNION ALL SELECT 'gaps', 0, printf('Team %d: mean hole area %d m2, mean free opponents ', team, {near('holes')}) || CASE WHEN free = floor(free) THEN CAST(CAST(free AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.2f', free), '\\.?0+$', '') END || ', usual hole ' || pocket FROM q_gap_summary JOIN pk USING (team)
+UNION ALL SELECT 'chances', match_id, printf('Team %d: shots against %d = turnover %d + restart %d + long possession %d', team, shots_faced, after_turnover, after_restart, long_possession) FROM q_chances_summary
+UNION ALL SELECT 'lb', 0, printf('Team %d: lines broken %d times, %d of them behind the last line, mostly by the ', dteam, conceded, behind) || CASE {mostly} END FROM q_line_break_summary"""
