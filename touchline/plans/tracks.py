@@ -62,7 +62,34 @@ def spike_iterative(spark, sf):
     return Q.without_spikes(trajectories(spark, sf), stream_axis(spark, sf, *PATH), SPIKE_SPEED, SPIKE_ROUNDS).select("event_id")
 
 
-@query("savgol_tracks")
+def savgol_sql() -> str:
+    """Least-squares weights of the quadratic through seven samples, then central differences over uneven steps."""
+    end = {1: ((32, 15, 3, -4, -6, -3, 5), 42), 2: ((5, 4, 3, 2, 1, 0, -1), 14), 3: ((1, 3, 4, 4, 3, 1, -2), 14)}
+
+    def shifted(c: str, k: int) -> str:
+        return c if k == 0 else f"lag({c}, {-k}) OVER w" if k < 0 else f"lead({c}, {k}) OVER w"
+
+    def weighted(c: str, weights: tuple, by: int, start: int, step: int = 1) -> str:
+        return "(" + " + ".join(f"{v}e0*{shifted(c, step * (start + i))}" for i, v in enumerate(weights)) + f")/{by}"
+
+    def smooth(c: str) -> str:
+        heads = " ".join(f"WHEN i = {k} THEN {weighted(c, w, by, 1 - k)}" for k, (w, by) in end.items())
+        tails = " ".join(f"WHEN n - i + 1 = {k} THEN {weighted(c, w, by, 1 - k, -1)}" for k, (w, by) in end.items())
+        return f"CASE WHEN n < 7 THEN {c} {heads} {tails} ELSE {weighted(c, (-2, 3, 6, 7, 6, 3, -2), 21, -3)} END AS s{c}"
+
+    def slope(c: str) -> str:
+        one, two, b, f = f"({c} - p{c})/(t - pt)", f"(n{c} - {c})/(nt - t)", "(t - pt)", "(nt - t)"
+        both = f"({b}*{b}*n{c} + ({f}*{f} - {b}*{b})*{c} - {f}*{f}*p{c})/({b}*{f}*({b} + {f}))"
+        return f"greatest(-10e0, least(10e0, CASE WHEN n < 3 THEN 0e0 WHEN i = 1 THEN {two} WHEN i = n THEN {one} ELSE {both} END))"
+
+    over = "WINDOW w AS (PARTITION BY match_id, period, user_id ORDER BY clock_us, event_id)"
+    return f"""a AS (SELECT *, clock_us/1e6 AS t, row_number() OVER w AS i, count(*) OVER (PARTITION BY match_id, period, user_id) AS n FROM stream_v {over}),
+b AS (SELECT *, {smooth('x')}, {smooth('y')} FROM a {over}),
+c AS (SELECT *, lag(t) OVER w AS pt, lead(t) OVER w AS nt, lag(sx) OVER w AS psx, lead(sx) OVER w AS nsx, lag(sy) OVER w AS psy, lead(sy) OVER w AS nsy FROM b {over})
+SELECT event_id, round(sx,6)+0e0 AS sx, round(sy,6)+0e0 AS sy, round({slope('sx')},6)+0e0 AS vx, round({slope('sy')},6)+0e0 AS vy FROM c"""
+
+
+@query("savgol_tracks", savgol_sql(), "stream")
 def savgol_tracks(spark, sf):
     """Seven-sample quadratic smoothing and clipped gradient velocity per track."""
 
