@@ -112,3 +112,11 @@ def test_json_arrays_are_valid_documents(spark, tmp_path):
 def test_short_ids(spark):
     r = spark.createDataFrame([("AB-CD-00001Z",), ("AB-EF-0009K3",)], "i string").select(feeds.short_id(F.col("i"))).collect()
     assert [x[0] for x in r] == [int("00001Z", 36), int("0009K3", 36)]
+
+
+def test_only_missing_keys_are_written(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    sinks.write_missing(rows, path, "k")  # nothing is there yet
+    sinks.write_missing(rows.selectExpr("k + 1 AS k", "'new' AS v"), path, "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "new")]

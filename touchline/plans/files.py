@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from touchline.operators import raster as R
 from touchline.plans.frames import label_histogram
 from touchline.plans.registry import big, query, r6
-from touchline.plans.tracks import chaptered
 from touchline.sources import feeds, sinks, tracking
 from touchline.sources.driver_tables import moments, stream, table
 from touchline.sources.scratch import scratch

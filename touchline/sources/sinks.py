@@ -38,11 +38,18 @@ def write_xml(df: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
     df.write.mode("overwrite").format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
 
 
+def holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, in whatever store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_missing(df: DataFrame, path: str, key: str) -> None:
-    """Append only partitions whose key is not in the table yet; what is there stays untouched."""
-    spark = df.sparkSession
-    done = spark.read.parquet(path).select(key).distinct()
-    df.join(done, key, "left_anti").write.mode("append").partitionBy(key).parquet(path)
+    """Append only partitions whose key is not in the table yet; what is there stays untouched. The first run writes all."""
+    if holds_files(df.sparkSession, path):
+        done = df.sparkSession.read.parquet(path).select(key).distinct()
+        df = df.join(done, key, "left_anti")
+    df.write.mode("append").partitionBy(key).parquet(path)
 
 
 def carry_manifest(fresh: DataFrame, prior: DataFrame, key: list[str], field: str) -> DataFrame:
