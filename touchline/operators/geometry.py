@@ -36,7 +36,7 @@ def intercept_chance(distance: Column, vmax: Column | float = DEFAULT_SPEED) ->
 
 
 def pressure(defenders: Column, bx: Column, by: Column) -> Column:
-    """Array of struct(c, order, entity): one contribution per defender, reaction-time position if velocity is known."""
+    """Array of struct(c, order, entity): one contribution per defender, standing, at the default speed."""
     return F.transform(
         defenders,
         lambda p: F.struct(

@@ -11,6 +11,7 @@ from touchline.functions import pitch as P
 from touchline.operators import geometry as G
 from touchline.operators import raster as R
 from touchline.operators.assignment import matched_distances
+from touchline.operators.timeline import fit_timeline, grouped_percentile, prev, scan
 from touchline.plans.registry import big, query, r6
 from touchline.sources.driver_tables import moments, per_session
 
@@ -38,6 +39,49 @@ def pressured(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Frame rate, oldest previous sample (seconds), quantile and least value of a player's top speed.
+FRAME_RATE, LOOKBACK_S, TOP_QUANTILE, LEAST_TOP = 29.97, 0.5, 0.99, 4.0
+
+MOVING_SQL = f"""mv AS (SELECT *, frame/{FRAME_RATE}e0 AS t, lag(frame) OVER w/{FRAME_RATE}e0 AS pt, lag(x) OVER w AS px, lag(y) OVER w AS py FROM def_v WINDOW w AS (PARTITION BY label, entity ORDER BY frame)),
+vl AS (SELECT *, t - pt > 0 AND t - pt <= {LOOKBACK_S}e0 AS ok, (x-px)/(t-pt) AS vx, (y-py)/(t-pt) AS vy FROM mv),
+tp AS (SELECT label, entity, greatest({LEAST_TOP}e0, quantile_cont(sqrt(vx*vx+vy*vy), {TOP_QUANTILE})) AS top FROM vl WHERE ok GROUP BY 1, 2),
+rp AS (SELECT vl.*, x + CASE WHEN ok THEN {G.REACTION_S}e0*vx ELSE 0 END AS rx, y + CASE WHEN ok THEN {G.REACTION_S}e0*vy ELSE 0 END AS ry, coalesce(top, {G.DEFAULT_SPEED}e0) AS vmax FROM vl LEFT JOIN tp USING (label, entity)),
+rc AS (SELECT frame, label, team, entity, 1.0e0/(1.0e0+exp((({G.REACTION_S}e0 + sqrt((rx-qx)*(rx-qx)+(ry-qy)*(ry-qy))/vmax) - {G.MIDPOINT_S}e0)/{G.SCALE_S}e0)) AS c FROM rp)"""
+
+
+def moving_pressure(frames: DataFrame, match: str = "label", lookback: float = LOOKBACK_S) -> DataFrame:
+    """Pressure per frame ``(frame, match, poss, players, ball_x, ball_y)`` from where defenders get to within the reaction time.
+
+    A defender moves on with the velocity since the previous frame in which the team defended, if that is at most
+    ``lookback`` seconds old, and reaches the ball at the own top speed: a high quantile of those velocities, at least
+    ``LEAST_TOP``, or the default for a player without any. On equal chances the lowest number presses.
+    """
+    t = F.col("frame") / FRAME_RATE
+    d = frames.select("frame", match, t.alias("t"), "ball_x", "ball_y", (1 - F.col("poss")).alias("team"), F.explode("players").alias("p"))
+    d = d.where((F.col("p.team") == F.col("team")) & ~F.col("p.gk")).select("frame", match, "t", "ball_x", "ball_y", "team", "p.entity", "p.x", "p.y")
+    key = [match, "team", "entity"]
+    d = scan(d, fit_timeline(d, key, "frame"), was=prev(F.struct("t", "x", "y")))
+    dt = F.col("t") - F.col("was.t")
+    fresh = (dt > 0) & (dt <= lookback)
+    for c in ("x", "y"):
+        d = d.withColumn(f"v{c}", F.when(fresh, (F.col(c) - F.col(f"was.{c}")) / dt))
+    speeds = d.where(F.col("vx").isNotNull()).select(*key, F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).alias("speed"))
+    top = grouped_percentile(speeds, key, "speed", {"top": TOP_QUANTILE})
+    d = d.join(top, key, "left").withColumn("vmax", F.coalesce(F.greatest(F.lit(LEAST_TOP), "top"), F.lit(G.DEFAULT_SPEED)))
+    reach = lambda c: F.col(c) + G.REACTION_S * F.coalesce(f"v{c}", F.lit(0.0))
+    d = d.withColumn("c", G.intercept_chance(G.dist(reach("x"), reach("y"), F.col("ball_x"), F.col("ball_y")), F.col("vmax")))
+    best = F.max(F.struct("c", (-F.col("entity")).alias("order"))).alias("best")
+    out = d.groupBy("frame", match, "team").agg((1 - F.product(1 - F.col("c"))).alias("score"), F.count(F.lit(1)).alias("n"), best)
+    return out.select("frame", match, "team", "score", "n", (-F.col("best.order")).alias("presser"), F.col("best.c").alias("contribution"))
+
+
+@query("pressure_moving", f"""{MOVING_SQL} SELECT frame, label, CAST(any_value(team) AS INTEGER) AS team, round(1 - product(1-c),6) AS score, count(*) AS n, CAST(arg_max(entity, c) AS INTEGER) AS presser, round(max(c),6) AS contribution FROM rc GROUP BY frame, label""", "positions")
+def pressure_moving(spark, sf):
+    """The whole pressure model: reaction-time positions and each player's own top speed."""
+    d = moving_pressure(moments(spark, sf))
+    return d.select("frame", "label", F.col("team").cast("int").alias("team"), r6("score").alias("score"), "n", F.col("presser").cast("int").alias("presser"), r6("contribution").alias("contribution"))
+
+
 @query("pressure_score", f"{PRESSURE_SQL} SELECT frame, label, round(score,6) AS score, n FROM score", "positions")
 def pressure_score(spark, sf):
     return pressured(spark, sf).select("frame", "label", r6("score").alias("score"), big("n").alias("n"))
