@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     its smaller ones. Rounds grow with the logarithm of a component's diameter; each round is written to the shared
     folder, nothing but two numbers comes to the driver. Loops and repeated links are allowed; null ends are dropped.
     """
-    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct()
+    edges = links.where("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "components")
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v"))
     edges = edges.where("u <> v")
