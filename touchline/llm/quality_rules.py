@@ -156,18 +156,20 @@ def _grow(rows: DataFrame, most: int) -> Rule:
         table: dict[int, dict[int, tuple[int, int]]] = {}
         for r in counted:
             table.setdefault(r["f"], {})[r["bin"]] = (r["p"], r["n"])
-        best, score = None, 0.0
+        ranked: list[tuple[float, Condition, int]] = []
         for f, by in sorted(table.items()):
             p0, n0 = (sum(v[k] for v in by.values()) for k in (0, 1))
             for cut in range(len(FEATURES[f][3])):
                 under = [v for b, v in by.items() if b <= cut]
                 p, n = (sum(v[k] for v in under) for k in (0, 1))
                 for over, (a, b) in ((True, (p0 - p, n0 - n)), (False, (p, n))):
-                    g = _gain(a, b, p0, n0)
-                    if g > score + 1e-9:
-                        best, score, left = Condition(f, cut, over), g, b
-        if best is None:
+                    ranked.append((_gain(a, b, p0, n0), Condition(f, cut, over), b))
+        score, best, left = max(ranked, key=lambda r: r[0], default=(0.0, None, 0))
+        if score <= 1e-9:
             break
+        # thresholds that part the labelled rows alike: the middle one is farthest from either side
+        alike = [r for r in ranked if r[1].feature == best.feature and r[1].over == best.over and abs(r[0] - score) <= 1e-9]
+        _, best, left = alike[len(alike) // 2]
         rule += (best,)
         if left == 0:
             break
