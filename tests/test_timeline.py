@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import timeline as TL
-from touchline.operators.timeline import Timeline
+from touchline.operators.timeline import Timeline, asof_join, trailing
 
 CUTS = (1.0, 17.0, 18.0, 40.0, 41.0, 55.5, 90.0)
 
@@ -212,3 +212,17 @@ def test_many_cuts_use_the_same_segments(noisy):
 def test_row_order_does_not_matter(noisy):
     tl = Timeline(("k",), "t")
     assert rows(TL.runs(noisy, tl, F.col("s"))) == rows(TL.runs(noisy.orderBy(F.rand(1)), tl, F.col("s")))
+
+
+def test_trailing_ignores_not_a_number(spark):
+    rows = spark.createDataFrame([(1, i, float("nan") if i == 2 else float(i)) for i in range(8)], "k int, t long, v double")
+    got = trailing(rows, Timeline(("k",), "t"), 3, F.col("v"), "w").orderBy("t").collect()
+    assert [(r.w_sum, r.w_n) for r in got] == [(0, 1), (1, 2), (1, 2), (4, 2), (7, 2), (12, 3), (15, 3), (18, 3)]
+
+
+def test_asof_ties_are_settled(spark):
+    left = spark.createDataFrame([(1, 10)], "k int, t long")
+    right = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 12, "d"), (1, 12, "c")], "k int, t long, v string").repartition(3)
+    tl = Timeline(("k",), "t")
+    assert [r.got for r in asof_join(left, right, tl, F.col("v"), "got").collect()] == ["b"]
+    assert [r.got for r in asof_join(left, right, tl, F.col("v"), "got", "forward").collect()] == ["c"]

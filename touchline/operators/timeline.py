@@ -268,10 +268,12 @@ def trailing(df: DataFrame, tl: Timeline, width: int, value: Column, prefix: str
     """Sum and count of ``value`` over the half-open window (t - width, t].
 
     Each row enters the running total at its own time and leaves it at t + width, so
-    a dense stream costs two rows per row instead of re-reading every window.
+    a dense stream costs two rows per row instead of re-reading every window. Not-a-number
+    counts as missing: in a running total it would spoil every later window.
     """
     cols = df.columns
     v, t = value.cast("double"), F.col(tl.time)
+    v = F.when(~F.isnan(v), v)
     one = F.lit(1).cast("bigint")
     enter = df.select(*tl.keys, t, v.alias("__v"), one.alias("__s"), F.struct(*cols).alias("__row"))
     leave = df.select(*tl.keys, (t + F.lit(width)).alias(tl.time), v.alias("__v"), (-one).alias("__s"), F.lit(None).alias("__row"))
@@ -300,6 +302,7 @@ def window_lowest(probes: DataFrame, points: DataFrame, tl: Timeline, half: int,
     p = points.select(*tl.keys, tl.time, value.alias("v")).withColumn("__blk", block(t))
     p = scan(p, tl.by(*tl.keys, "__blk").on(tl.time), head=lowest(F.col("v")), tail=lowest_ahead(F.col("v")))
     back = probes.columns
+    p = p.groupBy(*tl.keys, "__blk", tl.time).agg(F.min("head").alias("head"), F.min("tail").alias("tail"))  # points of one time
     for shift, side, way in ((-half, "tail", "forward"), (half, "head", "backward")):
         moved = probes.withColumn("__at", t).withColumn(tl.time, t + shift)
         got = asof_join(moved, p, tl, F.struct("__blk", F.col(side).alias("v")), f"__{side}", way)

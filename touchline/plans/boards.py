@@ -24,8 +24,8 @@ lp AS (SELECT match_id, round(count(*) FILTER (live)*6/29.97e0/60,6) AS live_min
 sh AS (SELECT match_id, team, count(*) FILTER (kind='SH') AS shots, median(CASE WHEN team=0 THEN x ELSE -x END) AS line FROM stream_v GROUP BY match_id, team),
 tw AS (SELECT match_id, team, count(*) AS wins, round(100e0*count(*) FILTER (x >= 0)/count(*),6) AS wins_high, count(*) FILTER (fast) AS fast FROM tn GROUP BY match_id, team),
 pw AS (SELECT match_id, team, round(100e0*count(*) FILTER (won)/count(*),6) AS press_won FROM pf GROUP BY match_id, team),
-board AS (SELECT s.match_id, s.team, 1 - s.team AS opp, round(CASE WHEN s.team=0 THEN home_pct ELSE 100-home_pct END,6) AS possession, round(s.line+52.5e0,6) AS back_line, coalesce(wins,0) AS wins, wins_high, coalesce(fast,0) AS fast, s.shots AS shots_for, o.shots AS shots_against, live_min, press_won
- FROM sh s JOIN sh o ON s.match_id=o.match_id AND o.team = 1 - s.team JOIN lp ON lp.match_id = s.match_id LEFT JOIN tw ON tw.match_id=s.match_id AND tw.team=s.team LEFT JOIN pw ON pw.match_id=s.match_id AND pw.team=s.team)"""
+board AS (SELECT s.match_id, s.team, 1 - s.team AS opp, round(CASE WHEN s.team=0 THEN home_pct ELSE 100-home_pct END,6) AS possession, round(s.line+52.5e0,6) AS back_line, coalesce(wins,0) AS wins, wins_high, coalesce(fast,0) AS fast, s.shots AS shots_for, coalesce(o.shots, 0) AS shots_against, live_min, press_won
+ FROM sh s LEFT JOIN sh o ON s.match_id=o.match_id AND o.team = 1 - s.team JOIN lp ON lp.match_id = s.match_id LEFT JOIN tw ON tw.match_id=s.match_id AND tw.team=s.team LEFT JOIN pw ON pw.match_id=s.match_id AND pw.team=s.team)"""
 
 
 @per_session
@@ -46,10 +46,10 @@ def make_board(spark: SparkSession, sf: str):
     p = find_presses(spark, sf).groupBy(*k).agg(r6(100.0 * F.count_if("won") / F.count(F.lit(1))).alias("press_won"))
     z = big(F.lit(0))
     return (
-        sh.join(other, k).join(lp, "match_id").join(t, k, "left").join(p, k, "left").select(
+        sh.join(other, k, "left").join(lp, "match_id").join(t, k, "left").join(p, k, "left").select(
             *k, (1 - F.col("team")).alias("opp"), r6(F.when(F.col("team") == 0, F.col("home_pct")).otherwise(100 - F.col("home_pct"))).alias("possession"),
             r6(F.col("line") + P.LENGTH / 2).alias("back_line"), F.coalesce("w", z).alias("wins"), "wins_high", F.coalesce("f", z).alias("fast"),
-            F.col("shots").alias("shots_for"), F.col("against").alias("shots_against"), "live_min", "press_won",
+            F.col("shots").alias("shots_for"), F.coalesce("against", z).alias("shots_against"), "live_min", "press_won",
         )
     )
 
