@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import pitch as P
 from touchline.functions import text as T
-from touchline.operators.timeline import fit_timeline, scan, total
+from touchline.operators.timeline import fit_timeline, row_index, scan, total
 from touchline.plans.events import (
     PRESS_SQL, TURN_SQL, CHANCE_SQL, find_presses, find_turnovers, press_summary, trace_chances, turnover_summary,
 )
@@ -196,8 +196,9 @@ def custom_order(spark, sf):
     """Display order of a squad: starters, position order, minutes, number."""
     p = stream(spark, sf).groupBy("match_id", "team", "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("pos"))
     rank = F.when(F.col("pos") == "SH", 0).when(F.col("pos") == "OTB", 1).when(F.col("pos") == "PA", 2).otherwise(3)
-    w = Window.partitionBy("match_id", "team").orderBy(F.col("n") < 5, rank, F.col("n").desc(), "user_id")
-    return p.select("match_id", "team", "user_id", big(F.row_number().over(w)).alias("place"))
+    most = 1 << 40  # the whole order in one number, so that a squad of any size is ranked in pieces
+    p = p.withColumn("ord", big((F.col("n") < 5).cast("int") * 4 + rank) * most + (most - F.col("n")))
+    return row_index(p, fit_timeline(p, ["match_id", "team"], "ord", ["user_id"]), "place").select("match_id", "team", "user_id", "place")
 
 
 @query("registry_order", """WITH o AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_name) AS ord FROM nation)

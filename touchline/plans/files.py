@@ -177,11 +177,11 @@ def scan_reports_json(spark, sf):
     return r.join(table(spark, sf, "region"), F.col("rk") == F.col("r_regionkey")).select("team", "headline", F.col("r_name").alias("group"))
 
 
-@query("frame_clock_join", "SELECT match_id, CAST(floor(clock_us/300000000e0) AS BIGINT) AS bucket, round(avg(clock_us/1e6 - CASE period WHEN 1 THEN 0 ELSE 2700 END),6) AS mean_elapsed FROM stream_v GROUP BY 1, 2", "stream")
+@query("frame_clock_join", "SELECT match_id, CAST(floor(clock_us/300000000e0) AS BIGINT) AS bucket, round(avg(clock_us/1e6 - CASE period WHEN 1 THEN 0 WHEN 2 THEN 2700 WHEN 3 THEN 5400 ELSE 6300 END),6) AS mean_elapsed FROM stream_v GROUP BY 1, 2", "stream")
 def frame_clock_join(spark, sf):
     """Events given their period clock by joining the frame-to-clock map on the frame key."""
     s = stream(spark, sf)
-    clock = s.select("event_id", (F.col("clock_us") / 1e6 - F.when(F.col("period") == 1, 0).otherwise(2700)).alias("elapsed"))
+    clock = s.select("event_id", (F.col("clock_us") / 1e6 - F.element_at(feeds.code_map(feeds.CLOCK_START), F.col("period").cast("int"))).alias("elapsed"))
     j = s.select("event_id", "match_id", "clock_us").join(clock, "event_id")
     return j.groupBy("match_id", F.floor(F.col("clock_us") / 300000000.0).alias("bucket")).agg(r6(F.avg("elapsed")).alias("mean_elapsed"))
 
