@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from touchline.llm import minhash, neighbours, simple8b, token_files, warc, wrappers
-from touchline.llm.tables import fresh_folder
+from touchline.llm.tables import fresh_folder, written
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -168,7 +168,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert names == ["quality rules", "near-duplicates", "repeated passages", "mixture", "token ids"]
     seen = []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        rows = stage(spark, rows, folder).cache()
+        rows = written(stage(spark, rows, folder), "test-stage")
         seen.append(rows.collect())
         assert k == 4 or rows.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in seen[0]} == {*range(40), 100, 101, None}

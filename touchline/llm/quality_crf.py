@@ -20,7 +20,8 @@ from touchline.llm.hashing import RangeHasher, mixed
 
 #: Labelled documents that the field is fitted on, at most; taken in the order of a hash of their ids.
 SAMPLE = 4000
-#: Lines of a sampled document that are used in fitting, at most; scoring takes all lines.
+#: Lines of a sampled document that are used in fitting, at most, in a row from a place that its id's hash tells; scoring
+#: takes all lines of all documents.
 SAMPLE_LINES = 400
 STEPS, RATE, RIDGE = 200, 0.1, 1e-3
 
@@ -188,7 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 starts, ends, doc = lines_of(raw, offsets)
                 x = line_features(raw, starts, ends, doc).astype(np.float32)
                 bounds = np.append(0, np.cumsum(np.bincount(doc, minlength=end - first)))
-                parts = [x[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                spare = np.maximum(np.diff(bounds) - SAMPLE_LINES, 0)
+                skip = (mixed(np.asarray(batch.column("id").slice(first, end - first)).astype(np.uint64)) % (spare + 1).astype(np.uint64)).astype(np.int64)
+                parts = [x[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in zip(bounds[:-1] + skip, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), batch.column("label").slice(first, end - first), pa.array(parts, pa.binary())], names=["id", "label", "x"])
 
     found = sorted(map(tuple, rows.select("id", "label", "text").mapInArrow(run, "id bigint, label int, x binary").collect()))
