@@ -1,19 +1,40 @@
-"""From raw documents to token ids in five stages; each works on all that the one before kept."""
+"""From raw documents to token ids in five stages; each works on all that the one before kept.
+
+A stage's result is to be written before the next stage begins (``run`` does so): when a stage begins, it deletes the
+intermediate tables of the stages before it.
+"""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import bpe, minhash, mixing, quality_rules, repeats
 from touchline.llm.queries import MIX_SEED, MIX_WEIGHTS, with_domain
-from touchline.llm.tables import table, written
+from touchline.llm.tables import noting, release, table, written
 
 #: Per cent of the words that reach the mix which it draws; every document is drawn once at most.
 MIX_PERCENT = 75
 
+#: Folders of intermediate tables that the latest stage left.
+_left: list[str] = []
+
+
+def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(fn)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        with noting(_left):
+            return fn(spark, docs, sf_dir)
+
+    return begin
+
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the fixed rules, or a rule learned from ``labels``, go."""
     measured = written(quality_rules.with_stats(docs), "measured")  # the text is measured once
@@ -22,12 +43,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return measured.where(~quality_rules.base_failed() & quality_rules.verdict(rules)).select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-duplicate texts, the one with the smallest id stays; rows without an id all stay."""
     gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte of a passage of 200 bytes that stands anywhere else goes, and what a cut leaves of a character; no row goes."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
@@ -37,6 +60,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by domain, language and source; rows without an id cannot be drawn."""
     sized = with_domain(docs.where("doc_id IS NOT NULL")).select("doc_id", "domain", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens"))
@@ -44,6 +68,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(drawn.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
+@stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids (little-endian, 32 bits each) with digests of the ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,8 +88,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, work in STAGES:
+        docs = written(work(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
 
 
