@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Strings remembered per Python worker; when full, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class SliceMemory:
@@ -16,6 +16,7 @@ class SliceMemory:
 
     def __init__(self, encode_many: Callable[[list[bytes]], list[list[int]]]):
         self.encode_many = encode_many
+        self.cuts = False  # for users that cut some tokenizers' strings further
         self.forget()
 
     def forget(self) -> None:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,9 +36,43 @@ _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Printable ASCII and Latin letters with a case of their own: normal forms and lower case of such strings are those of
+#: their characters, so the model can be asked for their parts directly.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]+")
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
+#: The tokenizer's own parts of a string, for such strings.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Kinds of bytes; an odd one keeps its string whole: controls, the apostrophe, and whatever leads no plain Latin letter.
+_OTHER, _LETTER, _DIGIT, _ODD = range(4)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 192), 0xC3, 0xC4, 0xC5]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[39] = _ODD
+#: The signs between these letters (times, divided by) and letters whose lower case is not plain.
+_ODD_PAIRS = np.array([int.from_bytes(c.encode(), "big") for c in "\u00d7\u00f7\u0130\u0131\u017f"], np.uint16)
+
+
+def byte_letters() -> dict[int, str]:
+    """What stands for a character in a byte-level vocabulary: its UTF-8 bytes, unprintable ones moved past U+0100."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    moved = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    letter = {b: chr(b) for b in shown} | moved
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(33, 0x180)}
+
+
 @functools.lru_cache(2)
 def word_memory(path: str) -> SliceMemory:
-    """Ids by the tokenizers library, one string at a time; special tokens' names are ordinary text."""
+    """Ids by the tokenizers library; special tokens' names are ordinary text.
+
+    The library's normaliser costs many times its merges. Strings of ``_PLAIN`` characters are put into lower case and
+    parts here, and each part goes to the library's model once; all others go through the whole library. A tokenizer of
+    another make goes through the whole library always.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -44,20 +80,50 @@ def word_memory(path: str) -> SliceMemory:
     tokenizer.encode_special_tokens = True
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    plain = _PLAIN.fullmatch if _known_make(made) else lambda text: None
+    tokenize, letters = tokenizer.model.tokenize, byte_letters()
 
     def encode_many(pieces: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-
-    return SliceMemory(encode_many)
+        out: list = []
+        hard: list[tuple[int, str]] = []
+        for k, piece in enumerate(pieces):
+            text = piece.decode()
+            if not plain(text):
+                hard.append((k, text))
+                out.append(None)
+            elif text.isascii() and text.isalpha():
+                out.append([t.id for t in tokenize(text.lower())])
+            else:
+                out.append([t.id for part in _PARTS.findall(text.lower()) for t in tokenize(part.translate(letters))])
+        for (k, _), e in zip(hard, tokenizer.encode_batch_fast([t for _, t in hard], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
+
+    memory = SliceMemory(encode_many)
+    memory.cuts = _known_make(made)
+    return memory
+
+
+def _known_make(made: dict) -> bool:
+    """True for the normaliser and parts that ``_PARTS`` restates: NFC, blanks, lower case; one pattern, then bytes."""
+    steps = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    first, *rest = (made.get("pre_tokenizer") or {}).get("pretokenizers", []) or [{}]
+    pattern = first.get("pattern", {}).get("Regex")
+    return steps == ["NFC", "Replace", "Lowercase"] and [r["type"] for r in rest] == ["ByteLevel"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def ids_of_texts(raw: np.ndarray, offsets: np.ndarray, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, each closed by ``end_id``; their number per text).
 
     Texts are cut at ASCII white space, which the tokenizer drops and across which neither its normalisation nor its
-    merges reach, so a cut does not change ids.
+    merges reach, so a cut does not change ids. Between white space, strings of ASCII and plain Latin letters without an
+    apostrophe are cut further, where the tokenizer's own parts end: between letters and others, and around digits.
     """
     n = len(offsets) - 1
+    memory = word_memory(path)
+    raw = _LOWER[raw] if memory.cuts else raw
     solid = ~_GAP[raw]
     edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
     opens, closes = edge[:-1] == 1, edge[1:] == -1
@@ -65,9 +131,19 @@ def ids_of_texts(raw: np.ndarray, offsets: np.ndarray, path: str, end_id: int) -
     both = bound[solid[bound] & solid[bound - 1]] if len(bound) else bound  # words that meet where two texts do
     opens[both] = True
     closes[both - 1] = True
+    if memory.cuts and len(raw):
+        kind = _KIND[raw]
+        odd = kind == _ODD
+        pair = (raw[:-1].astype(np.uint16) << 8) | raw[1:]
+        odd[1:] |= np.isin(pair, _ODD_PAIRS) & (raw[1:] >= 128)
+        word = np.cumsum(opens)
+        whole = np.zeros(int(word[-1]) + 1, bool)
+        whole[word[odd & solid]] = True
+        inner = np.flatnonzero(solid[1:] & solid[:-1] & ~opens[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & ~whole[word[1:]])
+        opens[inner + 1] = True
+        closes[inner] = True
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     buffer = raw.tobytes()
-    memory = word_memory(path)
     which = memory.numbers([buffer[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
     sizes = memory.counts[which]
     words_before = np.searchsorted(starts, offsets)
