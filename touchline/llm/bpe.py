@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import itertools
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -22,9 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.arrays import binary_column, concat_ranges, text_chunks
-
-#: Slices remembered per Python worker; when full, the memory starts anew.
-CACHE_SLICES = 400_000
+from touchline.llm.slices import SliceMemory
 
 # --- classes of code points ---------------------------------------------------------------------------------------
 LETTER, NUMBER, OTHER, BLANK, SPACE, QUOTE1, QUOTE2 = range(7)
@@ -187,42 +184,12 @@ def merge_slice(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Ids of many texts at once; one per Python worker and rank file. A slice is merged once and then found by its bytes."""
+    """Ids of many texts at once."""
 
     def __init__(self, path: str):
-        self.ranks = load_ranks(path)
+        ranks = load_ranks(path)
         self.lengths = token_bytes(path)[2]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.begins = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
-
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """The number of each slice in ``begins`` and ``counts``; new ones are merged and added."""
-        if len(self.known) > CACHE_SLICES:
-            self.forget()
-        known = self.known
-        found = np.fromiter(map(known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            flat, counts = [], []
-            for i in missing.tolist():
-                piece = pieces[i]
-                at = known.get(piece)
-                if at is None:
-                    ids = merge_slice(piece, self.ranks)
-                    at = known[piece] = len(self.counts) + len(counts)
-                    flat += ids
-                    counts.append(len(ids))
-                found[i] = at
-            counts = np.array(counts, np.int64)
-            self.begins = np.append(self.begins, len(self.flat) + np.cumsum(counts) - counts)
-            self.counts = np.append(self.counts, counts)
-            self.flat = np.append(self.flat, np.array(flat, np.uint32))
-        return found
+        self.memory = SliceMemory(lambda pieces: [merge_slice(p, ranks) for p in pieces])
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, their end within the ids per text); ``raw`` is UTF-8, ``offsets`` bounds the texts."""
@@ -234,14 +201,18 @@ class Encoder:
         doc_starts = np.searchsorted(at_byte, offsets[:-1][offsets[:-1] < offsets[1:]])
         starts = at_byte[np.flatnonzero(slice_starts(points, doc_starts))]
         bounds = np.append(starts, len(raw)).tolist()
-        which = self.numbers([buffer[a:b] for a, b in zip(bounds, bounds[1:])])
-        counts = self.counts[which]
-        ids = self.flat[concat_ranges(self.begins[which], counts)]
+        memory = self.memory
+        which = memory.numbers([buffer[a:b] for a, b in zip(bounds, bounds[1:])])
+        counts = memory.counts[which]
+        ids = memory.flat[concat_ranges(memory.begins[which], counts)]
         ends = np.append(0, np.cumsum(counts))
         return ids, ends[np.searchsorted(starts, offsets[1:])]
 
 
-_encoders: dict[str, Encoder] = {}
+@functools.lru_cache(2)
+def shared_encoder(path: str) -> Encoder:
+    """One per Python worker, so that slices stay known from task to task."""
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,8 +224,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, None) or Encoder(path)
-        _encoders[path] = encoder
+        encoder = shared_encoder(path)
         for batch in batches:
             keys = batch.column("key")
             for first, end, raw, offsets in text_chunks(batch, "text"):
@@ -283,7 +253,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 ends = np.frombuffer(b"".join(x.as_py() or b"" for x in stops.slice(first, end - first)), "<u4").astype(np.int64)
                 rows = offsets // 4
                 size = lengths[ids]
-                if len(ends) != len(ids) or not np.array_equal(ends - np.where(np.isin(np.arange(len(ids)), rows[:-1]), 0, np.append(0, ends[:-1])), size):
+                before = np.append(0, ends[:-1])[: len(ids)]
+                before[rows[:-1][rows[:-1] < len(ids)]] = 0  # a text's first token
+                if len(ends) != len(ids) or not np.array_equal(ends - before, size):
                     raise ValueError("offsets do not belong to these ids")
                 out = flat[concat_ranges(begins[ids], size)]
                 bounds = np.append(0, np.cumsum(size))[rows]
