@@ -29,8 +29,9 @@ from touchline.llm.tables import written
 #: Mark, documents, ids, words, wide ids.
 HEAD = struct.Struct("<4sIIII")
 MARK = b"S8B1"
-#: Blocks per file, each of about ``arrays.CHUNK_BYTES`` of text: a file is read by one task, whole.
-BLOCKS_PER_FILE = 16
+#: Bytes of text per block, about, and blocks per file: a file is read by one task, whole.
+BLOCK_BYTES = 1 << 20
+BLOCKS_PER_FILE = 32
 #: Bytes that separate words in every tokenizer used here.
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -196,7 +197,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, raw, offsets in text_chunks(batch, "text"):
+            for first, end, raw, offsets in text_chunks(batch, "text", BLOCK_BYTES):
                 ids, counts = ids_of_texts(raw, offsets, path, end_id)
                 block = to_block(batch.column("key").slice(first, end - first), ids, counts)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
