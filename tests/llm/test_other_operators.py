@@ -147,6 +147,12 @@ def test_main_text(spark):
     assert "p#" in one["h.org"].wrapper and ")?" in one["h.org"].wrapper and ")+" in one["h.org"].wrapper
 
 
+def test_custom_elements_and_closed_drawings_swallow_nothing():
+    inner = ["<video-player src=a></video-player>", "<svg viewBox='0'/>", "<math/>", "<svg a=1><text>no</text></svg>", "<title-bar></title-bar>", "<video src=a>no</video>", "<button\n>no</button>"]
+    for x in inner:
+        assert [t for _, _, t, _ in wrappers.blocks(f"<article><p>one</p>{x}<p>two</p></article>")] == ["one", "two"], x
+
+
 def test_alignment_gives_optional_and_repeated_groups():
     a = wrappers.folded(["ul", "li#", "li#", "li#", "/ul", "h1#", "p#"])
     assert wrappers.to_text(a) == "ul (li#)+ /ul h1# p#"

@@ -35,10 +35,13 @@ OUTSIDE_WORDS = set(
 )
 MAIN_TAGS = ("article", "main")
 
+#: What stands between a tag's name and its end; the name is whole there, so a custom element such as video-player is no video.
+_ATTRS = r"(?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<silent>{'|'.join(SILENT)})\b(?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>.*?(?:</(?P=silent)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>"
+    rf"|<(?:svg|math)(?=[\s/]){_ATTRS}(?<=/)>"
+    rf"|<(?P<silent>{'|'.join(SILENT)})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=silent)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
