@@ -153,6 +153,15 @@ def test_custom_elements_and_closed_drawings_swallow_nothing():
         assert [t for _, _, t, _ in wrappers.blocks(f"<article><p>one</p>{x}<p>two</p></article>")] == ["one", "two"], x
 
 
+def test_names_of_frames_and_parts_of_tokens_hide_no_article():
+    text = "<article class='post no-comments'><header class=entry-header><h1>T</h1></header><p>one</p></article>"
+    for open_, close in [("<body class='single has-sidebar'>", ""), ("<div class='content with-sidebar'>", "</div>"), ("<main id=search-results>", "</main>"), ("<form>", "</form>"), ("<div class=widget>", "</div>")]:
+        assert wrappers.article(f"{open_}{text}{close}", []) == "T\none", open_
+    junk = "".join(f"<div class='{c}'>no</div>" for c in ("sidebar", "cookie-notice", "site-footer", "comment-list", "x ad"))
+    assert wrappers.article(f"<main>{junk}<p>yes</p></main>", []) == "yes"
+    assert wrappers.article(f"<div>{junk}<p>yes</p></div>", []) == "yes"
+
+
 def test_alignment_gives_optional_and_repeated_groups():
     a = wrappers.folded(["ul", "li#", "li#", "li#", "/ul", "h1#", "p#"])
     assert wrappers.to_text(a) == "ul (li#)+ /ul h1# p#"

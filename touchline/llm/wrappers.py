@@ -8,6 +8,7 @@ wrapper. Wrappers are folded within each task first, so a host of any size sends
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -33,7 +34,11 @@ OUTSIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login sidebar "
     "menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar comment comments respond replies disqus related recommended share sharing social widget pagination pager skip search".split()
 )
+#: Words that may stand beside those in one class token (site-footer, comment-list) and say nothing themselves.
+PLACE_WORDS = set("site page main top bottom left right primary secondary inner outer global list area box bar block section wrap wrapper container holder link links item items form".split())
 MAIN_TAGS = ("article", "main")
+#: Holders whose names are never asked.
+FRAME_TAGS = {"html", "body", *MAIN_TAGS}
 
 #: What stands between a tag's name and its end; the name is whole there, so a custom element such as video-player is no video.
 _ATTRS = r"(?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
@@ -48,6 +53,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_APART = re.compile(r"[\s,=\]]+")
 
 SLOT = "#"
 
@@ -60,9 +66,28 @@ def _name(tag: str, attrs: str) -> str:
     return f"{tag}[{','.join(found)}]" if found else tag
 
 
-def _outside(name: str) -> bool:
+@functools.lru_cache(1 << 16)
+def _named_outside(name: str) -> bool:
+    """Whether a whole token of the holder's class, id or role says that it is outside; ``has-sidebar`` and the like do not."""
     tag, _, named = name.partition("[")
-    return tag in OUTSIDE_TAGS or tag == "header" or bool(named and OUTSIDE_WORDS & set(_WORD.findall(named.lower())))
+    if not named or tag in FRAME_TAGS:
+        return False
+    tokens = (set(_WORD.findall(x)) for x in _APART.split(named.lower()))
+    return any(x & OUTSIDE_WORDS and x <= OUTSIDE_WORDS | PLACE_WORDS for x in tokens)
+
+
+def outside_at(holders: tuple[str, ...]) -> tuple[int | None, int | None]:
+    """(first holder that is outside, first article or main), as places in ``holders``.
+
+    A form may hold a whole page, so above an article it is not outside; an article's header holds its title.
+    """
+    own = next((k for k, h in enumerate(holders) if h.partition("[")[0] in MAIN_TAGS), None)
+    for k, h in enumerate(holders):
+        tag = h.partition("[")[0]
+        framing = own is not None and (tag in ("form", "fieldset") if k < own else tag == "header")
+        if ((tag in OUTSIDE_TAGS or tag == "header") and not framing) or _named_outside(h):
+            return k, own
+    return None, own
 
 
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, str, int]]:
@@ -212,24 +237,8 @@ def host_of(url: Column) -> Column:
 
 
 def main_holders(sums: dict[str, list[int]]) -> list[str]:
-    """Paths of the holders whose slots are the article, from text and link characters per path.
-
-    Outermost articles or mains, if any has text; else the path with most text that is not links.
-    """
-    inside: dict[str, int] = {}
-    for path, (chars, links) in sums.items():
-        holders = json.loads(path)
-        if any(_outside(h) for h in holders):
-            continue
-        inside[path] = chars - 2 * links
-    named = set()
-    for path in inside:
-        holders = json.loads(path)
-        at = next((k for k, h in enumerate(holders) if h.partition("[")[0] in MAIN_TAGS), None)
-        if at is not None:
-            named.add(json.dumps(holders[: at + 1]))
-    if named:
-        return sorted(named)
+    """Path of the holder whose slots are the article, from text and link characters per path, on pages without article and main."""
+    inside = {path: chars - 2 * links for path, (chars, links) in sums.items() if outside_at(tuple(json.loads(path))) == (None, None)}
     return [max(sorted(inside), key=inside.get)] if inside else []
 
 
@@ -286,18 +295,20 @@ def infer(pages: DataFrame, url_col: str = "url", body_col: str = "html") -> Dat
 
 
 def article(page: str, main: list[str]) -> str:
-    """The page's text under the wrapper's article holders, outside parts left out; all that is not outside if it has none."""
+    """The page's text in articles or mains, else under the wrapper's holders, else all that is not outside; then articles of outside holders."""
     paths = [tuple(json.loads(p)) for p in main]
-    inside, anywhere = [], []
+    found: list[list[str]] = [[], [], [], []]
     for holders, _, text, _ in blocks(page):
-        own = next((len(p) for p in paths if holders[: len(p)] == p), 0)
-        # an article's own header holds its title
-        if any(_outside(h) and not (own and k >= own and h.partition("[")[0] == "header" and "[" not in h) for k, h in enumerate(holders)):
-            continue
-        anywhere.append(text)
-        if own:
-            inside.append(text)
-    return "\n".join(inside or anywhere)
+        out, own = outside_at(holders)
+        if out is None:
+            found[2].append(text)
+            if own is not None:
+                found[0].append(text)
+            elif any(holders[: len(p)] == p for p in paths):
+                found[1].append(text)
+        elif own is not None and out < own and outside_at(holders[own:])[0] is None:
+            found[3].append(text)
+    return "\n".join(next((x for x in found if x), []))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
