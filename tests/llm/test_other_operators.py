@@ -162,6 +162,12 @@ def test_names_of_frames_and_parts_of_tokens_hide_no_article():
     assert wrappers.article(f"<div>{junk}<p>yes</p></div>", []) == "yes"
 
 
+def test_all_parts_of_an_article_without_holder_stay(spark):
+    body = "<div class=post><h1>Title {0}</h1><div id=intro>intro {0}</div><div id=body><p>long body {0} with words</p></div><ul><li><a href=/x>Other {0}</a></ul></div>"
+    pages = spark.createDataFrame([(k, "http://n.org/", body.format(k)) for k in range(4)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract(pages).collect()} == {k: f"Title {k}\nintro {k}\nlong body {k} with words" for k in range(4)}
+
+
 def test_alignment_gives_optional_and_repeated_groups():
     a = wrappers.folded(["ul", "li#", "li#", "li#", "/ul", "h1#", "p#"])
     assert wrappers.to_text(a) == "ul (li#)+ /ul h1# p#"

@@ -237,9 +237,9 @@ def host_of(url: Column) -> Column:
 
 
 def main_holders(sums: dict[str, list[int]]) -> list[str]:
-    """Path of the holder whose slots are the article, from text and link characters per path, on pages without article and main."""
+    """Paths of the holders whose own text is the article on pages without article and main: all that is not outside nor mostly links."""
     inside = {path: chars - 2 * links for path, (chars, links) in sums.items() if outside_at(tuple(json.loads(path))) == (None, None)}
-    return [max(sorted(inside), key=inside.get)] if inside else []
+    return sorted(path for path, own in inside.items() if own > 0)
 
 
 def infer(pages: DataFrame, url_col: str = "url", body_col: str = "html") -> DataFrame:
@@ -296,7 +296,7 @@ def infer(pages: DataFrame, url_col: str = "url", body_col: str = "html") -> Dat
 
 def article(page: str, main: list[str]) -> str:
     """The page's text in articles or mains, else under the wrapper's holders, else all that is not outside; then articles of outside holders."""
-    paths = [tuple(json.loads(p)) for p in main]
+    paths = {tuple(json.loads(p)) for p in main}
     found: list[list[str]] = [[], [], [], []]
     for holders, _, text, _ in blocks(page):
         out, own = outside_at(holders)
@@ -304,7 +304,7 @@ def article(page: str, main: list[str]) -> str:
             found[2].append(text)
             if own is not None:
                 found[0].append(text)
-            elif any(holders[: len(p)] == p for p in paths):
+            elif holders in paths:
                 found[1].append(text)
         elif own is not None and out < own and outside_at(holders[own:])[0] is None:
             found[3].append(text)
