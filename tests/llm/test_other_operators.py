@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -153,13 +154,49 @@ def test_custom_elements_and_closed_drawings_swallow_nothing():
         assert [t for _, _, t, _ in wrappers.blocks(f"<article><p>one</p>{x}<p>two</p></article>")] == ["one", "two"], x
 
 
+def read_by_wrapper(pages):
+    items = []
+    for p in pages:
+        own = wrappers.shape(list(wrappers.blocks(p)))
+        items = wrappers.aligned(items, own) if items else own
+    matcher, slots = wrappers.Matcher(items), wrappers.Slots()
+    for p in pages:
+        slots.add(matcher, list(wrappers.blocks(p)))
+    return [wrappers.article(p, json.dumps(items), json.dumps(slots.verdict())) for p in pages]
+
+
+def alone(page):
+    return read_by_wrapper([page])[0]
+
+
 def test_names_of_frames_and_parts_of_tokens_hide_no_article():
     text = "<article class='post no-comments'><header class=entry-header><h1>T</h1></header><p>one</p></article>"
     for open_, close in [("<body class='single has-sidebar'>", ""), ("<div class='content with-sidebar'>", "</div>"), ("<main id=search-results>", "</main>"), ("<form>", "</form>"), ("<div class=widget>", "</div>")]:
-        assert wrappers.article(f"{open_}{text}{close}", []) == "T\none", open_
+        assert alone(f"{open_}{text}{close}") == "T\none", open_
     junk = "".join(f"<div class='{c}'>no</div>" for c in ("sidebar", "cookie-notice", "site-footer", "comment-list", "x ad"))
-    assert wrappers.article(f"<main>{junk}<p>yes</p></main>", []) == "yes"
-    assert wrappers.article(f"<div>{junk}<p>yes</p></div>", []) == "yes"
+    assert alone(f"<main>{junk}<p>yes</p></main>") == "yes"
+    assert alone(f"<div>{junk}<p>yes and more</p></div>") == "yes and more"
+
+
+def test_slots_decide_what_is_article_text():
+    page = "<body><article id=post-{0}><h1>Title {0}</h1><div>Read our terms</div>{1}<p>Share this story</p></article><div><p>unrelated</p></div></body>"
+    pages = [page.format(k, "".join(f"<p>text {k} {i} with some more words</p>" for i in range(1 + k))) for k in range(4)]
+    want = ["\n".join([f"Title {k}", *(f"text {k} {i} with some more words" for i in range(1 + k))]) for k in range(4)]
+    got = read_by_wrapper(pages)
+    assert not any("Read our terms" in t or "unrelated" in t for t in got)
+    assert [t.replace("\nShare this story", "") for t in got] == want
+    same = [f"<article><p>The very same article</p></article><div>{k}</div>" for k in range(5)]
+    assert read_by_wrapper(same) == ["The very same article"] * 5  # copies of one page
+    framed = [f"<div class=search><h1>Title {k}</h1><p>words {k}</p></div><div><p>a much longer text {k} beside it</p></div>" for k in range(3)]
+    assert read_by_wrapper(framed) == [f"Title {k}\nwords {k}\na much longer text {k} beside it" for k in range(3)]
+
+
+def test_places_in_a_wrapper():
+    items = ["ul", ["+", ["li#"]], "/ul", ["?", ["h1#"]], ["+", ["p#"]], ["?", ["div", "p#", "/div"]]]
+    m = wrappers.Matcher(items)
+    assert m.names == ["ul", "li#", "/ul", "h1#", "p#", "div", "p#", "/div"]
+    assert m.places(["ul", "li#", "li#", "/ul", "p#", "p#", "div", "p#", "/div"]) == [0, 1, 1, 2, 4, 4, 5, 6, 7]
+    assert m.places(["ul", "new#", "li#", "/ul"]) == [0, -1, 1, 2]
 
 
 def test_all_parts_of_an_article_without_holder_stay(spark):
