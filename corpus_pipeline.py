@@ -43,11 +43,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return measured.where(~quality_rules.base_failed() & quality_rules.verdict(rules)).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a key ``__row`` of each row: ids may be missing or repeated."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+
+
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-duplicate texts, the one with the smallest id stays; rows without an id all stay."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows linked by near-duplicate texts one stays: that with the smallest id, one without an id only if all lack it."""
+    rows = keyed(docs)
+    found = written(minhash.near_duplicates(rows, "__row").join(rows.select("__row", "doc_id"), "__row"), "near-duplicates-found")
+    # minhash keeps the smallest key; where another row has the smallest id, the two change places
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
+    swaps = written(best.where("best.__row <> component_id").select(F.col("best.__row").alias("stays"), F.col("component_id").alias("goes")), "near-duplicates-swaps")
+    gone = found.where("NOT kept").select("__row").join(swaps.select(F.col("stays").alias("__row")), "__row", "left_anti").union(swaps.select("goes"))
+    return rows.join(written(gone, "near-duplicates-gone"), "__row", "left_anti").select(*docs.columns)
 
 
 @stage

@@ -238,6 +238,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == len(seen[4])
 
 
+def test_one_row_of_each_near_duplicate_stays(spark, tmp_path):
+    text = lambda n: " ".join(f"{n}w{k}" for k in range(60))
+    rows = [(None, text("a")), (5, text("a")), (3, text("a") + " tail"), (7, text("b")), (7, text("b")), (None, text("c")), (None, text("c")), (8, text("d")), (8, text("e")), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = written(corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)), "test-stage")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[k] for k in (2, 3, 5, 7, 8, 9, 10)], key=str)
+
+
 def test_minhash_keys_agree_for_equal_sets():
     own = np.sort(np.random.default_rng(0).integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2))
     assert np.array_equal(minhash.bucket_keys(own), minhash.bucket_keys(own.copy())) and len(minhash.bucket_keys(own)) == minhash.BANDS
