@@ -72,10 +72,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by domain, language and source; rows without an id cannot be drawn."""
-    sized = with_domain(docs.where("doc_id IS NOT NULL")).select("doc_id", "domain", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens"))
-    drawn = mixing.draws(written(sized, "words"), ["domain", "lang", "source"], MIX_WEIGHTS, F.expr(f"all_tokens * {MIX_PERCENT} DIV 100"), epochs=1, seed=MIX_SEED)
-    return docs.join(drawn.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Rows drawn by domain, language and source; a row without an id has a digest of its text in the order, a blank one its key."""
+    rows = keyed(docs)
+    n_tokens = mixing.word_count(F.col("text"))
+    unnamed = F.concat(F.lit("-"), F.when(n_tokens > 0, F.md5(F.col("text").cast("binary"))).otherwise(F.col("__row").cast("string")))
+    named = F.coalesce(F.col("doc_id").cast("string"), unnamed)
+    sized = with_domain(rows).select("__row", named.alias("name"), "domain", "lang", "source", n_tokens.alias("n_tokens"))
+    drawn = mixing.draws(written(sized, "words"), ["domain", "lang", "source"], MIX_WEIGHTS, F.expr(f"all_tokens * {MIX_PERCENT} DIV 100"), epochs=1, seed=MIX_SEED, id_col="name")
+    return rows.join(drawn.select("__row"), "__row", "left_semi").select(*docs.columns)
 
 
 @stage

@@ -247,6 +247,17 @@ def test_one_row_of_each_near_duplicate_stays(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[k] for k in (2, 3, 5, 7, 8, 9, 10)], key=str)
 
 
+def test_rows_without_an_id_are_drawn(spark, tmp_path):
+    rows = [(None if k % 3 == 0 else k, " ".join(f"t{k}n{i}" for i in range(10)), "en", f"src{k % 3}") for k in range(90)]
+    rows += [(1000, "one two " * 5, "en", "src1"), (1000, "one two " * 500, "en", "src2")]  # one id, two rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = written(corpus_pipeline.mixture(spark, docs, str(tmp_path)), "test-stage").collect()
+    words = lambda x: sum(len(r[1].split()) for r in x)
+    assert len({(r.doc_id, r.text) for r in got}) == len(got) and set(map(tuple, got)) <= set(rows)
+    assert words(got) <= words(rows) * corpus_pipeline.MIX_PERCENT // 100
+    assert sum(r.doc_id is None for r in got) >= 15
+
+
 def test_minhash_keys_agree_for_equal_sets():
     own = np.sort(np.random.default_rng(0).integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2))
     assert np.array_equal(minhash.bucket_keys(own), minhash.bucket_keys(own.copy())) and len(minhash.bucket_keys(own)) == minhash.BANDS
