@@ -88,6 +88,13 @@ def test_chains_reject_marks_in_payloads_and_cut_files(spark, tmp_path):
     assert got == sorted([b"one", inner * 3, b"two", b"three"])
 
 
+def test_every_gzip_member_is_read(spark, tmp_path):
+    bodies = [b"one", b"two", b"three"]
+    members = [gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n") for b in bodies]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    assert sorted(bytes(r.payload) for r in warc.read(spark, str(tmp_path)).collect()) == sorted(bodies)
+
+
 # --- neighbours
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD_NODES", 150)

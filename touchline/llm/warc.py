@@ -97,11 +97,21 @@ def reached(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
     return marks[:n]
 
 
+def _unpacked(data: bytes) -> bytes:
+    """All members of a gzip file; of a member that the file ends in, what can be read. Bytes after the last member are no member."""
+    parts = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        parts.append(member.decompress(data))
+        data = member.unused_data.lstrip(b"\0")  # files may be padded
+    return b"".join(parts)
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """``(file, offset, record_type, page_id, url, refers_to, digest, length, payload)`` of every record of the archives.
 
     ``digest`` and ``length`` are the head's, ``payload`` the stored bytes. Records that the file ends in are left out. Files
-    may be gzip or plain.
+    may be gzip, of any number of members, or plain.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +126,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 data = content.as_py()
                 if data[:2] == b"\x1f\x8b":
-                    data = zlib.decompress(data, wbits=31)
+                    data = _unpacked(data)
                 offset, payload, successor = candidates(data)
                 good = reached(offset, successor) & (successor <= len(data))
                 out, size = [], 0
