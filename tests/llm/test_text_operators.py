@@ -109,6 +109,13 @@ def test_near_duplicates(spark, docs, no_docs, seed):
         assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_different_texts(spark):
+    text = lambda n, *tail: " ".join([*(f"{n}w{k}" for k in range(60)), *tail])
+    rows = [(5, text("a")), (5, text("b")), (6, text("a", "x")), (7, text("b", "x")), (8, text("c")), (9, text("c")), (9, text("d")), (10, text("d", "x")), (11, text("e"))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows)
+
+
 def test_components_of_a_long_path_and_loops(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 7), (9, 3), (3, 9), (None, 4)], "u long, v long")
     got = dict(map(tuple, components(links).collect()))

@@ -93,19 +93,20 @@ def bucket_keys(own: np.ndarray) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two signed numbers of 64 bits per set."""
+    lane = np.arange(1, 3, dtype=np.uint64)[:, None] * np.uint64(0x2545F4914F6CDD1D)
+    return np.array([mixed(own[None, :] ^ lane).sum(1) for own in sets], np.uint64).view(np.int64).reshape(-1, 2)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, hi, lo, keys)`` per row: size, 128-bit digest and bucket keys of its set. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lane = np.arange(1, 3, dtype=np.uint64)[:, None] * np.uint64(0x2545F4914F6CDD1D)
         for batch in batches:
             for first, end, raw, offsets in text_chunks(batch, "text", 1 << 19):
-                sizes, digests, keys = [], [], []
-                for own in shingle_sets(raw, offsets):
-                    sizes.append(len(own))
-                    digests.append(mixed(own[None, :] ^ lane).sum(1))
-                    keys.append(bucket_keys(own))
-                digest = np.array(digests, np.uint64).view(np.int64).reshape(-1, 2)
+                sets = list(shingle_sets(raw, offsets))
+                sizes, keys, digest = [len(own) for own in sets], [bucket_keys(own) for own in sets], _digests(sets)
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32), pa.array(np.concatenate(keys).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), pa.array(np.array(sizes, np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists], names=["id", "n_shingles", "hi", "lo", "keys"])
 
@@ -113,16 +114,26 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
-    """``(id, shingles)``: the sorted hashes as bytes."""
+    """``(id, hi, lo, shingles)``: the set's digest and its sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, raw, offsets in text_chunks(batch, "text", 1 << 19):
                 sets = list(shingle_sets(raw, offsets))
                 bounds = np.append(0, np.cumsum([len(s) for s in sets])) * 8
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), binary_column(np.concatenate(sets).view(np.uint8), bounds)], names=["id", "shingles"])
+                digest = _digests(sets)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), binary_column(np.concatenate(sets).view(np.uint8), bounds)], names=["id", "hi", "lo", "shingles"])
+
+    return docs.mapInArrow(run, "id bigint, hi bigint, lo bigint, shingles binary")
+
 
-    return docs.mapInArrow(run, "id bigint, shingles binary")
+def _links_of_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(u, v)``: the classes ``rep`` of each id that stands at different sets, linked to one of them."""
+    digest = F.struct("hi", "lo")
+    apart = written(some.groupBy("id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("id", "a"), "repeated-ids")
+    pairs = some.join(apart, "id").select("hi", "lo", F.col("a.hi").alias("a_hi"), F.col("a.lo").alias("a_lo")).distinct()
+    ends = classes.select("hi", "lo", F.col("rep").alias("v")), classes.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("rep").alias("u"))
+    return written(pairs.join(ends[0], ["hi", "lo"]).join(ends[1], ["a_hi", "a_lo"]).where("u <> v").select("u", "v"), "repeated-ids")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -200,22 +211,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = written(signatures(docs, id_col, text_col), "signatures")
     some = rows.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = written(some.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")), "set-classes")
+    # a class of equal sets has a number of its own, rep: its least id may have other sets too
+    classes = some.groupBy("hi", "lo").agg(F.min("id").alias("least_id"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "set-classes")
+    same_id = _links_of_ids(some, classes)
     members = classes.select("rep", "n", F.explode("keys").alias("key"))
     # buckets with company, each member with the number of others it meets over all its buckets
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(members.join(written(shared, "buckets"), "key"), "buckets")
     meets = members.groupBy("rep").agg(F.sum("size").alias("meets"))
     members = written(members.join(meets, "rep").select("key", "rep", "n", "meets"), "buckets")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    wanted = written(classes.select("hi", "lo", "rep", "least_id").join(members.select("rep").distinct(), "rep", "left_semi"), "buckets")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(_full_sets(texts.join(wanted, "id", "left_semi")).dropDuplicates(["id"]), "full-sets")
+    held = _full_sets(texts.join(wanted.select(F.col("least_id").alias("id")), "id", "left_semi"))
+    sets = written(held.dropDuplicates(["hi", "lo"]).join(wanted, ["hi", "lo"]).select(F.col("rep").alias("id"), "shingles"), "full-sets")
 
     hubs = written(members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"), "rep", "n")).alias("hub")).select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     star = members.join(hubs, "key").where("rep <> hub")
     pairs = star.where(_near_in_size("n", "hub_n")).select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
     tried = written(_compared(pairs.distinct(), sets), "compared")
-    links = tried.where("linked").select("u", "v")
+    links = tried.where("linked").select("u", "v").union(same_id)
     label = written(components(links), "labels")
     # a hub has met its whole bucket; what is left is settled if it is one component
     rest = star.select("key", "rep", "n", "hub", "hub_n").join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
@@ -226,7 +241,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(more.where("linked").select("u", "v")).union(asked.where("linked").select("u", "v"))
     label = written(components(links), "labels")
 
-    named = classes.select("hi", "lo", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
+    label = written(label.join(classes.select(F.col("rep").alias("node"), "least_id"), "node"), "labels")
+    ids = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    label = label.join(ids, "component").select(F.col("node").alias("rep"), "component_id")
+    named = classes.select("hi", "lo", "rep", "least_id").join(label, "rep", "left").select("hi", "lo", F.coalesce("component_id", "least_id").alias("component_id"))
     out = rows.join(named, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
