@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, minhash, mixing, neighbours, quality_crf, quality_rules, repeats, token_files, warc, wrappers
+from touchline.llm import bpe, minhash, mixing, neighbours, quality_crf, quality_rules, repeats, simhash, token_files, warc, wrappers
 from touchline.llm.tables import fresh_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
