@@ -22,6 +22,8 @@ from touchline.llm.components import components
 from touchline.llm.tables import written
 
 WORDS, SEED, RADIUS, BITS = 3, 42, 2, 64
+#: Parts of the rows of one fingerprint, so that no task gets them all.
+PARTS = 64
 #: Bytes of a text that are cut into words at once, and hashes that are counted at once.
 PIECE_BYTES, COUNTED = 1 << 20, 1 << 16
 
@@ -116,12 +118,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without an id link too and may connect others, but name no component: it is null where all rows lack an id.
     Repeated rows stay, each with the same result. Other columns are ignored.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
+    rows = written(fingerprints(docs, id_col, text_col).withColumn("part", part), "fingerprints")
     classes = written(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "fingerprint-classes")
     label = written(components(links(classes.select("fingerprint"), radius)), "labels")
     linked = classes.join(label.withColumnRenamed("node", "fingerprint"), "fingerprint")
     named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     label = label.join(named, "component").select(F.col("node").alias("fingerprint"), "component_id")
-    every = classes.join(label, "fingerprint", "left").select("fingerprint", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    every = classes.join(label, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
-    return rows.join(every, "fingerprint").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    every = written(rows.select("fingerprint", "part").distinct().join(every, "fingerprint"), "labels")
+    return rows.join(every, ["fingerprint", "part"]).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
