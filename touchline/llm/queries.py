@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, minhash, mixing, neighbours, quality_crf, quality_rules, repeats, simhash, token_files, warc, wrappers
+from touchline.llm import bpe, minhash, mixing, neighbours, prefix_trie, quality_crf, quality_rules, repeats, simhash, token_files, turn_repair, warc, wrappers
 from touchline.llm.tables import fresh_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_simhash")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a string of ASCII characters, in SQL without such a function: bit by bit."""
+    step = "list_reduce(list_prepend(xor(a, b), range(8)), lambda q, i: CASE WHEN q % 2 = 1 THEN xor(q >> 1, 3988292384::BIGINT) ELSE q >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: {step}), 4294967295::BIGINT)"
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+WITH n AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM n)),
+r AS (SELECT c.conv_id, 0 AS part, n.place, role, text FROM c JOIN n ON n.conv_id = c.base AND place <= h
+  UNION ALL SELECT c.conv_id, 1, n.place, role, text FROM c JOIN n ON n.conv_id = c.conv_id AND place > h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, sha256(strlen(role) || ':' || role || text) AS turn_name,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+p AS (SELECT conv_id, depth, words, sha256(string_agg(turn_name, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM s
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY 1),
+e AS (SELECT node, sha256(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)) AS ends FROM p JOIN l USING (conv_id, depth) GROUP BY 1),
+g AS (SELECT node, min(conv_id) AS conv_id, count(*) AS n_convs, min(depth) AS depth, min(words) AS words FROM p GROUP BY 1),
+u AS (SELECT g.*, p.node AS parent FROM g LEFT JOIN p ON p.conv_id = g.conv_id AND p.depth = g.depth - 1),
+k AS (SELECT parent, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY 1),
+w AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k ON k.parent = u.node),
+t AS (SELECT p.node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w.words) AS saved
+  FROM w JOIN p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY 1)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, v.conv_id AS parent_conv_id, CAST(w.n_convs AS BIGINT) AS n_convs, CAST(w.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM w JOIN t USING (node) LEFT JOIN g v ON v.node = w.parent LEFT JOIN e ON e.node = w.node
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_turn_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
