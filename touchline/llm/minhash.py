@@ -31,6 +31,8 @@ BANDS = BINS // BAND
 #: Sets of up to SMALL shingles are looked up by prefixes instead, which is exact; sets from SMALL * 0.75 on by bands too.
 SMALL = 64
 PER_CENT = 75
+#: Bits of a sieve of ids: 8 MB, whatever the number of ids. When it is full, more rows pass than were asked for.
+SIEVE_BITS = 1 << 26
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -113,18 +115,40 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, n_shingles bigint, hi bigint, lo bigint, keys array<bigint>")
 
 
+def _sieved(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows whose ``id`` is among ``asked (id)``, and few others: what need not be shuffled is left where it is.
+
+    The ids are marked in a table of bits of fixed size, so what reaches the driver and the tasks does not grow with them.
+    """
+    place = F.xxhash64("id").bitwiseAND(F.lit(SIEVE_BITS - 1))
+    marks = asked.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()
+    words = np.zeros(SIEVE_BITS >> 6, np.int64)
+    words[np.asarray(marks["word"])] = np.asarray(marks["bits"])
+    names, shared = rows.columns, rows.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("place"))
+            found = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            if found.any():
+                yield batch.filter(pa.array(found.astype(bool))).select(names)
+
+    return rows.withColumn("place", place).mapInArrow(run, rows.schema)
+
+
 def _full_sets(docs: DataFrame) -> DataFrame:
-    """``(id, hi, lo, shingles)``: the set's digest and its sorted hashes as bytes."""
+    """``(hi, lo, shingles)``: the set's digest and its sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, raw, offsets in text_chunks(batch, "text", 1 << 19):
+            for _, _, raw, offsets in text_chunks(batch, "text", 1 << 19):
                 sets = list(shingle_sets(raw, offsets))
                 bounds = np.append(0, np.cumsum([len(s) for s in sets])) * 8
                 digest = _digests(sets)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), binary_column(np.concatenate(sets).view(np.uint8), bounds)], names=["id", "hi", "lo", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), binary_column(np.concatenate(sets).view(np.uint8), bounds)], names=["hi", "lo", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, hi bigint, lo bigint, shingles binary")
+    return docs.mapInArrow(run, "hi bigint, lo bigint, shingles binary")
 
 
 def _links_of_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
@@ -136,8 +160,8 @@ def _links_of_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
     return written(pairs.join(ends[0], ["hi", "lo"]).join(ends[1], ["a_hi", "a_lo"]).where("u <> v").select("u", "v"), "repeated-ids")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(u, v, linked, only_u, only_v)`` of the pairs ``(u, v)``, by their full sets; the last two are what one has alone."""
+def _compared(pairs: DataFrame, sets: DataFrame, apart: bool = False) -> DataFrame:
+    """``(u, v, linked)`` of the pairs ``(u, v)``, by their full sets; with ``apart`` also ``only_u`` and ``only_v``, what one has alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,28 +170,33 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = x[at] == y
-                mine = np.ones(len(x), bool)
-                mine[at[both]] = False
                 common = int(both.sum())
                 linked.append(100 * common >= PER_CENT * (len(x) + len(y) - common))
-                for k, part in enumerate((x[mine], y[~both])):
-                    alone[k].append(part)
-                    sizes[k].append(len(part))
+                if apart:
+                    mine = np.ones(len(x), bool)
+                    mine[at[both]] = False
+                    for k, part in enumerate((x[mine], y[~both])):
+                        alone[k].append(part)
+                        sizes[k].append(len(part))
+            flags = [batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())]
+            if not apart:
+                yield pa.RecordBatch.from_arrays(flags, names=["u", "v", "linked"])
+                continue
             lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes[k])).astype(np.int32), pa.array(np.concatenate([*alone[k], np.zeros(0, np.uint64)]).view(np.int64))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), *lists], names=["u", "v", "linked", "only_u", "only_v"])
+            yield pa.RecordBatch.from_arrays([*flags, *lists], names=["u", "v", "linked", "only_u", "only_v"])
 
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint, linked boolean, only_u array<bigint>, only_v array<bigint>")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint, linked boolean" + ", only_u array<bigint>, only_v array<bigint>" * apart)
 
 
-def _unsettled(rest: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame:
+def _unsettled(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """``(u, v, linked)`` for members ``(key, rep, n, c, hub, hub_n)`` of a bucket in different components ``c``; pairs that
     are not linked are left out, ``linked`` is null where the full sets must tell.
 
     Shingles that no other member of any such bucket holds can be in no intersection. With x others of n in each set, a
     link needs min(x, x') >= 3/7 (n + n'), so one of the two has x >= 6/7 n; edited copies that miss the similarity by
-    their edits so meet nobody. Where both were compared with the hub, their intersection follows from what sets them
+    their edits so meet nobody. Where both are near the hub in size, their intersection follows from what sets them
     apart from it, within the join: no pair is made that is no link.
     """
 
@@ -177,16 +206,16 @@ def _unsettled(rest: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame:
             counts = np.array([len(x.as_buffer()) // 8 for x in batch.column("shingles")])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("id")), counts)), pa.array(flat)], names=["id", "shingle"])
 
-    asked = rest.select(F.col("rep").alias("id")).distinct()
-    held = sets.join(asked, "id", "left_semi").select("id", "shingles").mapInArrow(run, "id bigint, shingle bigint")
+    held = sets.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "shingles").mapInArrow(run, "id bigint, shingle bigint")
     alone = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("id").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     rows = rest.join(alone, "rep", "left").withColumn("x", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("x") * 100 >= F.col("n") * PER_CENT).drop("alone")
     rows = written(rows, "buckets")
     strong = F.col("x") * 7 >= F.col("n") * 6
     kinds = written(rows.where(strong).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "buckets")
-    apart = tried.select(F.col("u").alias("hub"), F.col("v").alias("rep"), F.col("only_u").alias("lacks"), F.col("only_v").alias("more"))
-    apart = apart.union(tried.select("v", "u", "only_v", "only_u"))
-    rows = rows.join(kinds, "key").where(strong | (F.col("lo") != F.col("c")) | (F.col("hi") != F.col("c"))).join(apart, ["hub", "rep"], "left")
+    rows = written(rows.join(kinds, "key").where(strong | (F.col("lo") != F.col("c")) | (F.col("hi") != F.col("c"))), "buckets")
+    near = rows.where(_near_in_size("n", "hub_n")).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+    apart = written(_compared(near, sets, apart=True), "apart").select(F.col("u").alias("rep"), F.col("v").alias("hub"), F.col("only_v").alias("lacks"), F.col("only_u").alias("more"))
+    rows = rows.join(apart, ["hub", "rep"], "left")
     looking = rows.where("lo <> c OR hi <> c").alias("l")
     firm = rows.where(strong).alias("f")
     sizes = F.col("l.n") + F.col("f.n")
@@ -223,8 +252,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(members.join(meets, "rep").select("key", "rep", "n", "meets"), "buckets")
     wanted = written(classes.select("hi", "lo", "rep", "least_id").join(members.select("rep").distinct(), "rep", "left_semi"), "buckets")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = _full_sets(texts.join(wanted.select(F.col("least_id").alias("id")), "id", "left_semi"))
-    sets = written(held.dropDuplicates(["hi", "lo"]).join(wanted, ["hi", "lo"]).select(F.col("rep").alias("id"), "shingles"), "full-sets")
+    held = _full_sets(_sieved(texts, wanted.select(F.col("least_id").alias("id"))))
+    # one text of each class is read, more where ids are repeated
+    sets = written(held.join(wanted, ["hi", "lo"]).dropDuplicates(["hi", "lo"]).select(F.col("rep").alias("id"), "shingles"), "full-sets")
 
     hubs = written(members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"), "rep", "n")).alias("hub")).select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     star = members.join(hubs, "key").where("rep <> hub")
@@ -236,8 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = star.select("key", "rep", "n", "hub", "hub_n").join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     open_ = written(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "buckets")
     rest = written(rest.join(open_, "key"), "buckets")
-    more = written(_unsettled(rest, sets, tried), "candidates")
-    asked = _compared(more.where("linked IS NULL").select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti"), sets)
+    some_sets = written(_sieved(sets, rest.select(F.col("rep").alias("id")).union(rest.select("hub"))), "full-sets")
+    more = written(_unsettled(rest, some_sets), "candidates")
+    asked = written(_compared(more.where("linked IS NULL").select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti"), some_sets), "compared")
     links = links.union(more.where("linked").select("u", "v")).union(asked.where("linked").select("u", "v"))
     label = written(components(links), "labels")
 
