@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import sequences as Q
-from touchline.operators.assignment import TrackSet, assign
+from touchline.operators.assignment import TrackSet, assign, assign_many
 from touchline.operators.timeline import Timeline
 
 
@@ -26,6 +26,29 @@ def test_assignment_is_optimal():
         assert sum(c[a, b] for a, b in got) == pytest.approx(best)
 
 
+def test_assignments_of_a_stack_are_those_of_each():
+    rng = np.random.default_rng(1)
+    for n, m in [(1, 1), (3, 3), (2, 5), (5, 6)]:
+        stack = np.round(rng.random((40, n, m)), 1)  # with ties
+        for cost, columns in zip(stack, assign_many(stack)):
+            assert len(set(columns)) == n
+            assert cost[np.arange(n), columns].sum() == pytest.approx(min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n)))
+
+
+@pytest.mark.parametrize("start", [-5000, 0, 700_000])
+def test_rate_limit_over_many_levels(spark, start):
+    """Slices composed by threes, with empty stretches and times before zero."""
+    rng = random.Random(start)
+    rows = sorted({(rng.randint(0, 1), start + rng.choice([0, 9000]) + rng.randint(0, 3000)) for _ in range(400)})
+    got = {tuple(r) for r in Q.rate_limit(spark.createDataFrame(rows, "k int, t long"), ["k"], "t", 5, fan_in=3).collect()}
+    want, last = set(), {}
+    for k, t in rows:
+        if k not in last or t - last[k] >= 5:
+            last[k] = t
+            want.add((k, t))
+    assert got == want
+
+
 def matrix_smoother(t, z, q, r, gate):
     """The same model with full 4-state matrices."""
     H = np.eye(2, 4)

@@ -226,3 +226,19 @@ def test_asof_ties_are_settled(spark):
     tl = Timeline(("k",), "t")
     assert [r.got for r in asof_join(left, right, tl, F.col("v"), "got").collect()] == ["b"]
     assert [r.got for r in asof_join(left, right, tl, F.col("v"), "got", "forward").collect()] == ["c"]
+
+
+@pytest.mark.parametrize("ahead", [False, True])
+def test_window_folds_by_definition(spark, ahead):
+    """Infinite values, not-a-numbers and nulls touch only the windows they are in; rows of one time see each other."""
+    rows = [(k % 2, (k * 7) % 40, float("inf") if k == 17 else float("nan") if k == 23 else None if k == 31 else (k * 13 % 29) / 7, k) for k in range(60)]
+    d = spark.createDataFrame(rows, "k int, t int, v double, id int")
+
+    def stats(tl):
+        return TL.window_stats(d, tl, 9, F.col("v"), "w", ("sum", "n", "min", "max"), ahead).select("id", F.round("w_sum", 9), "w_n", "w_min", "w_max")
+
+    for i, total, n, low, top in both(stats):
+        r = rows[i]
+        near = [o[2] for o in rows if o[0] == r[0] and (r[1] <= o[1] < r[1] + 9 if ahead else r[1] - 9 < o[1] <= r[1]) and o[2] is not None and o[2] == o[2]]
+        assert n == len(near) and (low, top) == ((min(near), max(near)) if near else (None, None))
+        assert total == (pytest.approx(sum(near)) if near else None)

@@ -8,49 +8,74 @@ import numpy as np
 import pandas as pd
 
 
+def assign_many(cost: np.ndarray) -> np.ndarray:
+    """For each matrix of a stack (k, n, m), n <= m, the column of every row in its assignment of least cost.
+
+    Shortest augmenting paths with potentials, all matrices in step: row by row, a search goes on in those that have not
+    reached a free column yet.
+    """
+    k, n, m = cost.shape
+    u, v = np.zeros((k, n + 1)), np.zeros((k, m + 1))
+    owner = np.zeros((k, m + 1), int)  # column 0 holds the row that is being placed
+    for i in range(1, n + 1):
+        owner[:, 0] = i
+        at, best, back = np.zeros(k, int), np.full((k, m + 1), np.inf), np.zeros((k, m + 1), int)
+        done = np.zeros((k, m + 1), bool)
+        go = np.arange(k)
+        while len(go):
+            done[go, at[go]] = True
+            row = owner[go, at[go]]
+            slack = cost[go, row - 1] - u[go, row][:, None] - v[go, 1:]
+            free = ~done[go, 1:]
+            closer = free & (slack < best[go, 1:])
+            best[go, 1:] = np.where(closer, slack, best[go, 1:])
+            back[go, 1:] = np.where(closer, at[go][:, None], back[go, 1:])
+            reach = np.where(free, best[go, 1:], np.inf)
+            nearest = reach.argmin(1)
+            step = reach[np.arange(len(go)), nearest][:, None]
+            raised = np.zeros((len(go), n + 1))
+            np.put_along_axis(raised, np.where(done[go], owner[go], 0), np.where(done[go], step, 0.0), 1)
+            raised[:, 0] = 0
+            u[go] += raised
+            v[go] -= np.where(done[go], step, 0.0)
+            best[go] -= np.where(done[go], 0.0, step)
+            at[go] = nearest + 1
+            go = go[owner[go, at[go]] != 0]
+        go = np.arange(k)
+        while len(go):
+            was = back[go, at[go]]
+            owner[go, at[go]] = owner[go, was]
+            at[go] = was
+            go = go[was != 0]
+    chosen = np.zeros((k, n + 1), int)
+    np.put_along_axis(chosen, owner[:, 1:], np.broadcast_to(np.arange(m), (k, m)), 1)
+    return chosen[:, 1:]
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Minimum-cost assignment by successive shortest augmenting paths with potentials."""
+    """Pairs (row, column) of the assignment of least cost."""
     flipped = cost.shape[0] > cost.shape[1]
-    c = cost.T if flipped else cost
-    n, m = c.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        owner[0], j = i, 0
-        best = np.full(m + 1, np.inf)
-        back = np.zeros(m + 1, dtype=int)
-        done = np.zeros(m + 1, dtype=bool)
-        while owner[j]:
-            done[j] = True
-            row = owner[j]
-            slack = c[row - 1] - u[row] - v[1:]
-            free = ~done[1:]
-            better = free & (slack < best[1:])
-            best[1:][better] = slack[better]
-            back[1:][better] = j
-            k = int(np.argmin(np.where(free, best[1:], np.inf))) + 1
-            step = best[k]
-            u[owner[done]] += step
-            v[done] -= step
-            best[~done] -= step
-            j = k
-        while j:
-            owner[j] = owner[back[j]]
-            j = back[j]
-    pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return [(b, a) for a, b in pairs] if flipped else sorted(pairs)
+    columns = assign_many((cost.T if flipped else cost)[None])[0].tolist()
+    return sorted((b, a) if flipped else (a, b) for a, b in enumerate(columns))
 
 
 def matched_distances(batches: Iterator[pd.DataFrame], gate: float) -> Iterator[pd.DataFrame]:
-    """mapInPandas body: columns frame, ax, ay, bx, by (arrays) to one row per accepted pair."""
+    """mapInPandas body: columns frame, ax, ay, bx, by (arrays) to one row per accepted pair; frames of one size are solved together."""
     for pdf in batches:
-        out = []
-        for f, ax, ay, bx, by in zip(pdf.frame, pdf.ax, pdf.ay, pdf.bx, pdf.by):
-            if not len(ax) or not len(bx):
+        sizes = pdf.ax.str.len().to_numpy(), pdf.bx.str.len().to_numpy()
+        for n, m in set(zip(*sizes)):
+            if not n or not m:
                 continue
-            d = np.hypot(np.subtract.outer(ax, bx), np.subtract.outer(ay, by))
-            out += [(f, a, b, float(d[a, b])) for a, b in assign(d) if d[a, b] <= gate]
-        yield pd.DataFrame(out, columns=["frame", "a", "b", "err"])
+            some = pdf[(sizes[0] == n) & (sizes[1] == m)]
+            ax, ay, bx, by = (np.stack(some[c].to_numpy()) for c in ("ax", "ay", "bx", "by"))
+            d = np.hypot(ax[:, :, None] - bx[:, None, :], ay[:, :, None] - by[:, None, :])
+            columns = assign_many(d if n <= m else d.transpose(0, 2, 1))
+            rows = np.broadcast_to(np.arange(columns.shape[1]), columns.shape)
+            a, b = (rows, columns) if n <= m else (columns, rows)
+            frame = np.broadcast_to(np.arange(len(some))[:, None], a.shape)
+            err = d[frame, a, b]
+            near = err <= gate
+            yield pd.DataFrame({"frame": some["frame"].to_numpy()[frame[near]], "a": a[near], "b": b[near], "err": err[near]})
 
 
 class TrackSet:

@@ -33,13 +33,14 @@ def chain_ends(t: np.ndarray, gap: int) -> np.ndarray:
     return end
 
 
-def rate_limit(df: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame:
+def rate_limit(df: DataFrame, keys: list[str], time: str, gap: int, fan_in: int = 64) -> DataFrame:
     """Keep the first row of a key, then each first row at least ``gap`` after the last kept one.
 
     Time is cut into slices of 16 gaps.  A slice depends on the past only through the
     time it is next allowed to accept, so (1) each slice is reduced to "allowed time ->
-    last accepted", a handful of steps because chains merge; (2) the slices of a key
-    are walked in order on that small table; (3) each slice picks its rows.
+    last accepted", a handful of steps because chains merge; (2) ``fan_in`` slices in a row
+    are composed to one such function, those again, until one is left; (3) on the way back
+    each slice learns when it may accept, and picks its rows. No group holds a whole key.
     Columns other than keys and time are dropped; times are distinct per key.
     """
     width = 16 * gap
@@ -56,14 +57,31 @@ def rate_limit(df: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame
         last = np.append(np.flatnonzero(np.diff(ends)), m - 1)
         return pd.DataFrame([[*key, t[last].tolist(), ends[last].tolist()]], columns=[*keys, "slot", "upto", "last"])
 
-    def walk(key, pdf):
-        pdf = pdf.sort_values("slot")
-        allowed, rows = -(2**62), []
-        for slot_no, upto, last in zip(pdf["slot"], pdf["upto"], pdf["last"]):
-            rows.append([*key, slot_no, allowed])
-            i = int(np.searchsorted(np.asarray(upto), allowed, "left"))
+    def through(allowed, parts):
+        for upto, last in parts:
+            i = int(np.searchsorted(upto, allowed, "left"))
             if i < len(upto):
                 allowed = int(last[i]) + gap
+        return allowed
+
+    def composed(key, pdf):
+        """Slices in a row as one: what the first lets through goes on through the others."""
+        pdf = pdf.sort_values("slot")
+        (upto, last), *rest = zip(pdf["upto"], pdf["last"])
+        ends = [through(int(x) + gap, rest) - gap for x in last]
+        upto = upto.tolist()
+        top = int(pdf["start"].iloc[0]) + gap  # no time accepted before these slices blocks any of them but the first
+        if rest and upto[-1] < top:
+            upto, ends = [*upto, top], [*ends, through(-(2**62), rest) - gap]
+        return pd.DataFrame([[*key, upto, ends]], columns=[*keys, "slot", "upto", "last"])
+
+    def spread(key, pdf):
+        """When each of the slices in a row may accept again, from when the row of them may."""
+        pdf = pdf.sort_values("slot")
+        allowed, rows = int(pdf["allowed"].iloc[0]), []
+        for slot_no, upto, last in zip(pdf["slot"], pdf["upto"], pdf["last"]):
+            rows.append([*key[:-1], slot_no, allowed])
+            allowed = through(allowed, [(upto, last)])
         return pd.DataFrame(rows, columns=[*keys, "slot", "allowed"])
 
     def pick(key, pdf):
@@ -74,7 +92,20 @@ def rate_limit(df: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame
     steps = d.groupBy(*keys, "slot").applyInPandas(
         reduce_slice, f"{key_ddl}, slot bigint, upto array<bigint>, last array<bigint>"
     )
-    state = steps.groupBy(*keys).applyInPandas(walk, f"{key_ddl}, slot bigint, allowed bigint")
+    low, high = d.agg(F.min("slot"), F.max("slot")).first()
+    levels, span, rows_of = [steps], width, (high or 0) - (low or 0) + 1
+    base = low or 0  # slots count from the first one, so that all end up in one row of slices
+    steps = levels[0] = steps.withColumn("slot", F.col("slot") - F.lit(base))
+    up = F.floor(F.col("slot") / fan_in)
+    while rows_of > 1:
+        span, rows_of = span * fan_in, -(-rows_of // fan_in)
+        grouped = levels[-1].withColumn("up", up).withColumn("start", F.col("up") * F.lit(span) + F.lit(base * width)).groupBy(*keys, "up")
+        levels.append(grouped.applyInPandas(composed, f"{key_ddl}, slot bigint, upto array<bigint>, last array<bigint>"))
+    state = levels.pop().select(*keys, "slot", F.lit(-(2**62)).alias("allowed"))
+    while levels:
+        under = levels.pop().withColumn("up", up).join(state.withColumnRenamed("slot", "up"), [*keys, "up"])
+        state = under.groupBy(*keys, "up").applyInPandas(spread, f"{key_ddl}, slot bigint, allowed bigint")
+    state = state.withColumn("slot", F.col("slot") + F.lit(base))
     kept = d.join(state, [*keys, "slot"]).groupBy(*keys, "slot").applyInPandas(pick, f"{key_ddl}, t bigint")
     return kept.withColumnRenamed("t", time)
 

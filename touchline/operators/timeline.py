@@ -24,6 +24,7 @@ MAX_ROWS_PER_TASK = 2_000_000
 MAX_SEGMENTS = 4096
 INLINE_CUTS = 32
 MAX_PLAN_NODES = 150
+FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 @dataclass(frozen=True)
@@ -112,6 +113,11 @@ def total_at(value: Column) -> Spec:
     return Spec("peersum", value)
 
 
+def folded_at(fold: str, value: Column, ahead: bool = False) -> Spec:
+    """Running ``sum``, ``min`` or ``max`` up to this row, or from it on if ``ahead``; rows of its time belong to it."""
+    return Spec(f"peer{fold}{'ahead' if ahead else ''}", value)
+
+
 def highest(value: Column) -> Spec:
     """Running maximum up to and including this row."""
     return Spec("max", value)
@@ -165,11 +171,13 @@ def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
             win = up if s.kind == "min" else down
             local[name] = F.min(s.value).over(win.rowsBetween(Window.unboundedPreceding, 0))
             carried[name] = F.min(s.value)
+        elif s.kind.startswith("peer"):
+            fold = FOLDS[s.kind[4:7]]
+            at = F.col(tl.time).desc() if s.kind.endswith("ahead") else F.col(tl.time)
+            local[name] = fold(s.value).over(Window.partitionBy(*part).orderBy(at).rangeBetween(Window.unboundedPreceding, 0))
+            carried[name] = fold(s.value)
         else:
-            win = up.rowsBetween(Window.unboundedPreceding, 0)
-            if s.kind == "peersum":
-                win = Window.partitionBy(*part).orderBy(tl.time).rangeBetween(Window.unboundedPreceding, 0)
-            local[name] = F.sum(s.value).over(win)
+            local[name] = F.sum(s.value).over(up.rowsBetween(Window.unboundedPreceding, 0))
             carried[name] = F.sum(s.value)
 
     if not seg:
@@ -184,8 +192,7 @@ def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
         if s.kind in ("prev", "next"):
             over = F.last(c, ignorenulls=True).over(past if s.kind == "prev" else future)
         else:
-            fold = {"max": F.max, "min": F.min, "minahead": F.min}.get(s.kind, F.sum)
-            over = fold(c).over(future if s.kind == "minahead" else past)
+            over = FOLDS[s.kind.removeprefix("peer")[:3]](c).over(future if s.kind.endswith("ahead") else past)
         carry_cols.append(over.alias(f"__k_{name}"))
     carry = summary.select(*part, *carry_cols)
 
@@ -195,10 +202,10 @@ def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
         mine, before = F.col(name), F.col(f"__k_{name}")
         if s.kind in ("prev", "next"):
             final[name] = F.coalesce(mine, before)["v"]
-        elif s.kind == "max":
+        elif "max" in s.kind:
             final[name] = F.greatest(mine, before)
-        elif s.kind in ("min", "minahead"):
-            final[name] = F.array_min(F.array(mine, before))
+        elif "min" in s.kind:
+            final[name] = F.least(mine, before)
         else:
             final[name] = F.when(mine.isNull() & before.isNull(), None).otherwise(
                 F.coalesce(mine, F.lit(0)) + F.coalesce(before, F.lit(0))
@@ -264,31 +271,40 @@ def asof_join(
     )
 
 
-def trailing(df: DataFrame, tl: Timeline, width: int, value: Column, prefix: str) -> DataFrame:
-    """Sum and count of ``value`` over the half-open window (t - width, t].
+def window_stats(df: DataFrame, tl: Timeline, width: int, value: Column, prefix: str, measures: Sequence[str] = ("sum", "n"), ahead: bool = False) -> DataFrame:
+    """``sum``, ``n``, ``min`` and ``max`` of ``value`` over (t - width, t], or over [t, t + width) if ``ahead``.
 
-    Each row enters the running total at its own time and leaves it at t + width, so
-    a dense stream costs two rows per row instead of re-reading every window. Not-a-number
-    counts as missing: in a running total it would spoil every later window.
+    Time is cut into blocks as long as the window, so every window is one end of its row's block and the other end of a
+    neighbour: running folds from both ends of the blocks, one lookup, and no row is ever subtracted. An infinite value
+    or a rounding residue leaves with its row, and the work does not depend on how many rows a window holds. Null and
+    not-a-number count as missing; the sum of a window without values is null.
     """
-    cols = df.columns
-    v, t = value.cast("double"), F.col(tl.time)
+    cols, t = df.columns, F.col(tl.time)
+    v = value.cast("double")
     v = F.when(~F.isnan(v), v)
-    one = F.lit(1).cast("bigint")
-    enter = df.select(*tl.keys, t, v.alias("__v"), one.alias("__s"), F.struct(*cols).alias("__row"))
-    leave = df.select(*tl.keys, (t + F.lit(width)).alias(tl.time), v.alias("__v"), (-one).alias("__s"), F.lit(None).alias("__row"))
-    known = F.when(F.col("__v").isNotNull(), F.col("__s")).otherwise(F.lit(0).cast("bigint"))
-    out = scan(
-        enter.union(leave),
-        tl.on(tl.time),
-        **{
-            f"{prefix}_sum": total_at(F.coalesce(F.col("__v"), F.lit(0.0)) * F.col("__s")),
-            f"{prefix}_n": total_at(known),
-        },
-    )
-    return out.where(F.col("__row").isNotNull()).select(
-        *[F.col(f"__row.{c}").alias(c) for c in cols], f"{prefix}_sum", f"{prefix}_n"
-    )
+    folds = {"sum": ("sum", v), "n": ("sum", v.isNotNull().cast("bigint")), "min": ("min", v), "max": ("max", v)}
+    d = df.withColumn("__blk", F.floor(t / width))
+    ends = {f"__{way}_{m}": folded_at(folds[m][0], folds[m][1], way == "down") for m in measures for way in ("up", "down")}
+    d = scan(d, tl.by(*tl.keys, "__blk").on(tl.time), **ends)
+    own, far = ("down", "up") if ahead else ("up", "down")
+    moved = d.select(*cols, "__blk", *[f"__{own}_{m}" for m in measures], t.alias("__at")).withColumn(tl.time, t + (width - 1 if ahead else 1 - width))
+    box = F.struct("__blk", *[f"__{far}_{m}" for m in measures])
+    got = asof_join(moved, d, tl, box, "__far", "backward" if ahead else "forward")
+    next_to = F.col("__far.__blk") == F.col("__blk") + (1 if ahead else -1)
+    out = []
+    for m in measures:
+        mine, other = F.col(f"__{own}_{m}"), F.when(next_to, F.col(f"__far.__{far}_{m}"))
+        if m in ("min", "max"):
+            both = (F.least if m == "min" else F.greatest)(mine, other)
+        else:
+            both = F.coalesce(mine + other, mine, other)
+        out.append(both.alias(f"{prefix}_{m}"))
+    return got.withColumn(tl.time, F.col("__at")).select(*cols, *out)
+
+
+def trailing(df: DataFrame, tl: Timeline, width: int, value: Column, prefix: str) -> DataFrame:
+    """Sum (0 if there is nothing) and count of ``value`` over the half-open window (t - width, t]; see :func:`window_stats`."""
+    return window_stats(df, tl, width, value, prefix).withColumn(f"{prefix}_sum", F.coalesce(f"{prefix}_sum", F.lit(0.0)))
 
 
 def window_lowest(probes: DataFrame, points: DataFrame, tl: Timeline, half: int, value: Column, name: str) -> DataFrame:

@@ -353,3 +353,17 @@ def io_only_missing(spark, sf):
 
     d = spark.read.parquet(once(spark, sf, "missing", write))
     return d.groupBy(big("match_id").alias("match_id"), "src").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("io_changed", "SELECT match_id, CASE WHEN match_id IN (3, 5) THEN 'second' ELSE 'first' END AS run, count(*) AS n, round(sum(CASE WHEN match_id IN (3, 5) THEN value + 1 ELSE value END), 6) AS total FROM stream_v WHERE match_id <> 7 GROUP BY 1, 2", "stream")
+def io_changed(spark, sf):
+    """A second run over inputs of which two matches changed and one is gone: the others' partitions stay as the first run left them."""
+
+    def write(p):
+        s = stream(spark, sf).select("match_id", "event_id", "value")
+        changed = s.where(F.col("match_id") != 7).withColumn("value", F.when(F.col("match_id").isin(3, 5), F.col("value") + 1).otherwise(F.col("value")))
+        for run, inputs in (("first", s), ("second", changed)):
+            sinks.write_changed(inputs, lambda d, run=run: d.withColumn("run", F.lit(run)), p, "match_id")
+
+    d = spark.read.parquet(once(spark, sf, "changed", write))
+    return d.groupBy(big("match_id").alias("match_id"), "run").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))

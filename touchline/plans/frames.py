@@ -331,14 +331,31 @@ def gap_summary(spark, sf):
  CAST(floor((ix+0.5e0)/8) AS INTEGER) AS band, count(*) FILTER (hole) AS n FROM cells GROUP BY ALL)
 SELECT team, lane, band, n AS holes FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY n DESC, lane, band) AS r FROM z) q WHERE r = 1""", "positions")
 def busiest_zone(spark, sf):
-    cells = gap_cells(spark, sf)
-    z = cells.groupBy(
-        "team", P.lane5_index(F.col("iy") + 0.5).alias("lane"), P.depth_band(F.col("ix") + 0.5).alias("band")
-    ).agg(F.sum("holes").alias("n"))
-    best = z.groupBy("team").agg(
-        F.max(F.struct("n", (-F.col("lane")).alias("l"), (-F.col("band")).alias("b"))).alias("m")
-    )
-    return best.select("team", (-F.col("m.l")).alias("lane"), (-F.col("m.b")).alias("band"), F.col("m.n").alias("holes"))
+    return busiest(gap_cells(spark, sf), "holes")
+
+
+FREE_MAP_SQL = f"""{HULL_SQL}, {FREE_SQL}, cell AS (SELECT team, CAST(floor(x) AS INTEGER) AS ix, CAST(floor(y) AS INTEGER) AS iy, count(*) AS free FROM free GROUP BY ALL)"""
+
+
+@query("free_opponent_cells", f"{FREE_MAP_SQL} SELECT * FROM cell", "positions")
+def free_opponent_cells(spark, sf):
+    """How often an opponent stood free in each square metre, per defending side."""
+    free = free_opponents(spark, sf)
+    return free.groupBy("team", F.floor("x").cast("int").alias("ix"), F.floor("y").cast("int").alias("iy")).agg(F.count(F.lit(1)).alias("free"))
+
+
+def busiest(cells, measure):
+    """The zone of five lanes and bands of eight metres with the most of ``measure`` per team; the first of equal ones."""
+    z = cells.groupBy("team", P.lane5_index(F.col("iy") + 0.5).alias("lane"), P.depth_band(F.col("ix") + 0.5).alias("band")).agg(F.sum(measure).alias("n"))
+    best = z.groupBy("team").agg(F.max(F.struct("n", (-F.col("lane")).alias("l"), (-F.col("band")).alias("b"))).alias("m"))
+    return best.select("team", (-F.col("m.l")).alias("lane"), (-F.col("m.b")).alias("band"), F.col("m.n").alias(measure))
+
+
+@query("busiest_free_zone", f"""{FREE_MAP_SQL}, z AS (SELECT team, CAST((iy+0.5e0 > -20.16e0)::INT + (iy+0.5e0 > -9.16e0)::INT + (iy+0.5e0 > 9.16e0)::INT + (iy+0.5e0 > 20.16e0)::INT AS INTEGER) AS lane,
+ CAST(floor((ix+0.5e0)/8) AS INTEGER) AS band, CAST(sum(free) AS BIGINT) AS n FROM cell GROUP BY ALL)
+SELECT team, lane, band, n AS free FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY n DESC, lane, band) AS r FROM z) q WHERE r = 1""", "positions")
+def busiest_free_zone(spark, sf):
+    return busiest(free_opponent_cells(spark, sf), "free")
 
 
 HIST_SQL = """hist AS (SELECT label, CAST(least(floor((x+52.5e0)/(105.0e0/52)),51) AS INTEGER) AS ix, CAST(least(floor((y+34e0)/(68.0e0/34)),33) AS INTEGER) AS iy, CAST(count(*) AS DOUBLE) AS v
@@ -437,9 +454,18 @@ def homography_project(spark, sf):
     return p.select("frame", "entity", r6(px).alias("px"), r6(py).alias("py"), ((F.abs(px) <= 53.5) & (F.abs(py) <= 35.0)).alias("on_pitch"))
 
 
-@query("assignment_error")
+#: Least cost over all one-to-one matchings: players of one side in turn, by the set of the other side's players taken so far.
+ASSIGNED_SQL = """RECURSIVE_d AS (SELECT a.frame, a.entity - 1 AS a, b.entity - 12 AS b, sqrt((a.x + b.x)*(a.x + b.x) + (a.y + b.y)*(a.y + b.y)) AS d
+  FROM positions_v a JOIN positions_v b ON a.frame = b.frame AND a.entity BETWEEN 1 AND 10 AND b.entity BETWEEN 12 AND 21),
+s AS (SELECT DISTINCT frame, 0 AS a, 0 AS taken, 0e0 AS cost, CAST(0 AS BIGINT) AS path FROM positions_v
+  UNION ALL SELECT s.frame, s.a + 1, taken | (1 << d.b), min(cost + d), arg_min(path * 16 + d.b, cost + d) FROM s JOIN d ON d.frame = s.frame AND d.a = s.a AND (taken & (1 << d.b)) = 0
+  GROUP BY s.frame, s.a + 1, taken | (1 << d.b)),
+e AS (SELECT d.frame, CAST(d.a AS INTEGER) AS a, CAST(d.b AS INTEGER) AS b, round(d, 6) AS err FROM s JOIN d ON d.frame = s.frame AND s.a = 10 AND d.b = (path >> (4 * (9 - d.a))) & 15 WHERE d <= 8)"""
+
+
+@query("assignment_error", f"{ASSIGNED_SQL}\nSELECT * FROM e", "positions")
 def assignment_error(spark, sf):
-    """Optimal matching of the two sides' mirrored shapes within 8 m, and the error summary per label."""
+    """Optimal matching of the two sides' mirrored shapes within 8 m."""
     m = moments(spark, sf)
     a, b = G.outfield(F.col("players"), F.lit(0)), G.outfield(F.col("players"), F.lit(1))
     arrays = m.select(

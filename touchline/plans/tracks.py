@@ -13,7 +13,8 @@ from touchline.operators import geometry as G
 from touchline.operators import play
 from touchline.operators import sequences as Q
 from touchline.operators.assignment import TrackSet
-from touchline.operators.timeline import asof_join, grouped_percentile, prev, scan, total, window_lowest
+from touchline.operators.timeline import asof_join, grouped_percentile, nxt, prev, scan, total, window_lowest, window_stats
+from touchline.plans.frames import ASSIGNED_SQL, assignment_error
 from touchline.plans.registry import big, query, r6
 from touchline.sources.driver_tables import moments, per_session, stream, stream_axis, stream_frames, table
 
@@ -28,7 +29,26 @@ def trajectories(spark, sf):
 
 # ------------------------------------------------------------------ smoothing
 
-@query("kalman_rts")
+#: The filter forward and the smoother backward, sample by sample; q and r are the squares of the ball's noise, the gate 4.5 deviations.
+KALMAN_SQL = """RECURSIVE_o AS (SELECT match_id, period, user_id, event_id, clock_us/1e6 AS t, x, y, row_number() OVER (PARTITION BY match_id, period, user_id ORDER BY clock_us, event_id) AS n
+  FROM (SELECT v.*, e.user_id FROM stream_v v JOIN events e USING (event_id)) z),
+f AS (SELECT match_id, period, user_id, event_id, n, t, x AS px, y AS py, 0e0 AS vx, 0e0 AS vy, 1e0 AS a, 0e0 AS b, 25e0 AS c,
+    0e0 AS h, 0e0 AS gx, 0e0 AS gy, 0e0 AS wx, 0e0 AS wy, 0e0 AS pa, 0e0 AS pb, 0e0 AS pc FROM o WHERE n = 1
+  UNION ALL SELECT match_id, period, user_id, event_id, n, t, gx + ok*ga*dx, gy + ok*ga*dy, wx + ok*gk*dx, wy + ok*gk*dy, pa - ok*ga*pa, pb - ok*ga*pb, pc - ok*gk*pb, h, gx, gy, wx, wy, pa, pb, pc
+  FROM (SELECT *, x - gx AS dx, y - gy AS dy, pa/(pa+1) AS ga, pb/(pa+1) AS gk, CASE WHEN ((x-gx)*(x-gx) + (y-gy)*(y-gy))/(pa+1) <= 20.25e0 THEN 1e0 ELSE 0e0 END AS ok
+    FROM (SELECT q.*, px + h*vx AS gx, py + h*vy AS gy, vx AS wx, vy AS wy, a + 2*h*b + h*h*c + 36*h*h*h*h AS pa, b + h*c + 72*h*h*h AS pb, c + 144*h*h AS pc
+      FROM (SELECT o.*, greatest(o.t - f.t, 1e-3) AS h, px, py, vx, vy, a, b, c FROM f JOIN o ON o.match_id = f.match_id AND o.period = f.period AND o.user_id = f.user_id AND o.n = f.n + 1) q) g) u),
+m AS (SELECT match_id, period, user_id, max(n) AS n FROM o GROUP BY ALL),
+s AS (SELECT match_id, period, user_id, f.n, f.event_id, px AS sx, py AS sy, vx AS ux, vy AS uy, h, gx, gy, wx, wy, pa, pb, pc FROM f JOIN m USING (match_id, period, user_id, n)
+  UNION ALL SELECT match_id, period, user_id, n, event_id, px + k11*(sx-nx) + k12*(ux-mx), py + k11*(sy-ny) + k12*(uy-my), vx + k21*(sx-nx) + k22*(ux-mx), vy + k21*(sy-ny) + k22*(uy-my), h, gx, gy, wx, wy, pa, pb, pc
+  FROM (SELECT f.*, sx, sy, ux, uy, s.gx AS nx, s.gy AS ny, s.wx AS mx, s.wy AS my,
+      ((f.a + s.h*f.b)*s.pc - f.b*s.pb)/(s.pa*s.pc - s.pb*s.pb) AS k11, (f.b*s.pa - (f.a + s.h*f.b)*s.pb)/(s.pa*s.pc - s.pb*s.pb) AS k12,
+      ((f.b + s.h*f.c)*s.pc - f.c*s.pb)/(s.pa*s.pc - s.pb*s.pb) AS k21, (f.c*s.pa - (f.b + s.h*f.c)*s.pb)/(s.pa*s.pc - s.pb*s.pb) AS k22
+    FROM s JOIN f ON f.match_id = s.match_id AND f.period = s.period AND f.user_id = s.user_id AND f.n = s.n - 1) r)
+SELECT event_id, round(sx, 6) AS sx, round(sy, 6) AS sy FROM s"""
+
+
+@query("kalman_rts", KALMAN_SQL, "stream")
 def kalman_rts(spark, sf):
     """Filtered and smoothed position at every sample of every trajectory."""
 
@@ -180,6 +200,32 @@ def camera_runs(spark, sf):
     return usable_runs(spark, sf).groupBy("match_id", "head").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 5).drop("head")
 
 
+@query("camera_parameters", CAMERA_SQL[: CAMERA_SQL.index("SELECT match_id, min(frame)")].rstrip() + """,
+h AS (SELECT match_id, frame, {'head': min(frame) OVER r, 'n': count(*) OVER r, 'f': frame, 'p': [x/100, y/100, value/100, (x-y)/100]} AS pt FROM k WINDOW r AS (PARTITION BY match_id, rid)),
+ab AS (SELECT s.*, last_value(pt IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+  first_value(pt IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM stream_v s LEFT JOIN h USING (match_id, frame)),
+i AS (SELECT *, CASE WHEN b.f > a.f THEN CAST(frame - a.f AS DOUBLE) / (b.f - a.f) ELSE 0e0 END AS w FROM ab WHERE a.head = b.head AND a.n >= 5),
+q AS (SELECT *, a.p[1] + (b.p[1]-a.p[1])*w AS p1, a.p[2] + (b.p[2]-a.p[2])*w AS p2, a.p[3] + (b.p[3]-a.p[3])*w AS p3, a.p[4] + (b.p[4]-a.p[4])*w AS p4 FROM i)
+SELECT event_id, a.head AS run, b.f > a.f AS filled, round(p1,6) AS p1, round(p2,6) AS p2, round(p3,6) AS p3, round(p4,6) AS p4, round(((1+p1)*x + p2*y + 3*p3)/(p1*x*0.001e0 + p2*y*0.001e0 + 1 + abs(p4)),6) AS px FROM q""", "stream")
+def camera_parameters(spark, sf):
+    """Camera parameters on every frame of a run: as fitted, or between the fits before and after it; none across a cut or a long gap."""
+    tl = stream_axis(spark, sf)
+    frame, fit = F.col("frame"), F.col("value") > 2
+    d = scan(stream_frames(spark, sf), tl, cut=prev(frame, when=(F.col("kind") == "SH") & (F.col("value") > 100), inclusive=True), pf=prev(frame, when=fit))
+    fresh = fit & (F.col("pf").isNull() | (frame - F.col("pf") > 4) | F.coalesce(F.col("cut") > F.col("pf"), F.lit(False)))
+    d = scan(d, tl, head=prev(frame, when=fresh, inclusive=True))
+    known = F.struct("head", frame.alias("f"), F.array(F.col("x") / 100, F.col("y") / 100, F.col("value") / 100, (F.col("x") - F.col("y")) / 100).alias("p"))
+    d = scan(d, tl, a=prev(known, when=fit, inclusive=True), b=nxt(known, when=fit, inclusive=True))
+    long = d.where(fit).groupBy("match_id", F.col("head").alias("run")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 5).drop("n")
+    d = d.where(F.col("a.head") == F.col("b.head")).withColumn("run", F.col("a.head")).join(long, ["match_id", "run"])
+    filled = F.col("b.f") > F.col("a.f")
+    w = F.when(filled, (frame - F.col("a.f")) / (F.col("b.f") - F.col("a.f"))).otherwise(F.lit(0.0))
+    d = d.select("event_id", "run", filled.alias("filled"), "x", "y", F.zip_with("a.p", "b.p", lambda u, v: u + (v - u) * w).alias("p"))
+    p1, p2, p3, p4 = (F.element_at("p", k) for k in (1, 2, 3, 4))
+    px = ((1 + p1) * F.col("x") + p2 * F.col("y") + 3 * p3) / (p1 * F.col("x") * 0.001 + p2 * F.col("y") * 0.001 + 1 + F.abs(p4))
+    return d.select("event_id", "run", "filled", *[r6(p).alias(f"p{k}") for k, p in enumerate((p1, p2, p3, p4), 1)], r6(px).alias("px"))
+
+
 @query("tracker")
 def tracker(spark, sf):
     """Track numbers by gated assignment inside camera runs; numbers restart with every run."""
@@ -196,16 +242,15 @@ def tracker(spark, sf):
 
 
 @query("sparse_transition", """o AS (SELECT match_id, clock_us AS c0, lead(clock_us) OVER (PARTITION BY match_id ORDER BY clock_us) AS c1, team FROM (SELECT *, lag(team) OVER (PARTITION BY match_id ORDER BY clock_us, event_id) AS was FROM stream_v WHERE kind='OTB') q WHERE was IS NULL OR was <> team),
-s AS (SELECT o.match_id, o.c0, v.clock_us, v.x AS d, v.value <= 40 AS ok FROM o JOIN stream_v v ON v.match_id=o.match_id AND v.clock_us >= o.c0 AND v.clock_us < coalesce(o.c1, 9000000000)),
-r AS (SELECT * FROM s WHERE ok),
-w AS (SELECT a.match_id, a.c0, a.clock_us, count(*) AS n, max(abs(b.d - m.m)) AS dev FROM r a JOIN r b ON a.match_id=b.match_id AND a.c0=b.c0 AND b.clock_us BETWEEN a.clock_us AND a.clock_us + 30000000
- JOIN (SELECT a.match_id, a.c0, a.clock_us, avg(b.d) AS m FROM r a JOIN r b ON a.match_id=b.match_id AND a.c0=b.c0 AND b.clock_us BETWEEN a.clock_us AND a.clock_us + 30000000 GROUP BY 1, 2, 3) m ON m.match_id=a.match_id AND m.c0=a.c0 AND m.clock_us=a.clock_us GROUP BY 1, 2, 3)
-SELECT o.match_id, o.c0 AS changed_at, coalesce(min(w.clock_us) FILTER ((n >= 3 AND dev <= 30 AND w.clock_us - o.c0 >= 1000000) OR w.clock_us - o.c0 >= 80000000), o.c0 + 6000000) AS settled_at FROM o LEFT JOIN w ON o.match_id=w.match_id AND o.c0=w.c0 GROUP BY 1, 2""", "stream")
+r AS (SELECT o.match_id, o.c0, v.clock_us, v.x AS d, CASE WHEN kind <> 'PA' THEN v.y END AS il FROM o JOIN stream_v v ON v.match_id=o.match_id AND v.clock_us >= o.c0 AND v.clock_us < coalesce(o.c1, 9000000000) WHERE v.value <= 40),
+m AS (SELECT a.match_id, a.c0, a.clock_us, count(*) AS n, avg(b.d) AS m, count(b.il) AS n_il, avg(b.il) AS m_il FROM r a JOIN r b ON a.match_id=b.match_id AND a.c0=b.c0 AND b.clock_us BETWEEN a.clock_us AND a.clock_us + 30000000 GROUP BY 1, 2, 3),
+w AS (SELECT m.match_id, m.c0, m.clock_us, any_value(n) AS n, any_value(n_il) AS n_il, max(abs(b.d - m)) AS dev, max(abs(b.il - m_il)) AS dev_il FROM m JOIN r b ON m.match_id=b.match_id AND m.c0=b.c0 AND b.clock_us BETWEEN m.clock_us AND m.clock_us + 30000000 GROUP BY 1, 2, 3)
+SELECT o.match_id, o.c0 AS changed_at, coalesce(min(w.clock_us) FILTER ((n >= 5 AND dev <= 45 AND (n_il < 4 OR dev_il <= 30) AND w.clock_us - o.c0 >= 1000000) OR w.clock_us - o.c0 >= 20000000), o.c0 + 6000000) AS settled_at FROM o LEFT JOIN w ON o.match_id=w.match_id AND o.c0=w.c0 GROUP BY 1, 2""", "stream")
 def sparse_transition(spark, sf):
-    """End of the transition on sparse reads: the first read whose next reads stay near their mean or that comes after the
-    longest transition, else a default.
+    """End of the transition on sparse reads: the first read whose next reads, five at least, stay near their mean in depth and,
+    where four are known, in the distance between lines, or that comes 20 s after the change; else 6 s after it.
 
-    Reads are tied to their possession change by one scan; the forward window is a range frame within it.
+    Reads are tied to their possession change by one scan; windows ahead are folds of blocks (:func:`window_stats`).
     """
     tl = stream_axis(spark, sf)
     otb = F.col("kind") == "OTB"
@@ -213,13 +258,19 @@ def sparse_transition(spark, sf):
     turn = otb & (F.col("was").isNull() | (F.col("was") != F.col("team")))
     d = scan(d, tl, c0=prev(F.col("clock_us"), when=turn, inclusive=True)).where(F.col("c0").isNotNull())
     changes = d.where(F.col("c0") == F.col("clock_us")).select("match_id", "c0").distinct()
-    r = d.where(F.col("value") <= 40)
-    w = Window.partitionBy("match_id", "c0").orderBy("clock_us").rangeBetween(0, 30 * S)
-    r = r.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("m", F.avg("x").over(w))
-    r = r.withColumn("dev", F.greatest(F.max("x").over(w) - F.col("m"), F.col("m") - F.min("x").over(w)))
+    r = d.where(F.col("value") <= 40).select("match_id", "c0", "clock_us", "x", F.when(F.col("kind") != "PA", F.col("y")).alias("lines"))
+    spread = ("sum", "n", "min", "max")
+    axis = tl.by("match_id", "c0")
+    r = window_stats(r, axis, 30 * S + 1, F.col("x"), "d", spread, ahead=True)
+    r = window_stats(r, axis, 30 * S + 1, F.col("lines"), "l", spread, ahead=True)
+
+    def strays(p):
+        mean = F.try_divide(f"{p}_sum", f"{p}_n")
+        return F.greatest(F.col(f"{p}_max") - mean, mean - F.col(f"{p}_min"))
+
     since = F.col("clock_us") - F.col("c0")
-    good = ((F.col("n") >= 3) & (F.col("dev") <= 30) & (since >= S)) | (since >= 80 * S)
-    st = r.where(good).groupBy("match_id", "c0").agg(F.min("clock_us").alias("at"))
+    calm = (F.col("d_n") >= 5) & (strays("d") <= 45) & ((F.col("l_n") < 4) | (strays("l") <= 30))
+    st = r.where((calm & (since >= S)) | (since >= 20 * S)).groupBy("match_id", "c0").agg(F.min("clock_us").alias("at"))
     return changes.join(st, ["match_id", "c0"], "left").select("match_id", F.col("c0").alias("changed_at"), F.coalesce("at", F.col("c0") + 6 * S).alias("settled_at"))
 
 
@@ -499,11 +550,13 @@ def polar_area(spark, sf):
     )
 
 
-@query("position_accuracy")
+@query("position_accuracy", f"""{ASSIGNED_SQL},
+l AS (SELECT vec_id AS frame, label FROM embeddings), n AS (SELECT label, count(*) * 10 AS seen FROM l GROUP BY 1)
+SELECT label, count(*) AS points, round(quantile_cont(err, 0.5), 6) AS median, round(quantile_cont(err, 0.75), 6) AS p75, round(quantile_cont(err, 0.9), 6) AS p90,
+  round(100.0e0 * avg(CASE WHEN err <= 1 THEN 1 ELSE 0 END), 6) AS within_1m, round(100.0e0 * avg(CASE WHEN err <= 2 THEN 1 ELSE 0 END), 6) AS within_2m,
+  round(100.0e0 * count(*) FILTER (err <= 3) / any_value(seen), 6) AS coverage FROM e JOIN l USING (frame) JOIN n USING (label) GROUP BY label""", "positions")
 def position_accuracy(spark, sf):
     """Error percentiles and hit shares of the optimal matching, with coverage, per label."""
-    from touchline.plans.frames import assignment_error
-
     e = assignment_error(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), "label"), "frame")
     p = grouped_percentile(e, ["label"], "err", {"median": 0.5, "p75": 0.75, "p90": 0.9})
     share = lambda m: r6(100.0 * F.avg((F.col("err") <= m).cast("int")))
@@ -512,6 +565,17 @@ def position_accuracy(spark, sf):
     return n.join(p, "label").join(seen, "label").select("label", "points", r6("median").alias("median"), r6("p75").alias("p75"), r6("p90").alias("p90"), "within_1m", "within_2m", r6(F.col("hit") / F.col("seen")).alias("coverage"))
 
 
+@query("ball_accuracy", """p AS (SELECT b.label, sqrt((v.x-qx)*(v.x-qx) + (v.y-qy)*(v.y-qy)) AS err, v.team = b.poss_team AS agree FROM ball_v b JOIN stream_v v ON v.event_id = b.frame)
+SELECT label, count(*) AS n, round(median(err), 6) AS ball_err, round(100.0e0 * avg(CASE WHEN agree THEN 1 ELSE 0 END), 6) AS possession_agreed FROM p GROUP BY label""", "positions stream")
+def ball_accuracy(spark, sf):
+    """Distance of the ball from its place in the event feed and agreement on the side in possession, per label."""
+    b = moments(spark, sf).select(big("frame").alias("event_id"), "label", "poss", "ball_x", "ball_y")
+    dx, dy = F.col("x") - F.col("ball_x"), F.col("y") - F.col("ball_y")
+    d = stream(spark, sf).join(b, "event_id").select("label", F.sqrt(dx * dx + dy * dy).alias("err"), (F.col("team") == F.col("poss")).alias("agree"))
+    n = d.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(100.0 * F.avg(F.col("agree").cast("int"))).alias("possession_agreed"))
+    return n.join(grouped_percentile(d, ["label"], "err", {"ball_err": 0.5}), "label").select("label", "n", r6("ball_err").alias("ball_err"), "possession_agreed")
+
+
 @query("offset_search", """a AS (SELECT match_id, CAST(floor(clock_us/10000000e0) AS BIGINT) AS s, avg(x) AS x FROM stream_v WHERE team=0 GROUP BY 1, 2), b AS (SELECT match_id, CAST(floor(clock_us/10000000e0) AS BIGINT) AS s, avg(x) AS x FROM stream_v WHERE team=1 GROUP BY 1, 2),
 e AS (SELECT o, median(abs(a.x-b.x)) AS m FROM a, range(-5,6) g(o), b WHERE a.match_id=b.match_id AND b.s = a.s + o GROUP BY o)
 SELECT CAST(o AS INTEGER) AS "offset", round(m,6) AS median_err, m = (SELECT min(m) FROM e) AS best FROM e""", "stream")
