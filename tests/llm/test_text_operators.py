@@ -232,3 +232,12 @@ def test_draws(spark, docs, no_docs, monkeypatch):
     assert out.count() == docs.count() and set(docs.columns) <= set(out.columns)
     assert mixing.draws(no_docs.withColumn("n_tokens", F.lit(1)), ["lang"], {}, F.expr("all_tokens")).count() == 0
     assert {(r.text, r.n): None for r in docs.select("text", mixing.word_count(F.col("text")).alias("n")).collect()} == {(r.text, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))): None for r in docs.collect()}
+
+
+def test_unequal_texts_without_ids_lose_nothing_to_each_other(spark):
+    """Two texts whose 32-bit hashes agree, and a copy of the first: only the copies' bytes are repeated."""
+    rows = spark.range(400_000).select(F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512)).alias("text"))
+    pair = rows.groupBy(F.hash(F.lit(True), "text").alias("h")).agg(F.collect_list("text").alias("t")).where("size(t) = 2").orderBy("h").first().t
+    docs = spark.createDataFrame([(None, pair[0]), (None, pair[1]), (None, pair[0])], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.kept) for r in repeats.without_repeats(docs).collect())
+    assert got == [(256, 0, bytearray(pair[1].encode())), (256, 256, bytearray()), (256, 256, bytearray())]

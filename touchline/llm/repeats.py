@@ -35,10 +35,13 @@ _DOC = "key bigint, dig int"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
-    """``(id, carried, key, dig, text)``: a row is known by id and text, so null and repeated ids do no harm."""
+    """``(id, carried, key, dig, text)``: a row is known by its id and a hash of its text, one without an id by 96 bits of hashes.
+
+    Rows of one repeated id are told apart by 32 bits: unequal texts of one id that agree in them count as one.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     carried = F.struct(F.lit(0).alias("_"), *carry).alias("carried")
-    return docs.select(F.col(id_col).alias("id"), carried, F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("key"), F.hash(F.col(id_col).isNull(), text).alias("dig"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), carried, F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("key"), F.hash(F.col(id_col).isNull(), text).alias("dig"), text.alias("text"))
 
 
 def contexts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
