@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import pitch as P
 from touchline.functions import text as T
+from touchline.operators import feed as views
 from touchline.operators.timeline import fit_timeline, row_index, scan, total
 from touchline.plans.events import (
     PRESS_SQL, TURN_SQL, CHANCE_SQL, find_presses, find_turnovers, press_summary, trace_chances, turnover_summary,
@@ -15,7 +16,7 @@ from touchline.plans.frames import gap_summary
 from touchline.plans.registry import QUERIES, big, query, r6
 from touchline.plans.timeseries import LIVE_SQL, live_stream
 from touchline.session import cut_lineage
-from touchline.sources.driver_tables import per_session, stream, table
+from touchline.sources.driver_tables import feed, per_session, stream, table
 
 # ------------------------------------------------------------------ board
 
@@ -31,27 +32,7 @@ board AS (SELECT s.match_id, s.team, 1 - s.team AS opp, round(CASE WHEN s.team=0
 @per_session
 def make_board(spark: SparkSession, sf: str):
     """One row per team and match, joined from the view summaries on (match, team)."""
-    k = ["match_id", "team"]
-    n = F.count_if("live")
-    lp = live_stream(spark, sf).groupBy("match_id").agg(
-        r6(n * 6 / 29.97 / 60).alias("live_min"), (100.0 * F.count_if(F.col("live") & (F.col("team") == 0)) / F.greatest(n, big(F.lit(1)))).alias("home_pct")
-    )
-    own_x = F.col("x") * P.flip(F.col("team"))
-    c = stream(spark, sf).groupBy(*k, own_x.alias("ox")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "SH").alias("s"))
-    sh = c.groupBy(*k).agg(F.sum("s").alias("shots"), F.percentile("ox", 0.5, F.col("n")).alias("line"))
-    other = sh.select("match_id", (1 - F.col("team")).alias("team"), F.col("shots").alias("against"))
-    t = find_turnovers(spark, sf).groupBy(*k).agg(
-        F.count(F.lit(1)).alias("w"), r6(100.0 * F.count_if(F.col("x") >= 0) / F.count(F.lit(1))).alias("wins_high"), F.count_if("fast").alias("f")
-    )
-    p = find_presses(spark, sf).groupBy(*k).agg(r6(100.0 * F.count_if("won") / F.count(F.lit(1))).alias("press_won"))
-    z = big(F.lit(0))
-    return (
-        sh.join(other, k, "left").join(lp, "match_id").join(t, k, "left").join(p, k, "left").select(
-            *k, (1 - F.col("team")).alias("opp"), r6(F.when(F.col("team") == 0, F.col("home_pct")).otherwise(100 - F.col("home_pct"))).alias("possession"),
-            r6(F.col("line") + P.LENGTH / 2).alias("back_line"), F.coalesce("w", z).alias("wins"), "wins_high", F.coalesce("f", z).alias("fast"),
-            F.col("shots").alias("shots_for"), F.coalesce("against", z).alias("shots_against"), "live_min", "press_won",
-        )
-    )
+    return views.board(feed(spark, sf))
 
 
 @query("board", f"{BOARD_SQL} SELECT * FROM board", "stream")

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import pitch as P
+from touchline.operators import feed as views
 from touchline.operators import geometry as G
 from touchline.operators import play
 from touchline.operators.sequences import rate_limit
@@ -14,7 +15,7 @@ from touchline.operators.timeline import (
 )
 from touchline.plans.registry import big, query, r6
 from touchline.plans.timeseries import LIVE_SQL, RUN_SQL, live_stream, losses
-from touchline.sources.driver_tables import moments, per_session, stream, stream_axis
+from touchline.sources.driver_tables import feed, moments, per_session, stream, stream_axis
 
 S = play.SECOND
 ZONE = "abs(CASE WHEN dteam = 0 THEN -52.5e0 ELSE 52.5e0 END - x) >= 35"
@@ -241,35 +242,7 @@ dur AS (SELECT ls.match_id, ls.loss_id, ls.t0, ls.dteam, CASE WHEN coalesce(n,0)
 
 @per_session
 def settle(spark: SparkSession, sf: str):
-    """Time after each loss until the shape stays near where it ends up.
-
-    A loss is probed on a short fixed grid (at most 21 points), each probe takes the nearest
-    reading, and the suffix test runs over those few points.
-    """
-    tl = stream_axis(spark, sf)
-    ls = losses(spark, sf).select("match_id", F.col("event_id").alias("loss_id"), F.col("clock_us").alias("t0"), F.col("loser").alias("dteam"))
-    ls = scan(ls, tl.by("match_id", "dteam").on("t0"), nx=nxt(F.col("t0")))
-    room = F.least(F.lit(CAP), F.coalesce(F.col("nx") - F.col("t0"), F.lit(CAP)))
-    probes = ls.withColumn("rel", F.explode(F.sequence(F.lit(0), room, F.lit(STEP)))).withColumn("clock_us", F.col("t0") + F.col("rel"))
-    reads = stream(spark, sf).select("match_id", "clock_us", "x", F.abs("y").alias("l"))
-    got = asof_join(
-        probes.select("match_id", "loss_id", "rel", "clock_us"), reads, tl, F.struct(F.col("x").alias("d"), "l"), "m", "nearest", STEP
-    ).where(F.col("m").isNotNull())
-    one = Window.partitionBy("match_id", "loss_id")
-    rest = one.orderBy("rel").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    got = got.withColumn("mx", F.max("rel").over(one))
-    late = F.col("rel") >= F.col("mx") - REF
-    got = got.withColumn("rd", F.avg(F.when(late, F.col("m.d"))).over(one)).withColumn("rl", F.avg(F.when(late, F.col("m.l"))).over(one))
-    fd = F.avg((F.abs(F.col("m.d") - F.col("rd")) <= TOL_D).cast("int")).over(rest)
-    fl = F.avg((F.abs(F.col("m.l") - F.col("rl")) <= TOL_L).cast("int")).over(rest)
-    got = got.withColumn("good", (fd >= 0.85) & (fl >= 0.85))
-    st = got.groupBy("match_id", "loss_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("good"), F.col("rel"))).alias("at"), F.max("rel").alias("mx")
-    )
-    d = ls.drop("nx").join(st, ["match_id", "loss_id"], "left")
-    enough = F.coalesce(F.col("n") >= 2, F.lit(False))
-    dur = F.when(~enough, 0).otherwise(F.coalesce("at", "mx"))
-    return d.select("match_id", "loss_id", "t0", "dteam", big(dur).alias("dur_us"), (enough & F.col("at").isNotNull()).alias("settled"))
+    return views.settling(feed(spark, sf), STEP, CAP, REF, TOL_D, TOL_L)
 
 
 @query("settle_duration", f"{SETTLE_SQL} SELECT match_id, loss_id, dteam, CAST(dur_us AS BIGINT) AS dur_us, settled FROM dur", "stream")
@@ -303,7 +276,7 @@ def phase_label(spark, sf):
 
 # ------------------------------------------------------------------ turnovers
 
-OPEN_ROWS = 3
+OPEN_ROWS = 3  # as in Feed.opened
 OPEN_SQL = f"""{LIVE_SQL}, ix AS (SELECT *, row_number() OVER w AS i FROM lv WINDOW w AS (PARTITION BY match_id ORDER BY clock_us, event_id)),
 op AS (SELECT *, i > {OPEN_ROWS} AND abs(x) <= 52.4e0 AND i - coalesce(max(CASE WHEN NOT live THEN i END) OVER (PARTITION BY match_id ORDER BY clock_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000) > {OPEN_ROWS} AS open FROM ix)"""
 MRUN_SQL = """ch AS (SELECT *, CASE WHEN team IS DISTINCT FROM lag(team) OVER w THEN 1 ELSE 0 END AS c FROM op WINDOW w AS (PARTITION BY match_id ORDER BY clock_us, event_id)),
@@ -319,48 +292,9 @@ tn AS (SELECT match_id, team, s AS start, fp AS period, CASE WHEN team = 0 THEN
  EXISTS (SELECT 1 FROM stream_v h WHERE h.match_id = tv.match_id AND h.kind = 'SH' AND h.team = tv.team AND h.clock_us BETWEEN tv.s AND tv.s + 45000000) AS shot FROM tv)"""
 
 
-@per_session
-def open_stream(spark, sf):
-    """Live flag plus ``open``: the ball live on the rows just before, known, and not over a goal line."""
-    tl = stream_axis(spark, sf)
-    d = scan(live_stream(spark, sf), tl, i=total(big(F.lit(1))))
-    d = scan(d, tl, dead=prev(F.col("i"), when=~F.col("live")))
-    ok = (F.col("i") > OPEN_ROWS) & (F.abs("x") <= 52.4) & (F.col("dead").isNull() | (F.col("i") - F.col("dead") > OPEN_ROWS))
-    return d.withColumn("open", ok)
-
-
-def match_runs(d, tl):
-    first = F.min_by(F.struct("x", "y", "open", "period"), F.struct("clock_us", "event_id"))
-    return runs(d, tl, F.col("team"), first.alias("first"), name="team")
-
-
 @per_session
 def find_turnovers(spark, sf):
-    tl = stream_axis(spark, sf)
-    d = open_stream(spark, sf)
-    rs = match_runs(d, tl)
-    # spells: fresh anchors of the run table, numbered along the match
-    b = spell_before(rs, tl, "team", F.col("end") - F.col("start"), 5 * S)
-    fresh = F.col("before").isNull() | ((F.col("end") - F.col("start") >= 5 * S) & (F.col("before.team") != F.col("team")))
-    sp = b.where(fresh).select("match_id", "team", "start", "first", F.col("before").isNull().alias("opening"))
-    rows = d.select("match_id", "clock_us", "x")
-    spell = F.struct("team", "start", "first", "opening")
-    hit = asof_join(rows, sp.withColumn("clock_us", F.col("start")), tl, spell, "sp")
-    own_x = F.col("x") * P.flip(F.col("sp.team"))
-    ahead = F.max(F.when(F.col("clock_us") < F.col("sp.start") + 30 * S, own_x))
-    won = (
-        hit.where(F.col("sp").isNotNull() & ~F.col("sp.opening") & F.col("sp.first.open"))
-        .groupBy("match_id", "sp.team", "sp.start", "sp.first")
-        .agg(ahead.alias("ahead"))
-        .withColumn("clock_us", F.col("start"))
-    )
-    shots = stream(spark, sf).where(F.col("kind") == "SH").select("match_id", "team", "clock_us")
-    won = asof_join(won, shots, tl.by("match_id", "team"), F.lit(1), "shot", "forward", 45 * S)
-    f = P.flip(F.col("team"))
-    return won.select(
-        "match_id", "team", "start", F.col("first.period").alias("period"), (F.col("first.x") * f).alias("x"), (F.col("first.y") * f).alias("y"),
-        (F.col("ahead") > P.THIRD_X).alias("fast"), F.col("shot").isNotNull().alias("shot"),
-    )
+    return views.turnovers(feed(spark, sf))
 
 
 @query("turnovers", f"{TURN_SQL} SELECT match_id, team, start, period, round(x,6)+0e0 AS x, round(y,6)+0e0 AS y, fast, shot FROM tn", "stream")
@@ -414,42 +348,7 @@ pf AS (SELECT ps.match_id, ps.pteam AS team, ps.s AS start, ps.e AS "end", a.use
 
 @per_session
 def find_presses(spark, sf):
-    """Presses with what set them off and whether they won the ball.
-
-    Everything a press start needs to know is looked up once per row in a single scan; the
-    run aggregation then keeps the first row's answers.
-    """
-    tl = stream_axis(spark, sf)
-    t, team = F.col("clock_us"), F.col("team")
-    pas = F.struct(t.alias("t"), F.col("x"))
-    d = scan(
-        live_stream(spark, sf), tl,
-        p0=prev(t, when=team == 0), p1=prev(t, when=team == 1), n0=nxt(t, when=team == 0), n1=nxt(t, when=team == 1),
-        q0=prev(pas, when=(team == 0) & (F.col("kind") == "PA"), inclusive=True),
-        q1=prev(pas, when=(team == 1) & (F.col("kind") == "PA"), inclusive=True),
-    )
-    pteam = F.when(F.col("live") & (F.col("value") > 8), 1 - team)
-    mine, theirs = F.when(team == 1, F.col("p0")).otherwise(F.col("p1")), F.when(team == 0, F.col("q0")).otherwise(F.col("q1"))
-    back = F.when(team == 1, F.col("n0")).otherwise(F.col("n1"))
-    facts = F.struct(F.col("user_id"), F.col("x"), F.col("y"), mine.alias("own"), theirs.alias("pas"), back.alias("back"))
-    first = F.min_by(facts, F.struct("clock_us", "event_id")).alias("f")
-    rs = runs(d, tl, pteam, first, name="pteam").where(F.col("pteam").isNotNull())
-    keyed = tl.by("match_id", "pteam")
-    m = merge_gaps(rs, keyed, 10 * S, True, F.min_by("f", "start").alias("f")).where(F.col("end") - F.col("start") >= 333333)
-    flip = P.flip(F.col("pteam"))
-    s = F.col("start")
-    carrier = F.when(F.col("pteam") == 1, 1).otherwise(-1)
-    trigger = (
-        F.when(s - F.col("f.own") <= 10 * S, "counter-press")
-        .when(F.col("f.pas").isNull() | (s - F.col("f.pas.t") > 20 * S), "carry or first touch")
-        .when((F.col("f.x") - F.col("f.pas.x")) * carrier < -2, "back pass")
-        .when(F.abs("f.y") > 20.16, "pass out wide")
-        .otherwise("other pass")
-    )
-    return m.select(
-        "match_id", F.col("pteam").alias("team"), "start", "end", F.col("f.user_id").alias("presser"), (F.col("f.x") * flip).alias("x"), (F.col("f.y") * flip).alias("y"),
-        F.coalesce(F.col("f.back") - s <= 15 * S, F.lit(False)).alias("won"), trigger.alias("trigger"),
-    )
+    return views.presses(feed(spark, sf))
 
 
 @query("presses", f"{PRESS_SQL} SELECT match_id, team, start, \"end\", presser, round(x,6)+0e0 AS x, round(y,6)+0e0 AS y, won FROM pf", "stream")
@@ -506,38 +405,7 @@ ct AS (SELECT match_id, event_id, team, period, t, st AS start, CASE WHEN rst =
 
 @per_session
 def trace_chances(spark, sf):
-    """Every shot traced back to where its attack began, with the passes in between.
-
-    The possession spell before a shot is the state of the spell automaton just before the
-    run the shot falls in, corrected for that run being cut at the shot.
-    """
-    tl = stream_axis(spark, sf)
-    d = scan(open_stream(spark, sf), tl, was=prev(F.col("live")))
-    b = spell_before(match_runs(d, tl), tl, "team", F.col("end") - F.col("start"), 5 * S, "first").withColumn("clock_us", F.col("start"))
-    shots = d.where(F.col("kind") == "SH").select("match_id", "event_id", "team", "period", F.col("clock_us").alias("t"))
-    run = F.struct("team", "start", "end", "first", "before")
-    j = asof_join(shots.withColumn("clock_us", F.col("t") - 1), b, tl, run, "run").where(F.col("run").isNotNull())
-    starts = d.where(F.col("live") & ~F.col("was")).select("match_id", "clock_us")
-    j = asof_join(j.withColumn("clock_us", F.col("t")).drop("run_t"), starts, tl, F.lit(1), "rs")
-    t, team, before = F.col("t"), F.col("team"), F.col("run.before")
-    cut_short = F.least(F.col("run.end"), t - 1) - F.col("run.start") < 5 * S
-    keep = before.isNotNull() & ((cut_short & (F.col("run.team") != team)) | (before["team"] == F.col("run.team")))
-    holder = F.when(keep, F.struct(before["team"].alias("team"), before["start"].alias("s"), before["first"].alias("f"))).otherwise(
-        F.struct(F.col("run.team").alias("team"), F.col("run.start").alias("s"), F.col("run.first").alias("f"))
-    )
-    j = j.withColumn("h", holder).withColumn("mine", F.col("h.team") == team)
-    j = j.withColumn("own", F.when(F.col("mine"), F.col("h.s")).otherwise(t)).withColumn("rst", F.coalesce("rs_t", big(F.lit(-1))))
-    j = j.withColumn("start", F.greatest("own", "rst", t - 20 * S))
-    won = (F.col("rst") != F.col("start")) & (F.col("own") == F.col("start")) & (~F.col("mine") | F.col("h.f.open"))
-    kind = F.when(F.col("rst") == F.col("start"), "restart").when(won, "turnover").otherwise("long")
-    zone = F.when(won & F.col("mine"), P.third(F.col("h.f.x") * P.flip(team)))
-    j = j.select("match_id", "event_id", "team", "period", "t", "start", kind.alias("kind"), zone.alias("third"))
-    side = tl.by("match_id", "team")
-    passes = scan(stream(spark, sf).where(F.col("kind") == "PA"), side, n=total(big(F.lit(1)))).select("match_id", "team", "clock_us", "n")
-    for at, name in (("t", "upto"), ("start", "since")):
-        j = asof_join(j.withColumn("clock_us", F.col(at) - 1), passes, side, F.col("n"), name).drop(f"{name}_t", "clock_us")
-    z = big(F.lit(0))
-    return j.withColumn("passes", F.coalesce("upto", z) - F.coalesce("since", z)).drop("upto", "since")
+    return views.chances(feed(spark, sf))
 
 
 @query("chances_traced", f"{CHANCE_SQL} SELECT match_id, event_id, team, start, kind, third, passes FROM ct", "stream")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from touchline.operators import feed as views
 from touchline.operators import raster as R
+from touchline.plans.boards import BOARD_SQL
+from touchline.plans.events import CHANCE_SQL, PRESS_SQL, SETTLE_SQL, TURN_SQL
 from touchline.plans.frames import label_histogram
 from touchline.plans.registry import big, query, r6
-from touchline.sources import feeds, sinks, tracking
-from touchline.sources.driver_tables import moments, stream, table
+from touchline.sources import feeds, match_files, sinks, tracking
+from touchline.sources.driver_tables import feed, moments, per_session, stream, table
 from touchline.sources.scratch import scratch
 
 _written: dict[tuple, str] = {}
@@ -367,3 +370,45 @@ def io_changed(spark, sf):
 
     d = spark.read.parquet(once(spark, sf, "changed", write))
     return d.groupBy(big("match_id").alias("match_id"), "run").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
+
+
+# ------------------------------------------------------------------ one path from files to views
+
+@per_session
+def feed_from_files(spark, sf):
+    """The stream written as match files, teams changing ends, read back and stored once for all views."""
+    def write(p):
+        s = stream(spark, sf).groupBy("match_id").count()
+        left = F.col("match_id") % 2 == 0
+        match_files.write_feed(feed(spark, sf), s.select("match_id", left.alias("homeTeamStartLeft"), (~left).alias("startLeftExtra")), f"{p}/events", f"{p}/metadata")
+
+    p = once(spark, sf, "match", write)
+    return match_files.read_feed(spark, f"{p}/events", f"{p}/metadata").kept()
+
+
+@query("files_presses", f"{PRESS_SQL} SELECT match_id, team, start, \"end\", presser, round(x,6)+0e0 AS x, round(y,6)+0e0 AS y, won, trigger FROM pf", "stream")
+def files_presses(spark, sf):
+    d = views.presses(feed_from_files(spark, sf))
+    return d.withColumn("x", r6("x")).withColumn("y", r6("y"))
+
+
+@query("files_turnovers", f"{TURN_SQL} SELECT match_id, team, start, period, round(x,6)+0e0 AS x, round(y,6)+0e0 AS y, fast, shot FROM tn", "stream")
+def files_turnovers(spark, sf):
+    d = views.turnovers(feed_from_files(spark, sf))
+    return d.withColumn("x", r6("x")).withColumn("y", r6("y"))
+
+
+@query("files_chances", f"{CHANCE_SQL} SELECT match_id, event_id, team, start, kind, third, passes FROM ct", "stream")
+def files_chances(spark, sf):
+    return views.chances(feed_from_files(spark, sf)).select("match_id", "event_id", "team", "start", "kind", "third", "passes")
+
+
+@query("files_settling", f"{SETTLE_SQL} SELECT match_id, loss_id, dteam, CAST(dur_us AS BIGINT) AS dur_us, settled FROM dur", "stream")
+def files_settling(spark, sf):
+    return views.settling(feed_from_files(spark, sf)).select("match_id", "loss_id", "dteam", "dur_us", "settled")
+
+
+@query("files_board", f"{BOARD_SQL} SELECT * FROM board", "stream")
+def files_board(spark, sf):
+    """The board of every match, from event arrays and metadata on disk."""
+    return views.board(feed_from_files(spark, sf))

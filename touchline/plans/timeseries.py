@@ -11,7 +11,7 @@ from touchline.operators.timeline import (
     absorb_short_runs, asof_join, lerp_fill, merge_gaps, nxt, prev, row_index, runs, scan, trailing,
 )
 from touchline.plans.registry import big, query, r6
-from touchline.sources.driver_tables import per_session, stream, stream_axis, stream_frames
+from touchline.sources.driver_tables import feed, per_session, stream, stream_axis, stream_frames
 
 S = play.SECOND
 SLIM = ("event_id", "match_id", "period", "team", "kind", "clock_us", "value")  # all a stacked scan needs to carry
@@ -133,8 +133,7 @@ def ball_losses(spark, sf):
 
 @per_session
 def losses(spark, sf):
-    o = scan(stream(spark, sf).where(F.col("kind") == "OTB"), stream_axis(spark, sf), was=prev(F.col("team")))
-    return o.where(F.col("was") != F.col("team")).withColumn("loser", F.col("was")).withColumn("winner", F.col("team"))
+    return feed(spark, sf).losses()
 
 
 @query("forward_fill", """SELECT event_id, last_value(CASE WHEN kind = 'PA' THEN team END IGNORE NULLS) OVER (PARTITION BY match_id, period ORDER BY clock_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM stream_v""", "stream")
@@ -278,9 +277,7 @@ lv AS (SELECT s.*, iv.live_to, coalesce(max(iv.live_to) OVER (PARTITION BY s.mat
 
 @per_session
 def live_stream(spark: SparkSession, sf: str) -> DataFrame:
-    s = stream(spark, sf)
-    end = F.col("clock_us") + F.floor(F.col("value") * 10000)
-    return play.live_flags(s, stream_axis(spark, sf), end, 30 * S, 1500000)
+    return feed(spark, sf).live.drop("end_us", "pressed")
 
 
 @query("live_mask", f"{LIVE_SQL} SELECT event_id, live_to, live FROM lv", "stream")

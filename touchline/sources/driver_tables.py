@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.operators.feed import Feed
 from touchline.operators.timeline import Timeline, fit_timeline, row_index
 
 _plans: dict[tuple, object] = {}
@@ -123,6 +124,13 @@ def stream_axis(spark: SparkSession, sf_dir: str, *keys: str) -> Timeline:
     return fitted_axis(spark, sf_dir).by(*(keys or ("match_id",)))
 
 
+@per_session
+def feed(spark: SparkSession, sf_dir: str) -> Feed:
+    """The stream as a feed: a touch lasts by its value, and a high value stands for pressure."""
+    s = stream(spark, sf_dir).withColumn("end_us", F.col("clock_us") + F.floor(F.col("value") * 10000)).withColumn("pressed", F.col("value") > 8)
+    return Feed(s, stream_axis(spark, sf_dir))
+
+
 @per_session
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream with a per-match running frame number."""
