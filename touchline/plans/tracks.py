@@ -13,6 +13,7 @@ from touchline.operators import geometry as G
 from touchline.operators import play
 from touchline.operators import sequences as Q
 from touchline.operators.assignment import TrackSet
+from touchline.operators.intervals import least_covering
 from touchline.operators.timeline import asof_join, grouped_percentile, nxt, prev, scan, total, window_lowest, window_stats
 from touchline.plans.frames import ASSIGNED_SQL, assignment_error
 from touchline.plans.registry import big, query, r6
@@ -329,33 +330,21 @@ SELECT ch.event_id, spell_id FROM ch LEFT JOIN c ON ch.event_id=c.event_id AND r
 def attach_challenge(spark, sf):
     """Challenge to the carrier's spell: inside the widened interval, same carrier group first, then the nearest end.
 
-    Spells last at least a second, so an end at most 5 s back or 6 s ahead always qualifies and
-    is found by as-of lookups.  Only challenges without such an end in their own group look for
-    a longer spell still running, through time buckets.
+    An end that lies back is found by an as-of lookup; one ahead is the least end among the spells that cover the
+    challenge, however long they are and however many overlap.
     """
     s, tl = stream(spark, sf), stream_axis(spark, sf)
-    e = F.col("clock_us") + S + F.floor(F.col("value") * 10000)
-    sp = s.where(F.col("kind") == "OTB").select("match_id", (F.col("user_id") % 3).alias("grp"), F.col("event_id").alias("spell_id"), F.col("clock_us").alias("s"), e.alias("clock_us"))
-    ch = s.where(F.col("kind") == "CH").select("match_id", (F.col("user_id") % 3).alias("grp"), "event_id", "clock_us")
-
-    def near(d, axis, name):
-        d = asof_join(d, sp, axis, F.col("spell_id"), "b", "backward", 5 * S)
-        d = asof_join(d, sp, axis, F.col("spell_id"), "f", "forward", 6 * S)
-        t = F.col("clock_us")
-        ends = F.array(F.when(F.col("b").isNotNull(), F.struct((t - F.col("b_t")).alias("gap"), F.col("b").alias("id"))), F.when(F.col("f").isNotNull(), F.struct((F.col("f_t") - t).alias("gap"), F.col("f").alias("id"))))
-        return d.withColumn(name, F.array_min(ends)).drop("b", "b_t", "f", "f_t")
-
-    d = near(ch, tl.by("match_id", "grp"), "same")
-    done = d.where(F.col("same").isNotNull()).select("event_id", F.col("same.id").alias("spell_id"))
-    rest = near(d.where(F.col("same").isNull()).drop("same"), tl, "any")
-    slot, t = 10 * S, F.col("clock_us")
-    reach = F.explode(F.sequence(F.floor((F.col("s") - 5 * S) / slot), F.floor(F.col("e") / slot)))
-    long = sp.select("match_id", F.col("grp").alias("g"), "spell_id", "s", F.col("clock_us").alias("e")).withColumn("slot", reach)
-    c = rest.withColumn("slot", F.floor(t / slot)).join(long, ["match_id", "slot"]).where((t >= F.col("s") - 5 * S) & (F.col("e") > t + 6 * S))
-    pref = F.struct(F.when(F.col("g") == F.col("grp"), 0).otherwise(1).alias("other"), (F.col("e") - t).alias("gap"), F.col("spell_id").alias("id"))
-    far = c.groupBy("event_id").agg(F.min(pref).alias("far"))
-    pick = F.when(F.col("far.other") == 0, F.col("far.id")).when(F.col("any").isNotNull(), F.col("any.id")).otherwise(F.col("far.id"))
-    return done.unionByName(rest.join(far, "event_id", "left").select("event_id", pick.alias("spell_id")))
+    t, margin = F.col("clock_us"), 5 * S
+    spell = F.struct("end", "spell_id")
+    end = t + S + F.floor(F.col("value") * 10000)
+    sp = s.where(F.col("kind") == "OTB").select("match_id", (F.col("user_id") % 3).alias("grp"), F.col("event_id").alias("spell_id"), t.alias("start"), end.alias("end"))
+    d = s.where(F.col("kind") == "CH").select("match_id", (F.col("user_id") % 3).alias("grp"), "event_id", "clock_us")
+    for name, keys in (("same", ["match_id", "grp"]), ("any", ["match_id"])):
+        d = asof_join(d, sp.withColumn("clock_us", F.col("end")), tl.by(*keys), spell, "back", "backward", margin)
+        d = least_covering(d, sp, keys, "clock_us", F.col("start") - margin, F.col("end"), spell, "on")
+        gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(t - F.col(f"{c}.end")).alias("gap"), F.col(f"{c}.spell_id").alias("id")))
+        d = d.withColumn(name, F.array_min(F.array(gap("back"), gap("on")))).drop("back", "back_t", "on")
+    return d.select("event_id", F.coalesce("same.id", "any.id").alias("spell_id"))
 
 
 @query("touch_spells", """t AS (SELECT *, lag(user_id) OVER w AS pu, lag(clock_us) OVER w AS pt, lag(kind) OVER w AS pk FROM stream_v WHERE kind <> 'OUT' WINDOW w AS (PARTITION BY match_id, period, team ORDER BY clock_us, event_id)),
