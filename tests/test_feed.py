@@ -83,3 +83,52 @@ def test_feed_names_what_it_lacks_and_takes_no_rows(spark):
         Feed(made(spark).drop("pressed"))
     none = Feed(made(spark).limit(0))
     assert views.board(none).count() == views.presses(none).count() == views.chances(none).count() == 0
+
+
+def test_press_spells_by_hand(spark):
+    from touchline.plans.frames import press_spells
+
+    #         frames of one press: 0-3, joined with 6-9 (a gap of 3), too short at 20-21, and a second side's 0-9
+    scores = {0: .5, 1: .9, 2: .9, 3: .4, 4: .39, 5: 0., 6: .6, 9: .5, 13: .1, 20: .8, 21: .8, 30: None}
+    rows = [(1, 0, f, s, f % 11) for f, s in scores.items()] + [(1, 1, f, .5, 3) for f in range(10)] + [(2, 0, 5, .1, 1)]
+    d = spark.createDataFrame(rows, "m int, team int, frame long, score double, presser int")
+    got = press_spells(d, "m", 0.4, 4, 5).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, 9, .9, 1, 1), (1, 1, 0, 9, .5, 3, 0)]
+
+
+def test_registry_dimensions(spark):
+    from touchline.schema import REGISTRY
+    from touchline.sources import feeds
+
+    docs = [json.dumps({"matches": [
+        {"id": "1", "home": {"id": "10", "name": "A"}, "away": {"id": "11", "name": "A"}, "quirks": {"keeper_swap": {"periods": [1]}}, "press_threshold_override": 0.0},
+        {"id": "2", "home": {"id": "home", "name": None}, "away": {"id": "12", "name": "home"}, "quirks": {"keeper_swap": ""}},
+        {"id": "3"},
+    ]})]
+    from pyspark.sql import functions as F
+    reg = spark.createDataFrame([(d,) for d in docs], "value string").select(F.from_json("value", REGISTRY).alias("j")).select(F.explode("j.matches").alias("m")).select("m.*")
+    found = spark.createDataFrame([("1", "x", 0.5), ("2", "y", 0.6)], "id string, keeper_swap string, threshold double")
+    rows = {r.id: r for r in feeds.registry_matches(reg, found).collect()}
+    assert (rows["1"].keeper_swap, rows["1"].press_threshold) == ('{"periods":[1]}', 0.0)
+    assert (rows["2"].keeper_swap, rows["2"].press_threshold, rows["3"].press_threshold, rows["3"].home) == ("y", 0.6, None, None)
+    asked = spark.createDataFrame([("1", "A"), ("1", "11"), ("2", "home"), ("2", "12"), ("2", "away"), ("3", "away"), ("9", "A"), (None, None)], "id string, mention string")
+    got = {(r.id, r.mention): r.side for r in feeds.resolve_teams(asked, feeds.registry_teams(reg)).collect()}
+    assert got == {("1", "A"): "home", ("1", "11"): "away", ("2", "home"): "home", ("2", "12"): "away", ("2", "away"): "away", ("3", "away"): "away", ("9", "A"): None, (None, None): None}
+
+
+def test_embedded_events_by_hand(spark, tmp_path):
+    from touchline.sources import tracking
+
+    lines = [
+        {"frameNum": 1, "period": None, "game_event_id": 5.0, "game_event": {"game_event_type": "OTB"}},       # no period: not yet
+        {"frameNum": 2, "period": 1, "game_event_id": 5.0, "game_event": {"game_event_type": "OTB", "team_id": "31.0", "shirt_number": "9"}},
+        {"frameNum": 3, "period": 2, "game_event_id": 5.0, "game_event": {"game_event_type": "OUT"}},          # mentioned before
+        {"frameNum": 4, "period": 1, "game_event_id": 6.0, "game_event": None},                               # no event
+        {"frameNum": 5, "period": 1, "possession_event_id": 8.0, "possession_event": {"possession_event_type": "PA", "game_event_id": 5}},
+        {"frameNum": 6, "period": 1, "possession_event_id": 9.0, "possession_event": {"possession_event_type": "SH", "start_frame": 4}},
+    ]
+    (tmp_path / "t.json").write_text("\n".join(map(json.dumps, lines)))
+    t = tracking.read_tracking(spark, str(tmp_path / "t.json"))
+    g = tracking.game_events(t).collect()
+    assert [(r.id, r.kind, r.team_id, r.shirt, r.player, r.period) for r in g] == [(5, "OTB", "31", "9", None, 1)]
+    assert sorted(map(tuple, tracking.possession_events(t).collect())) == [(8, "PA", 5, 5), (9, "SH", None, 4)]

@@ -50,8 +50,15 @@ def tracking_lines(spark, sf):
         "label", b.alias("b"), F.col("frame").alias("frameNum"), F.lit(1).alias("period"), (F.col("frame") / 29.97).alias("periodElapsedTime"),
         side(0, 0.5, True).alias("homePlayers"), side(1, 0.5, True).alias("awayPlayers"), smooth(0).alias("homePlayersSmoothed"), smooth(1).alias("awayPlayersSmoothed"),
         F.array(b.withField("x", b["x"] + 1)).alias("balls"), F.floor(F.col("frame") / 5).cast("double").alias("game_event_id"),
-        F.struct(F.lit("OTB").alias("game_event_type"), F.col("poss").cast("string").alias("team_id"), F.col("frame").alias("start_frame")).alias("game_event"),
-        F.struct(kind.alias("possession_event_type"), F.col("frame").alias("start_frame")).alias("possession_event"),
+        F.struct(
+            F.lit("OTB").alias("game_event_type"), F.col("poss").cast("string").alias("team_id"), F.concat(F.lit("P"), F.col("label")).alias("player_name"),
+            (F.col("frame") % 23).cast("string").alias("shirt_number"), F.when(F.col("label") == 0, "GK").otherwise("CM").alias("position_group_type"),
+            (F.col("poss") == 0).alias("home_ball"), F.col("frame").alias("start_frame"), F.when(F.col("label") != 1, F.col("frame") + 3).alias("end_frame"),
+        ).alias("game_event"),
+        F.when(F.col("label") != 9, F.floor(F.col("frame") / 3).cast("double")).alias("possession_event_id"),
+        F.struct(
+            kind.alias("possession_event_type"), F.floor(F.col("frame") / 5).alias("game_event_id"), F.when(F.col("label") % 2 == 0, F.col("frame")).alias("start_frame")
+        ).alias("possession_event"),
     )
     body = F.to_json(F.struct(*[c for c in d.columns if c not in ("label", "b")]))
     js = F.to_json("b")
@@ -91,6 +98,21 @@ def embedded_events(spark, sf):
     return tracking.embedded_events(tracking.read_tracking(spark, tracking_path(spark, sf)))
 
 
+@query("embedded_game_events", """f AS (SELECT CAST(floor(frame/5e0) AS BIGINT) AS id, min(frame) AS f, arg_min(label, frame) AS label, arg_min(poss_team, frame) AS poss FROM ball_v GROUP BY 1)
+SELECT id, 'OTB' AS kind, CAST(poss AS VARCHAR) AS team_id, 'P' || label AS player, CAST(f % 23 AS VARCHAR) AS shirt, CASE WHEN label = 0 THEN 'GK' ELSE 'CM' END AS position, poss = 0 AS home_ball,
+ f AS start_frame, CASE WHEN label <> 1 THEN f + 3 END AS end_frame, CAST(1 AS INTEGER) AS period FROM f""", "positions")
+def embedded_game_events(spark, sf):
+    """Every field of the game events on the tracking lines, first mention of an event counts."""
+    return tracking.game_events(tracking.read_tracking(spark, tracking_path(spark, sf)))
+
+
+@query("embedded_possession_events", """SELECT CAST(floor(frame/3e0) AS BIGINT) AS id, CASE WHEN arg_min(label, frame) = 7 THEN 'SH' ELSE 'PA' END AS kind, CAST(floor(min(frame)/5e0) AS BIGINT) AS game_event_id, min(frame) AS frame
+FROM ball_v WHERE label <> 9 GROUP BY 1""", "positions")
+def embedded_possession_events(spark, sf):
+    """Possession events on the tracking lines with the game event they belong to; without a frame of its own, the line's counts."""
+    return tracking.possession_events(tracking.read_tracking(spark, tracking_path(spark, sf)))
+
+
 @query("scan_strided", "SELECT frame, label = 7 AS is_shot FROM ball_v WHERE frame % 30 = 0 OR label = 7", "positions")
 def scan_strided(spark, sf):
     return tracking.strided(spark, tracking_path(spark, sf), 30).select(F.col("frameNum").alias("frame"), "is_shot")
@@ -169,6 +191,44 @@ def scan_registry_json(spark, sf):
     return feeds.registry_goals(feeds.read_registry(spark, once(spark, sf, "registry", write)))
 
 
+def registry_path(spark, sf):
+    """Matches with both teams, quirks, and a press threshold of their own, and what validation has found out about each."""
+    def write(p):
+        o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+        team = lambda name, step: F.struct(((F.col("o_custkey") + step) * 10).cast("string").alias("id"), F.concat(F.lit(name), F.col("o_custkey")).alias("name"))
+        swap = F.when(k % 5 == 0, F.create_map(F.lit("keeper_swap"), F.lit("quirk"))).when(k % 5 == 1, F.create_map(F.lit("note"), F.lit("none")))
+        match = F.struct(
+            k.cast("string").alias("id"), team("Home ", 0).alias("home"), team("Away ", 1).alias("away"), swap.alias("quirks"),
+            F.when(k % 3 == 0, F.round(k % 100 / 100.0, 2)).alias("press_threshold_override"),
+        )
+        sinks.write_json_lines(o.select(F.array(match).alias("matches")), f"{p}/registry")
+        found = o.where(k % 7 != 0).select(k.cast("string").alias("id"), F.when(k % 2 == 0, F.lit("found")).alias("keeper_swap"), F.round(k % 50 / 100.0, 2).alias("threshold"))
+        sinks.write_json_lines(found, f"{p}/found")
+
+    return once(spark, sf, "dimensions", write)
+
+
+@query("registry_matches", """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'Home ' || o_custkey AS home, 'Away ' || o_custkey AS away,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'quirk' WHEN o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0 THEN 'found' END AS keeper_swap,
+ CASE WHEN o_orderkey % 3 = 0 THEN round(o_orderkey % 100 / 100e0, 2) WHEN o_orderkey % 7 <> 0 THEN round(o_orderkey % 50 / 100e0, 2) END AS press_threshold FROM orders""")
+def registry_matches(spark, sf):
+    """Match dimension: a quirk or threshold set by hand counts before what was found out."""
+    p = registry_path(spark, sf)
+    found = spark.read.schema("id STRING, keeper_swap STRING, threshold DOUBLE").json(f"{p}/found")
+    return feeds.registry_matches(feeds.read_registry(spark, f"{p}/registry"), found)
+
+
+@query("registry_teams", """SELECT CAST(o_orderkey AS VARCHAR) AS id, a.side, CAST((o_custkey + CASE a.side WHEN 'home' THEN 0 ELSE 1 END) * 10 AS VARCHAR) AS team_id, CASE a.side WHEN 'home' THEN 'Home ' ELSE 'Away ' END || o_custkey AS name
+FROM orders, (VALUES ('home'), ('away')) a(side) WHERE CASE o_orderkey % 4 WHEN 0 THEN a.side = 'home' WHEN 1 THEN a.side = 'away' WHEN 2 THEN a.side = 'away' ELSE false END""")
+def registry_teams(spark, sf):
+    """Teams looked up by side, by name and by id; an unknown mention finds none."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 4 == 0, "home").when(k % 4 == 1, F.concat(F.lit("Away "), "o_custkey")).when(k % 4 == 2, ((F.col("o_custkey") + 1) * 10).cast("string")).otherwise("nobody")
+    asked = table(spark, sf, "orders").select(k.cast("string").alias("id"), said.alias("mention"))
+    teams = feeds.registry_teams(feeds.read_registry(spark, f"{registry_path(spark, sf)}/registry"))
+    return feeds.resolve_teams(asked, teams).where(F.col("side").isNotNull()).select("id", "side", "team_id", "name")
+
+
 @query("scan_reports_json", "SELECT n_name AS team, 'Report on ' || n_name AS headline, r_name AS \"group\" FROM nation JOIN region ON n_regionkey = r_regionkey")
 def scan_reports_json(spark, sf):
     """Hand-written report texts as JSON arrays."""

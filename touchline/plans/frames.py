@@ -11,7 +11,7 @@ from touchline.functions import pitch as P
 from touchline.operators import geometry as G
 from touchline.operators import raster as R
 from touchline.operators.assignment import matched_distances
-from touchline.operators.timeline import fit_timeline, grouped_percentile, prev, scan
+from touchline.operators.timeline import fit_timeline, grouped_percentile, merge_gaps, prev, runs, scan
 from touchline.plans.registry import big, query, r6
 from touchline.sources.driver_tables import moments, per_session
 
@@ -82,6 +82,55 @@ def pressure_moving(spark, sf):
     return d.select("frame", "label", F.col("team").cast("int").alias("team"), r6("score").alias("score"), "n", F.col("presser").cast("int").alias("presser"), r6("contribution").alias("contribution"))
 
 
+MOVING_SCORE_SQL = f"{MOVING_SQL}, score AS (SELECT rc.frame, rc.label, any_value(rc.team) AS team, any_value(qy) AS qy, 1 - product(1-c) AS score, arg_max(entity, c) AS presser FROM rc JOIN ball_v ON rc.frame = ball_v.frame GROUP BY rc.frame, rc.label)"
+
+
+@per_session
+def moving(spark, sf):
+    """Moving pressure of every frame with the ball's side position."""
+    return moving_pressure(moments(spark, sf)).join(moments(spark, sf).select("frame", "ball_y"), "frame")
+
+
+@query("pressure_by_label_moving", f"{MOVING_SCORE_SQL} SELECT label, count(*) AS frames, round(avg(score),6) AS mean_score, round(max(score),6) AS max_score FROM score GROUP BY label", "positions")
+def pressure_by_label_moving(spark, sf):
+    return moving(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("frames"), r6(F.avg("score")).alias("mean_score"), r6(F.max("score")).alias("max_score"))
+
+
+@query("wide_pressure_moving", f"{MOVING_SCORE_SQL} SELECT frame, CASE WHEN abs(qy) > 20.4e0 THEN round(score,6) END AS wide_pressure FROM score", "positions")
+def wide_pressure_moving(spark, sf):
+    return moving(spark, sf).select("frame", F.when(F.abs("ball_y") > P.WIDE_Y, r6("score")).alias("wide_pressure"))
+
+
+def press_spells(scores: DataFrame, match: str, threshold: float, gap: int, least: int) -> DataFrame:
+    """Presses of one match's team: runs of frames at or over ``threshold``, joined over gaps under ``gap`` frames, ``least`` frames long or more.
+
+    ``scores`` has (match, team, frame, score, presser); frames of the same team only are neighbours.  The peak is the
+    highest score of a press, the earliest of equal ones, and ``presser`` who pressed then.
+    """
+    tl = fit_timeline(scores, [match, "team"], "frame")
+    top = F.max(F.struct("score", (-F.col("frame")).alias("order"), "presser")).alias("top")
+    on = F.when(F.col("score") >= threshold, 1)
+    rs = runs(scores.select(match, "team", "frame", "score", "presser"), tl, on, top, name="on").where(F.col("on").isNotNull()).drop("on")
+    m = merge_gaps(rs, tl, gap, True, F.max("top").alias("top")).where(F.col("end") - F.col("start") >= least)
+    return m.select(match, "team", "start", "end", F.col("top.score").alias("peak"), F.col("top.presser").alias("presser"), (-F.col("top.order")).alias("peak_frame"))
+
+
+PRESS_AT, PRESS_GAP, PRESS_LEAST = 0.4, 30, 10  # score, frames, frames
+SPELLS_SQL = f"""{MOVING_SCORE_SQL}, sc AS (SELECT *, score >= {PRESS_AT}e0 AS on_, lag(score >= {PRESS_AT}e0) OVER w AS was FROM score WINDOW w AS (PARTITION BY label, team ORDER BY frame)),
+si AS (SELECT *, sum(CASE WHEN on_ IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY label, team ORDER BY frame) AS rid FROM sc),
+sr AS (SELECT label, team, rid, min(frame) AS s, max(frame) AS e FROM si WHERE on_ GROUP BY ALL),
+sg AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY label, team ORDER BY s) < {PRESS_GAP} THEN 0 ELSE 1 END AS fresh FROM sr),
+sk AS (SELECT *, sum(fresh) OVER (PARTITION BY label, team ORDER BY s) AS g FROM sg),
+sz AS (SELECT label, team, g, min(s) AS s, max(e) AS e FROM sk GROUP BY ALL HAVING max(e) - min(s) >= {PRESS_LEAST}),
+sp AS (SELECT sz.label, sz.team, s, e, max(score) AS peak, arg_max(struct_pack(p := presser, f := frame), struct_pack(a := score, b := -frame)) AS best FROM sz JOIN score c ON c.label = sz.label AND c.team = sz.team AND frame BETWEEN s AND e WHERE score >= {PRESS_AT}e0 GROUP BY ALL)"""
+
+
+@query("press_spells_moving", f"""{SPELLS_SQL} SELECT label, CAST(team AS INTEGER) AS team, s AS start, e AS "end", round(peak,6) AS peak, CAST(best.p AS INTEGER) AS presser, best.f AS peak_frame FROM sp""", "positions")
+def press_spells_moving(spark, sf):
+    d = press_spells(moving(spark, sf), "label", PRESS_AT, PRESS_GAP, PRESS_LEAST)
+    return d.select("label", F.col("team").cast("int").alias("team"), "start", "end", r6("peak").alias("peak"), F.col("presser").cast("int").alias("presser"), "peak_frame")
+
+
 @query("pressure_score", f"{PRESSURE_SQL} SELECT frame, label, round(score,6) AS score, n FROM score", "positions")
 def pressure_score(spark, sf):
     return pressured(spark, sf).select("frame", "label", r6("score").alias("score"), big("n").alias("n"))
@@ -212,6 +261,18 @@ def engaged_label(spark, sf):
     return d.select("frame", "structure", P.engaged_label(F.col("structure"), F.col("score"), 0.4).alias("engaged"))
 
 
+@query(
+    "engaged_label_moving",
+    f"{MOVING_SCORE_SQL}, {SHAPE_SQL}, ds AS (SELECT frame, {BLOCK_CASE} AS structure FROM shp WHERE team <> poss_team)"
+    " SELECT d.frame, structure, CASE WHEN score >= 0.4e0 THEN 'Engaged' ELSE 'Passive' END AS engaged FROM ds d JOIN score s ON d.frame = s.frame",
+    "positions",
+)
+def engaged_label_moving(spark, sf):
+    """Engaged by the whole pressure model, not by where defenders stand."""
+    d = defending_measures(spark, sf).drop("score").join(moving(spark, sf).select("frame", "score"), "frame")
+    return d.select("frame", "structure", P.engaged_label(F.col("structure"), F.col("score"), 0.4).alias("engaged"))
+
+
 SPAN_SQL = """near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY sqrt((x-qx)*(x-qx)+(y-qy)*(y-qy)), entity) AS r FROM def_v) q WHERE r <= 5),
 span AS (SELECT a.frame, max(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS span FROM near a JOIN near b ON a.frame = b.frame GROUP BY a.frame)"""
 

@@ -62,6 +62,34 @@ def registry_goals(registry: DataFrame) -> DataFrame:
     return g.select("id", "no", F.get("g", F.lit(0)).alias("team"), F.get("g", F.lit(1)).cast("int").alias("minute"), F.get("g", F.lit(2)).alias("kind"))
 
 
+def registry_matches(registry: DataFrame, found: DataFrame) -> DataFrame:
+    """Match dimension.  ``found`` has ``id, keeper_swap, threshold``, worked out per match; the registry's own entries come first."""
+    d = registry.join(found.withColumnRenamed("keeper_swap", "swap"), "id", "left")
+    own = F.when(F.length(F.col("quirks")["keeper_swap"]) > 0, F.col("quirks")["keeper_swap"])
+    return d.select(
+        "id", F.col("home.name").alias("home"), F.col("away.name").alias("away"), F.coalesce(own, "swap").alias("keeper_swap"),
+        F.coalesce("press_threshold_override", "threshold").alias("press_threshold"),
+    )
+
+
+def registry_teams(registry: DataFrame) -> DataFrame:
+    """Two rows per match: side, the team's id and name."""
+    two = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}.id").alias("team_id"), F.col(f"{s}.name").alias("name")) for s in ("home", "away")])
+    return registry.select("id", F.inline(two))
+
+
+def resolve_teams(asked: DataFrame, teams: DataFrame) -> DataFrame:
+    """Add side, team_id and name for every ``(id, mention)``: a side's name, else a team's name or id, the home side first."""
+    names = F.array(
+        F.struct(F.col("side").alias("mention"), F.lit(0).alias("order")), F.struct(F.col("name").alias("mention"), F.lit(1).alias("order")),
+        F.struct(F.col("team_id").alias("mention"), F.lit(1).alias("order")),
+    )
+    known = teams.select("id", "side", "team_id", "name", F.inline(names)).where(F.col("mention").isNotNull())
+    best = F.min(F.struct("order", (F.col("side") != "home").alias("away"), "side", "team_id", "name")).alias("t")
+    known = known.groupBy("id", "mention").agg(best).select("id", "mention", "t.side", "t.team_id", "t.name")
+    return asked.join(known, ["id", "mention"], "left")
+
+
 def read_position_sets(spark: SparkSession, path: str) -> DataFrame:
     """Second provider's positions: one row per person and frame; speed in m/s."""
     fs = spark.read.format("xml").option("rowTag", "FrameSet").schema(FRAME_SET).load(path)

@@ -64,6 +64,29 @@ def embedded_events(df: DataFrame) -> DataFrame:
     return d.select("id", F.col("e.frameNum").alias("first_frame"), F.col("e.game_event.game_event_type").alias("kind"), F.col("e.game_event.team_id").alias("team_id"))
 
 
+def _first_mention(df: DataFrame, key: str, *fields: str) -> DataFrame:
+    d = df.where(F.col("period").isNotNull() & F.col(key).isNotNull() & F.col(key.removesuffix("_id")).isNotNull())
+    return d.groupBy(F.col(key).cast("bigint").alias("id")).agg(F.min_by(F.struct(*fields), F.col("line")).alias("e"))
+
+
+def game_events(df: DataFrame) -> DataFrame:
+    """All fields of every game event, as on the first line with a period that mentions it; team ids lose a decimal part."""
+    e = F.col("e.game_event")
+    return _first_mention(df, "game_event_id", "period", "game_event").select(
+        "id", e["game_event_type"].alias("kind"), e["team_id"].cast("double").cast("bigint").cast("string").alias("team_id"), e["player_name"].alias("player"),
+        e["shirt_number"].alias("shirt"), e["position_group_type"].alias("position"), e["home_ball"].alias("home_ball"), e["start_frame"].alias("start_frame"),
+        e["end_frame"].alias("end_frame"), F.col("e.period").alias("period"),
+    )
+
+
+def possession_events(df: DataFrame) -> DataFrame:
+    """Every possession event as first mentioned, with its game event; the frame is its own, else the line's."""
+    e = F.col("e.possession_event")
+    return _first_mention(df, "possession_event_id", "frameNum", "possession_event").select(
+        "id", e["possession_event_type"].alias("kind"), e["game_event_id"].alias("game_event_id"), F.coalesce(e["start_frame"], "e.frameNum").alias("frame")
+    )
+
+
 def strided(spark: SparkSession, path: str, every: int) -> DataFrame:
     """Every Nth frame plus every frame with a shot, decided on the raw text before any JSON is parsed."""
     lines = spark.read.text(path)
