@@ -15,7 +15,8 @@ duckdb = pytest.importorskip("duckdb")
 NAMES = """pressure_score team_shape marking_label holes_in_block free_opponents raster_blur zone_index asof_possession asof_nearest_tol trailing_mean flicker_fixpoint
 merged_runs lerp_fill_strict live_mask ppda_by_state segment_labels settle_duration phase_label turnovers presses chances_traced line_breaks lane_shares zone_entries
 rolling_median_grid youden_threshold auc lead_lag quantile_report game_state_bins fe_wls_effect rank_chips publish_merge dedup_first text_clock view_sentences event_snap
-chapters debounced_possession scan_tracking_json scan_events_json xml_events io_raster io_only_missing stream_trailing_mean stream_late""".split()
+chapters debounced_possession scan_tracking_json scan_events_json xml_events io_raster io_only_missing stream_trailing_mean stream_late
+attach_challenge files_presses files_turnovers files_board embedded_game_events registry_matches registry_teams press_spells_moving state_study line_break_report""".split()
 
 
 @pytest.fixture(scope="module")

@@ -483,7 +483,7 @@ def find_line_breaks(spark, sf):
     d = scan(d, tl, rc=nxt(F.struct("clock_us", "team", "x", "y"), when=F.col("kind") == "OTB"))
     sg = F.when(F.col("team") == 1, 1).otherwise(-1)
     d = d.where((F.col("kind") == "PA") & F.col("live") & (F.col("rc.team") == F.col("team")) & (F.col("rc.clock_us") - F.col("clock_us") <= 60 * S))
-    d = d.select("match_id", "event_id", "team", (F.col("x") * sg).alias("x0"), (F.col("rc.x") * sg).alias("x1"), (F.col("rc.y") * sg).alias("y1"))
+    d = d.select("match_id", "event_id", "team", "user_id", "clock_us", (F.col("x") * sg).alias("x0"), (F.col("rc.x") * sg).alias("x1"), (F.col("rc.y") * sg).alias("y1"))
     d = d.where(F.col("x0") - F.col("x1") >= 5)
     m = moments(spark, sf).select("frame", "players")
     n = m.agg(F.count(F.lit(1)).alias("nf"))  # one row
@@ -493,7 +493,7 @@ def find_line_breaks(spark, sf):
     d = d.withColumn("xs", xs).where(F.size("xs") >= 9)
     beaten = F.size(F.filter(F.slice("xs", 1, 7), lambda x: (x < F.col("x0")) & (x > F.col("x1"))))
     return d.select(
-        "match_id", "event_id", (1 - F.col("team")).alias("dteam"), big(beaten).alias("beaten"), (F.col("x1") < G.mean(F.slice("xs", 1, 4))).alias("behind"),
+        "match_id", "event_id", "user_id", "clock_us", (1 - F.col("team")).alias("dteam"), big(beaten).alias("beaten"), (F.col("x1") < G.mean(F.slice("xs", 1, 4))).alias("behind"),
         "x0", "x1", "y1", P.lane5(F.col("y1")).alias("lane"),
     ).where(F.col("beaten") >= 3)
 
@@ -513,6 +513,33 @@ def line_break_summary(spark, sf):
     )
 
 
+@query("line_break_report", f"""{BREAK_SQL}, pb AS (SELECT l.*, s.user_id, s.clock_us FROM lbk l JOIN stream_v s ON s.event_id = l.event_id),
+wh AS (SELECT match_id, dteam, user_id, count(*) AS n, min(struct_pack(a := clock_us, b := event_id)) AS f FROM pb GROUP BY ALL),
+tp AS (SELECT match_id, dteam, string_agg(user_id || ' (' || n || ')', ', ' ORDER BY r) AS top_passers FROM (SELECT *, row_number() OVER (PARTITION BY match_id, dteam ORDER BY n DESC, f) AS r FROM wh) q WHERE r <= 5 GROUP BY ALL),
+dm AS (SELECT match_id, 1-team AS dteam, count(*) FILTER (live)/5e0 AS secs FROM lv GROUP BY ALL),
+cn AS (SELECT match_id, dteam, count(*) AS n, count(*) FILTER (behind) AS behind FROM pb GROUP BY ALL)
+SELECT dm.match_id, CAST(dm.dteam AS INTEGER) AS dteam, coalesce(n, 0) AS conceded, coalesce(behind, 0) AS behind, top_passers, secs AS live_defending_s, round(coalesce(n, 0)/nullif(secs/60, 0),6) AS per_minute, round(secs/n,6) AS seconds_per_pass
+FROM dm LEFT JOIN cn ON cn.match_id = dm.match_id AND cn.dteam = dm.dteam LEFT JOIN tp ON tp.match_id = dm.match_id AND tp.dteam = dm.dteam""", "positions stream")
+def line_break_report(spark, sf):
+    """Line-breaking passes conceded per match and side: the five busiest passers, rate per minute, seconds between them.
+
+    Passers are counted before they are ranked; of equal ones the earlier comes first.
+    """
+    k = ["match_id", "dteam"]
+    p = find_line_breaks(spark, sf)
+    who = p.groupBy(*k, "user_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("clock_us", "event_id")).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*k).orderBy(F.col("n").desc(), "first"))
+    named = F.struct(place.alias("place"), F.concat(F.col("user_id").cast("string"), F.lit(" ("), "n", F.lit(")")).alias("text"))
+    who = who.select(*k, named.alias("p")).where(F.col("p.place") <= 5).groupBy(*k).agg(F.array_join(F.array_sort(F.collect_list("p"))["text"], ", ").alias("top_passers"))
+    c = p.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.count_if("behind").alias("b"))
+    d = live_stream(spark, sf).groupBy("match_id", (1 - F.col("team")).alias("dteam")).agg((F.count_if("live") / 5.0).alias("secs"))
+    d = d.join(c, k, "left").join(who, k, "left").withColumn("conceded", F.coalesce("n", big(F.lit(0))))
+    return d.select(
+        *k, "conceded", F.coalesce("b", big(F.lit(0))).alias("behind"), "top_passers", F.col("secs").alias("live_defending_s"),
+        r6(F.try_divide(F.col("conceded").cast("double"), F.col("secs") / 60)).alias("per_minute"), r6(F.try_divide("secs", F.col("n").cast("double"))).alias("seconds_per_pass"),
+    )
+
+
 # ------------------------------------------------------------------ lanes
 
 FWD_SQL = """fw AS (SELECT *, CASE WHEN team=0 THEN x ELSE -x END AS ox, CASE WHEN team=0 THEN y ELSE -y END AS oy, lag(x) OVER w * CASE WHEN team=0 THEN 1 ELSE -1 END AS px, lag(team) OVER w = team AND lag(period) OVER w = period AS step

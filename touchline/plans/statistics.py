@@ -6,16 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import pitch as P
+from touchline.operators import geometry as G
 from touchline.operators import play
+from touchline.operators import states
 from touchline.operators import stats as ST
 from touchline.operators.timeline import Timeline, grouped_percentile, scan, total
 from touchline.plans.events import PRESS_SQL, find_presses
 from touchline.plans.events import labelled as labelled_stream
-from touchline.plans.frames import SHAPE_SQL, shapes
+from touchline.plans.frames import BLOCK_CASE, CELL_SQL, FREE_SQL, SHAPE_SQL, blocks, labelled, shapes
 from touchline.plans.registry import big, query, r6
 from touchline.plans.timeseries import LIVE_SQL, live_stream
 from touchline.session import cut_lineage
-from touchline.sources.driver_tables import per_session, stream, stream_axis, table
+from touchline.sources.driver_tables import moments, per_session, stream, stream_axis, table
 
 TAG_SQL = "tg AS (SELECT d.source, l.quality = 1 AS pos, d.n_chars / 20000e0 AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
@@ -173,7 +175,7 @@ def samples(spark, sf):
     d = d.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
     diff = F.when(F.col("side") == 0, F.col("gdh")).otherwise(-F.col("gdh"))
     return d.select(
-        "match_id", "clock_us", "period", "side", P.game_state(diff).alias("state"), F.floor(F.col("clock_us") / 300000000.0).alias("bin"),
+        "match_id", "event_id", "clock_us", "period", "side", P.game_state(diff).alias("state"), F.floor(F.col("clock_us") / 300000000.0).alias("bin"),
         "live", (F.col("live") & (F.col("team") != F.col("side"))).alias("defending"), (F.col("live") & (F.col("team") == F.col("side"))).alias("has_ball"),
         (F.col("x") * P.flip(F.col("side"))).alias("line"),
     )
@@ -228,6 +230,64 @@ def late_share(spark, sf):
     )
 
 
+# ------------------------------------------------------------------ state study with every measure
+
+STUDY_SQL = f"""{PRESS_SQL}, {STATE_SQL}, {SHAPE_SQL}, {CELL_SQL}, {FREE_SQL},
+ha AS (SELECT frame, count(*) FILTER (hole) AS holes FROM cells GROUP BY frame), fa AS (SELECT frame, count(*) AS free FROM free GROUP BY frame), nf AS (SELECT count(*) AS n FROM embeddings),
+mm AS (SELECT s.frame, s.length, s.width, {BLOCK_CASE} AS structure, CASE WHEN b.frame IS NOT NULL THEN coalesce(holes, 0) END AS holes, CASE WHEN b.frame IS NOT NULL THEN coalesce(free, 0) END AS free
+ FROM shp s LEFT JOIN (SELECT DISTINCT frame FROM box) b ON b.frame = s.frame LEFT JOIN ha ON ha.frame = s.frame LEFT JOIN fa ON fa.frame = s.frame WHERE s.team <> s.poss_team),
+fs AS (SELECT sm.match_id, sm.event_id, sm.clock_us, sm.side, sm.period, sm.bin, sm.state, sm.live, sm.defending, sm.has_ball, sm.line, mm.length, mm.width, mm.structure, mm.holes, mm.free FROM sm CROSS JOIN nf LEFT JOIN mm ON mm.frame = sm.event_id % n WHERE sm.live),
+sb AS (SELECT match_id, side, period, bin, state, count(*) FILTER (defending) AS n_def, count(*) FILTER (defending AND structure IS NOT NULL) AS n_org, count(*) AS n_live,
+ median(line) FILTER (defending) AS line, median(length) FILTER (defending) AS length, median(width) FILTER (defending) AS width, avg(holes) FILTER (defending) AS holes, avg(free) FILTER (defending) AS free,
+ 100e0*avg((structure = 'High Press')::INT) FILTER (defending) AS high, 100e0*avg((structure = 'Low Block')::INT) FILTER (defending) AS low, 100e0*avg(has_ball::INT) AS possession,
+ coalesce(avg(clock_us) FILTER (defending), avg(clock_us))/6e7 AS clock FROM fs GROUP BY match_id, side, period, bin, state),
+pq AS (SELECT match_id, side, period, bin, state, count(*) AS presses FROM (SELECT sm.* FROM pf JOIN sm ON pf.match_id=sm.match_id AND pf.team=sm.side AND pf.start=sm.clock_us) z GROUP BY ALL),
+study AS (SELECT sb.*, coalesce(presses, 0) AS presses FROM sb LEFT JOIN pq USING (match_id, side, period, bin, state))"""
+ROUNDED = ("line", "length", "width", "holes", "free", "high", "low", "possession", "clock")
+
+
+@per_session
+def defending_blocks(spark, sf):
+    """Length, width, structure, hole area and free opponents of the defending block, one row per frame."""
+    b = blocks(spark, sf).withColumn("free", F.size(G.free_players(F.col("o"), F.col("d"), F.col("edges"))))
+    gaps = G.block_areas(b, "free").select("frame", "holes", "free")
+    return labelled(spark, sf).where(F.col("team") != F.col("poss")).select("frame", "length", "width", "structure").join(gaps, "frame", "left")
+
+
+@per_session
+def study_bins(spark, sf):
+    n = moments(spark, sf).agg(F.count(F.lit(1)).alias("frames"))  # one row
+    s = samples(spark, sf).where("live")
+    d = s.join(F.broadcast(n)).withColumn("frame", F.col("event_id") % F.col("frames")).join(defending_blocks(spark, sf), "frame", "left")
+    pr = find_presses(spark, sf).select("match_id", F.col("team").alias("side"), F.col("start").alias("clock_us"))
+    pressed = samples(spark, sf).join(pr, ["match_id", "side", "clock_us"]).select(*BIN_KEYS)
+    d = states.bins(d.withColumn("clock", F.col("clock_us")), pressed, BIN_KEYS)
+    return d.withColumn("clock", F.col("clock") / 6e7)  # whole microseconds add up exactly, minutes do not
+
+
+@query("state_study", f"""{STUDY_SQL} SELECT match_id, CAST(side AS INTEGER) AS side, period, bin, state, n_def, n_org, n_live, presses, {", ".join(f"round({c},6)+0e0 AS {c}" for c in ROUNDED)},
+ round(presses/nullif(n_def*0.2e0/60,0),6) AS press_rate FROM study""", "positions stream")
+def state_study(spark, sf):
+    """Team-match x period x five minutes x state with all block measures, shares, weights and presses."""
+    return study_bins(spark, sf).select(*BIN_KEYS, "n_def", "n_org", "n_live", "presses", *[r6(c).alias(c) for c in (*ROUNDED, "press_rate")])
+
+
+EFFECT_SQL = " UNION ALL ".join(
+    f"SELECT match_id, side, state, '{m}' AS measure, CAST({m} AS DOUBLE) AS y, CAST({states.WEIGHTS.get(m, 'n_def')} AS DOUBLE) AS w, {'n_live' if m == 'possession' else 'n_def'}*0.2e0/60 AS mins FROM study"
+    for m in states.MEASURES
+)
+
+
+@query("state_effects", f"""{STUDY_SQL}, lg AS ({EFFECT_SQL}),
+vs AS (SELECT lg.*, v.s AS versus, (state <> 'level')::INT AS x FROM lg, (VALUES ('leading'), ('trailing')) v(s) WHERE (state = 'level' OR state = v.s) AND y IS NOT NULL AND w*0.2e0 >= 0.2e0),
+kt AS (SELECT measure, versus, match_id, side, sum(w*y)/sum(w) AS my, sum(w*x)/sum(w) AS mx FROM vs GROUP BY ALL HAVING sum(CASE WHEN x = 1 THEN mins END) >= 0.01e0 AND sum(CASE WHEN x = 0 THEN mins END) >= 0.01e0)
+SELECT measure, versus AS state, round(sum(w*(x-mx)*(y-my))/sum(w*(x-mx)*(x-mx)),6)+0e0 AS effect, count(DISTINCT match_id*2+side) AS teams FROM vs JOIN kt USING (measure, versus, match_id, side) GROUP BY measure, versus HAVING count(DISTINCT match_id*2+side) >= 3""", "positions stream")
+def state_effects(spark, sf):
+    """Within team-matches, what leading and trailing change in every measure, each by its own weights."""
+    d = states.effects(study_bins(spark, sf), ["match_id", "side"], min_bin_s=0.2, min_state_min=0.01)
+    return d.withColumn("effect", r6("effect"))
+
+
 # ------------------------------------------------------------------ fixed-effects study
 
 WLS_SQL = f"""{BINS_SQL}, d0 AS (SELECT *, match_id*2 + side AS tm, (state='leading')::INT AS xs FROM bins WHERE state IN ('level','leading') AND line IS NOT NULL AND n_def > 0),
