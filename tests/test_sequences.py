@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import sequences as Q
+from touchline.operators import smoothing as K
 from touchline.operators.assignment import TrackSet, assign, assign_many
 from touchline.operators.timeline import Timeline
 
@@ -80,8 +81,8 @@ def test_smoother_equals_matrix_form_and_gates_a_spike():
     true = np.c_[20 * np.sin(0.3 * t), 15 * np.cos(0.2 * t)]  # accelerations a player can reach
     z = true + rng.normal(0, 0.3, true.shape)
     z[150] += 30
-    got = Q.smooth_positions(t, z, *Q.PLAYER_NOISE)
-    assert np.allclose(got, matrix_smoother(t, z, *Q.PLAYER_NOISE, Q.GATE_SIGMA), atol=1e-8)
+    got = K.smooth_path(t, z, *K.PLAYER_NOISE)
+    assert np.allclose(got, matrix_smoother(t, z, *K.PLAYER_NOISE, K.GATE_SIGMA), atol=1e-8)
     assert np.hypot(*(got[150] - true[150])) < 1.5
     assert np.abs(np.diff(got, 2, axis=0)).mean() < np.abs(np.diff(z, 2, axis=0)).mean() / 3
 
@@ -129,13 +130,70 @@ def test_trajectories_in_pieces_equal_whole(spark):
     d = spark.createDataFrame(pdf)
 
     def body(p):
-        xy = Q.smooth_positions(p["t"].to_numpy(), p[["x", "y"]].to_numpy(), *Q.BALL_NOISE)
-        return pd.DataFrame({"event_id": p["event_id"].to_numpy(), "sx": xy[:, 0]})
+        return pd.DataFrame({"event_id": p["event_id"].to_numpy(), "sx": Q.savgol7(p["x"].to_numpy())})
 
     whole = Q.per_trajectory(d, ["k"], body, "event_id bigint, sx double").toPandas().set_index("event_id")["sx"].sort_index()
     tl = Timeline(("k",), "ti", (), (700.0, 1900.0))
-    cut = Q.per_trajectory(d, ["k"], body, "event_id bigint, sx double", tl, halo=300, piece=500).toPandas().set_index("event_id")["sx"].sort_index()
-    assert len(cut) == 3000 and np.allclose(whole, cut, atol=1e-9)
+    cut = Q.per_trajectory(d, ["k"], body, "event_id bigint, sx double", tl, halo=8, piece=500).toPandas().set_index("event_id")["sx"].sort_index()
+    assert len(cut) == 3000 and np.allclose(whole, cut, atol=1e-12)
+
+
+def plain_smoother(t, z, process, measure, gate):
+    """Sample by sample, in the textbook's order, one axis pair at a time."""
+    q, r = process**2, measure**2
+    m, p = np.array([z[0], [0.0, 0.0]]), np.diag([r, K.FREE_VELOCITY])
+    seen, guess = [(m, p)], []
+    for h, at in zip(np.maximum(np.diff(t), K.SHORTEST), z[1:]):
+        f = np.array([[1, h], [0, 1]])
+        m, p = f @ m, f @ p @ f.T + q * np.array([[h**4 / 4, h**3 / 2], [h**3 / 2, h * h]])
+        guess.append((f, m, p))
+        if ((at - m[0]) ** 2).sum() / (p[0, 0] + r) <= gate**2:
+            gain = p[:, :1] / (p[0, 0] + r)
+            m, p = m + gain * (at - m[0]), p - gain @ p[:1]
+        seen.append((m, p))
+    out = [seen[-1][0]]
+    for (m, p), (f, ahead, spread) in zip(seen[-2::-1], guess[::-1]):
+        out.append(m + p @ f.T @ np.linalg.inv(spread) @ (out[-1] - ahead))
+    return np.array(out[::-1])[:, 0]
+
+
+def rough_path(n, seed):
+    """A walk with gaps, equal times, single spikes and leaps that last, so that gates depend on gates."""
+    rng = np.random.default_rng(seed)
+    ticks = np.cumsum(rng.choice([0, 1, 1, 1, 9], n))
+    z = rng.normal(0, 0.4, (n, 2)).cumsum(0)
+    z[rng.random(n) < 0.05] += 25
+    z[n // 2 :] += 60
+    return ticks, z
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1001])
+def test_composed_smoother_equals_the_plain_recursion(n, monkeypatch):
+    for seed, noise in [(0, K.BALL_NOISE), (1, K.PLAYER_NOISE)]:
+        ticks, z = rough_path(n, seed)
+        want = plain_smoother(ticks / 10.0, z, *noise, K.GATE_SIGMA)
+        assert np.abs(K.smooth_path(ticks / 10.0, z, *noise) - want).max() < 1e-10
+        monkeypatch.setattr(K, "BLOCK", 13)  # gates settled in small blocks
+        assert np.abs(K.smooth_path(ticks / 10.0, z, *noise) - want).max() < 1e-10
+        monkeypatch.undo()
+    assert K.smooth_path(np.zeros(0), np.zeros((0, 2)), *K.BALL_NOISE).shape == (0, 2)
+
+
+@pytest.mark.parametrize("piece, cuts", [(10, ()), (10, (40.0, 90.0)), (97, ()), (5000, ())])
+def test_smoother_in_pieces_equals_the_plain_recursion(spark, piece, cuts):
+    frames, want = [], {}
+    for k, n in [("long", 230), ("short", 12), ("one", 1), (None, 25)]:
+        ticks, z = rough_path(n, n)
+        first = len(want)
+        want.update(zip(range(first, first + n), plain_smoother(ticks / 10.0, z, *K.BALL_NOISE, K.GATE_SIGMA)))
+        frames += [(k, first + i, int(ti), float(ti) / 10.0, float(x), float(y)) for i, (ti, (x, y)) in enumerate(zip(ticks, z))]
+    frames += [("long", 9001, 3, 0.3, None, 1.0), ("long", 9002, 3, 0.3, 1.0, float("nan")), ("gone", 9003, 3, None, 1.0, 1.0)]
+    random.Random(0).shuffle(frames)
+    d = spark.createDataFrame(frames, "k string, event_id long, ti long, t double, x double, y double")
+    got = {r.event_id: (r.sx, r.sy) for r in K.smoothed(d, ["k"], Timeline(("k",), "ti", ("event_id",), cuts), *K.BALL_NOISE, piece=piece).collect()}
+    assert got.keys() == want.keys()
+    assert max(np.abs(np.subtract(got[e], want[e])).max() for e in want) < 1e-10
+    assert K.smoothed(d.where("false"), ["k"], Timeline(("k",), "ti", ("event_id",)), *K.BALL_NOISE, piece=piece).count() == 0
 
 
 def test_tracks_keep_ids_through_motion_and_gate_newcomers():

@@ -53,6 +53,12 @@ def test_scan_segments_agree(noisy):
     assert {(r[1], r[6]) for r in got} == set(zip(pdf["id"], want))
 
 
+def test_scan_carries_across_cuts_for_null_keys(spark):
+    d = spark.createDataFrame([(k, t, float(t)) for k in ("a", None) for t in range(0, 100, 7)], "k string, t int, v double")
+    got = both(lambda tl: TL.scan(d, tl, p=TL.prev(F.col("v")), n=TL.nxt(F.col("v")), total=TL.total(F.col("v"))))
+    assert sum(r[3] is None for r in got) == sum(r[4] is None for r in got) == 2  # the ends of two timelines
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
 def test_asof_segments_agree_with_brute_force(noisy, direction):
     left, right = noisy.where("s = 0").select("k", "t", "id"), noisy.where("s = 1").select("k", "t", "v")

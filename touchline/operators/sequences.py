@@ -112,10 +112,8 @@ def rate_limit(df: DataFrame, keys: list[str], time: str, gap: int, fan_in: int
 
 # ------------------------------------------------------------------ trajectories
 
-# Frames per second and noise settings of the position smoother.
+# Fixed value: frames per second.
 FPS = 29.97
-PLAYER_NOISE, BALL_NOISE = (4.0, 0.3), (12.0, 1.0)
-GATE_SIGMA = 4.5
 
 
 def without_spikes(df: DataFrame, tl: Timeline, vmax: float, rounds: int = 5) -> DataFrame:
@@ -135,50 +133,6 @@ def without_spikes(df: DataFrame, tl: Timeline, vmax: float, rounds: int = 5) ->
     return df
 
 
-def smooth_positions(t: np.ndarray, xy: np.ndarray, process: float, measure: float, gate: float = GATE_SIGMA) -> np.ndarray:
-    """Constant-velocity Kalman filter with a Mahalanobis gate, then the Rauch-Tung-Striebel pass.
-
-    x and y share one 2x2 covariance because the model treats both axes alike, so the whole
-    4-state filter reduces to position/velocity pairs and needs no matrix library.
-    """
-    n = len(t)
-    if n < 2:
-        return xy.copy()
-    q, r, limit = process**2, measure**2, gate**2
-    steps = np.maximum(np.diff(t), 1e-3).tolist()
-    obs = xy.tolist()
-    (px, py), vx, vy = obs[0], 0.0, 0.0
-    a, b, c = r, 0.0, 25.0  # covariance of position, position-velocity, velocity
-    seen = [(px, py, vx, vy, a, b, c)]
-    guess = []
-    for (zx, zy), h in zip(obs[1:], steps):
-        px, py = px + h * vx, py + h * vy
-        a, b, c = a + 2 * h * b + h * h * c + q * h**4 / 4, b + h * c + q * h**3 / 2, c + q * h * h
-        guess.append((px, py, vx, vy, a, b, c))
-        dx, dy, s = zx - px, zy - py, a + r
-        if (dx * dx + dy * dy) / s <= limit:
-            g, k = a / s, b / s
-            px, py, vx, vy = px + g * dx, py + g * dy, vx + k * dx, vy + k * dy
-            a, b, c = a - g * a, b - g * b, c - k * b
-        seen.append((px, py, vx, vy, a, b, c))
-    out = np.empty((n, 2))
-    sx, sy, ux, uy = seen[-1][:4]
-    out[-1] = sx, sy
-    for i in range(n - 2, -1, -1):
-        px, py, vx, vy, a, b, c = seen[i]
-        gx, gy, wx, wy, pa, pb, pc = guess[i]
-        h, det = steps[i], pa * pc - pb * pb
-        # smoother gain: covariance x transition' x inverse of the predicted covariance
-        m1, m2 = a + h * b, b + h * c
-        k11, k12 = (m1 * pc - b * pb) / det, (b * pa - m1 * pb) / det
-        k21, k22 = (m2 * pc - c * pb) / det, (c * pa - m2 * pb) / det
-        ex, ey, fx, fy = sx - gx, sy - gy, ux - wx, uy - wy
-        sx, sy = px + k11 * ex + k12 * fx, py + k11 * ey + k12 * fy
-        ux, uy = vx + k21 * ex + k22 * fx, vy + k21 * ey + k22 * fy
-        out[i] = sx, sy
-    return out
-
-
 def savgol7(v: np.ndarray) -> np.ndarray:
     """Quadratic fit over seven samples; the first and last three come from the end windows' fits."""
     if len(v) < 7:
@@ -198,8 +152,7 @@ def per_trajectory(
 
     A trajectory is one entity in one period. With a timeline and a ``halo`` it is always taken in
     pieces of ``piece`` rows that each see ``halo`` rows of both neighbours and keep only their own
-    rows, at every size alike; the halo is the reach of the operator (exact for finite filters, far
-    beyond rounding for the position smoother, whose memory fades geometrically).
+    rows, at every size alike; the halo is the reach of the operator, a finite filter.
     """
     spark = df.sparkSession
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)

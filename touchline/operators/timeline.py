@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -194,9 +196,11 @@ def scan(df: DataFrame, tl: Timeline, **specs: Spec) -> DataFrame:
         else:
             over = FOLDS[s.kind.removeprefix("peer")[:3]](c).over(future if s.kind.endswith("ahead") else past)
         carry_cols.append(over.alias(f"__k_{name}"))
-    carry = summary.select(*part, *carry_cols)
+    carry = summary.select(*[F.col(c).alias(f"__p_{i}") for i, c in enumerate(part)], *carry_cols)
 
-    out = out.withColumns(local).join(carry, part, "left")
+    # a null key is a key like any other, as it is to a window
+    same = [F.col(c).eqNullSafe(F.col(f"__p_{i}")) for i, c in enumerate(part)]
+    out = out.withColumns(local).join(carry, reduce(and_, same), "left").drop(*[f"__p_{i}" for i in range(len(part))])
     final = {}
     for name, s in specs.items():
         mine, before = F.col(name), F.col(f"__k_{name}")

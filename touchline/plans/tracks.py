@@ -14,6 +14,7 @@ from touchline.operators import play
 from touchline.operators import sequences as Q
 from touchline.operators.assignment import TrackSet
 from touchline.operators.intervals import least_covering
+from touchline.operators.smoothing import BALL_NOISE, smoothed
 from touchline.operators.timeline import asof_join, grouped_percentile, nxt, prev, scan, total, window_lowest, window_stats
 from touchline.plans.frames import ASSIGNED_SQL, assignment_error
 from touchline.plans.registry import big, query, r6
@@ -52,12 +53,7 @@ SELECT event_id, round(sx, 6) AS sx, round(sy, 6) AS sy FROM s"""
 @query("kalman_rts", KALMAN_SQL, "stream")
 def kalman_rts(spark, sf):
     """Filtered and smoothed position at every sample of every trajectory."""
-
-    def body(p):
-        xy = Q.smooth_positions(p["t"].to_numpy(), p[["x", "y"]].to_numpy(), *Q.BALL_NOISE)
-        return pd.DataFrame({"event_id": p["event_id"].to_numpy(), "sx": xy[:, 0], "sy": xy[:, 1]})
-
-    d = Q.per_trajectory(trajectories(spark, sf), PATH, body, "event_id bigint, sx double, sy double", stream_axis(spark, sf), 2000)
+    d = smoothed(trajectories(spark, sf), PATH, stream_axis(spark, sf), *BALL_NOISE)
     return d.select("event_id", r6("sx").alias("sx"), r6("sy").alias("sy"))
 
 
