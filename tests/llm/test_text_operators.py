@@ -175,6 +175,30 @@ def test_crf_scores(spark, docs, no_docs):
     assert {round(r.score, 9) for r in quality_crf.score(docs, blank).collect()} == {0.5}
 
 
+def test_crf_slope_is_that_of_its_loss():
+    rng = np.random.default_rng(2)
+    counts, labels, weights = np.array([4, 1, 3]), np.array([1, 0, 0]), np.array([1.0, 0.5, 0.25])
+    z, params = np.append(rng.normal(size=(8, 3)), np.ones((8, 1)), 1), rng.normal(size=8)
+    _, slope = quality_crf.loss_and_slope(params, z, counts, labels, weights)
+    for k, step in enumerate(np.eye(8) * 1e-6):
+        above, below = (quality_crf.loss_and_slope(params + d, z, counts, labels, weights)[0] for d in (step, -step))
+        assert abs((above - below) / 2e-6 - slope[k]) < 1e-6
+
+
+def test_crf_reads_all_lines_of_a_sampled_document(spark, monkeypatch):
+    """The lines that tell good from bad stand behind a thousand others that tell nothing."""
+    told = {1: "plain words go on here.", 0: "#$ *** %%% &&&"}
+    rows = [(i, "\n".join(["same line"] * 1000 + [told[i % 2]] * 600), i % 2) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    field = quality_crf.train(docs, docs)
+    texts = spark.createDataFrame([(k, "\n".join([told[k]] * 9)) for k in told], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in quality_crf.score(texts, field).collect()}
+    assert scores[1] > 0.7 > 0.3 > scores[0]
+    monkeypatch.setattr(quality_crf, "CHAIN", 7)  # cut anywhere
+    cut = {r.doc_id: r.score for r in quality_crf.score(texts, quality_crf.train(docs, docs)).collect()}
+    assert cut[1] > 0.7 > 0.3 > cut[0]
+
+
 def test_marginals_are_those_of_all_labellings():
     rng = np.random.default_rng(0)
     counts = np.array([4, 1, 3])

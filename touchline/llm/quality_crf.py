@@ -1,8 +1,11 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is good or bad; its features are counts of its own bytes and those of the lines before and after. The field is
-fitted on a bounded sample of labelled documents, whose lines carry the document's label. Forward and backward passes
+fitted on all lines of a bounded sample of labelled documents; they carry the document's label. Forward and backward passes
 give each line's chance to be good; the document's score is their mean, weighted by length.
+
+Features of the sample stay in a table in the shared folder. Each step of the fit is a job in which tasks add up the slope
+over their rows; only the 52 parameters and their slope pass through the driver.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from pyspark.sql import functions as F
 
 from touchline.llm.arrays import text_chunks
 from touchline.llm.hashing import RangeHasher, mixed
+from touchline.llm.tables import written
 
 #: Labelled documents that the field is fitted on, at most; taken in the order of a hash of their ids.
 SAMPLE = 4000
-#: Lines of a sampled document that are used in fitting, at most, in a row from a place that its id's hash tells; scoring
-#: takes all lines of all documents.
-SAMPLE_LINES = 400
-STEPS, RATE, RIDGE = 200, 0.1, 1e-3
+#: Lines of a chain in fitting. A longer document makes several chains, all of which are used; together they weigh as much
+#: as one of this length, so that no document outweighs many others. Scoring takes a document as one chain.
+CHAIN = 400
+STEPS, MEMORY, RIDGE = 60, 8, 1e-3
 
 _CLASSES = {"letter": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t\x0b\x0c\r", "symbol": b"#*$%&<>=@^~\\{}[]_+", "bar": b"|", "mark": b"!?", "stop": b".,;:", "wide": bytes(range(128, 256))}
 NAMES = [*_CLASSES, "repeated words", "length", "word length", "seen before", "first", "last"]
@@ -105,10 +109,10 @@ class Field:
         return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
 
 
-def marginals(evidence: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def marginals(evidence: np.ndarray, counts: np.ndarray, moves: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(chance of good per line, expected moves 2 x 2, log of the partition sums) of chains of ``counts`` lines each.
 
-    All chains step side by side; those that end leave.
+    Moves and logs are summed, each line by its ``weight`` if given. All chains step side by side; those that end leave.
     """
     begin = np.cumsum(counts) - counts
     order = np.argsort(-counts, kind="stable")
@@ -135,33 +139,97 @@ def marginals(evidence: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tu
     inner[begin] = False
     at = np.flatnonzero(inner)
     pair = ahead[at - 1][:, :, None] * step * (local[at] * back[at])[:, None, :]
-    expected = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-    return good, expected, float(np.log(size).sum() + np.maximum(evidence, 0).sum())
-
-
-def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Field:
-    """``labels``: one per chain. Without chains, or with one label only, the field answers 0.5 or that label's share."""
-    width = x.shape[1]
-    mean = x.mean(0) if len(x) else np.zeros(width)
-    scale = np.maximum(x.std(0), 1e-3) if len(x) else np.ones(width)
-    field = Field(mean, scale, np.zeros(width + 1), np.zeros((2, 2)))
-    if not len(counts):
-        return field
-    y = np.repeat(labels, counts).astype(np.float64)
-    inner = np.ones(len(y), bool)
-    inner[np.cumsum(counts) - counts] = False
-    seen = np.zeros((2, 2))
-    same = inner.nonzero()[0]
-    np.add.at(seen, (y[same - 1].astype(int), y[same].astype(int)), 1)
-    z = np.append(np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1)), 1)
-    params = np.zeros(width + 5)
-    m, v = np.zeros_like(params), np.zeros_like(params)
-    for k in range(1, STEPS + 1):
-        good, expected, _ = marginals(z @ params[: width + 1], counts, params[width + 1 :].reshape(2, 2))
-        slope = np.concatenate([z.T @ (good - y), (expected - seen).ravel()]) / len(y) + RIDGE * params
-        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        params -= RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
-    return Field(mean, scale, params[: width + 1].copy(), params[width + 1 :].reshape(2, 2).copy())
+    by = np.ones(len(evidence)) if weight is None else weight
+    expected = (pair / pair.sum((1, 2), keepdims=True) * by[at, None, None]).sum(0)
+    return good, expected, float(by @ (np.log(size) + np.maximum(evidence, 0)))
+
+
+def loss_and_slope(params: np.ndarray, z: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sums over chains, one label and one weight (of its lines) each; ``z``: standardised features and a one."""
+    width = z.shape[1]
+    y, w = np.repeat(labels.astype(np.float64), counts), np.repeat(weights, counts)
+    evidence, moves = z @ params[:width], params[width:].reshape(2, 2)
+    good, expected, whole = marginals(evidence, counts, moves, w)
+    stays = np.bincount(labels, weights * (counts - 1), 2)  # the lines of a chain share a label
+    loss = whole - (w * y) @ evidence - stays @ np.diag(moves)
+    return loss, np.concatenate([z.T @ (w * (good - y)), (expected - np.diag(stays)).ravel()])
+
+
+def descend(evaluate, size: int) -> np.ndarray:
+    """The least point of a convex function, from zero, by limited-memory quasi-Newton steps that are halved until they help."""
+    at = np.zeros(size)
+    value, slope = evaluate(at)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.abs(slope).max() < 1e-5:
+            break
+        way, shares = -slope, []
+        for s, y in reversed(past):
+            shares.append((s @ way) / (s @ y))
+            way = way - shares[-1] * y
+        if past:
+            s, y = past[-1]
+            way = way * ((s @ y) / (y @ y))
+        for (s, y), share in zip(past, reversed(shares)):
+            way = way + (share - (y @ way) / (s @ y)) * s
+        length = 1.0 if past else min(1.0, 1 / np.abs(slope).sum())
+        while length > 1e-9:
+            there = at + length * way
+            there_value, there_slope = evaluate(there)
+            if there_value <= value + 1e-4 * length * (slope @ way):
+                break
+            length /= 2
+        else:
+            break
+        s, y = there - at, there_slope - slope
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-MEMORY:]
+        at, value, slope = there, there_value, there_slope
+    return at
+
+
+def fit(chains: DataFrame) -> Field:
+    """From rows ``(label int, weight double, x binary)``: chains of lines with features as 32-bit floats.
+
+    Without chains, or with one label only, the field answers 0.5 or near that label's share. Sums of tasks come in no fixed
+    order, so the parameters are rounded to six digits.
+    """
+    width = 3 * len(NAMES)
+
+    def summed(body, columns: int) -> np.ndarray:
+        """``body(x, counts, labels, weights)`` gives a row of sums per batch; a task adds its own up, the driver the tasks'."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(columns)
+            for batch in batches:
+                if batch.num_rows:
+                    blocks = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, width) for x in batch.column("x")]
+                    sums += body(np.concatenate(blocks).astype(np.float64), np.array([len(b) for b in blocks]), batch.column("label").to_numpy(), batch.column("weight").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        return sum((np.array(r.sums) for r in chains.mapInArrow(run, "sums array<double>").collect()), np.zeros(columns))
+
+    def moments(x, counts, _, weights):
+        w = np.repeat(weights, counts)
+        return np.concatenate([[w.sum()], w @ x, w @ (x * x)])
+
+    n, *sums = summed(moments, 2 * width + 1)
+    if not n:
+        return Field(np.zeros(width), np.ones(width), np.zeros(width + 1), np.zeros((2, 2)))
+    mean, square = np.array(sums).reshape(2, width) / n
+    mean, scale = mean.round(6), np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 1e-3).round(6)
+
+    def evaluate(params: np.ndarray) -> tuple[float, np.ndarray]:
+        def body(x, counts, labels, weights):
+            z = np.append(np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1)), 1)
+            loss, slope = loss_and_slope(params, z, counts, labels, weights)
+            return np.append(loss, slope)
+
+        loss, *slope = summed(body, width + 6) / n
+        return loss + RIDGE / 2 * (params @ params), np.array(slope) + RIDGE * params
+
+    params = descend(evaluate, width + 5).round(6)
+    return Field(mean, scale, params[: width + 1], params[width + 1 :].reshape(2, 2))
 
 
 def score_texts(field: Field, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -176,7 +244,8 @@ def score_texts(field: Field, raw: np.ndarray, offsets: np.ndarray) -> np.ndarra
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """Fit on at most ``SAMPLE`` rows of ``labels`` whose label is 0 or 1 and whose document exists.
 
-    Rows with a null id or label take no part. Only features of the sample reach the driver.
+    Rows with a null id or label take no part; empty texts are one empty line; a long text gives chains of ``CHAIN`` lines.
+    Features of the sample are written to the shared folder, never collected.
     """
     good = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     sample = good.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
@@ -188,17 +257,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for first, end, raw, offsets in text_chunks(batch, "text"):
                 starts, ends, doc = lines_of(raw, offsets)
                 x = line_features(raw, starts, ends, doc).astype(np.float32)
-                bounds = np.append(0, np.cumsum(np.bincount(doc, minlength=end - first)))
-                spare = np.maximum(np.diff(bounds) - SAMPLE_LINES, 0)
-                skip = (mixed(np.asarray(batch.column("id").slice(first, end - first)).astype(np.uint64)) % (spare + 1).astype(np.uint64)).astype(np.int64)
-                parts = [x[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in zip(bounds[:-1] + skip, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), batch.column("label").slice(first, end - first), pa.array(parts, pa.binary())], names=["id", "label", "x"])
-
-    found = sorted(map(tuple, rows.select("id", "label", "text").mapInArrow(run, "id bigint, label int, x binary").collect()))
-    width = 3 * len(NAMES)
-    blocks = [np.frombuffer(x, np.float32).reshape(-1, width) for _, _, x in found]
-    x = np.concatenate(blocks).astype(np.float64) if blocks else np.zeros((0, width))
-    return fit(x, np.array([len(b) for b in blocks], np.int64), np.array([label for _, label, _ in found], np.int64))
+                label = batch.column("label").slice(first, end - first).to_numpy()
+                at = 0
+                for k, n in enumerate(np.bincount(doc, minlength=end - first)):
+                    parts = [x[a : min(a + CHAIN, at + n)].tobytes() for a in range(at, at + n, CHAIN)]
+                    weight = CHAIN / max(int(n), CHAIN)
+                    yield pa.RecordBatch.from_arrays([pa.array([label[k]] * len(parts), pa.int32()), pa.array([weight] * len(parts)), pa.array(parts, pa.binary())], names=["label", "weight", "x"])
+                    at += n
+
+    return fit(written(rows.select("label", "text").mapInArrow(run, "label int, weight double, x binary"), "crf-sample"))
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
