@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions import pitch as P
 from touchline.functions import text as T
 from touchline.operators import geometry as G
-from touchline.operators import play
+from touchline.operators import play, quality
 from touchline.operators import sequences as Q
 from touchline.operators.assignment import TrackSet
 from touchline.operators.intervals import least_covering
@@ -462,6 +462,48 @@ def validation_profile(spark, sf):
     return profile(spark, sf).withColumn("ball_pct", r6("ball_pct"))
 
 
+FAULTS_SQL = """m AS (SELECT match_id, 2*match_id AS home_id, 2*match_id+1 AS away_id, 2*match_id + CASE WHEN count(*) % 5 = 0 THEN 1 ELSE 0 END AS meta_home_id,
+  CASE WHEN count(*) % 7 > 0 THEN 103e0 + count(*) % 4 END AS length, 68e0 AS width FROM stream_v GROUP BY match_id),
+p AS (SELECT match_id, 2*match_id+team AS team_id, user_id, count(*) AS n, user_id % 97 = 0 AS gk FROM stream_v WHERE user_id % 5 <> match_id % 5 GROUP BY 1, 2, 3, team),
+r AS (SELECT match_id, team_id, count(*) AS players, count(*) FILTER (gk) AS keepers, count(*) FILTER (n >= 3) AS starters FROM p GROUP BY 1, 2),
+t AS (SELECT m.match_id, part, coalesce(players, 0) AS players, coalesce(keepers, 0) AS keepers, coalesce(starters, 0) AS starters
+  FROM (SELECT match_id, 'home' AS part, home_id AS team_id FROM m UNION ALL SELECT match_id, 'away', away_id FROM m) m LEFT JOIN r ON m.match_id = r.match_id AND m.team_id = r.team_id),
+d AS (SELECT match_id, period, CASE WHEN match_id % 3 > 0 THEN CASE WHEN (match_id + period) % 2 = 0 THEN 1 ELSE -1 END END AS a,
+  nullif(CAST(sign(sum(CASE WHEN kind = 'SH' THEN CASE WHEN (x > 0) = (team = 0) THEN 1 ELSE -1 END ELSE 0 END)) AS INT), 0) AS b,
+  nullif(CAST(sign(sum(CASE WHEN user_id % 97 = 0 THEN CASE WHEN (x > 0) = (team = 1) THEN 1 ELSE -1 END ELSE 0 END)) AS INT), 0) AS c FROM stream_v GROUP BY 1, 2)
+SELECT match_id, 'match' AS part, 'home team of the metadata differs' AS rule, 'problem' AS severity FROM m WHERE meta_home_id <> home_id
+UNION ALL SELECT match_id, 'match', 'pitch size missing', 'warning' FROM m WHERE length IS NULL
+UNION ALL SELECT match_id, 'match', 'pitch of other size', 'warning' FROM m WHERE abs(length - 105) > 0.5
+UNION ALL SELECT match_id, part, 'no roster', 'problem' FROM t WHERE players = 0
+UNION ALL SELECT match_id, part, 'no keeper in the roster', 'problem' FROM t WHERE keepers = 0
+UNION ALL SELECT match_id, part, 'not eleven starters', 'warning' FROM t WHERE starters <> 11
+UNION ALL SELECT match_id, period::VARCHAR, 'no direction of play', 'problem' FROM d WHERE coalesce(a, b, c) IS NULL
+UNION ALL SELECT match_id, period::VARCHAR, 'start sides disagree with shots', 'warning' FROM d WHERE a <> b
+UNION ALL SELECT match_id, period::VARCHAR, 'keepers at the other goal', 'warning' FROM d WHERE c <> b"""
+
+
+@query("match_faults", FAULTS_SQL, "stream")
+def match_faults(spark, sf):
+    """Broken rules of metadata, rosters and directions; the adapter derives all three, some of them wrong, from the stream."""
+    s = stream(spark, sf)
+    mid, n = F.col("match_id"), F.count(F.lit(1))
+    matches = s.groupBy("match_id").agg(n.alias("n")).select(
+        "match_id", (2 * mid).alias("home_id"), (2 * mid + 1).alias("away_id"), (2 * mid + F.when(F.col("n") % 5 == 0, 1).otherwise(0)).alias("meta_home_id"),
+        F.when(F.col("n") % 7 > 0, 103.0 + F.col("n") % 4).alias("length"), F.lit(68.0).alias("width"),
+    )
+    listed = s.where(F.col("user_id") % 5 != mid % 5).groupBy("match_id", "team", "user_id").agg(n.alias("n"))
+    roster = listed.select("match_id", (2 * mid + F.col("team")).alias("team_id"), F.col("user_id").alias("player"), (F.col("n") >= 3).alias("started"), F.when(F.col("user_id") % 97 == 0, "GK").alias("position"))
+
+    def majority(rows, ahead):
+        total = F.sum(F.when(rows, F.when((F.col("x") > 0) == ahead, 1).otherwise(-1)).otherwise(0))
+        return F.nullif(F.signum(total).cast("int"), F.lit(0))
+
+    directions = s.groupBy("match_id", "period").agg(
+        majority(F.col("kind") == "SH", F.col("team") == 0).alias("by_shots"), majority(F.col("user_id") % 97 == 0, F.col("team") == 1).alias("by_keepers")
+    ).withColumn("by_meta", F.when(mid % 3 > 0, F.when((mid + F.col("period")) % 2 == 0, 1).otherwise(-1)))
+    return quality.match_faults(matches, roster, directions)
+
+
 # ------------------------------------------------------------------ chapters and coverage
 
 CHAP_SQL = """b AS (SELECT match_id, period, min(clock_us) AS lo, max(clock_us) AS hi, greatest(1, CAST(round_even((max(clock_us)-min(clock_us))/300000000e0,0) AS BIGINT)) AS n FROM stream_v GROUP BY 1, 2),
