@@ -76,6 +76,14 @@ def test_pressure_frames_of_shuffled_rows(spark, tmp_path):
         assert got[k] == (len(c), pytest.approx(1 - math.prod(1 - x[2] for x in c)), min(c)[1])
 
 
+def test_pressure_frames_of_readings_a_microsecond_apart(spark, tmp_path):
+    rows = [(0, 0, 1, 0, 3600 * S, -50.0, 0.0, 0.0), (0, 0, 1, 1, 3600 * S + 1, 50.0, 0.0, 0.0), (0, 0, 2, 2, 3600 * S + 2, 0.0, 0.0, 0.0)]
+    d = live.in_order(topic(spark, f"{tmp_path}/t", [rows]), ["match_id", "team"], live.PressureFrames(10 * S, 8 * S), "match_id bigint, team int, frame bigint, n bigint, score double, presser bigint", "60 seconds")
+    (got,) = live.drain(spark, d, "append").collect()
+    chance = [1 / (1 + math.exp((0.7 + r / 8 - 1.5) / 0.5)) for r in (50, 0)]
+    assert (got.n, got.score, got.presser) == (3, pytest.approx(1 - (1 - chance[0]) * (1 - chance[1])), 2)
+
+
 def test_late_rows_are_dropped_counted_and_listed(spark, tmp_path):
     first = [(0, 0, 1, k, (100 + k) * S, 0.0, 0.0, 1.0) for k in range(10)]
     second = [(0, 0, 1, 20, 200 * S, 0.0, 0.0, 1.0)]

@@ -207,6 +207,8 @@ class PressureStep(InOrder):
 
 #: Seconds of reaction, running speed, and centre and width of the curve from arrival time to pressure.
 REACTION, SPEED, CENTRE, WIDTH = 0.7, 8.0, 1.5, 0.5
+#: Two readings a microsecond apart give a velocity whose exponential is no number; from here on the curve is below 1e-300.
+FAR = 700.0
 
 
 def reached(was: tuple | None, now: tuple, lookback: int) -> tuple[float, float]:
@@ -240,7 +242,7 @@ class PressureFrames(InOrder):
         before = dict(was)
         for t, _, entity, x, y in rows:
             rx, ry = reached(was.get(entity), (t, x, y), self.lookback)
-            chance = 1 / (1 + math.exp((REACTION + math.hypot(rx, ry) / SPEED - CENTRE) / WIDTH))
+            chance = 1 / (1 + math.exp(min((REACTION + math.hypot(rx, ry) / SPEED - CENTRE) / WIDTH, FAR)))
             frames.setdefault(t // self.step, []).append((-round(chance, 6), entity, chance))
             was[entity] = (t, x, y)
         for entity, at in was.items():
