@@ -46,9 +46,10 @@ def asof_nearest_tol(spark, sf):
     return got.select("event_id", "pass_id")
 
 
-@query("asof_forward", """sh AS (SELECT match_id, clock_us, event_id AS sid FROM stream_v WHERE kind = 'SH')
+@query("asof_forward", """sh AS (SELECT match_id, clock_us, min(event_id) AS sid FROM stream_v WHERE kind = 'SH' GROUP BY match_id, clock_us)
 SELECT c.event_id, sid AS shot_id, sh.clock_us - c.clock_us AS wait_us FROM stream_v c ASOF LEFT JOIN sh ON c.match_id = sh.match_id AND c.clock_us <= sh.clock_us WHERE c.kind = 'CH'""", "stream")
 def asof_forward(spark, sf):
+    """The next shot at or after a challenge; of several at one time, the one with the least id."""
     s = stream(spark, sf)
     got = asof_join(
         s.where(F.col("kind") == "CH").select("match_id", "clock_us", "event_id"), s.where(F.col("kind") == "SH"),
