@@ -23,14 +23,19 @@ def stream_frame_index(spark, sf):
     return stream_frames(spark, sf).select("event_id", "match_id", "frame")
 
 
-@query("asof_possession", """otb AS (SELECT match_id, clock_us, event_id AS oid, CASE WHEN value > 60 THEN NULL ELSE team END AS oteam FROM stream_v WHERE kind = 'OTB')
+@query("asof_possession", """otb AS (SELECT match_id, clock_us, event_id AS oid, CASE WHEN value > 60 THEN NULL ELSE team END AS oteam FROM stream_v WHERE kind = 'OTB'
+ QUALIFY row_number() OVER (PARTITION BY match_id, clock_us ORDER BY event_id DESC) = 1)
 SELECT s.event_id, oid AS otb_id, oteam AS otb_team FROM stream_v s ASOF LEFT JOIN otb ON s.match_id = otb.match_id AND s.clock_us >= otb.clock_us WHERE s.kind <> 'OTB'""", "stream")
 def asof_possession(spark, sf):
-    """Team of the last on-ball event; an event with no team gives no team, not the one before it."""
+    """Team of the last on-ball event; an event with no team gives no team, not the one before it.
+
+    On-ball events of the same time count, whatever their ids; of several at one time, the one with the greatest id is the last.
+    """
     team = F.when(F.col("value") > 60, None).otherwise(F.col("team"))
     last = F.struct(F.col("event_id").alias("otb_id"), team.alias("otb_team"))
-    d = scan(stream(spark, sf), stream_axis(spark, sf), o=prev(last, when=F.col("kind") == "OTB", inclusive=True))
-    return d.where(F.col("kind") != "OTB").select("event_id", "o.otb_id", "o.otb_team")
+    s = stream(spark, sf).withColumn("off", F.col("kind") != "OTB")
+    d = scan(s, stream_axis(spark, sf).on("clock_us", "off", "event_id"), o=prev(last, when=~F.col("off")))
+    return d.where("off").select("event_id", "o.otb_id", "o.otb_team")
 
 
 @query("asof_nearest_tol", """pa AS (SELECT match_id, clock_us, event_id AS pid FROM stream_v WHERE kind = 'PA'), sh AS (SELECT match_id, clock_us, event_id FROM stream_v WHERE kind = 'SH'),
