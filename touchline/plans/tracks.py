@@ -324,10 +324,11 @@ def clock_offset(spark, sf):
 c AS (SELECT ch.event_id, spell_id, row_number() OVER (PARTITION BY ch.event_id ORDER BY CASE WHEN ch.user_id % 3 = sp.pid % 3 THEN 0 ELSE 1 END, abs(t - e), spell_id) AS r FROM ch JOIN sp ON ch.match_id=sp.match_id AND t BETWEEN s - 5000000 AND e + 5000000)
 SELECT ch.event_id, spell_id FROM ch LEFT JOIN c ON ch.event_id=c.event_id AND r = 1""", "stream")
 def attach_challenge(spark, sf):
-    """Challenge to the carrier's spell: inside the widened interval, same carrier group first, then the nearest end.
+    """Challenge to the carrier's spell: inside the widened interval, same carrier group first, then the nearest end, then the least id.
 
     An end that lies back is found by an as-of lookup; one ahead is the least end among the spells that cover the
-    challenge, however long they are and however many overlap.
+    challenge, however long they are and however many overlap. Looking back, the greatest value of one end is taken, so
+    ids are turned.
     """
     s, tl = stream(spark, sf), stream_axis(spark, sf)
     t, margin = F.col("clock_us"), 5 * S
@@ -336,7 +337,8 @@ def attach_challenge(spark, sf):
     sp = s.where(F.col("kind") == "OTB").select("match_id", (F.col("user_id") % 3).alias("grp"), F.col("event_id").alias("spell_id"), t.alias("start"), end.alias("end"))
     d = s.where(F.col("kind") == "CH").select("match_id", (F.col("user_id") % 3).alias("grp"), "event_id", "clock_us")
     for name, keys in (("same", ["match_id", "grp"]), ("any", ["match_id"])):
-        d = asof_join(d, sp.withColumn("clock_us", F.col("end")), tl.by(*keys), spell, "back", "backward", margin)
+        d = asof_join(d, sp.withColumn("clock_us", F.col("end")), tl.by(*keys), F.struct("end", (-F.col("spell_id")).alias("turned")), "back", "backward", margin)
+        d = d.withColumn("back", F.when(F.col("back").isNotNull(), F.struct("back.end", (-F.col("back.turned")).alias("spell_id"))))
         d = least_covering(d, sp, keys, "clock_us", F.col("start") - margin, F.col("end"), spell, "on")
         gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(t - F.col(f"{c}.end")).alias("gap"), F.col(f"{c}.spell_id").alias("id")))
         d = d.withColumn(name, F.array_min(F.array(gap("back"), gap("on")))).drop("back", "back_t", "on")
