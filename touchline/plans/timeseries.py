@@ -192,22 +192,24 @@ ab AS (SELECT *, last_value(pt IGNORE NULLS) OVER (PARTITION BY match_id, period
  first_value(pt IGNORE NULLS) OVER (PARTITION BY match_id, period ORDER BY clock_us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
  count(pt) OVER (PARTITION BY match_id, period ORDER BY clock_us, event_id) AS gap FROM k),
 g AS (SELECT match_id, period, gap FROM ab WHERE pt IS NULL GROUP BY ALL HAVING bool_and(value >= 1 AND team = a.d)),
-w AS (SELECT ab.*, CAST(clock_us - a.t AS DOUBLE)/(b.t - a.t) AS w FROM ab JOIN g USING (match_id, period, gap) WHERE pt IS NULL AND b.t - a.t <= 20000000 AND a.d = b.d)
+w AS (SELECT ab.*, CASE WHEN b.t = a.t THEN 0.5e0 ELSE CAST(clock_us - a.t AS DOUBLE)/(b.t - a.t) END AS w FROM ab JOIN g USING (match_id, period, gap) WHERE pt IS NULL AND b.t - a.t <= 20000000 AND a.d = b.d)
 SELECT event_id, CASE WHEN w < 0.5 THEN a.k ELSE b.k END AS label, round((1-w)*a.x + w*b.x,6) AS x FROM w""", "stream")
 def bridge_gaps(spark, sf):
     """Short dropouts take the nearer side's label when both sides agree on the team and every row between is usable and of that team.
 
     The last and the next row that break this are looked up in the same way as the gap's ends: a gap is whole if neither lies in it.
+    Rows of one time are in the order of their ids, and as near to one end as to the other where both ends share their time.
     """
     seen, here = F.col("value") > 5, F.col("clock_us")
-    pt = F.struct(here.alias("t"), F.col("team").alias("d"), "x", F.col("kind").alias("k"))
+    at = F.struct("clock_us", "event_id")
+    pt = F.struct(here.alias("t"), F.col("team").alias("d"), "x", F.col("kind").alias("k"), at.alias("at"))
     axis = stream_axis(spark, sf, "match_id", "period")
     d = scan(stream(spark, sf), axis, a=prev(pt, when=seen), b=nxt(pt, when=seen))
     breaks = ~seen & ~F.coalesce((F.col("value") >= 1) & (F.col("team") == F.col("a.d")), F.lit(False))
-    d = scan(d, axis, broke=prev(here, when=breaks, inclusive=True), breaks=nxt(here, when=breaks, inclusive=True))
+    d = scan(d, axis, broke=prev(at, when=breaks, inclusive=True), breaks=nxt(at, when=breaks, inclusive=True))
     span = F.col("b.t") - F.col("a.t")
-    whole = F.coalesce(F.col("broke") <= F.col("a.t"), F.lit(True)) & F.coalesce(F.col("breaks") >= F.col("b.t"), F.lit(True))
-    d = d.where(~seen & (span <= 20 * S) & (F.col("a.d") == F.col("b.d")) & whole).withColumn("w", (here - F.col("a.t")) / span)
+    whole = F.coalesce(F.col("broke") < F.col("a.at"), F.lit(True)) & F.coalesce(F.col("breaks") > F.col("b.at"), F.lit(True))
+    d = d.where(~seen & (span <= 20 * S) & (F.col("a.d") == F.col("b.d")) & whole).withColumn("w", F.coalesce(F.try_divide((here - F.col("a.t")).cast("double"), span.cast("double")), F.lit(0.5)))
     w = F.col("w")
     return d.select("event_id", F.when(w < 0.5, F.col("a.k")).otherwise(F.col("b.k")).alias("label"), r6((1 - w) * F.col("a.x") + w * F.col("b.x")).alias("x"))
 
