@@ -30,8 +30,8 @@ def once(spark, sf, name, write):
 # ------------------------------------------------------------------ tracking files
 
 def tracking_lines(spark, sf):
-    """Frames as tracking lines: some without smoothed players, the ball as object, list or only raw."""
-    m = moments(spark, sf)
+    """Frames as tracking lines, in the order of their numbers: some without smoothed players, the ball as object, list or only raw."""
+    m = moments(spark, sf).sort("frame")
 
     def side(team, shift, speed):
         ps = F.filter(F.col("players"), lambda p: p["team"] == team)
