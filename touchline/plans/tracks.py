@@ -286,10 +286,10 @@ def event_snap(spark, sf):
 
 
 @query("event_lag", """t AS (SELECT match_id, period, event_id, clock_us FROM stream_v WHERE kind = 'CH'), p AS (SELECT match_id, clock_us AS pc, sqrt(x*x + y*y) AS dist FROM stream_v WHERE kind <> 'CH'),
-c AS (SELECT t.match_id, t.period, t.event_id, arg_min(pc - clock_us, dist) AS lag, min(dist) AS dist FROM t JOIN p ON t.match_id=p.match_id AND pc BETWEEN clock_us - 15000000 AND clock_us + 15000000 GROUP BY 1, 2, 3)
+c AS (SELECT t.match_id, t.period, t.event_id, arg_min(pc - clock_us, {'d': dist, 'c': pc}) AS lag, min(dist) AS dist FROM t JOIN p ON t.match_id=p.match_id AND pc BETWEEN clock_us - 15000000 AND clock_us + 15000000 GROUP BY 1, 2, 3)
 SELECT period, count(*) AS matched, round(median(lag)/1e6,6) AS offset_s FROM c WHERE dist < 20 GROUP BY period""", "stream")
 def event_lag(spark, sf):
-    """Feed-to-tracking offset: median lag of each event's closest candidate, over well-matched events."""
+    """Feed-to-tracking offset: median lag of each event's closest candidate, the earliest of equally close ones, over well-matched events."""
     s = stream(spark, sf)
     t = s.where(F.col("kind") == "CH").select("match_id", "period", "event_id", "clock_us")
     p = s.where(F.col("kind") != "CH").withColumn("dist", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
