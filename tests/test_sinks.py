@@ -1,5 +1,8 @@
 """Output that knows its input."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.sources import sinks
@@ -35,3 +38,12 @@ def test_a_lost_ledger_makes_all_keys_again(spark, tmp_path):
     rows.write.partitionBy("k").parquet(path)
     sinks.write_changed(rows.withColumn("v", F.lit(2.0)), lambda d: d, path, "k")
     assert [tuple(r) for r in spark.read.parquet(path).select("k", "v").collect()] == [(1, 2.0)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 6, 7, 8, 14, 20])
+def test_json_arrays_are_cut_into_files(spark, tmp_path, n):
+    out = str(tmp_path / "arrays")
+    sinks.write_json_arrays(spark.range(n).coalesce(1), out, 7)
+    parts = [json.loads(f.read_text()) for f in sorted((tmp_path / "arrays").glob("part-*"))]
+    assert [len(p) for p in parts if p] == [7] * (n // 7) + [n % 7] * (n % 7 > 0)
+    assert sorted(r["id"] for p in parts for r in p) == list(range(n))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +18,21 @@ def write_json_lines(df: DataFrame, path: str, compression: str = "bzip2") -> No
     df.write.mode("overwrite").option("compression", compression).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """Each part file is one JSON array, streamed row by row."""
+def write_json_arrays(df: DataFrame, path: str, rows: int = 50_000) -> None:
+    """Each part file is one JSON array, streamed row by row, of ``rows`` rows at most: one task has to read a file whole."""
 
     def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
+        n = 0
         for b in batches:
             if len(b):
-                v = b["value"].copy()
-                v.iloc[0] = ("[" if first else ",") + v.iloc[0]
-                v.iloc[1:] = "," + v.iloc[1:]
-                first = False
-                yield pd.DataFrame({"value": v})
-        yield pd.DataFrame({"value": ["[]" if first else "]"]})
-
-    df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
+                at = (np.arange(n, n + len(b))) % rows
+                n += len(b)
+                yield pd.DataFrame({"value": np.where(at == 0, "[", ",") + b["value"].to_numpy(object) + np.where(at == rows - 1, "]", "")})
+        if n == 0 or n % rows:
+            yield pd.DataFrame({"value": ["]" if n else "[]"]})
+
+    lines = df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(wrap, "value string")
+    lines.write.mode("overwrite").option("maxRecordsPerFile", rows).text(path)
 
 
 def write_xml(df: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
