@@ -111,6 +111,23 @@ def test_savgol_matches_polynomial_fits():
     assert Q.savgol7(v[:5]).tolist() == v[:5].tolist()
 
 
+@pytest.mark.parametrize("piece", [10, 200_000])
+def test_savgol_tracks_equal_the_fits_and_settle_ties(spark, piece):
+    rng = random.Random(4)
+    rows = [(k, 100 * k + i, i * 1_000_000 + rng.randrange(900_000), rng.uniform(-50, 50), rng.uniform(-30, 30)) for k, n in enumerate((1, 2, 3, 6, 7, 8, 35)) for i in range(n)]
+    d = spark.createDataFrame(rows, "k int, event_id long, c long, x double, y double").withColumn("t", F.col("c") / 1e6)
+    got = {r.event_id: r for r in Q.savgol_tracks(d, ["k"], Timeline(("k",), "c", ("event_id",)), 10.0, piece).collect()}
+    assert len(got) == len(rows)
+    for k in range(7):
+        mine = [r for r in rows if r[0] == k]
+        t, sx = np.array([r[2] / 1e6 for r in mine]), Q.savgol7(np.array([r[3] for r in mine]))
+        v = np.clip(np.gradient(sx, t), -10, 10) if len(mine) > 2 else np.zeros(len(mine))
+        assert [got[r[1]].sx for r in mine] == pytest.approx(sx.tolist()) and [got[r[1]].vx for r in mine] == pytest.approx(v.tolist())
+    same = spark.createDataFrame([(0, i, c, x, 0.0) for i, (c, x) in enumerate([(0, 0.0), (5, 1.0), (5, 3.0), (9, 3.0)])], "k int, event_id long, c long, x double, y double")
+    got = {r.event_id: (r.vx, r.vy) for r in Q.savgol_tracks(same.withColumn("t", F.col("c") * 1.0), ["k"], Timeline(("k",), "c", ("event_id",)), 10.0).collect()}
+    assert got[1] == (10.0, 10.0) and got[0] == (pytest.approx(0.2), 0.0)
+
+
 def test_rate_limit_matches_greedy_loop(spark):
     rnd = random.Random(5)
     data = [(k, t) for k in "ab" for t in sorted(rnd.sample(range(20000), 600 if k == "a" else 40))]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -109,14 +108,7 @@ SELECT event_id, round(sx,6)+0e0 AS sx, round(sy,6)+0e0 AS sy, round({slope('sx'
 @query("savgol_tracks", savgol_sql(), "stream")
 def savgol_tracks(spark, sf):
     """Seven-sample quadratic smoothing and clipped gradient velocity per track."""
-
-    def body(p):
-        t, x, y = (p[c].to_numpy() for c in ("t", "x", "y"))
-        xs, ys = Q.savgol7(x), Q.savgol7(y)
-        grad = lambda v: np.clip(np.gradient(v, t), -10, 10) if len(v) >= 3 else np.zeros(len(v))
-        return pd.DataFrame({"event_id": p["event_id"].to_numpy(), "sx": xs, "sy": ys, "vx": grad(xs), "vy": grad(ys)})
-
-    d = Q.per_trajectory(trajectories(spark, sf), PATH, body, "event_id bigint, sx double, sy double, vx double, vy double", stream_axis(spark, sf), 8)
+    d = Q.savgol_tracks(trajectories(spark, sf), PATH, stream_axis(spark, sf), 10.0)
     return d.select("event_id", *[r6(c).alias(c) for c in ("sx", "sy", "vx", "vy")])
 
 
