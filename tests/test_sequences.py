@@ -101,6 +101,12 @@ def test_spikes_are_removed_singly_and_in_rounds(spark, cuts):
     assert kept([i * 10 for i in range(12)]) == list(range(12))  # steady fast motion stays
 
 
+def test_rounds_of_spikes_share_one_sort(spark):
+    d = spark.createDataFrame([(0, i, i, float(i), 0.0) for i in range(5)], "k int, event_id long, c long, x double, y double").withColumn("t", F.col("c") * 1.0)
+    left = Q.without_spikes(d, Timeline(("k",), "c", ("event_id",)), 0.5, 3)
+    assert left._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
 def test_savgol_matches_polynomial_fits():
     v = np.random.default_rng(2).normal(size=30)
     got = Q.savgol7(v)
