@@ -219,6 +219,35 @@ def test_smoother_in_pieces_equals_the_plain_recursion(spark, piece, cuts):
     assert K.smoothed(d.where("false"), ["k"], Timeline(("k",), "ti", ("event_id",)), *K.BALL_NOISE, piece=piece).count() == 0
 
 
+@pytest.mark.parametrize("abreast", [0, 5, 300])
+def test_trajectories_side_by_side_equal_the_plain_recursion(abreast, monkeypatch):
+    monkeypatch.setattr(K, "ABREAST", abreast)
+    lengths = [3, 1, 90, 5, 1, 6, 5, 2]
+    paths = [rough_path(n, n + 50) for n in lengths]
+    step = [np.maximum(np.diff(ticks / 10.0), K.SHORTEST) for ticks, _ in paths]
+    h, ahead = np.concatenate([np.append(np.nan, s) for s in step]), np.concatenate([np.append(s, np.nan) for s in step])
+    for noise in (K.BALL_NOISE, K.PLAYER_NOISE):
+        want = np.concatenate([plain_smoother(ticks / 10.0, z, *noise, K.GATE_SIGMA) for ticks, z in paths])
+        got = K.smooth_abreast(np.append(0, np.cumsum(lengths)[:-1]), h, np.concatenate([z for _, z in paths]), ahead, *noise)
+        assert np.abs(got - want).max() < 1e-10
+
+
+def test_many_short_trajectories_share_a_python_call(spark):
+    d = spark.range(40).selectExpr("id % 20 AS k", "id AS event_id", "id AS ti", "id / 1.0D AS t", "1.0D AS x", "2.0D AS y")
+    out = K.smoothed(d, ["k"], Timeline(("k",), "ti", ("event_id",)), *K.BALL_NOISE)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()  # that is a call per trajectory
+    assert out.count() == 40
+
+
+@pytest.mark.parametrize("rows", [1, 4, 100])
+def test_stacks_hold_whole_groups(rows):
+    sizes = [1, 7, 2, 1, 1, 5]
+    d = pd.DataFrame({"i": np.concatenate([np.arange(n) + 1 for n in sizes])})
+    stacks = list(Q.whole_groups((d.iloc[a : a + 3] for a in range(0, len(d), 3)), rows))
+    assert pd.concat(stacks)["i"].tolist() == d["i"].tolist()
+    assert all(s["i"].iloc[0] == 1 for s in stacks) and (len(stacks) == 1) == (rows == 100)
+
+
 def test_tracks_keep_ids_through_motion_and_gate_newcomers():
     ts = TrackSet()
     a = ts.step(0.0, np.array([[0.0, 0], [10, 0]]))
