@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import sequences as Q
 from touchline.operators import smoothing as K
-from touchline.operators.assignment import TrackSet, assign, assign_many
+from touchline.operators.assignment import TrackSet, assign, assign_many, track_numbers
 from touchline.operators.timeline import Timeline
 
 
@@ -257,6 +257,24 @@ def test_tracks_keep_ids_through_motion_and_gate_newcomers():
     assert c[0] not in a
 
 
+def test_track_numbers_of_many_groups_are_those_of_each():
+    rng = np.random.default_rng(3)
+    i, t, points, want = [], [], [], []
+    for n in [1, 4, 9, 1, 12, 3]:
+        at, p, ts = np.sort(rng.integers(0, 1 + n // 3, n)), rng.random((n, 2)) * 6, TrackSet(gate=2.0)
+        want += [k for v in np.unique(at) for k in ts.step(float(v), p[at == v])]
+        i, t, points = [*i, *range(1, n + 1)], [*t, *at], [*points, *p]
+    assert track_numbers(np.array(i), np.array(t), np.array(points), gate=2.0).tolist() == want
+
+
+def test_many_short_camera_runs_share_a_python_call(spark):
+    from touchline.plans import QUERIES
+
+    out = QUERIES["tracker"](spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()  # that is a call per run
+    assert out.select("event_id").distinct().count() == out.count() > 0
+
+
 def test_debounce_needs_three_in_a_row(spark):
     from touchline.operators.timeline import prev, scan
 

@@ -118,3 +118,21 @@ class TrackSet:
         self.place = np.concatenate([self.place[stay], points[new]])
         self.velocity = np.concatenate([self.velocity[stay], np.zeros((len(new), 2))])
         return label
+
+
+def track_numbers(i: np.ndarray, t: np.ndarray, points: np.ndarray, gate: float) -> np.ndarray:
+    """Track number for every point of groups that follow each other; ``i`` counts from 1 in each, ``t`` rises.
+
+    The points of a group's first time open a track each, in their order; only groups that go on need a tracker.
+    """
+    number = i - 1
+    starts = np.flatnonzero(i == 1)
+    ends = np.append(starts[1:], len(i))
+    for a, z in zip(starts, ends):
+        if t[a] == t[z - 1]:
+            continue
+        tracks, own = TrackSet(gate=gate), t[a:z]
+        cuts = [a, *(a + 1 + np.flatnonzero(own[1:] != own[:-1])), z]
+        for b, c in zip(cuts, cuts[1:]):
+            number[b:c] = tracks.step(float(t[b]), points[b:c])
+    return number

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,10 +10,10 @@ from touchline.functions import text as T
 from touchline.operators import geometry as G
 from touchline.operators import play, quality
 from touchline.operators import sequences as Q
-from touchline.operators.assignment import TrackSet
+from touchline.operators.assignment import track_numbers
 from touchline.operators.intervals import least_covering
 from touchline.operators.smoothing import BALL_NOISE, smoothed
-from touchline.operators.timeline import asof_join, grouped_percentile, nxt, prev, scan, total, window_lowest, window_stats
+from touchline.operators.timeline import Timeline, asof_join, grouped_percentile, nxt, prev, scan, total, window_lowest, window_stats
 from touchline.plans.frames import ASSIGNED_SQL, assignment_error
 from touchline.plans.registry import big, query, r6
 from touchline.sources.driver_tables import moments, per_session, stream, stream_axis, stream_frames, table
@@ -220,13 +219,13 @@ def tracker(spark, sf):
     """Track numbers by gated assignment inside camera runs; numbers restart with every run."""
 
     def body(p):
-        ts, out = TrackSet(gate=25.0), []
-        for t, g in p.sort_values(["slot", "event_id"]).groupby("slot", sort=True):
-            out.append(pd.DataFrame({"event_id": g["event_id"].to_numpy(), "track": ts.step(float(t), g[["x", "y"]].to_numpy())}))
-        return pd.concat(out)
+        p["track"] = track_numbers(p["i"].to_numpy(), p["slot"].to_numpy(), p[["x", "y"]].to_numpy(), gate=25.0)
+        return p[["event_id", *run, "track"]]
 
-    s = usable_runs(spark, sf).select("match_id", "team", F.col("head").alias("run"), F.floor(F.col("clock_us") / (10 * S)).alias("slot"), "event_id", (F.col("clock_us") / 1e6).alias("t"), "x", "y")
-    d = Q.per_trajectory(s, ["match_id", "team", "run"], body, "event_id bigint, track bigint")
+    run = ["match_id", "team", "run"]
+    s = usable_runs(spark, sf).select("match_id", "team", F.col("head").alias("run"), F.floor(F.col("clock_us") / (10 * S)).alias("slot"), "event_id", "x", "y")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select("event_id", *run).schema)
+    d = Q.per_stack(s, Timeline(tuple(run), "slot", ("event_id",)), body, f"{ddl}, track bigint")
     return d.select("event_id", "match_id", "team", "run", "track")
 
 
