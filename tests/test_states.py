@@ -70,3 +70,17 @@ def test_too_few_teams_or_minutes_give_no_effect(binned):
     assert states.effects(binned.where("m = 0"), ["m", "team"], min_bin_s=1, min_state_min=.05).count() == 0
     assert states.effects(binned, ["m", "team"], min_bin_s=1, min_state_min=60).count() == 0
     assert states.effects(binned.limit(0), ["m", "team"]).count() == 0
+
+
+def test_bins_read_the_samples_twice(spark):
+    """Once for the counts, once for the values of the medians; their measuring used to read them a third time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    samples = spark.createDataFrame(made(300), KIND).mapInPandas(count, KIND)
+    assert states.bins(samples, spark.createDataFrame([r[:4] for r in made(300)[::50]], "m int, team int, state string, bin int"), KEYS).count() > 0
+    assert seen.value == 2 * 300

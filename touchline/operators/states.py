@@ -24,7 +24,8 @@ def bins(samples: DataFrame, presses: DataFrame, keys: Sequence[str], seconds: f
     """One row per key with every measure, its weight in samples, minutes, and presses per defending minute.
 
     ``presses`` has the keys, one row per press.  Only live or defending samples count; a sample lasts ``seconds``.
-    Counts, shares and means are one combined aggregation, the medians one percentile pass over the defending rows.
+    Counts, shares and means are one combined aggregation, the medians one percentile pass over the defending rows, whose
+    counted values are stored: two readings of ``samples`` in all.
     """
     keys = list(keys)
     s = samples.where(F.col("live") | F.col("defending"))
@@ -39,7 +40,7 @@ def bins(samples: DataFrame, presses: DataFrame, keys: Sequence[str], seconds: f
     )
     named = F.array(*[F.struct(F.lit(c).alias("__m"), F.col(c).cast("double").alias("__v")) for c in MEDIANS])
     long = s.where(own).select(*keys, F.inline(named))
-    med = grouped_percentile(long, [*keys, "__m"], "__v", {"__p": 0.5})
+    med = grouped_percentile(long, [*keys, "__m"], "__v", {"__p": 0.5}, stored=True)
     med = med.groupBy(*keys).agg(*[F.max(F.when(F.col("__m") == c, F.col("__p"))).alias(c) for c in MEDIANS])
     pressed = presses.groupBy(*keys).agg(F.count(F.lit(1)).alias("presses"))
     d = every.join(med, keys, "left").join(pressed, keys, "left").withColumn("presses", F.coalesce("presses", F.lit(0).cast("bigint")))

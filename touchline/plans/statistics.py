@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import pitch as P
+from touchline.operators import feed as views
 from touchline.operators import geometry as G
 from touchline.operators import play
 from touchline.operators import states
 from touchline.operators import stats as ST
+from touchline.operators.feed import Feed
 from touchline.operators.timeline import Timeline, grouped_percentile, scan, total
 from touchline.plans.events import PRESS_SQL, find_presses
 from touchline.plans.events import labelled as labelled_stream
@@ -17,7 +19,7 @@ from touchline.plans.frames import BLOCK_CASE, CELL_SQL, FREE_SQL, SHAPE_SQL, bl
 from touchline.plans.registry import big, query, r6
 from touchline.plans.timeseries import LIVE_SQL, live_stream
 from touchline.session import cut_lineage
-from touchline.sources.driver_tables import moments, per_session, stream, stream_axis, table
+from touchline.sources.driver_tables import feed, moments, per_session, stream, stream_axis, table
 
 TAG_SQL = "tg AS (SELECT d.source, l.quality = 1 AS pos, d.n_chars / 20000e0 AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
@@ -167,11 +169,21 @@ sd AS (SELECT gd.*, k AS side, CASE WHEN k = 0 THEN gdh ELSE -gdh END AS gdiff,
 sm AS (SELECT *, CASE WHEN gdiff > 0 THEN 'leading' WHEN gdiff < 0 THEN 'trailing' ELSE 'level' END AS state, CAST(floor(clock_us/300000000e0) AS BIGINT) AS bin FROM sd)"""
 
 
+@per_session
+def scored(spark, sf):
+    """The feed with the score: ``gdh``, home goals so far less away goals."""
+    f = feed(spark, sf)
+    goal = (F.col("kind") == "SH") & (F.col("value") > 150)
+    return Feed(scan(f.rows, f.axis, gdh=total(F.when(goal, F.when(F.col("team") == 0, 1).otherwise(-1)).otherwise(0))), f.axis)
+
+
 @per_session
 def samples(spark, sf):
     """One row per event and side: score state, defending or on the ball, line height in the side's own frame."""
-    goal = (F.col("kind") == "SH") & (F.col("value") > 150)
-    d = scan(live_stream(spark, sf), stream_axis(spark, sf), gdh=total(F.when(goal, F.when(F.col("team") == 0, 1).otherwise(-1)).otherwise(0)))
+    return both_sides(scored(spark, sf).live)
+
+
+def both_sides(d):
     d = d.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
     diff = F.when(F.col("side") == 0, F.col("gdh")).otherwise(-F.col("gdh"))
     return d.select(
@@ -254,13 +266,14 @@ def defending_blocks(spark, sf):
     return labelled(spark, sf).where(F.col("team") != F.col("poss")).select("frame", "length", "width", "structure").join(gaps, "frame", "left")
 
 
-@per_session
 def study_bins(spark, sf):
+    """Bins of the study; live flags, score and blocks are read several times, so they are stored once."""
+    kept = scored(spark, sf).kept("gdh")
     n = moments(spark, sf).agg(F.count(F.lit(1)).alias("frames"))  # one row
-    s = samples(spark, sf).where("live")
-    d = s.join(F.broadcast(n)).withColumn("frame", F.col("event_id") % F.col("frames")).join(defending_blocks(spark, sf), "frame", "left")
-    pr = find_presses(spark, sf).select("match_id", F.col("team").alias("side"), F.col("start").alias("clock_us"))
-    pressed = samples(spark, sf).join(pr, ["match_id", "side", "clock_us"]).select(*BIN_KEYS)
+    both = both_sides(kept.live)
+    d = both.where("live").join(F.broadcast(n)).withColumn("frame", F.col("event_id") % F.col("frames")).join(cut_lineage(defending_blocks(spark, sf)), "frame", "left")
+    pr = views.presses(kept).select("match_id", F.col("team").alias("side"), F.col("start").alias("clock_us"))
+    pressed = both.join(pr, ["match_id", "side", "clock_us"]).select(*BIN_KEYS)
     d = states.bins(d.withColumn("clock", F.col("clock_us")), pressed, BIN_KEYS)
     return d.withColumn("clock", F.col("clock") / 6e7)  # whole microseconds add up exactly, minutes do not
 
