@@ -45,7 +45,9 @@ class RangeHasher:
         self.up, self.down = powers(len(raw) + 1)
         sums = np.empty(len(raw) + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(byte_values(seed, fold_case)[raw] * self.up[: len(raw)], out=sums[1:])
+        values = byte_values(seed, fold_case).take(raw)
+        values *= self.up[: len(raw)]
+        np.cumsum(values, out=sums[1:])
         self.sums = sums
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

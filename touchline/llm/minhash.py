@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.arrays import binary_column, text_chunks
+from touchline.llm.arrays import binary_column, concat_ranges, text_chunks
 from touchline.llm.components import components
 from touchline.llm.hashing import RangeHasher, mixed
 from touchline.llm.tables import written
@@ -46,59 +46,82 @@ def _donors() -> np.ndarray:
     return np.stack([rng.permutation(BINS) for _ in range(BINS)])
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    solid = ~_GAP[raw]
-    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
-    opens, closes = edge[:-1] == 1, edge[1:] == -1
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one text after the other, and the places where texts begin and the last ends."""
+    solid = ~_GAP.take(raw)
+    opens, closes = solid.copy(), solid.copy()
+    opens[1:] &= ~solid[:-1]
+    closes[:-1] &= ~solid[1:]
     bound = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(raw))]
     touching = bound[solid[bound] & solid[bound - 1]]
     opens[touching] = True
     closes[touching - 1] = True
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     words = RangeHasher(raw, seed=7, fold_case=True).of(starts, ends)
-    n = len(words)
-    shingles = np.zeros(max(0, n - WORDS + 1), np.uint64)
+    shingles = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):
         shingles += words[k : k + len(shingles)] * _PLACE[k]
     shingles = mixed(shingles)
     first = np.searchsorted(starts, offsets)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+    n_words = np.diff(first)
+    counts = np.where(n_words < WORDS, n_words > 0, n_words - WORDS + 1)
+    at = np.append(0, np.cumsum(counts))
+    flat = np.empty(at[-1], np.uint64)
+    for text in np.flatnonzero(n_words):
+        a, b, own = first[text], first[text + 1], flat[at[text] : at[text + 1]]
         if b - a >= WORDS:
-            own = np.sort(shingles[a : b - WORDS + 1])
-            yield own[np.append(True, own[1:] != own[:-1])]
-        elif b > a:
-            yield mixed((words[a:b] * _PLACE[: b - a]).sum(keepdims=True) + _PLACE[WORDS : WORDS + 1] * np.array([b - a], np.uint64))
+            own[:] = shingles[a : b - WORDS + 1]
+            own.sort()
         else:
-            yield np.zeros(0, np.uint64)
+            own[:] = mixed((words[a:b] * _PLACE[: b - a]).sum(keepdims=True) + _PLACE[WORDS : WORDS + 1] * np.array([b - a], np.uint64))
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[at[:-1][counts > 0]] = True
+    return flat[new], np.append(0, np.cumsum(new))[at]
+
+
+def _least_of_bins(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set, none of them empty, the least hash of each bin; an empty bin has that of the first full one in its order."""
+    bins = (flat >> np.uint64(64 - BIN_BITS)).astype(np.int64) + np.repeat(np.arange(len(at) - 1) * BINS, np.diff(at))
+    lead = np.flatnonzero(np.diff(bins, prepend=-1))
+    least, full = np.zeros((len(at) - 1) * BINS, np.uint64), np.zeros((len(at) - 1) * BINS, bool)
+    least[bins[lead]], full[bins[lead]] = flat[lead], True
+    empty = np.flatnonzero(~full)
+    for donors in _donors().T:
+        donor = empty // BINS * BINS + donors[empty % BINS]
+        found = full[donor]
+        least[empty[found]] = least[donor[found]]
+        empty = empty[~found]
+        if not len(empty):
+            break
+    return least.reshape(-1, BINS)
+
+
+def bucket_keys(flat: np.ndarray) -> np.ndarray:
+    """The keys under which a set is looked for; none for the empty set."""
+    return keys_of_sets(flat, np.array([0, len(flat)]))[0]
 
 
-def bucket_keys(own: np.ndarray) -> np.ndarray:
-    """The keys under which a set is looked for; none for the empty set."""
-    n = len(own)
-    keys = []
-    if 0 < n <= SMALL:
-        keys.append(mixed(own[: n - -(-n * PER_CENT // 100) + 1] ^ np.uint64(0x5851F42D4C957F2D)))
-    if n * 100 > SMALL * PER_CENT:
-        bins = (own >> np.uint64(64 - BIN_BITS)).astype(np.int64)
-        lead = np.flatnonzero(np.diff(bins, prepend=-1))
-        least = np.zeros(BINS, np.uint64)
-        least[bins[lead]] = own[lead]
-        if len(lead) < BINS:
-            full = np.zeros(BINS, bool)
-            full[bins[lead]] = True
-            empty = np.flatnonzero(~full)
-            order = _donors()[empty]
-            least[empty] = least[order[np.arange(len(empty)), full[order].argmax(1)]]
-        bands = least[: BANDS * BAND].reshape(BANDS, BAND)
-        keys.append(mixed((bands * _PLACE[:BAND]).sum(1) + np.arange(1, BANDS + 1, dtype=np.uint64) * _PLACE[WORDS]))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-
-
-def _digests(sets: list[np.ndarray]) -> np.ndarray:
+def keys_of_sets(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket keys of each set, one set after the other, and the places where sets begin and the last ends."""
+    n = np.diff(at)
+    small, large = np.flatnonzero((n > 0) & (n <= SMALL)), np.flatnonzero(n * 100 > SMALL * PER_CENT)
+    prefix = n[small] - -(-n[small] * PER_CENT // 100) + 1
+    looked = mixed(flat[concat_ranges(at[small], prefix)] ^ np.uint64(0x5851F42D4C957F2D))
+    least = _least_of_bins(flat[concat_ranges(at[large], n[large])], np.append(0, np.cumsum(n[large])))
+    bands = least[:, : BANDS * BAND].reshape(-1, BANDS, BAND)
+    banded = mixed((bands * _PLACE[:BAND]).sum(2) + np.arange(1, BANDS + 1, dtype=np.uint64) * _PLACE[WORDS])
+    owner = np.concatenate([np.repeat(small, prefix), np.repeat(large, BANDS)])
+    keys = np.concatenate([looked, banded.ravel()])[np.argsort(owner, kind="stable")]
+    return keys, np.append(0, np.cumsum(np.bincount(owner, minlength=len(n))))
+
+
+def _digests(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Two signed numbers of 64 bits per set."""
-    lane = np.arange(1, 3, dtype=np.uint64)[:, None] * np.uint64(0x2545F4914F6CDD1D)
-    return np.array([mixed(own[None, :] ^ lane).sum(1) for own in sets], np.uint64).view(np.int64).reshape(-1, 2)
+    sums = np.zeros((2, len(flat) + 1), np.uint64)
+    for k, total in enumerate(sums):
+        np.cumsum(mixed(flat ^ np.uint64((k + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)), out=total[1:])
+    return (sums[:, at[1:]] - sums[:, at[:-1]]).view(np.int64)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,10 +130,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, raw, offsets in text_chunks(batch, "text", 1 << 19):
-                sets = list(shingle_sets(raw, offsets))
-                sizes, keys, digest = [len(own) for own in sets], [bucket_keys(own) for own in sets], _digests(sets)
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), pa.array(np.array(sizes, np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists], names=["id", "n_shingles", "hi", "lo", "keys"])
+                flat, at = shingle_sets(raw, offsets)
+                keys, begins = keys_of_sets(flat, at)
+                hi, lo = _digests(flat, at)
+                lists = pa.ListArray.from_arrays(begins.astype(np.int32), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), pa.array(np.diff(at)), pa.array(hi), pa.array(lo), lists], names=["id", "n_shingles", "hi", "lo", "keys"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, n_shingles bigint, hi bigint, lo bigint, keys array<bigint>")
 
@@ -125,16 +149,14 @@ def _sieved(rows: DataFrame, asked: DataFrame) -> DataFrame:
     marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()
     words = np.zeros(SIEVE_BITS >> 6, np.int64)
     words[np.asarray(marks["word"])] = np.asarray(marks["bits"])
-    names, shared = rows.columns, rows.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+    shared = rows.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.asarray(batch.column("place"))
-            found = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            if found.any():
-                yield batch.filter(pa.array(found.astype(bool))).select(names)
+    @F.arrow_udf("boolean")
+    def marked(places: pa.Array) -> pa.Array:
+        at = np.asarray(places)
+        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
 
-    return rows.withColumn("place", place).mapInArrow(run, rows.schema)
+    return rows.where(marked(place))
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
@@ -143,19 +165,20 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, offsets in text_chunks(batch, "text", 1 << 19):
-                sets = list(shingle_sets(raw, offsets))
-                bounds = np.append(0, np.cumsum([len(s) for s in sets])) * 8
-                digest = _digests(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), binary_column(np.concatenate(sets).view(np.uint8), bounds)], names=["hi", "lo", "shingles"])
+                flat, at = shingle_sets(raw, offsets)
+                hi, lo = _digests(flat, at)
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), binary_column(flat.view(np.uint8), at * 8)], names=["hi", "lo", "shingles"])
 
     return docs.mapInArrow(run, "hi bigint, lo bigint, shingles binary")
 
 
 def _links_of_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
     """``(u, v)``: the classes ``rep`` of each id that stands at different sets, linked to one of them."""
-    digest = F.struct("hi", "lo")
-    apart = written(some.groupBy("id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("id", "a"), "repeated-ids")
-    pairs = some.join(apart, "id").select("hi", "lo", F.col("a.hi").alias("a_hi"), F.col("a.lo").alias("a_lo")).distinct()
+    ranges = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("hi", "lo")]
+    apart = written(some.groupBy("id").agg(*ranges).where("min_hi <> max_hi OR min_lo <> max_lo").select("id"), "repeated-ids")
+    held = written(some.join(apart, "id").select("id", "hi", "lo").distinct(), "repeated-ids")
+    one = held.groupBy("id").agg(F.min(F.struct("hi", "lo")).alias("a"))
+    pairs = written(held.join(one, "id").select("hi", "lo", F.col("a.hi").alias("a_hi"), F.col("a.lo").alias("a_lo")).distinct(), "repeated-ids")
     ends = classes.select("hi", "lo", F.col("rep").alias("v")), classes.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("rep").alias("u"))
     return written(pairs.join(ends[0], ["hi", "lo"]).join(ends[1], ["a_hi", "a_lo"]).where("u <> v").select("u", "v"), "repeated-ids")
 
@@ -209,23 +232,37 @@ def _unsettled(rest: DataFrame, sets: DataFrame) -> DataFrame:
     held = sets.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "shingles").mapInArrow(run, "id bigint, shingle bigint")
     alone = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("id").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     rows = rest.join(alone, "rep", "left").withColumn("x", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("x") * 100 >= F.col("n") * PER_CENT).drop("alone")
-    rows = written(rows, "buckets")
+    # one row per member and hub instead of one per bucket, so a pair that meets in many buckets is looked at once
+    rows = written(rows.groupBy("hub", "hub_n", "rep", "n", "c", "x").agg(F.collect_list("key").alias("keys")), "members-of-hubs")
     strong = F.col("x") * 7 >= F.col("n") * 6
-    kinds = written(rows.where(strong).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "buckets")
-    rows = written(rows.join(kinds, "key").where(strong | (F.col("lo") != F.col("c")) | (F.col("hi") != F.col("c"))), "buckets")
-    near = rows.where(_near_in_size("n", "hub_n")).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    apart = written(_compared(near, sets, apart=True), "apart").select(F.col("u").alias("rep"), F.col("v").alias("hub"), F.col("only_v").alias("lacks"), F.col("only_u").alias("more"))
+    kinds = rows.where(strong).groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    rows = written(rows.join(kinds, "hub").where(strong | (F.col("lo") != F.col("c")) | (F.col("hi") != F.col("c"))), "members-of-hubs")
+    near = rows.where(_near_in_size("n", "hub_n")).select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+    apart = written(_compared(near, sets, apart=True), "apart").select(F.col("u").alias("rep"), F.col("v").alias("hub"), F.size("only_v").alias("n_lacks"), F.concat("only_u", "only_v").alias("differs"))
     rows = rows.join(apart, ["hub", "rep"], "left")
     looking = rows.where("lo <> c OR hi <> c").alias("l")
     firm = rows.where(strong).alias("f")
     sizes = F.col("l.n") + F.col("f.n")
-    common = F.col("l.hub_n") - F.size(F.array_union("l.lacks", "f.lacks")) + F.size(F.array_intersect("l.more", "f.more"))
-    linked = F.when(F.col("l.lacks").isNotNull() & F.col("f.lacks").isNotNull(), common * 7 >= sizes * 3)
-    possible = (F.least("l.x", "f.x") * 7 >= sizes * 3) & (F.greatest("l.n", "f.n") * PER_CENT <= F.least("l.n", "f.n") * 100)
-    met = looking.join(firm, (F.col("l.key") == F.col("f.key")) & (F.col("l.c") != F.col("f.c")) & possible & F.coalesce(linked, F.lit(True)))
+    # what only the hub has and what only the member has cannot be equal, so one intersection tells what they share of both
+    common = F.col("l.hub_n") - F.col("l.n_lacks") - F.col("f.n_lacks") + F.size(F.array_intersect("l.differs", "f.differs"))
+    linked = F.when(F.col("l.differs").isNotNull() & F.col("f.differs").isNotNull(), common * 7 >= sizes * 3)
+    possible = (F.least("l.x", "f.x") * 7 >= sizes * 3) & (F.greatest("l.n", "f.n") * PER_CENT <= F.least("l.n", "f.n") * 100) & F.arrays_overlap("l.keys", "f.keys")
+    met = looking.join(firm, (F.col("l.hub") == F.col("f.hub")) & (F.col("l.c") != F.col("f.c")) & possible & F.coalesce(linked, F.lit(True)))
     return met.select(F.least("l.rep", "f.rep").alias("u"), F.greatest("l.rep", "f.rep").alias("v"), linked.alias("linked")).groupBy("u", "v").agg(F.max("linked").alias("linked"))
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """``(key, rep, n, hub, hub_n)`` of the members ``(key, rep, n)`` of buckets with company.
+
+    The hub of a bucket meets most others over all its buckets, the least one of those that meet as many. The members
+    are shuffled by bucket, those with company by set and by bucket again; nothing is joined.
+    """
+    shared = members.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    meets = shared.withColumn("meets", F.sum("size").over(Window.partitionBy("rep")))
+    first = Window.partitionBy("key").orderBy(F.desc("meets"), "rep")
+    return meets.select("key", "rep", "n", F.first("rep").over(first).alias("hub"), F.first("n").over(first).alias("hub_n"))
+
+
 def _near_in_size(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PER_CENT) & (F.col(b) * 100 >= F.col(a) * PER_CENT)
 
@@ -241,42 +278,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(signatures(docs, id_col, text_col), "signatures")
     some = rows.where("n_shingles > 0 AND id IS NOT NULL")
     # a class of equal sets has a number of its own, rep: its least id may have other sets too
-    classes = some.groupBy("hi", "lo").agg(F.min("id").alias("least_id"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
+    classes = some.groupBy("hi", "lo").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "set-classes")
     same_id = _links_of_ids(some, classes)
-    members = classes.select("rep", "n", F.explode("keys").alias("key"))
-    # buckets with company, each member with the number of others it meets over all its buckets
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(members.join(written(shared, "buckets"), "key"), "buckets")
-    meets = members.groupBy("rep").agg(F.sum("size").alias("meets"))
-    members = written(members.join(meets, "rep").select("key", "rep", "n", "meets"), "buckets")
-    wanted = written(classes.select("hi", "lo", "rep", "least_id").join(members.select("rep").distinct(), "rep", "left_semi"), "buckets")
+    star = written(_stars(classes.select("rep", "n", F.explode("keys").alias("key"))), "stars")
+    wanted = written(classes.select("hi", "lo", "rep", "least_id").join(star.select("rep").distinct(), "rep", "left_semi"), "wanted")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     held = _full_sets(_sieved(texts, wanted.select(F.col("least_id").alias("id"))))
     # one text of each class is read, more where ids are repeated
     sets = written(held.join(wanted, ["hi", "lo"]).dropDuplicates(["hi", "lo"]).select(F.col("rep").alias("id"), "shingles"), "full-sets")
 
-    hubs = written(members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"), "rep", "n")).alias("hub")).select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    star = members.join(hubs, "key").where("rep <> hub")
+    star = star.where("rep <> hub")
     pairs = star.where(_near_in_size("n", "hub_n")).select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
     tried = written(_compared(pairs.distinct(), sets), "compared")
     links = tried.where("linked").select("u", "v").union(same_id)
     label = written(components(links), "labels")
     # a hub has met its whole bucket; what is left is settled if it is one component
-    rest = star.select("key", "rep", "n", "hub", "hub_n").join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    open_ = written(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "buckets")
-    rest = written(rest.join(open_, "key"), "buckets")
+    rest = star.join(label.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    bucket = Window.partitionBy("key")
+    rest = written(rest.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)}).where("lo <> hi").drop("lo", "hi"), "open-buckets")
     some_sets = written(_sieved(sets, rest.select(F.col("rep").alias("id")).union(rest.select("hub"))), "full-sets")
     more = written(_unsettled(rest, some_sets), "candidates")
-    asked = written(_compared(more.where("linked IS NULL").select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti"), some_sets), "compared")
-    links = links.union(more.where("linked").select("u", "v")).union(asked.where("linked").select("u", "v"))
+    asked = written(more.where("linked IS NULL").select("u", "v").join(tried.select("u", "v"), ["u", "v"], "left_anti"), "candidates")
+    asked = written(_compared(asked, _sieved(some_sets, asked.select(F.col("u").alias("id")).union(asked.select("v")))), "compared")
+    # the labels stand for the links that they were found from
+    links = label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.where("linked").select("u", "v")).union(asked.where("linked").select("u", "v"))
     label = written(components(links), "labels")
 
-    label = written(label.join(classes.select(F.col("rep").alias("node"), "least_id"), "node"), "labels")
+    label = written(label.withColumnRenamed("node", "rep").join(classes.select("rep", "hi", "lo", "least_id"), "rep"), "labels")
     ids = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    label = label.join(ids, "component").select(F.col("node").alias("rep"), "component_id")
-    named = classes.select("hi", "lo", "rep", "least_id").join(label, "rep", "left").select("hi", "lo", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = rows.join(named, ["hi", "lo"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    # only rows of linked classes and of several copies may have another component than their id; a linked class has its least
+    named = label.join(ids, "component").select("hi", "lo", "component_id").union(classes.where("copies > 1").select("hi", "lo", "least_id"))
+    out = rows.join(named.groupBy("hi", "lo").agg(F.min("component_id").alias("component_id")), ["hi", "lo"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
